@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scans, url_filters
+from . import packing, quality_rules, secret_scans, url_filters, warc
 from .common import table
 
 # Fixed values of the query's contract.
@@ -15,11 +16,22 @@ URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 LISTED_URLS = ("spam-farm.example.org/", "cheap-pills.example.com/", "casino-win.example.org/")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.sql("SELECT canonical FROM VALUES " + ", ".join(f"('{x}')" for x in LISTED_URLS) + " AS t(canonical)")
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
