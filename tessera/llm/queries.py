@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, secret_scans, url_filters, warc
+from . import html_extraction, language_id, packing, quality_rules, secret_scans, url_filters, warc
 from .common import table
 
 # Fixed values of the query's contract.
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.sql("SELECT canonical FROM VALUES " + ", ".join(f"('{x}')" for x in LISTED_URLS) + " AS t(canonical)")
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
@@ -32,6 +36,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
