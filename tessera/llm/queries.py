@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, language_id, minhash, packing, quality_rules, secret_scans, url_filters, warc
+from . import html_extraction, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup, url_filters, warc
 from .common import table
 
 # Fixed values of the query's contract.
@@ -28,6 +28,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), 0.85)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.sql("SELECT canonical FROM VALUES " + ", ".join(f"('{x}')" for x in LISTED_URLS) + " AS t(canonical)")
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
