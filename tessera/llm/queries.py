@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup, url_filters, warc
+from . import decontamination, html_extraction, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup, url_filters, warc
 from .common import table
 
 # Fixed values of the query's contract.
@@ -24,6 +24,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), 0.85)
 
