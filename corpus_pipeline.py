@@ -1,17 +1,32 @@
-"""The corpus pipeline: documents through the stages below, each written as Parquet and read again."""
+"""The corpus pipeline: documents through the stages below, each written as Parquet and read again.
+
+Every stage but the last returns the columns of documents. Null texts and texts without words do not pass
+the first stage. Rows without an id are kept unless the quality rules reject them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules, secret_scans
+from tessera.llm import decontamination, minhash, packing, quality_rules, secret_scans
 from tessera.llm.common import scratch, table
+from tessera.llm.queries import RANKS, TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality_rules.judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Documents that the quality rules keep, by language references of the stage's own input."""
+    return quality_rules.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group linked by a similarity of 0.8 or more."""
+    return minhash.keep_one(docs, 0.8)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(minhash.few_or_not(found), "doc_id", "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +34,20 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scans.redact(docs)
 
 
-STAGES = [("quality_rules", quality), ("secret_scans", secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their ids, and their places in sequences."""
+    return packing.pack(docs, TOKENIZER, RANKS, keep_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scans", secrets),
+    ("packing", pack),
+]
 
-#: Language references and automata are beyond SQL; tests compare the stages with brute force.
+#: Language references, sketches and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

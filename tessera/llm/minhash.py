@@ -228,3 +228,22 @@ def components(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = described.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(of_class, ["digest", "salt"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, with all columns, whose document is the one of its group that stays. Of rows
+    with one id one stays; rows without an id stay."""
+    found = materialize(components(docs, threshold), "components")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(few_or_not(gone), "doc_id", "left_anti")
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    once = left.join(few_or_not(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(few_or_not(twice), "doc_id", "left_anti").unionByName(once)
+
+
+def few_or_not(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if a count shows that they are few."""
+    ids = materialize(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

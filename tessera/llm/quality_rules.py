@@ -217,50 +217,65 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict) -> list[pa.Array]:
+    """The columns _NAMES of some texts."""
+    n = len(offs) - 1
+    starts, ends, first = W.spans(part, offs)
+    n_words = np.diff(first)
+    repeats = _repeat_words(W.hashes(part, starts, ends), first)
+    raw = part.tobytes()
+    dup = np.fromiter((_dup_lines(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)), np.int64, n)
+    failed = (n_words < 10) | (100 * repeats > 20 * n_words)
+    classes = class_counts(part, offs)
+    chars = classes.sum(axis=1)
+    h, low_first = lower_words(part, offs)
+    row = np.repeat(np.arange(n), np.diff(low_first))
+    passed, near_c, near_w = np.full(n, not refs), np.full(n, np.inf), np.full(n, np.inf)
+    for name in sorted(refs):
+        known, shares, class_shares = refs[name]
+        at = np.searchsorted(known, h)
+        hit = at < len(known)
+        hit[hit] = known[at[hit]] == h[hit]
+        k = len(known) + 1
+        counts = np.bincount(row * k + np.where(hit, at, k - 1), minlength=n * k).reshape(n, k)
+        dc = js_distance(classes / np.maximum(chars, 1)[:, None], class_shares)
+        dw = js_distance(counts / np.maximum(n_words, 1)[:, None], shares)
+        passed |= ((chars < CHAR_MIN) | (dc <= CHAR_LIMIT)) & ((n_words < WORD_MIN) | (dw <= WORD_LIMIT + WORD_NOISE / np.sqrt(np.maximum(n_words, 1))))
+        better = dc + dw < near_c + near_w
+        near_c, near_w = np.where(better, dc, near_c), np.where(better, dw, near_w)
+    return [
+        *(pa.array(x.astype(np.int64)) for x in (n_words, _per_row(_WORD_CHAR[part], offs), _per_row(_IS_SYMBOL[part], offs), dup, repeats)), pa.array(failed), pa.array(~failed & passed),
+        pa.array(near_c, mask=(chars < CHAR_MIN) | ~np.isfinite(near_c)), pa.array(near_w, mask=(n_words < WORD_MIN) | ~np.isfinite(near_w)),
+    ]
+
+
 def judge(docs: DataFrame, references: dict | None = None) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    char_distance and word_distance (of the nearest language; null where too short) for each doc_id."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
+    char_distance and word_distance of the nearest language (null where too short)."""
     small_batches(docs.sparkSession)
     refs = language_references(docs) if references is None else references
-    names = sorted(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id")
             for i, j in chunks(offsets):
-                part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                n = j - i
-                starts, ends, first = W.spans(part, offs)
-                n_words = np.diff(first)
-                word_chars = _per_row(_WORD_CHAR[part], offs)
-                repeats = _repeat_words(W.hashes(part, starts, ends), first)
-                raw = part.tobytes()
-                dup = np.fromiter((_dup_lines(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)), np.int64, n)
-                failed = (n_words < 10) | (100 * repeats > 20 * n_words)
-                classes = class_counts(part, offs)
-                chars = classes.sum(axis=1)
-                h, low_first = lower_words(part, offs)
-                row = np.repeat(np.arange(n), np.diff(low_first))
-                passed, near_c, near_w = np.zeros(n, bool), np.full(n, np.inf), np.full(n, np.inf)
-                for name in names:
-                    known, shares, class_shares = refs[name]
-                    at = np.searchsorted(known, h)
-                    hit = at < len(known)
-                    hit[hit] = known[at[hit]] == h[hit]
-                    k = len(known) + 1
-                    counts = np.bincount(row * k + np.where(hit, at, k - 1), minlength=n * k).reshape(n, k)
-                    dc = js_distance(classes / np.maximum(chars, 1)[:, None], class_shares)
-                    dw = js_distance(counts / np.maximum(n_words, 1)[:, None], shares)
-                    passed |= ((chars < CHAR_MIN) | (dc <= CHAR_LIMIT)) & ((n_words < WORD_MIN) | (dw <= WORD_LIMIT + WORD_NOISE / np.sqrt(np.maximum(n_words, 1))))
-                    better = dc + dw < near_c + near_w
-                    near_c, near_w = np.where(better, dc, near_c), np.where(better, dw, near_w)
-                if not names:
-                    passed[:] = True
-                yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], *(pa.array(x.astype(np.int64)) for x in (n_words, word_chars, _per_row(_IS_SYMBOL[part], offs), dup, repeats)), pa.array(failed), pa.array(~failed & passed),
-                     pa.array(near_c, mask=(chars < CHAR_MIN) | ~np.isfinite(near_c)), pa.array(near_w, mask=(n_words < WORD_MIN) | ~np.isfinite(near_w))],
-                    ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], *verdicts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], refs)], ["doc_id", *_NAMES])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")
+
+
+def keep(docs: DataFrame, references: dict | None = None) -> DataFrame:
+    """The rows of docs, with all columns, that judge() keeps; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    refs = language_references(docs) if references is None else references
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
+            for i, j in chunks(offsets):
+                yield batch.slice(i, j - i).filter(verdicts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], refs)[_NAMES.index("kept")])
+
+    return docs.mapInArrow(run, docs.schema)
