@@ -65,9 +65,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _OP6}
+    return {"op1_warc": _OP1, "op6_url_filters": _OP6}
 
 
+_OP1 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS m FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, url, CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to,
+       strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
 _OP6 = r"""
 WITH split AS (
   SELECT page_id,
