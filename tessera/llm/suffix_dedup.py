@@ -36,7 +36,7 @@ from . import words as W
 from .common import materialize, small_batches, sorted_groups, utf8
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 #: Bytes of concatenated contexts in one transform, and contexts of an anchor in one block.
 BUNDLE_BYTES = 1 << 20
 BLOCK = 4000
@@ -112,15 +112,22 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | wide[j : j + n]
-    order, h = np.argsort(key, kind="stable"), 8
+    order, h = np.argsort(key), 8
     rank = np.empty(n, np.int64)
-    new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-    rank[order] = new
-    while h < depth and new[-1] < n - 1:
-        pair = rank * n + np.roll(rank, -h)
-        order = np.argsort(pair, kind="stable")
-        new = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
-        rank[order] = new
+    head = np.concatenate([[True], key[order][1:] != key[order][:-1]])  # where a new rank starts in order
+    rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
+    while h < depth:
+        # only suffixes that share their rank are sorted on, each class within its own places
+        open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(open_):
+            break
+        these = order[open_]
+        pair = rank[these] * n + rank[(these + h) % n]
+        by = np.argsort(pair)
+        order[open_], pair = these[by], pair[by]
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
+        head[open_] = fresh
+        rank[order[open_]] = open_[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         h *= 2
     return order, text[order - 1]
 
