@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of two neighbouring blocks of HALF words. Terms are the lower-cased words of the
-benchmark that at most STOP of all blocks hold, weighted by tf-idf with document frequencies counted over
+benchmark that at most STOP of all blocks hold, and each item's rarest words, weighted by tf-idf with document frequencies counted over
 all blocks of all documents.
 
 1. A randomised singular value decomposition of the block-by-term matrix: each task multiplies its blocks
@@ -10,7 +10,7 @@ all blocks of all documents.
    much weight in all as the corpus. Only terms x RANK numbers reach the driver, bounded by the
    benchmark.
 2. Every passage of every document is folded in and compared to every item by cosine; pairs of at least
-   COSINE are candidates.
+   COSINE, with at least COVER of the item's length, are candidates.
 3. A candidate's region is read as words: the longest common subsequence with the item has to reach
    LCS_SURE of the item's words, or LCS_LEAST together with ANSWER of the words of the item's answer (what
    follows its last question mark, else its last sentence).
@@ -38,10 +38,15 @@ from .common import chunks, materialize, small_batches, utf8
 from .quality_rules import lower_words
 
 HALF = 24
-STOP = 0.01
-RANK = 128
+STOP = 0.005
+#: Each item keeps so many of its rarest words as terms, however common they are.
+RAREST = 8
+RANK = 192
 ITEMS = 1000
 COSINE = 0.40
+#: Least projection on an item, as a share of the item's own length: a passage of one or two of its words has a
+#: high cosine but little of the item.
+COVER = 0.25
 MIN_WORDS = 5
 LCS_SURE, LCS_LEAST, ANSWER = 0.75, 0.55, 0.5
 _SEED = 7
@@ -225,20 +230,22 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
 _FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
-def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float = COSINE) -> DataFrame:
+def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float = COSINE, cover: float = COVER) -> DataFrame:
     """Contaminated pairs of docs(doc_id, text) and items, with what was measured at the best passage."""
     weighted = (idf[:, None] * vectors).astype(np.float32)
     queries = np.zeros((len(items), vectors.shape[1]), np.float32)
+    least = np.full(len(items), np.inf, np.float32)
     own = Terms(terms)
     for i, item in enumerate(items):
         _, term = own.find(item.words)
         if len(term):
             q = weighted[term].sum(axis=0)
-            queries[i] = q / max(np.linalg.norm(q), 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast((items, terms, weighted, queries))  # bounded by ITEMS
+            length = max(float(np.linalg.norm(q)), 1e-12)
+            queries[i], least[i] = q / length, cover * length
+    shared = docs.sparkSession.sparkContext.broadcast((items, terms, weighted, queries, least))  # bounded by ITEMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, terms, weighted, queries = shared.value
+        items, terms, weighted, queries, least = shared.value
         found = Terms(terms)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -258,15 +265,16 @@ def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarra
                     last = min(b + 1, len(have))
                     joined = (have[a + 1 : last] == have[a : last - 1] + 1) & (row[a + 1 : last] == row[a : last - 1])
                     window[: len(joined)][joined] += z[a + 1 : last][joined]
-                    cos = window @ queries.T / np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-                    for w, q in zip(*np.nonzero(cos >= cosine), strict=True):
+                    length = np.maximum(np.linalg.norm(window, axis=1), 1e-12)
+                    reach = window @ queries.T
+                    for w, q in zip(*np.nonzero((reach >= least) & (reach >= cosine * length[:, None])), strict=True):
                         r, item = int(row[a + w]), items[q]
                         start = first[r] + (have[a + w] - before[r]) * HALF
                         # the item may reach out of the passage on either side
                         low, high = max(first[r], start - len(item.words)), min(first[r + 1], start + 2 * HALF + len(item.words))
                         share, answer = item.common(words[low:high].tolist())
                         if share >= LCS_SURE or share >= LCS_LEAST and answer >= ANSWER:
-                            key, value = (i + r, int(q)), (share, answer, float(cos[w, q]))
+                            key, value = (i + r, int(q)), (share, answer, float(reach[w, q] / length[w]))
                             best[key] = max(best.get(key, value), value)
             rows = [(ids[r], items[q].item_id, c, s, x) for (r, q), (s, x, c) in sorted(best.items())]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -290,6 +298,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         counts, n_blocks = block_frequencies(docs, terms)
         # Words of many blocks tell nothing; a corpus of few blocks has no such words.
         rare = counts <= max(STOP * n_blocks, 20)
+        for x in items:
+            at = np.unique(np.searchsorted(terms, x.words))
+            rare[at[np.argsort(counts[at], kind="stable")[:RAREST]]] = True
         terms, counts = terms[rare], counts[rare]
         if not len(terms):
             continue
