@@ -198,7 +198,7 @@ def members(stream: io.RawIOBase | pa.NativeFile) -> Iterator[bytes]:
         if z.eof:
             yield b"".join(parts)
             z, parts = zlib.decompressobj(31), []
-    if any(parts):
+    if parts:
         raise ValueError("the archive ends within a member")
 
 
