@@ -4,9 +4,10 @@ A page is a sequence of words and tags. A word scores by where it stands (its bl
 link, and the kinds of container around it), positive where main text usually is; a tag scores negative.
 Both weights are log-odds learned from labelled pages: those that mark their own main text with
 <article> or <main>. Prior counts stand for what few pages show. One linear scan finds the contiguous
-region of the largest sum, and within it the words of containers that are never main text (scripts,
-styles, menus, asides, forms, adverts, notices, reader comments, footers) are left out. Words of one run
-of text share a weight, so the scan goes over runs.
+region of the largest sum. Containers that are never main text (scripts, styles, menus, asides, forms,
+adverts, notices, reader comments, footers) are left out wherever they stand and score nothing, so one in
+the middle of an article does not cut it. Where a page marks its main text, words outside it have the least
+weight. Words of one run of text share a weight, so the scan goes over runs.
 
 Text is decoded after tags are found, white space inside a block becomes one space, blocks are joined
 in page order by one space. The whole page is read; nothing is capped.
@@ -84,8 +85,8 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> str | None:
 
 
 def runs(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
-    """(what, value, kind, inside main): `word` runs with their text, whose context is the key that
-    follows as `in:...`; `tag` with its name; kind is the container that is never main text, if any."""
+    """(what, value, kind, inside main): what is `tag`, with its name, or the context of a run of text, with
+    the text; kind is the container around it that is never main text, if any."""
     stack: list[tuple[str, str | None, bool]] = []
     kind: str | None = None
     main = False
@@ -107,8 +108,8 @@ def runs(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
         pos, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
-        yield "tag", ("/" if m[1] else "") + tag, kind, main
         if m[1]:
+            yield "tag", "/" + tag, kind, main
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             # a closing tag does not reach out of its container's element
             if at >= 0 and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[at + 1 :]) and tag != "a"):
@@ -117,11 +118,12 @@ def runs(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
                 kind, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
             continue
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+            yield "tag", tag, kind, main
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, pos)
             pos = close.end() if close else n
-            yield "tag", f"/{tag}", kind, main
+            yield "tag", tag, kind or "code", main
             continue
         if tag not in INLINE:  # a new block ends an open paragraph, with what it left open
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
@@ -133,6 +135,7 @@ def runs(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
         main = main or tag in MAIN
         stack.append((tag, kind, main))
         links += tag == "a"
+        yield "tag", tag, kind, main
 
 
 def _count(page: str, found: Counter) -> None:
@@ -199,14 +202,17 @@ def extract(page: str, weights: Weights) -> str:
     best = total = 0.0
     start = first = last = 0
     found = list(runs(page))
-    for i, (what, value, _, _) in enumerate(found):
+    marked = any(main and kind is None and what != "tag" and value.strip() for what, value, kind, main in found)
+    for i, (what, value, kind, main) in enumerate(found):
+        if kind is not None:
+            continue  # left out wherever it stands, so it does not part what is around it
         if what == "tag":
             score = weights.of(what, value)
         else:
             n = len(value.split())
             if not n:
                 continue
-            score = n * weights.of(what, value)
+            score = n * (WORD_RANGE[0] if marked and not main else weights.of(what, value))
         if total <= 0:
             total, start = 0.0, i
         total += score
