@@ -1,0 +1,297 @@
+"""Operators over documents against brute force, with nulls, ties, repeats, empty tables and long texts."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tessera.llm import decontamination, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup
+from tessera.llm.common import connected_components, sorted_groups
+from tessera.llm.queries import RANKS, TOKENIZER
+
+from .helpers import awkward_texts, documents, prose
+
+ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# 4 ---------------------------------------------------------------------------------------------
+
+
+def slow_components(texts, threshold):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().translate(ASCII_LOWER).split()
+        sets.append(set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else ({tuple(w)} if w else set()))
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 1000 * both >= round(1000 * threshold) * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_minhash_components(spark, monkeypatch, blocks):
+    if blocks:  # every bucket and cluster beyond its bound
+        monkeypatch.setattr(minhash, "BUCKET_BLOCK", blocks)
+        monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 400)
+    rng = random.Random(5)
+    texts = awkward_texts()
+    chain = prose(rng, 150).split()
+    for _ in range(12):  # neighbours are near, the ends are not
+        chain = list(chain)
+        for _ in range(2):
+            chain[rng.randrange(len(chain))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    want, sizes = slow_components(texts, 0.85)
+    got = by_id(minhash.components(documents(spark, texts), 0.85))
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert all(got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
+
+
+def test_sketch_fills_every_bin_and_concentrates():
+    rng = np.random.default_rng(1)
+    whole = rng.integers(0, 2**63, 400).astype(np.uint64)
+    rows = minhash.sketches([np.unique(whole[:1]), np.unique(whole[:360]), np.unique(whole[40:]), np.zeros(0, np.uint64)])
+    assert (rows[0] == rows[0]).all() and len(set(rows[0].tolist())) > 1 and not rows[3].any()
+    assert abs((rows[1] == rows[2]).mean() - 320 / 400) < 0.12
+
+
+def test_keep_one_and_repeated_ids(spark):
+    texts = ["a b c d e f g"] * 3 + ["z y x w v u t", None, None]
+    docs = documents(spark, texts, [3, 3, 1, 7, None, None])
+    kept = minhash.keep_one(docs, 0.8)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 7]
+    twice = minhash.keep_one(documents(spark, ["q w e r t y"] * 2, [5, 5]))
+    assert [r["doc_id"] for r in twice.collect()] == [5]
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert set(got.values()) == {0, 100} and len(got) == 43
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+# 5 ---------------------------------------------------------------------------------------------
+
+
+def slow_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    out = []
+    for t in raw:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("block", [None, 2])
+def test_repeated_bytes(spark, monkeypatch, block):
+    if block:  # all anchors are hot
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(3)
+    passage = prose(rng, 90)
+    texts = awkward_texts() + [prose(rng, 30) + " " + passage + " " + prose(rng, 20) for _ in range(6)] + [passage[:250] + prose(rng, 5) + passage[100:], passage + passage]
+    got = by_id(suffix_dedup.repeats(documents(spark, texts), 200))
+    for i, want in enumerate(slow_repeats(texts, 200)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+def test_packing_places_every_piece_once(spark):
+    from tokenizers import Tokenizer
+
+    texts = awkward_texts() + ["a<|endoftext|>b", "nbsp\xa0 here\u2003x", "  two  spaces\r\n\n end  "]
+    rows = packing.pack(documents(spark, texts), TOKENIZER, RANKS, keep_ids=True).toPandas()
+    whole = Tokenizer.from_file(TOKENIZER)
+    for i, t in enumerate(texts):
+        ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        own = rows[rows.doc_id == i].sort_values("piece")
+        assert b"".join(own.ids) == ids.tobytes() and own.length.sum() == len(ids)
+        assert [(r.start, r.length) for r in own.itertuples()] == packing.cut(len(ids), 2048)
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in own.itertuples())
+    order = rows.sort_values(["sequence_id", "offset"])
+    assert (order.offset == order.groupby("sequence_id").length.cumsum() - order.length).all()
+    used = order.groupby("sequence_id").length.sum()
+    assert used.max() <= 2048 and len(used) <= -(-rows.length.sum() // 2048) + 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_uses_up_the_histogram(seed):
+    rng = np.random.default_rng(seed)
+    h = np.bincount(rng.integers(1, 65, 5000), minlength=65)
+    plan = packing.plan(h, 64, 8)
+    used = np.zeros(65, int)
+    for lengths, n in plan:
+        assert sum(lengths) <= 64 and n > 0
+        for k in lengths:
+            used[k] += n
+    assert (used == h).all()
+    lower = -(-(h * np.arange(65)).sum() // 64)
+    assert sum(n for _, n in plan) <= lower * 1.03
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+def test_language_mixtures(spark):
+    rng = random.Random(1)
+    make = {"aa": lambda n: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n)), "bb": lambda n: " ".join("".join(rng.choice("vwxyz") for _ in range(5)) for _ in range(n))}
+    rows = [(i, make["ab"[i % 2] * 2](30), "ab"[i % 2] * 2) for i in range(200)] + [(1000, None, "aa"), (1001, "12 34", "aa"), (1002, "", None), (None, make["aa"](20), "bb"), (1003, make["aa"](70) + " " + make["bb"](30), None)]
+    got = by_id(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200)) and not got[None]["held_out"]
+    assert all(got[i]["lang_pred"] == "ab"[i % 2] * 2 and got[i]["score"] > 0.9 for i in range(200))
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (1000, 1001, 1002)) and got[None]["lang_pred"] == "aa"
+    assert 0.6 < got[1003]["score"] < 0.8 and got[1003]["languages"].startswith("aa:0.7")
+    none = language_id.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
+    assert none[0]["lang_pred"] == "und"
+
+
+# 9 ---------------------------------------------------------------------------------------------
+
+BASE = {"assign": (rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), "access": (rb"AKIA[A-Z0-9]+", 0, 16), "hex": (rb"[0-9a-f]+", 0, 32)}
+
+
+def test_secrets(spark):
+    rng = random.Random(4)
+    parts = ["token", "=", ":", " ", '"', "password", "AKIA", "ABCDEFGHIJKL", "deadbeef", "0123456789abcdef", "api_key", "APIKEY", "x", "\n", "é", ".eyJ", "Secret", "zzzzzzzz", "ghp_" + "a" * 36]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(400)] + awkward_texts()
+    got = by_id(secret_scans.scan(documents(spark, texts)))
+    for i, t in enumerate(texts):
+        raw, found = (t or "").encode(), []
+        for order, (kind, (rule, group, least)) in enumerate(BASE.items()):
+            found += [(len(raw[: m.start()].decode()), order, kind, len(raw[: m.end()].decode())) for m in re.finditer(rule, raw) if m.end(group) - m.start(group) >= least]
+        found.sort()
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
+        assert hashlib.sha256(joined.encode()).hexdigest() == got[i]["base_sha256"], t
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(f[2] == k for f in found) for k in BASE]
+        assert set(joined.split(",")) - {""} <= set(got[i]["spans"].split(","))
+    assert any("github:" in r["spans"] for r in got.values())
+
+
+def test_automaton_is_minimal_and_deterministic():
+    table, masks = secret_scans.compile_rules(("ab?c", "x{2,3}y", "[a-c]*d"))
+    words = [b"ac", b"zabc", b"abb", b"xxy", b"xy", b"xxxxy", b"d", b"qqabcd", b""]
+    for w in words:
+        state, seen = 0, 0
+        for c in w:
+            state = table[state][c]
+            seen |= int(masks[state])
+        want = sum(1 << i for i, r in enumerate((rb"ab?c", rb"x{2,3}y", rb"[a-c]*d")) if re.search(r, w))
+        assert seen == want, w
+    assert len({(masks[i], *table[i]) for i in range(len(table))}) == len(table)
+
+
+def test_redaction_keeps_columns(spark):
+    docs = documents(spark, ["password: hunter2hunter2 end", None, "clean é"])
+    out = by_id(secret_scans.redact(docs))
+    assert out[0]["text"] == "[assign] end" and out[0]["n_chars"] == 12 and out[1]["text"] is None and out[2]["text"] == "clean é" and set(out[0].asDict()) == set(docs.columns)
+
+
+# 10 --------------------------------------------------------------------------------------------
+
+
+def slow_base(text):
+    raw = (text or "").encode()
+    words = raw.split()
+    seen = Counter(zip(*(words[k:] for k in range(5))))
+    cover = {i + j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_counts_and_verdicts(spark):
+    rng = random.Random(8)
+    texts = [*awkward_texts(), "a b\na b\n c \n\x1c\x85 d", "x é #*$%&|<> y"]
+    clean, junk = [prose(rng, 200) for _ in range(60)], [" ".join(w.upper() + "!!$$" for w in prose(rng, 150).split()) for _ in range(4)]
+    docs = documents(spark, texts + clean + junk)
+    got = by_id(quality_rules.judge(docs))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for i, t in enumerate(texts):
+        want = slow_base(t)
+        assert tuple(got[i][n] for n in names) == want, repr(t)[:80]
+        assert got[i]["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+    assert all(got[len(texts) + i]["kept"] for i in range(60)) and not any(got[len(texts) + 60 + i]["kept"] for i in range(4))
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_frequent_words_summary_keeps_the_frequent():
+    rng = np.random.default_rng(2)
+    words = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 3000), rng.integers(10, 10**6, 20000).astype(np.uint64)])
+    rng.shuffle(words)
+    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for part in np.array_split(words, 40):
+        u, c = np.unique(part, return_counts=True)
+        held = quality_rules._prune(np.concatenate([held[0], u]), np.concatenate([held[1], c]), 50)
+    assert set(range(5)) <= set(held[0].tolist()) and len(held[0]) <= 50
+
+
+# 3 ---------------------------------------------------------------------------------------------
+
+
+def test_decontamination_finds_leaks_and_paraphrases(spark):
+    rng = random.Random(6)
+    special = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(900)}" for _ in range(n))
+    items = [f"{special(25)} ? {special(10)}" for _ in range(12)]
+    texts, want = awkward_texts() + [prose(rng, 300) for _ in range(60)], set()
+    for q, item in enumerate(items):
+        for kind in ("exact", "changed"):
+            words = item.split()
+            if kind == "changed":
+                words = [w if k % 5 else rng.choice(["very", "so"]) for k, w in enumerate(words)]
+            want.add((len(texts), q))
+            texts.append(prose(rng, rng.randrange(0, 120)) + " " + " ".join(words) + " " + prose(rng, rng.randrange(0, 120)))
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, "too short"), (92, "")], "item_id long, text string")
+    docs = documents(spark, texts)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == want
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontamination.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_longest_common_subsequence():
+    item = decontamination.Item(1, "a b c d? e f")
+    words = lambda t: decontamination.lower_words(*decontamination.utf8(__import__("pyarrow").array([t])))[0].tolist()
+    assert item.common(words("x a y b z e q f")) == (4 / 6, 1.0) and item.common(words("f e d")) == (1 / 6, 0.0) or item.common(words("f e d"))[0] == 1 / 6
+    assert item.common([]) == (0.0, 0.0)
+
+
+# all -------------------------------------------------------------------------------------------
+
+
+def test_empty_tables(spark):
+    empty = documents(spark, [])
+    for f in (minhash.components, suffix_dedup.repeats, language_id.identify, secret_scans.scan, secret_scans.redact, quality_rules.judge, quality_rules.keep, lambda d: packing.pack(d, TOKENIZER, RANKS)):
+        assert f(empty).count() == 0
+
+
+def test_groups_across_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"k": k, "v": list(range(len(k)))}) for k in ([1, 1, 2], [2, 2], [2, 3], [], [4])]
+    assert [(g.column("k")[0].as_py(), g.num_rows) for g in sorted_groups(iter(batches), "k")] == [(1, 2), (2, 4), (3, 1), (4, 1)]
