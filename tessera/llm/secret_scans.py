@@ -228,7 +228,6 @@ class Scanner:
         for i, row in enumerate(quick):
             row.extend(hit if masks[j] else quick[j] for j in table[i].tolist())
         self.start, self.hit = quick[0], hit
-        self._rows, self._masks = table.tolist(), masks.tolist()
 
     def kinds(self, text: bytes) -> int:
         """Bit mask of the rules whose trigger the text holds."""
@@ -237,11 +236,11 @@ class Scanner:
             row = row[c]
         if row is not self.hit:
             return 0
-        state, found, rows, masks = 0, 0, self._rows, self._masks
+        state, found, table, masks = 0, 0, self.table, self.masks
         for c in text:
-            state = rows[state][c]
+            state = table[state, c]
             if masks[state]:
-                found |= masks[state]
+                found |= int(masks[state])
         return found
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
