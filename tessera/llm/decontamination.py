@@ -9,11 +9,14 @@ all blocks of all documents.
    in it, whose eigenvectors are the singular vectors. The benchmark's own items are rows too, with as
    much weight in all as the corpus. Only terms x RANK numbers reach the driver, bounded by the
    benchmark.
-2. Every passage of every document is folded in and compared to every item by cosine; pairs of at least
-   COSINE, with at least COVER of the item's length, are candidates.
+2. Every passage of every document is folded in and compared by cosine to every item, and to each
+   passage of 2 * HALF words, HALF apart, of a longer item; pairs of at least COSINE are candidates.
 3. A candidate's region is read as words: the longest common subsequence with the item has to reach
    LCS_SURE of the item's words, or LCS_LEAST together with ANSWER of the words of the item's answer (what
-   follows its last question mark, else its last sentence).
+   follows its last question mark, else its last sentence). Candidates that have fewer than LCS_LEAST of
+   the item's words in any order cannot reach it and are left out before; that loses none.
+
+The cosine given is the largest of the item and its passages at the best region.
 
 The benchmark is the stated query set; it is taken in parts of ITEMS, each with its own terms and
 decomposition, so what a task holds is bounded.
@@ -44,13 +47,11 @@ RAREST = 8
 RANK = 192
 ITEMS = 1000
 COSINE = 0.40
-#: Least projection on an item, as a share of the item's own length: a passage of one or two of its words has a
-#: high cosine but little of the item.
-COVER = 0.25
 MIN_WORDS = 5
 LCS_SURE, LCS_LEAST, ANSWER = 0.75, 0.55, 0.5
 _SEED = 7
 _TERMS = 256  # in one row of a distributed sum
+_WORDS = 1 << 20  # of candidates' regions looked up at once
 
 
 class Item:
@@ -230,23 +231,72 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
 _FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
-def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float = COSINE, cover: float = COVER) -> DataFrame:
+class Bags:
+    """The items' words with their counts: bounds a longest common subsequence without looking at the order."""
+
+    def __init__(self, items: list[Item]):
+        self.terms = np.unique(np.concatenate([x.words for x in items]))
+        self.sizes = np.array([len(x.words) for x in items])
+        self.bits = np.zeros((len(self.terms) + 1, -(-len(items) // 8)), np.uint8)  # a last row for other words
+        keys, counts = [], []
+        for i, item in enumerate(items):
+            term, n = np.unique(np.searchsorted(self.terms, item.words), return_counts=True)
+            self.bits[term, i // 8] |= 1 << i % 8
+            keys.append(i * len(self.terms) + term)
+            counts.append(n)
+        self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
+
+    def reachable(self, term: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which regions low:high of words, given as terms, share at least LCS_LEAST of their item's words."""
+        out = np.zeros(len(low), bool)
+        ends = np.cumsum(high - low)
+        least = LCS_LEAST * self.sizes[item] - 1e-6
+        a = 0
+        while a < len(low):
+            base = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, base + _WORDS, side="right")))
+            n = (high - low)[a:b]
+            pair = np.repeat(np.arange(b - a), n)
+            held = term[np.arange(ends[b - 1] - base) + np.repeat(low[a:b] - (ends[a:b] - n - base), n)]
+            own = item[a:b][pair]
+            hit = self.bits[held, own >> 3] >> (own & 7) & 1 == 1
+            pair, held, own = pair[hit], held[hit], own[hit]
+            enough = np.bincount(pair, minlength=b - a) >= least[a:b]
+            hit = enough[pair]
+            pair, held, own = pair[hit], held[hit], own[hit]
+            # No word counts more often than the item has it.
+            once, n = np.unique(pair * len(self.terms) + held, return_counts=True)
+            pair, held = once // len(self.terms), once % len(self.terms)
+            n = np.minimum(n, self.counts[np.searchsorted(self.keys, item[a:b][pair] * len(self.terms) + held)])
+            out[a:b] = np.bincount(pair, n, minlength=b - a) >= least[a:b]
+            a = b
+        return out
+
+
+def passages(words: np.ndarray) -> list[np.ndarray]:
+    """The item's words, and those of its passages if it is longer than one."""
+    last = len(words) - 2 * HALF
+    return [words] + ([words[i : i + 2 * HALF] for i in (*range(0, last, HALF), last)] if last > 0 else [])
+
+
+def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float = COSINE) -> DataFrame:
     """Contaminated pairs of docs(doc_id, text) and items, with what was measured at the best passage."""
     weighted = (idf[:, None] * vectors).astype(np.float32)
-    queries = np.zeros((len(items), vectors.shape[1]), np.float32)
-    least = np.full(len(items), np.inf, np.float32)
+    rows, owners = [], []
     own = Terms(terms)
     for i, item in enumerate(items):
-        _, term = own.find(item.words)
-        if len(term):
-            q = weighted[term].sum(axis=0)
-            length = max(float(np.linalg.norm(q)), 1e-12)
-            queries[i], least[i] = q / length, cover * length
-    shared = docs.sparkSession.sparkContext.broadcast((items, terms, weighted, queries, least))  # bounded by ITEMS
+        for part in passages(item.words):
+            _, term = own.find(part)
+            if len(term):
+                q = weighted[term].sum(axis=0)
+                rows.append(q / max(float(np.linalg.norm(q)), 1e-12))
+                owners.append(i)
+    queries, owner = np.array(rows, np.float32).reshape(-1, vectors.shape[1]), np.array(owners, np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((items, terms, weighted, queries, owner, Bags(items)))  # bounded by ITEMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, terms, weighted, queries, least = shared.value
-        found = Terms(terms)
+        items, terms, weighted, queries, owner, bags = shared.value
+        found, vocabulary = Terms(terms), Terms(bags.terms)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
@@ -259,22 +309,34 @@ def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarra
                     continue
                 have, z = _fold(_block_of(at, first, before), term, weighted)
                 row = np.searchsorted(before, have, side="right") - 1
+                named = None
                 for a in range(0, len(have), 4096):
                     b = min(a + 4096, len(have))
                     window = z[a:b].copy()
                     last = min(b + 1, len(have))
                     joined = (have[a + 1 : last] == have[a : last - 1] + 1) & (row[a + 1 : last] == row[a : last - 1])
                     window[: len(joined)][joined] += z[a + 1 : last][joined]
-                    length = np.maximum(np.linalg.norm(window, axis=1), 1e-12)
+                    window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
                     reach = window @ queries.T
-                    for w, q in zip(*np.nonzero((reach >= least) & (reach >= cosine * length[:, None])), strict=True):
-                        r, item = int(row[a + w]), items[q]
-                        start = first[r] + (have[a + w] - before[r]) * HALF
-                        # the item may reach out of the passage on either side
-                        low, high = max(first[r], start - len(item.words)), min(first[r + 1], start + 2 * HALF + len(item.words))
-                        share, answer = item.common(words[low:high].tolist())
+                    w, q = np.nonzero(reach >= cosine)
+                    if not len(w):
+                        continue
+                    # owners ascend, so an item's passages at one window are neighbours
+                    item, measured = owner[q], reach[w, q]
+                    cut = np.concatenate([[0], np.flatnonzero((np.diff(w) != 0) | (np.diff(item) != 0)) + 1])
+                    w, item, measured = w[cut], item[cut], np.maximum.reduceat(measured, cut)
+                    if named is None:
+                        named = np.full(len(words), len(bags.terms))
+                        place, name = vocabulary.find(words)
+                        named[place] = name
+                    r = row[a + w]
+                    start = first[r] + (have[a + w] - before[r]) * HALF
+                    # the item may reach out of the passage on either side
+                    low, high = np.maximum(first[r], start - bags.sizes[item]), np.minimum(first[r + 1], start + 2 * HALF + bags.sizes[item])
+                    for k in np.flatnonzero(bags.reachable(named, low, high, item)).tolist():
+                        share, answer = items[item[k]].common(words[low[k] : high[k]].tolist())
                         if share >= LCS_SURE or share >= LCS_LEAST and answer >= ANSWER:
-                            key, value = (i + r, int(q)), (share, answer, float(reach[w, q] / length[w]))
+                            key, value = (i + int(r[k]), int(item[k])), (share, answer, float(measured[k]))
                             best[key] = max(best.get(key, value), value)
             rows = [(ids[r], items[q].item_id, c, s, x) for (r, q), (s, x, c) in sorted(best.items())]
             columns = zip(*rows, strict=True) if rows else [[]] * 5

@@ -274,6 +274,45 @@ def test_decontamination_finds_leaks_and_paraphrases(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_items_and_of_changed_rare_words(spark):
+    rng = random.Random(16)
+    rare = lambda n: [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(900)}" for _ in range(n)]
+    items = [" ".join(rare(500)), " ".join(prose(rng, 250).split() + rare(250))]
+    changed = []  # of 55 words the 22 rarest go, the others stay in order
+    for _ in range(10):
+        words = rare(22) + prose(rng, 33).split()
+        rng.shuffle(words)
+        items.append(" ".join(words))
+        keep = set(sorted(range(55), key=lambda k: (words[k][:2] in {a + b for a in "bcdfg" for b in "aeiou"} and words[k][2:].isdigit(), k))[:44])
+        changed.append(" ".join(w if k in keep else "very" for k, w in enumerate(words)))
+    texts = [prose(rng, 300) for _ in range(60)]
+    want = set()
+    for q, text in [(0, items[0]), (1, items[1]), *((2 + k, c) for k, c in enumerate(changed))]:
+        want.add((len(texts), q))
+        texts.append(prose(rng, 60) + " " + text + " " + prose(rng, 60))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert want == got, (want - got, got - want)
+
+
+def test_words_in_any_order_bound_the_subsequence():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 12, 400).astype(np.uint64)
+    items = [decontamination.Item(k, " ".join(f"w{x}" for x in rng.integers(0, 15, n))) for k, n in enumerate((6, 9, 30))]
+    lower = lambda t: decontamination.lower_words(*decontamination.utf8(__import__("pyarrow").array([t])))[0]
+    words = lower(" ".join(f"w{x}" for x in rng.integers(0, 40, 400)))
+    bags = decontamination.Bags(items)
+    named = np.full(len(words), len(bags.terms))
+    place, name = decontamination.Terms(bags.terms).find(words)
+    named[place] = name
+    low, item = rng.integers(0, 350, 300), rng.integers(0, 3, 300)
+    high = low + rng.integers(0, 50, 300)
+    got = bags.reachable(named, low, high, item)
+    for a, b, q, ok in zip(low, high, item, got, strict=True):
+        both = (Counter(words[a:b].tolist()) & Counter(items[q].words.tolist())).total()
+        assert ok == (both >= decontamination.LCS_LEAST * len(items[q].words) - 1e-6)
+        assert ok or items[q].common(words[a:b].tolist())[0] < decontamination.LCS_LEAST
+
+
 def test_longest_common_subsequence():
     item = decontamination.Item(1, "a b c d? e f")
     words = lambda t: decontamination.lower_words(*decontamination.utf8(__import__("pyarrow").array([t])))[0].tolist()
