@@ -95,6 +95,21 @@ def test_urls(spark, monkeypatch, broadcast):
     assert url_filters.filter_urls(pages(spark, []), URL_RULES, listed).count() == 0
 
 
+def test_deep_listed_entries(spark):
+    deep = "/".join(f"d{i}" for i in range(30))
+    labels = ".".join(f"l{i}" for i in range(20))
+    entries = [f"deep.org/{deep}/", f"{labels}.org/", f"file.org/{deep}/page", "flat.org/a/"]
+    urls = [
+        (f"http://deep.org/{deep}/x/y", "block"), (f"http://www.deep.org/{deep}/", "block"), (f"http://deep.org/{deep}", "allow"), (f"http://a.b.{labels}.org/q", "block"), (f"http://{labels}.org", "block"),
+        (f"http://{labels[3:]}.org/", "allow"), (f"http://file.org/{deep}/page?x", "block"), (f"http://file.org/{deep}/other", "allow"), (f"http://flat.org/a/{deep}", "block"), ("http://x.flat.org/b/", "allow"),
+    ]
+    for listed in (entries, entries[3:], ["org/"]):  # a last label alone is no suffix
+        out = url_filters.filter_urls(pages(spark, [(i, u, "") for i, (u, _) in enumerate(urls)]), (), spark.createDataFrame([(x,) for x in listed], "canonical string")).collect()
+        for r in out:
+            want = urls[r["page_id"]][1] if listed is entries or "flat" in listed[0] and "flat" in urls[r["page_id"]][0] else "allow"
+            assert r["verdict"] == want, urls[r["page_id"]]
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.range(3000).selectExpr("concat('h', id, '.org/') AS canonical")
     bloom = url_filters.bloom_filter(listed, 128)
