@@ -21,7 +21,8 @@ The cosine given is the largest of the item and its passages at the best region.
 The benchmark is the stated query set; it is taken in parts of ITEMS, each with its own terms and
 decomposition, so what a task holds is bounded.
 
-Null and empty texts match nothing, nor do items of fewer than MIN_WORDS words. A null id is reported as
+Items of fewer than MIN_WORDS words are matched by their exact sequence of words, and have no cosine. Null and
+empty texts match nothing, nor do items without words. A null id is reported as
 null. Repeated rows give repeated results; extra columns are ignored; an empty table on either side gives
 an empty result. Texts are read whole.
 """
@@ -345,6 +346,40 @@ def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarra
     return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
 
 
+def exact(docs: DataFrame, items: list[Item]) -> DataFrame:
+    """Pairs of docs(doc_id, text) and items whose words stand in the text in one piece; the cosine is null."""
+    by_first: dict[int, list[int]] = {}
+    for i, item in enumerate(items):
+        by_first.setdefault(int(item.words[0]), []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((items, by_first, np.array(sorted(by_first), np.uint64)))  # bounded by ITEMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, by_first, starts = shared.value
+        found = Terms(starts)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            ids, pairs = batch.column("doc_id").to_pylist(), []
+            for i, j in chunks(offsets):
+                words, first = lower_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at, term = found.find(words)
+                order = np.argsort(term, kind="stable")
+                at, term = at[order], term[order]
+                cut = np.flatnonzero(np.diff(term, prepend=-1))
+                for t, places in zip(term[cut].tolist(), np.split(at, cut[1:]) if len(at) else [], strict=True):
+                    row = np.searchsorted(first, places, side="right") - 1
+                    for q in by_first[int(starts[t])]:
+                        own = items[q].words
+                        ok = places + len(own) <= first[row + 1]
+                        for k in range(1, len(own)):
+                            ok[ok] = words[places[ok] + k] == own[k]
+                        pairs += [(i + r, q) for r in np.unique(row[ok]).tolist()]
+            n = len(pairs)
+            rows = [ids[r] for r, _ in pairs], [items[q].item_id for _, q in pairs], [None] * n, [1.0] * n, [1.0] * n
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id, cosine, lcs_share, answer_share) of documents that hold a benchmark item."""
     spark = docs.sparkSession
@@ -353,7 +388,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for part in range(parts):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).where("text is not null").select("item_id", "text").collect()  # about ITEMS
-        items = [x for x in (Item(i, t) for i, t in rows) if len(x.words) >= MIN_WORDS]
+        items = [x for x in (Item(i, t) for i, t in rows) if len(x.words)]
+        short, items = [x for x in items if len(x.words) < MIN_WORDS], [x for x in items if len(x.words) >= MIN_WORDS]
+        if short:
+            found = exact(docs, short)
+            out = found if out is None else out.unionByName(found)
         if not items:
             continue
         terms = np.unique(np.concatenate([x.words for x in items]))

@@ -294,6 +294,19 @@ def test_decontamination_of_long_items_and_of_changed_rare_words(spark):
     assert want == got, (want - got, got - want)
 
 
+def test_decontamination_of_items_of_few_words(spark):
+    texts = ["a Blue, whale sings here", "blue", "whale blue", None, "", "the end blue", "whale starts", "forty two is the answer", "so forty two is the", "blue whale blue whale"]
+    items = [(1, "blue whale"), (2, "Answer"), (3, "forty two is the"), (4, "?"), (5, None), (6, "whale sings there"), (7, "blue whale")]
+    lower = lambda t: decontamination.lower_words(*decontamination.utf8(__import__("pyarrow").array([t])))[0].tolist()
+    want = set()
+    for d, t in enumerate(texts):
+        w = lower(t or "")
+        want |= {(d, q) for q, x in items if x and (own := lower(x)) and any(w[k : k + len(own)] == own for k in range(len(w)))}
+    got = decontamination.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and {(9, 1), (9, 7), (7, 2), (7, 3), (8, 3)} <= want
+    assert all((r["cosine"], r["lcs_share"], r["answer_share"]) == (None, 1.0, 1.0) for r in got)
+
+
 def test_words_in_any_order_bound_the_subsequence():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 12, 400).astype(np.uint64)
