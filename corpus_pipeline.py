@@ -1,12 +1,14 @@
 """The corpus pipeline: documents through the stages below, each written as Parquet and read again.
 
 Every stage but the last returns the columns of documents. Null texts and texts without words do not pass
-the first stage. Rows without an id are kept unless the quality rules reject them.
+the first stage. Rows without an id are kept unless the quality rules reject them or they hold a benchmark
+item. Rows of one id with different texts are judged apart.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, minhash, packing, quality_rules, secret_scans
 from tessera.llm.common import scratch, table
@@ -24,9 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(minhash.few_or_not(found), "doc_id", "left_anti")
+    """Documents that hold no benchmark item. A row goes by its own text: ids may be null or repeated."""
+    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(minhash.few_or_not(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2("text", 256)) == F.col("_digest")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ an empty result. Texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,6 +231,18 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
 
 
 _FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
+#: With the SHA-256 of the text, as ids may be null or repeated.
+_MATCHED = _FOUND + ", digest binary"
+
+
+def _matched(batch: pa.RecordBatch, rows: list[tuple[int, int, float | None, float, float]]) -> pa.RecordBatch:
+    """Rows (row of the batch, item_id, cosine, lcs_share, answer_share) as _MATCHED."""
+    data, offsets = utf8(batch.column("text"))
+    at = [r for r, *_ in rows]
+    digests = {r: hashlib.sha256(data[offsets[r] : offsets[r + 1]].tobytes()).digest() for r in set(at)}
+    types = [pa.int64(), *[pa.float64()] * 3]
+    columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[1:] if rows else [[]] * 4, types, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns, pa.array([digests[r] for r in at], pa.binary())], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "digest"])
 
 
 class Bags:
@@ -300,7 +313,6 @@ def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarra
         found, vocabulary = Terms(terms), Terms(bags.terms)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for i, j in chunks(offsets):
                 words, first = lower_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -339,11 +351,9 @@ def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarra
                         if share >= LCS_SURE or share >= LCS_LEAST and answer >= ANSWER:
                             key, value = (i + int(r[k]), int(item[k])), (share, answer, float(measured[k]))
                             best[key] = max(best.get(key, value), value)
-            rows = [(ids[r], items[q].item_id, c, s, x) for (r, q), (s, x, c) in sorted(best.items())]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+            yield _matched(batch, [(r, items[q].item_id, c, s, x) for (r, q), (s, x, c) in sorted(best.items())])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+    return docs.select("doc_id", "text").mapInArrow(run, _MATCHED)
 
 
 def exact(docs: DataFrame, items: list[Item]) -> DataFrame:
@@ -358,7 +368,7 @@ def exact(docs: DataFrame, items: list[Item]) -> DataFrame:
         found = Terms(starts)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids, pairs = batch.column("doc_id").to_pylist(), []
+            pairs: list[tuple[int, int]] = []
             for i, j in chunks(offsets):
                 words, first = lower_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, term = found.find(words)
@@ -373,15 +383,18 @@ def exact(docs: DataFrame, items: list[Item]) -> DataFrame:
                         for k in range(1, len(own)):
                             ok[ok] = words[places[ok] + k] == own[k]
                         pairs += [(i + r, q) for r in np.unique(row[ok]).tolist()]
-            n = len(pairs)
-            rows = [ids[r] for r, _ in pairs], [items[q].item_id for _, q in pairs], [None] * n, [1.0] * n, [1.0] * n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+            yield _matched(batch, [(r, items[q].item_id, None, 1.0, 1.0) for r, q in pairs])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+    return docs.select("doc_id", "text").mapInArrow(run, _MATCHED)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id, cosine, lcs_share, answer_share) of documents that hold a benchmark item."""
+    return matches(docs, benchmark).drop("digest")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated(), with the digest (SHA-256) of the text that was judged."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = max(1, -(-benchmark.count() // ITEMS))
@@ -410,4 +423,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         vectors = decompose(materialize(term_blocks(docs, terms), "terms"), idf, own, n_blocks)
         found = search(docs, items, terms, idf, vectors)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], _FOUND)
+    return out if out is not None else spark.createDataFrame([], _MATCHED)

@@ -231,16 +231,22 @@ def components(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, with all columns, whose document is the one of its group that stays. Of rows
-    with one id one stays; rows without an id stay."""
-    found = materialize(components(docs, threshold), "components")
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(few_or_not(gone), "doc_id", "left_anti")
-    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if twice.isEmpty():
-        return left
-    once = left.join(few_or_not(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(few_or_not(twice), "doc_id", "left_anti").unionByName(once)
+    """The rows of docs, with all columns, whose document is the one of its group that stays. A document is
+    an id with a text: of rows with one id and one text one stays, rows of one id with different texts
+    are judged apart, the least text's digest first. Rows without an id stay."""
+    own = docs.where("doc_id is not null")
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = materialize(components(docs, threshold), "components").where("not kept").select("doc_id").distinct()
+        return docs.join(few_or_not(gone), "doc_id", "left_anti")
+    # Each pair of id and text gets a number of its own, in order of the ids.
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    numbered = own.groupBy(F.col("doc_id").alias("_id"), digest.alias("_digest")).agg(F.count("*").alias("_rows")).orderBy("_id", "_digest").withColumn("_node", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "nodes")
+    named = materialize(docs.join(numbered, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_digest")), "left").select(*(docs[c] for c in docs.columns), "_node", "_rows"), "named")
+    gone = materialize(components(named.select(F.col("_node").alias("doc_id"), "text"), threshold), "components").where("not kept").select(F.col("doc_id").alias("_node")).distinct()
+    left = named.join(few_or_not(gone), "_node", "left_anti")
+    once = left.where("_rows > 1").dropDuplicates(["_node"])
+    return left.where("_rows is null or _rows = 1").unionByName(once).select(*docs.columns)
 
 
 def few_or_not(ids: DataFrame) -> DataFrame:

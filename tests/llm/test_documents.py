@@ -83,6 +83,16 @@ def test_keep_one_and_repeated_ids(spark):
     assert [r["doc_id"] for r in twice.collect()] == [5]
 
 
+def test_keep_one_judges_rows_of_one_id_apart(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, None), (7, "  "), (None, a), (None, a), (8, c + " more")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = minhash.keep_one(docs, 0.8)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (5, b), (7, c), (7, None), (7, "  "), (None, a), (None, a)])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}

@@ -7,6 +7,15 @@ from tessera.llm.common import table
 SF = "/root/testdata/sf0.001"
 
 
+def test_decontamination_judges_each_row(spark):
+    item = table(spark, SF, "benchmark").where("length(text) > 150").first()["text"]
+    rows = [(1, f"x y {item} z"), (1, "some other words of the same id"), (None, item), (None, "words without an id"), (2, None), (None, None), (3, item)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_stages_in_turn(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
