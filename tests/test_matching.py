@@ -87,6 +87,14 @@ def test_greedy_kernel_rounds_and_slow_agree(spark, seed, ties):
         assert m.matching_rate <= m.max_possible_rate
 
 
+def test_rounds_that_do_not_settle_are_an_error(spark):
+    data, gps, _, _ = random_cohort(spark, 60, 0)
+    search = P.gps_candidate_search(data, gps, "T", "A", 5)
+    edges = greedy.rank_edges(greedy.edge_distances(data, search.edges, ["x0", "x1", "x2"], "T"))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        greedy.by_rounds(edges, ["B", "C"], max_rounds=1)
+
+
 def slow_trios(base, one, two, caliper, top_n):
     free1, free2 = set(range(len(one))), set(range(len(two)))
     dist = lambda a, b: math.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
