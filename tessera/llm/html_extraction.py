@@ -7,7 +7,8 @@ Both weights are log-odds learned from labelled pages: those that mark their own
 region of the largest sum. Containers that are never main text (scripts, styles, menus, asides, forms,
 adverts, notices, reader comments, footers) are left out wherever they stand and score nothing, so one in
 the middle of an article does not cut it. Where a page marks its main text, words outside it have the least
-weight. Words of one run of text share a weight, so the scan goes over runs.
+weight; inside it tags score nothing and words a little at least, so its lists and links stay at the edges
+too. Words of one run of text share a weight, so the scan goes over runs.
 
 Text is decoded after tags are found, white space inside a block becomes one space, blocks are joined
 in page order by one space. The whole page is read; nothing is capped.
@@ -57,6 +58,8 @@ MAIN = frozenset(("article", "main"))
 PRIOR = 20.0
 _PRIOR_MAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section td dd dt figcaption li div text".split())
 WORD_RANGE, TAG_RANGE = (-4.0, 1.5), (-2.0, -0.01)
+#: Least weight of a word inside the marked main text.
+WORD_IN_MAIN = 0.01
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
@@ -207,12 +210,12 @@ def extract(page: str, weights: Weights) -> str:
         if kind is not None:
             continue  # left out wherever it stands, so it does not part what is around it
         if what == "tag":
-            score = weights.of(what, value)
+            score = 0.0 if marked and main else weights.of(what, value)
         else:
             n = len(value.split())
             if not n:
                 continue
-            score = n * (WORD_RANGE[0] if marked and not main else weights.of(what, value))
+            score = n * (weights.of(what, value) if not marked else max(WORD_IN_MAIN, weights.of(what, value)) if main else WORD_RANGE[0])
         if total <= 0:
             total, start = 0.0, i
         total += score

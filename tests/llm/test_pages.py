@@ -72,6 +72,18 @@ def test_extraction_of_the_article_only(spark):
     assert html_extraction.extract_pages(pages(spark, [])).count() == 0
 
 
+def test_article_with_lists_and_links_at_its_edges(spark):
+    rng = random.Random(12)
+    links = "".join(f'<div><ul><li><a href="/{i}">Entry {i}</a></li><li>Item {i}</li></ul><div><a href="/">more</a></div></div>' for i in range(8))
+    page = "<html><body>{links}<{main}>{start}<p>{body}</p>{end}</{main}>{links}</body></html>"
+    short, link = "<ul><li>One</li><li><a href='/1'>two</a></li></ul>", "<div><p><a href='/2'>See</a></p></div>"
+    body = prose(rng, 60)
+    rows = [(i, "u", page.format(links=links, main=("article", "main")[i % 2], start=a, end=b, body=body)) for i, (a, b) in enumerate([("", ""), (short, short), (link, link), (short + link, link + short)])]
+    rows += [(100 + i, "u", page.format(links=links, main="article", start="", end="", body=prose(rng, 50))) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(4)] == [body, f"One two {body} One two", f"See {body} See", f"One two See {body} See One two"]
+
+
 URLS = [
     ("http://example.com/en/x", "example.com/en/", "block"), ("https://WWW.Example.com/en/", "www.example.com/en/", "allow"), ("http://a.www.example.com/en/q", "www.example.com/en/", "allow"),
     ("http://example.com", None, "allow"), ("http://example.com/", "com/", "allow"), ("http://x.net/es/1?u#v", "net/es/", "block"), ("http://x.net/est", None, "allow"), ("http://net/fr/", "net/fr/", "block"),
