@@ -7,7 +7,8 @@ Method: every language of the corpus has two reference distributions, gathered o
 documents: character classes, and common words (the rest is one bin). A document is compared to them
 with the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) and passes if at
 least one language is within both limits. Short texts have noisy histograms, so each comparison has a
-least length, and shorter texts pass it.
+least length, and shorter texts pass it. So do texts of a language with too little data for a reference:
+fewer than MIN_REFERENCE_DOCS documents, or none with words.
 
 Common words are found without a full dictionary: mergeable frequent-item summaries of `SUMMARY`
 counters keep every word with a share over 1/SUMMARY of a language's words, and a second pass counts
@@ -220,8 +221,8 @@ def _dup_lines(text: bytes) -> int:
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
-def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict) -> list[pa.Array]:
-    """The columns _NAMES of some texts."""
+def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict, langs: list[str | None]) -> list[pa.Array]:
+    """The columns _NAMES of some texts of the languages langs."""
     n = len(offs) - 1
     starts, ends, first = W.spans(part, offs)
     n_words = np.diff(first)
@@ -233,7 +234,7 @@ def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict) -> list[pa.Array]:
     chars = classes.sum(axis=1)
     h, low_first = lower_words(part, offs)
     row = np.repeat(np.arange(n), np.diff(low_first))
-    passed, near_c, near_w = np.full(n, not refs), np.full(n, np.inf), np.full(n, np.inf)
+    passed, near_c, near_w = np.fromiter((not refs or x is not None and x not in refs for x in langs), bool, n), np.full(n, np.inf), np.full(n, np.inf)
     for name in sorted(refs):
         known, shares, class_shares = refs[name]
         at = np.searchsorted(known, h)
@@ -262,9 +263,9 @@ def judge(docs: DataFrame, references: dict | None = None) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], *verdicts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], refs)], ["doc_id", *_NAMES])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], *verdicts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], refs, batch.column("lang")[i:j].to_pylist())], ["doc_id", *_NAMES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")
 
 
 def keep(docs: DataFrame, references: dict | None = None) -> DataFrame:
@@ -275,7 +276,8 @@ def keep(docs: DataFrame, references: dict | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
+            langs = batch.column(batch.schema.get_field_index("lang"))
             for i, j in chunks(offsets):
-                yield batch.slice(i, j - i).filter(verdicts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], refs)[_NAMES.index("kept")])
+                yield batch.slice(i, j - i).filter(verdicts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], refs, langs[i:j].to_pylist())[_NAMES.index("kept")])
 
     return docs.mapInArrow(run, docs.schema)

@@ -250,6 +250,17 @@ def test_quality_counts_and_verdicts(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_of_languages_with_few_documents(spark):
+    rng = random.Random(18)
+    foreign = lambda: " ".join("".join(rng.choice("бвгджзклмнопрст") for _ in range(rng.randrange(3, 9))) for _ in range(120))
+    rows = [(i, prose(rng, 200), "en") for i in range(30)] + [(100 + i, foreign(), "ru") for i in range(4)] + [(200, foreign(), None), (201, foreign(), "en"), (202, "ab " * 100, "ru"), (203, "a b", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rare = docs.where("doc_id not in (100)")  # three texts of ru and one of repeats: no reference
+    got = by_id(quality_rules.judge(rare))
+    assert all(got[i]["kept"] for i in (*range(30), 101, 102, 103)) and not any(got[i]["kept"] for i in (200, 201, 202, 203))
+    assert {r["doc_id"] for r in quality_rules.keep(rare).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
 def test_frequent_words_summary_keeps_the_frequent():
     rng = np.random.default_rng(2)
     words = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 3000), rng.integers(10, 10**6, 20000).astype(np.uint64)])
