@@ -18,9 +18,9 @@ def pages(spark, rows):
 def test_archive_round_trip(spark, tmp_path):
     rng = random.Random(1)
     big, other = prose(rng, 400), prose(rng, 500) + "é"
-    rows = [(1, "http://a/1", big), (2, None, big), (9, "http://a/9", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "a b\nc", other), (7, "a b\nc", other), (None, "n", other)]
+    rows = [(1, "http://a/1", big), (2, None, big), (9, "http://a/9", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "a b\nc\u2028%20", other), (7, "a b\nc\u2028%20", other), (None, "n", other)]
     folder = f"file://{tmp_path}/w"
-    manifest = warc.write(pages(spark, rows), folder, shards=3, roll_bytes=600)
+    manifest = warc.write(pages(spark, rows), folder, shard_bytes=5000, roll_bytes=600)
     assert manifest.agg({"records": "sum"}).first()[0] == len(rows) and manifest.count() > 3
     for r in manifest.collect():
         raw = (tmp_path / "w" / r["file"]).read_bytes()
@@ -30,17 +30,41 @@ def test_archive_round_trip(spark, tmp_path):
     assert len(back) == len(rows)
     kinds = {}
     for r in back:
-        payload = next((h or "").encode() for p, _, h in rows if p == r["page_id"])
+        url, payload = next((u, (h or "").encode()) for p, u, h in rows if p == r["page_id"])
+        assert r["url"] == url
         assert r["payload_bytes"] == len(payload) and r["payload_digest"] == hashlib.sha1(payload).hexdigest()
         assert (bytes(r["payload"]) == payload) if r["record_type"] == "response" else r["payload"] is None
         kinds.setdefault(r["page_id"], []).append((r["record_type"], r["refers_to"]))
     assert kinds[9] == [("response", None)] and kinds[1] == kinds[2] == [("revisit", 9)]
     assert kinds[3] == kinds[4] == kinds[5] == kinds[6] == [("response", None)]
     assert sorted(kinds[7]) == [("response", None), ("revisit", 7)] and kinds[None] == [("revisit", 7)]
-    again = warc.write(pages(spark, rows).repartition(4), f"file://{tmp_path}/v", shards=3, roll_bytes=600)
+    again = warc.write(pages(spark, rows).repartition(4), f"file://{tmp_path}/v", shard_bytes=5000, roll_bytes=600)
     assert sorted(r["sha256"] for r in again.collect()) == sorted(r["sha256"] for r in manifest.collect())
 
 
+def test_archives_of_equal_tables_are_equal(spark, tmp_path):
+    """However the rows are dealt; ids in clusters far apart, and rows far beyond what a sample would hold."""
+    table = spark.range(50_000).selectExpr("CASE WHEN id < 30000 THEN id ELSE id * 1000003 - 9000000000000000000 END AS page_id", "concat('http://a/', id) AS url", "repeat(concat('w', id % 977, ' '), cast(id % 60 as int)) AS html")
+    one = warc.write(table.repartition(7), f"file://{tmp_path}/one", shard_bytes=2 << 20, roll_bytes=1 << 17)
+    two = warc.write(table.orderBy("html").coalesce(3), f"file://{tmp_path}/two", shard_bytes=2 << 20, roll_bytes=1 << 17)
+    names = ["shard", "number", "first_page", "file", "records", "bytes", "sha256"]
+    a, b = (m.select(*names).orderBy("file").collect() for m in (one, two))
+    assert a == b and a[-1]["shard"] > 10 and any(r["number"] for r in a) and sum(r["records"] for r in a) == 50_000
+    sizes = {}
+    for r in a:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["records"]
+    assert max(sizes.values()) < 50_000 / 5
+    assert warc.read(spark, f"file://{tmp_path}/two").count() == 50_000
+    assert warc.shard_bounds(table.limit(0)) == []
+    wide = spark.createDataFrame([(-(1 << 63), "x"), ((1 << 63) - 1, "y" * 9), (5, "z" * 9000), (6, "z" * 9000), (7, None), (None, "q")], "page_id long, html string")
+    assert warc.shard_bounds(wide, 9000) == [6, 7]  # the least id of all has no block of its own
+
+
+def test_empty_tables_give_no_archives(spark, tmp_path):
+    assert warc.write(pages(spark, []), f"file://{tmp_path}/e").count() == 0
+    assert warc.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
 def test_truncated_archive_is_an_error(tmp_path):
     import io
 
