@@ -1,21 +1,33 @@
 """HTML extraction: the best contiguous region of a page by maximum-scoring subsequence.
 
-A page is a sequence of words and tags. A word scores by where it stands (its block's tag, whether in a
-link, and the kinds of container around it), positive where main text usually is; a tag scores negative.
-Both weights are log-odds learned from labelled pages: those that mark their own main text with
-<article> or <main>. Prior counts stand for what few pages show. One linear scan finds the contiguous
-region of the largest sum. Containers that are never main text (scripts, styles, menus, asides, forms,
-adverts, notices, reader comments, footers) are left out wherever they stand and score nothing, so one in
-the middle of an article does not cut it. Where a page marks its main text, words outside it have the least
-weight; inside it tags score nothing and words a little at least, so its lists and links stay at the edges
-too. Words of one run of text share a weight, so the scan goes over runs.
-
-Text is decoded after tags are found, white space inside a block becomes one space, blocks are joined
-in page order by one space. The whole page is read; nothing is capped.
+A page is a sequence of words and tags. A word scores positive where main text usually stands and negative
+elsewhere, a tag scores negative, and one linear scan finds the contiguous region of the largest sum.
+
+Weights are log-odds learned from labelled pages, those that mark their own main text with <article> or
+<main>. A word's weight is that of its block's tag and of standing in a link, plus that of each container
+around it, by its element and by the words of its class, id and role. Prior counts stand for what few pages
+show: some elements and names are known to be menus, adverts, notices and so on, others say nothing. Names
+of a state (has-sidebar, no-comments, nav-open) describe a page and not what is in the container; a name
+that only starts with a weak word (search-theory) counts little.
+
+The labels serve learning. Of a page to extract, a mark only says that words in it score a little at least
+and that tags in it cost nothing, so its short lists and links stay; words outside it have their usual
+weights, and the scan decides between them.
+
+What stands in a container with clear evidence against it (a menu, an advert, reader comments) is no part
+of the text wherever it is, so the scan steps over it, and one in the middle of an article does not cut it.
+That evidence is not believed where it would leave nothing: a page's form or wrapper that holds at least
+FRAME of its words along with its heading or mark is the page's frame, and if no region scores above
+zero, containers that hold half of the words lose their evidence and the page is scanned again. (Elements
+that are never main text, such as nav and footer, keep theirs.)
+
+Tags are found by a scanner that never goes back, so time is linear in the page, whatever it holds. Text is
+decoded after tags are found, white space inside a block becomes one space, blocks are joined in page
+order by one space. The whole page is read; nothing is capped.
 
 A null or empty html gives empty text. Unclosed, crossing and unknown tags, unfinished comments and tags
-at the end of the page are taken as browsers do. Repeated rows are extracted one by one; extra columns
-are ignored; an empty table gives an empty result.
+at the end of the page are taken as browsers do; a quote that never closes ends at its tag's end. Repeated
+rows are extracted one by one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +37,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,126 +49,243 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Containers that are never main text, by element and by words of class, id and role.
-NEVER = {
-    "nav": "menu", "menu": "menu", "aside": "aside", "footer": "footer", "form": "form", "button": "form", "select": "form", "option": "form", "fieldset": "form",
-    "head": "head", "svg": "code", "math": "code", "canvas": "code", "object": "code", "audio": "code", "video": "code", "dialog": "notice",
-}
-NAMED = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager tabs skip",
-    "aside": "aside sidebar widget related recommended recommendations trending popular complementary rail promo teaser teasers",
-    "footer": "footer contentinfo copyright colophon",
-    "header": "header masthead banner",
-    "advert": "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promotion dfp adsense",
-    "notice": "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup paywall toast",
-    "comments": "comment comments commentlist respond reply replies disqus discussion feedback",
-    "share": "share sharing social sharebar",
-    "form": "form search login searchbox searchform",
-}
-_KIND_OF = {w: kind for kind, words in NAMED.items() for w in words.split()}
 MAIN = frozenset(("article", "main"))
+#: Elements that are never main text, and those that seldom are.
+NEVER = frozenset("nav menu aside footer button select option head svg math canvas object audio video dialog".split())
+SELDOM = frozenset("form fieldset header".split())
+#: Names of containers that are seldom main text wherever they stand in a class, id or role ...
+STRONG = frozenset(
+    "navbar navigation menu breadcrumb breadcrumbs pagination pager aside sidebar related recommended recommendations footer contentinfo copyright colophon masthead "
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promotion dfp adsense cookie cookies consent gdpr popup newsletter subscribe subscription signup "
+    "paywall toast comment comments commentlist respond disqus social sharebar searchbox searchform".split()
+)
+#: ... and names that say so alone or as the last of several.
+WEAK = frozenset(
+    "nav toolbar topbar tabs skip widget trending popular complementary rail teaser teasers header banner notice notices alert modal overlay reply replies discussion feedback share sharing form search login".split()
+)
+#: Words that make a name one of a state.
+STATE = frozenset("has have no not with without is are show shows hide hides hidden open opened closed close enabled disabled active inactive sticky visible".split())
+
 #: How strongly a prior counts, in words or tags; the sides are (main, elsewhere).
 PRIOR = 20.0
-_PRIOR_MAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section td dd dt figcaption li div text".split())
-WORD_RANGE, TAG_RANGE = (-4.0, 1.5), (-2.0, -0.01)
-#: Least weight of a word inside the marked main text.
-WORD_IN_MAIN = 0.01
-
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
+_LIKELY = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section td dd dt figcaption li div text".split())
+_PRIOR_SHARES = {"block": 0.75, "link": 0.35, "other": 0.05, "never": 0.005, "seldom": 0.03, "strong": 0.02, "weak": 0.30, "plain": 0.50}
+WORD_RANGE, TAG_RANGE, NAME_RANGE = (-4.0, 1.5), (-2.0, -0.01), (-5.0, 0.0)
+#: Evidence against a container from which its text is left out.
+CLEAR = -2.0
+#: A container with this share of the page's words, and its heading or mark, is the page's frame.
+FRAME = 2 / 3
+#: Least weight of a word inside a mark.
+WORD_IN_MARK = 0.01
+#: Learned weights kept: those of the most frequent contexts and names. Others have their prior.
+MAX_WEIGHTS = 20_000
+
+_START = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+# an attribute, with what stands before it; possessive, so that nothing is read twice
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=]?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _WORDS = re.compile(r"[a-z]+")
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
+
+
+@dataclass(slots=True)
+class Box:
+    """A container: its parent's number, features of its element and names, whether it is (in) a mark, whether
+    it holds a first heading or a mark."""
+
+    parent: int
+    features: tuple[str, ...]
+    hidden: bool = False
+    mark: bool = False
+    heading: bool = False
+    words: int = 0
+
+
+@dataclass(slots=True)
+class Page:
+    """A page's boxes, and its runs: (tag, "") or (None, text) with block, link, box."""
 
+    boxes: list[Box] = field(default_factory=lambda: [Box(-1, ())])
+    runs: list[tuple[str | None, str, str, bool, int]] = field(default_factory=list)
 
-def _kind(tag: str, attributes: str, inside_main: bool) -> str | None:
-    """The kind of container that is never main text which an element opens."""
-    if tag in NEVER:
-        return NEVER[tag]
-    if tag == "header":  # of a page; an article's own header holds its title
-        return None if inside_main else "header"
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return None
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return "hidden"
-        if name in ("class", "id", "role"):
-            # camelCase and dashes both part words
-            for word in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
-                kind = _KIND_OF.get(word)
-                if kind and not (kind == "header" and inside_main):
-                    return kind
-    return None
-
-
-def runs(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
-    """(what, value, kind, inside main): what is `tag`, with its name, or the context of a run of text, with
-    the text; kind is the container around it that is never main text, if any."""
-    stack: list[tuple[str, str | None, bool]] = []
-    kind: str | None = None
-    main = False
-    links, pos, n = 0, 0, len(page)
-
-    def context() -> str:
-        block = next((t for t, _, _ in reversed(stack) if t not in INLINE), "text")
-        return f"{block}{'+a' if links else ''}{'|' + kind if kind else ''}"
+
+_names: dict[str, tuple[str, ...]] = {}
+
+
+def names_of(value: str) -> tuple[str, ...]:
+    """The features of a class, id or role: each name's word that says most about it."""
+    if (known := _names.get(value)) is not None:
+        return known
+    out = []
+    for name in value.split():
+        parts = _WORDS.findall(_CAMEL.sub(r"\1 \2", name).lower())
+        if not parts or STATE & set(parts):
+            continue
+        strong = next((w for w in parts if w in STRONG), None)
+        if strong:
+            out.append("strong:" + strong)
+        elif parts[-1] in WEAK:
+            out.append(("weak:" if len(parts) == 1 else "strong:") + parts[-1])
+        else:
+            out.append("plain:" + "-".join(parts))
+    if len(_names) < 50_000:
+        _names[value] = tuple(out)
+    return tuple(out)
+
+
+def _attributes(page: str, pos: int) -> tuple[dict[str, str], int]:
+    """What a tag says from pos, and where it ends; len(page) + 1 if it does not."""
+    said: dict[str, str] = {}
+    n = len(page)
+    while True:
+        m = _ATTRIBUTE.match(page, pos)
+        pos = m.end()
+        if m[1]:
+            name = m[1].lower()
+            value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
+            if name in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+                said.setdefault(name, value)
+        if pos >= n:
+            return said, n + 1
+        if page[pos] == ">":
+            return said, pos + 1
+        if m.end() == m.start():
+            pos += 1  # a stray sign
+
+
+def parse(page: str) -> Page:
+    """The page's runs of text and tags, in one pass."""
+    out = Page()
+    boxes, runs = out.boxes, out.runs
+    # of each open element: tag, box, nearest block's place in the stack, whether in a link
+    stack: list[tuple[str, int, int, bool]] = []
+    places: dict[str, list[int]] = {}
+    pos, n, bang = 0, len(page), -1
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop()[0]].pop()
+
+    def text(a: int, b: int) -> None:
+        if a < b:
+            if stack:
+                _, box, block, link = stack[-1]
+                runs.append((None, page[a:b], stack[block][0] if block >= 0 else "text", link, box))
+            else:
+                runs.append((None, page[a:b], "text", False, 0))
 
     while pos < n:
-        m = _TOKEN.search(page, pos)
-        end = m.start() if m else n
-        if not m and (cut := page.rfind("<", pos)) >= 0 and re.match(r"</?[a-zA-Z!]", page[cut : cut + 3]) and ">" not in page[cut:]:
-            end = cut  # an unfinished tag ends the page
-        if end > pos:
-            yield context(), page[pos:end], kind, main
+        m = _START.search(page, pos)
         if not m:
+            text(pos, n)
             break
-        pos, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+        text(pos, m.start())
+        pos = m.end()
+        c = page[pos]
+        box = stack[-1][1] if stack else 0
+        if c == "!" or c == "?":
+            if page.startswith("!--", pos):
+                pos += 3
+                if page.startswith((">", "->"), pos):
+                    pos = page.index(">", pos) + 1
+                else:
+                    if bang < pos:  # the other way to end a comment is rare: looked for once, and again when passed
+                        bang = page.find("--!>", pos)
+                        bang = bang if bang >= 0 else n
+                    end = page.find("-->", pos, bang)
+                    pos = end + 3 if end >= 0 else min(n, bang + 4)
+            else:
+                end = page.find(">", pos)
+                pos = end + 1 if end >= 0 else n
             continue
-        if m[1]:
-            yield "tag", "/" + tag, kind, main
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            # a closing tag does not reach out of its container's element
-            if at >= 0 and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[at + 1 :]) and tag != "a"):
-                links -= sum(t == "a" for t, _, _ in stack[at:])
-                del stack[at:]
-                kind, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
+        closing = c == "/"
+        name = _NAME.match(page, pos + closing)
+        if not name:  # </ before no letter is a comment
+            end = page.find(">", pos)
+            pos = end + 1 if end >= 0 else n
             continue
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
-            yield "tag", tag, kind, main
+        tag = name[0].lower()
+        said, pos = _attributes(page, name.end())
+        if pos > n:
+            break  # an unfinished tag ends the page
+        if closing:
+            runs.append(("/" + tag, "", "", False, box))
+            if places.get(tag):
+                at = places[tag][-1]
+                # an inline element's end does not reach out of a block
+                if not (tag in INLINE and tag != "a" and stack[-1][2] > at):
+                    pop(at)
+            continue
+        if tag in VOID:
+            runs.append((tag, "", "", False, box))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, pos)
-            pos = close.end() if close else n
-            yield "tag", tag, kind or "code", main
+            runs.append((tag, "", "", False, box))
+            close = _CLOSE[tag].search(page, pos)
+            pos = _attributes(page, close.end())[1] if close else n
             continue
-        if tag not in INLINE:  # a new block ends an open paragraph, with what it left open
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-            if at >= 0 and stack[at][0] == "p" or at >= 0 and stack[at][0] == tag and tag in ("li", "dt", "dd", "td", "tr", "option"):
-                links -= sum(t == "a" for t, _, _ in stack[at:])
-                del stack[at:]
-                kind, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
-        kind = kind or _kind(tag, m[3], main)
-        main = main or tag in MAIN
-        stack.append((tag, kind, main))
-        links += tag == "a"
-        yield "tag", tag, kind, main
+        inline = tag in INLINE
+        if not inline and stack:  # a new block ends an open paragraph, with what it left open
+            at = stack[-1][2]
+            if at >= 0 and (stack[at][0] == "p" or stack[at][0] == tag and tag in ("li", "dt", "dd", "td", "tr", "option")):
+                pop(at)
+        _, box, block, link = stack[-1] if stack else ("", 0, -1, False)
+        if tag == "h1":
+            boxes[box].heading = True
+        hidden = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(said.get("style")) and bool(_NONE.search(said["style"]))
+        own = tuple(dict.fromkeys(f for k in ("class", "id", "role") if k in said for f in names_of(said[k]))) if tag not in ("html", "body") else ()
+        if tag in NEVER:
+            own = ("never:" + tag, *own)
+        elif tag in SELDOM and not (tag == "header" and boxes[box].mark):  # an article's own header holds its title
+            own = ("seldom:" + tag, *own)
+        if own or hidden or tag in MAIN:
+            boxes.append(Box(box, own, hidden, boxes[box].mark or tag in MAIN, tag in MAIN))
+            box = len(boxes) - 1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, box, block if inline else len(stack), link or tag == "a"))
+        runs.append((tag, "", "", False, box))
+    for _, value, _, _, box in runs:
+        if value:
+            boxes[box].words += len(value.split())
+    for box in range(len(boxes) - 1, 0, -1):  # children have higher numbers
+        up = boxes[boxes[box].parent]
+        up.words += boxes[box].words
+        up.heading |= boxes[box].heading
+    return out
+
+
+def _context(block: str, link: bool) -> str:
+    return f"in:{block}+a" if link else f"in:{block}"
 
 
 def _count(page: str, found: Counter) -> None:
-    """Adds a labelled page's words and tags, by context and side."""
-    seen = list(runs(page))
-    if not any(main for *_, main in seen):
+    """Adds a labelled page's words and tags, by feature and side."""
+    parsed = parse(page)
+    boxes = parsed.boxes
+    if not any(b.mark for b in boxes):
         return
-    for what, value, kind, main in seen:
-        side = int(main and kind is None)
-        if what == "tag":
-            found["tag:" + value, side] += 1
-        elif n := len(value.split()):
-            found["in:" + what, side] += n
+    odd: list[bool] = []  # whether a box is known to be other than main text, by itself or what is around it
+    for b in boxes:
+        odd.append(b.parent >= 0 and odd[b.parent] or b.hidden or any(f.startswith(("never:", "seldom:", "strong:")) for f in b.features))
+    sums = [[0, 0] for _ in boxes]  # words elsewhere and in a mark
+    for tag, value, block, link, box in parsed.runs:
+        if tag:
+            found["tag:" + tag, int(boxes[box].mark and not odd[box])] += 1
+        elif words := len(value.split()):
+            sums[box][boxes[box].mark] += words
+            if not odd[box]:  # what its container explains says nothing about the block
+                found[_context(block, link), int(boxes[box].mark)] += words
+    for i in range(len(boxes) - 1, 0, -1):
+        for side in (0, 1):
+            sums[boxes[i].parent][side] += sums[i][side]
+            for f in boxes[i].features if sums[i][side] else ():
+                found[f, side] += sums[i][side]
 
 
 def learn(pages: DataFrame) -> dict[tuple[str, int], int]:
-    """Counts (context, side) -> words or tags over all labelled pages; as many rows as there are contexts."""
+    """Counts (feature, side) -> words or tags over all labelled pages, of at most MAX_WEIGHTS features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -170,65 +300,95 @@ def learn(pages: DataFrame) -> dict[tuple[str, int], int]:
 
     def _counts(found: Counter) -> pa.RecordBatch:
         keys = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], ["context", "side", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], ["feature", "side", "n"])
 
-    counted = pages.select("html").mapInArrow(run, "context string, side int, n long").groupBy("context", "side").agg(F.sum("n").alias("n"))
-    # Contexts are made of known element names and kinds; made-up elements stay below what a prior weighs.
-    return {(c, s): n for c, s, n in counted.where(f"n >= {int(PRIOR)}").collect()}
+    counted = pages.select("html").mapInArrow(run, "feature string, side int, n long").groupBy("feature").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("b"))
+    # Made-up elements and rare names stay below what a prior weighs.
+    kept = counted.where(F.col("a") + F.col("b") >= int(PRIOR)).orderBy((F.col("a") + F.col("b")).desc(), "feature").limit(MAX_WEIGHTS).collect()
+    return {(f, side): n for f, a, b in kept for side, n in enumerate((a, b)) if n}
 
 
 class Weights:
-    """Log-odds of contexts and tags."""
+    """Log-odds of contexts, names and tags."""
 
     def __init__(self, counts: dict[tuple[str, int], int]):
         self.counts, self.known = counts, {}
-        self.total = [max(1.0, sum(n for (c, s), n in counts.items() if s == side and c.startswith("in:"))) for side in (0, 1)]
         self.tags = [max(1.0, sum(n for (c, s), n in counts.items() if s == side and c.startswith("tag:"))) for side in (0, 1)]
 
-    def of(self, what: str, value: str) -> float:
-        key = "tag:" + value if what == "tag" else "in:" + what
-        if key not in self.known:
-            n = [self.counts.get((key, side), 0) for side in (0, 1)]
-            if what == "tag":
+    def of(self, feature: str) -> float:
+        if feature not in self.known:
+            n = [self.counts.get((feature, side), 0) for side in (0, 1)]
+            kind, _, value = feature.partition(":")
+            if kind == "tag":
                 odds = math.log((n[1] + 1) / (self.tags[1] + 1)) - math.log((n[0] + 1) / (self.tags[0] + 1))
-                self.known[key] = min(TAG_RANGE[1], max(TAG_RANGE[0], odds if sum(n) else -0.1))
+                self.known[feature] = min(TAG_RANGE[1], max(TAG_RANGE[0], odds if sum(n) else -0.1))
             else:
-                likely = "|" not in what and what.partition("+")[0] in _PRIOR_MAIN
-                prior = (PRIOR * 0.25, PRIOR * 0.75) if likely else (PRIOR * 0.95, PRIOR * 0.05)
-                odds = math.log((n[1] + prior[1]) / (n[0] + prior[0]))
-                self.known[key] = min(WORD_RANGE[1], max(WORD_RANGE[0], odds))
-        return self.known[key]
+                block, plus, _ = value.partition("+")
+                share = _PRIOR_SHARES[kind if kind != "in" else "other" if block not in _LIKELY else "link" if plus else "block"]
+                low, high = WORD_RANGE if kind == "in" else NAME_RANGE
+                self.known[feature] = min(high, max(low, math.log((n[1] + PRIOR * share) / (n[0] + PRIOR * (1 - share)))))
+        return self.known[feature]
 
 
-def extract(page: str, weights: Weights) -> str:
-    """The main text of one page."""
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """[first, last) of the largest sum, the first of equals; empty if none is above zero."""
     best = total = 0.0
     start = first = last = 0
-    found = list(runs(page))
-    marked = any(main and kind is None and what != "tag" and value.strip() for what, value, kind, main in found)
-    for i, (what, value, kind, main) in enumerate(found):
-        if kind is not None:
-            continue  # left out wherever it stands, so it does not part what is around it
-        if what == "tag":
-            score = 0.0 if marked and main else weights.of(what, value)
-        else:
-            n = len(value.split())
-            if not n:
-                continue
-            score = n * (weights.of(what, value) if not marked else max(WORD_IN_MAIN, weights.of(what, value)) if main else WORD_RANGE[0])
+    for i, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        total += score
+        total += x
         if total > best:
             best, first, last = total, start, i + 1
+    return first, last
+
+
+def scores(parsed: Page, weights: Weights, believed: bool = True) -> tuple[list[float], list[bool]]:
+    """Each run's score, and whether its text is left out. With believed=False containers that hold half of
+    the page's words have no evidence but for elements that are never main text."""
+    boxes = parsed.boxes
+    total = max(1, boxes[0].words)
+    evidence, out = [0.0] * len(boxes), [False] * len(boxes)
+    for i, b in enumerate(boxes):
+        if b.parent < 0:
+            continue
+        own = min((weights.of(f) for f in b.features), default=0.0)
+        frame = b.words >= FRAME * total and b.heading or not believed and 2 * b.words >= total
+        if frame:
+            own = min((weights.of(f) for f in b.features if f.startswith("never:")), default=0.0)
+        evidence[i] = evidence[b.parent] + own
+        out[i] = out[b.parent] or b.hidden or own <= CLEAR
+    values, gone = [], []
+    for tag, value, block, link, box in parsed.runs:
+        gone.append(out[box])
+        if out[box]:
+            values.append(0.0)
+        elif tag:
+            values.append(0.0 if boxes[box].mark else weights.of("tag:" + tag))
+        else:
+            words = len(value.split())
+            weight = max(WORD_RANGE[0], weights.of(_context(block, link)) + evidence[box])
+            values.append(words * (max(WORD_IN_MARK, weight) if boxes[box].mark else weight))
+    return values, gone
+
+
+def extract(page: str, weights: Weights) -> str:
+    """The main text of one page."""
+    parsed = parse(page)
+    values, gone = scores(parsed, weights)
+    first, last = best_region(values)
+    if first == last:
+        values, gone = scores(parsed, weights, believed=False)
+        first, last = best_region(values)
     blocks: list[str] = []
     inline: list[str] = []
-    for what, value, kind, _ in found[first:last]:
-        if what == "tag":
-            if value.lstrip("/") not in INLINE:
+    for i in range(first, last):
+        tag, value, *_ = parsed.runs[i]
+        if tag:
+            if tag.lstrip("/") not in INLINE:
                 blocks.append("".join(inline))
                 inline = []
-        elif kind is None:
+        elif not gone[i]:
             inline.append(value)
     blocks.append("".join(inline))
     return " ".join(x for b in blocks if b and (x := " ".join(htmllib.unescape(b).split())))

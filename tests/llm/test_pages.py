@@ -92,7 +92,7 @@ def test_extraction_of_the_article_only(spark):
     for i, b in [*enumerate(bodies), (10, bodies[2])]:
         want = f"Title & more First bold text. Next line Second {b} Last."
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want), i
-    assert [got[i]["text"] for i in (11, 12, 15, 16)] == [""] * 4 and got[13]["text"] == "plain words only"
+    assert [got[i]["text"] for i in (11, 12, 15, 16)] == [""] * 4 and got[13]["text"] == "plain words only" and got[14]["text"] == "a"
     assert html_extraction.extract_pages(pages(spark, [])).count() == 0
 
 
@@ -108,6 +108,64 @@ def test_article_with_lists_and_links_at_its_edges(spark):
     assert [got[i] for i in range(4)] == [body, f"One two {body} One two", f"See {body} See", f"One two See {body} See One two"]
 
 
+STORY = " ".join(f"word{i}" for i in range(40))
+ODD_PAGES = [  # (page, text that has to be there, text that must not)
+    ('<div id="wrapper" class="has-sidebar"><p>{}</p></div>', "", ""), ('<div class="content no-sidebar">{}</div>', "", ""), ('<div class="page-with-comments"><p>{}</p></div><footer>bye</footer>', "", "bye"),
+    ('<div class="nav-open">{}</div>', "", ""), ('<article><h1>Top</h1><section id="discussion">{}</section></article>', "Top", ""), ('<main><div class="search-theory">{}</div></main>', "", ""),
+    ('<body><form id="aspnetForm"><div><p>{}</p></div></form></body>', "", ""), ('<form id="aspnetForm"><h1>Top</h1><p>{}</p></form><footer>bye</footer>', "Top", "bye"),
+    ("<article><p>a short teaser</p></article><div><p>{}</p></div>", "", ""), ('<p title="x>{}</p><p>and more</p>', "and more", "x>"), ('<body class="nav-open"><nav>menu</nav><p>{}</p>', "", "menu"),
+    ('<article><p>{}</p><div class="post-comments"><p>first! first! first!</p></div><aside>side</aside><p>The end</p></article>', "The end", "first!"), ('<p>{}</p><div style="display: none">unseen</div>', "", "unseen"),
+    ('<div class="adSlot">buy</div><p>{}</p><div class="cookie-notice">we eat them</div>', "", "buy"), ("<p>{}</p><b></p><div>x</b> y</div", "", "div"),
+]
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_names_of_containers_do_not_drop_a_page(learned):
+    from collections import Counter
+
+    counts = Counter()
+    for i in range(30 * learned):
+        html_extraction._count(PAGE.format(menu='<li><a href="/">Entry</a></li>' * 5, body=prose(random.Random(i), 200), main="article"), counts)
+    weights = html_extraction.Weights(dict(counts))
+    for page, there, gone in ODD_PAGES:
+        text = html_extraction.extract(page.format(STORY), weights)
+        assert STORY in text and there in text and (not gone or gone not in text), (page, text)
+
+
+def test_region_is_the_best_of_all():
+    rng = random.Random(7)
+    weights = html_extraction.Weights({})
+    tags = ["<p>", "</p>", "<div class='ad'>", "</div>", "<div>", "<a href=x>", "</a>", "<li>", "<b>", "<nav>", "</nav>", "<article>", "</article>", "<br>", "one two", "w " * 9, "x"]
+    for _ in range(300):
+        values, _ = html_extraction.scores(html_extraction.parse("".join(rng.choice(tags) for _ in range(rng.randrange(1, 30)))), weights)
+        a, b = html_extraction.best_region(values)
+        best = max((sum(values[i:j]) for i in range(len(values)) for j in range(i, len(values) + 1)), default=0.0)
+        assert abs(sum(values[a:b]) - max(best, 0.0)) < 1e-9
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b>x", "<!--x", "<!--x-->", "<b><div></b>", '<p a="', "<p a='\">\"", "<div class=c{}>a", "<script>", "</x", "<a b = ", "<article><i>", "&lt;<"])
+def test_time_is_linear_in_the_page(piece):
+    import time
+    from collections import Counter
+
+    page = "".join(piece.replace("{}", str(i)) for i in range((1 << 20) // len(piece)))
+    start = time.process_time()
+    html_extraction.extract(page, html_extraction.Weights({}))
+    html_extraction._count("<main>" + page, Counter())
+    assert time.process_time() - start < 15  # a second or two; hours if it went back and forth
+
+
+def test_pages_without_marks_use_what_others_teach(spark):
+    rng = random.Random(31)
+    odd = '<div class="tagline">{}</div><div class="story"><h1>Head</h1><p>{}</p></div><div class="tagline">{}</div>'
+    rows = [(i, "u", "<body>" + odd.replace('<div class="story">', "<article>").replace("</p></div>", "</p></article>").format(prose(rng, 30), prose(rng, 60), prose(rng, 30))) for i in range(40)]
+    bodies = [prose(rng, 60) for _ in range(10)]
+    rows += [(100 + i, "u", "<body>" + odd.format(prose(rng, 30), b, prose(rng, 30))) for i, b in enumerate(bodies)] + [(None, "n", "<p>no id</p>"), (3000, None, None), (3000, None, None)]
+    got = html_extraction.extract_pages(pages(spark, rows)).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert [text[100 + i] for i in range(10)] == ["Head " + b for b in bodies] and text[None] == "no id" and sum(r["page_id"] == 3000 for r in got) == 2
+
+
 URLS = [
     ("http://example.com/en/x", "example.com/en/", "block"), ("https://WWW.Example.com/en/", "www.example.com/en/", "allow"), ("http://a.www.example.com/en/q", "www.example.com/en/", "allow"),
     ("http://example.com", None, "allow"), ("http://example.com/", "com/", "allow"), ("http://x.net/es/1?u#v", "net/es/", "block"), ("http://x.net/est", None, "allow"), ("http://net/fr/", "net/fr/", "block"),
