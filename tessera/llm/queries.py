@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op6_url_filters": _OP6}
+    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op9_secret_scans": _op9()}
 
 
 _OP1 = """
@@ -92,3 +92,25 @@ SELECT s.page_id, s.host, s.path, b.rule,
        coalesce(b.verdict, CASE WHEN """ + " OR ".join(f"s.host = '{x[:-1]}' OR ends_with(s.host, '.{x[:-1]}')" for x in LISTED_URLS) + r""" THEN 'block' ELSE 'allow' END) AS verdict
 FROM split s LEFT JOIN best b ON s.page_id = b.page_id AND s.host = b.host AND s.path = b.path
 """
+
+
+def _op9() -> str:
+    """Matches by the engine's own expressions: what lies between them and their lengths give their places."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for n, (_, prefix, run, least) in enumerate(secret_scans.RULES):
+        # groups of a prefix are not told apart; runs without a prefix are maximal, so that short ones need not be found
+        rule = quoted(f"(?:{prefix})({run}+)".replace("(?:(", "(?:(?:").replace("k_(", "k_(?:") if prefix else f"({run}{{{least},}})")
+        parts.append(f"SELECT rid, {n} AS kind, string_split_regex(x, {rule}) AS gaps, regexp_extract_all(x, {rule}, 0) AS hits, list_filter(range(1, len(hits) + 1), lambda k: length(regexp_extract_all(x, {rule}, 1)[k]) >= {least}) AS own FROM t WHERE regexp_matches(x, {rule})")
+    names = "[" + ", ".join(f"'{k}'" for k in secret_scans.KINDS) + "]"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+m AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+s AS (SELECT rid, kind, gaps, hits, unnest(own) AS k FROM m),
+spans AS (SELECT rid, kind, hits[k] AS hit, CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS a FROM s),
+said AS (SELECT rid, kind, a, {names}[kind + 1] || ':' || a || ':' || (a + length(hit)) AS span FROM spans),
+sums AS (
+  SELECT rid, {', '.join(f"count(*) FILTER (WHERE kind = {n}) AS n_{k}" for n, k in enumerate(secret_scans.BASE))},
+         string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < {len(secret_scans.BASE)}) AS base, string_agg(span, ',' ORDER BY a, kind) AS spans
+  FROM said GROUP BY rid)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scans.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN sums USING (rid)"""
