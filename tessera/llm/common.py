@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents may be long, so batches hold few of them.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 #: Bytes of text handled at once by the numpy kernels.
 CHUNK_BYTES = 2 << 20
+#: A key is heavy if more than one in so many rows have it, and more rows than these.
+HEAVY, HEAVY_ROWS = 1000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +28,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Python workers get few rows at a time, and fewer still where texts are long: these are settings of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset and all of Spark is on one machine, as in
+    tests, a temporary folder; elsewhere executors would each write to their own, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+_left: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It goes with the innermost own_scratch(), or when the program ends."""
+    path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        if not _left:
+            atexit.register(_remove_left)
+        _left[path] = spark
+    return path
+
+
+@contextlib.contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is removed at the end: results that read it have to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -45,12 +78,100 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _remove_left() -> None:
+    with contextlib.suppress(Exception):  # the program ends, its JVM may be gone
+        for path, spark in _left.items():
+            remove(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what materialize() wrote, once nothing reads it any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        remove(df.sparkSession, path)
+        _left.pop(path, None)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def heavy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that more than one in HEAVY of all rows have, so fewer than HEAVY; a local table."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("rows_"))
+    found = counts.where(F.col("rows_") > max(HEAVY_ROWS, df.count() // HEAVY)).select(*keys)
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)  # fewer than HEAVY rows
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left.join(right, keys, how), where right has one row a key at most: left's heavy keys (by count, fewer than
+    HEAVY of them) meet their rows of right by broadcast, the other keys by shuffle. So no key gathers in a task."""
+    keys = list(keys)
+    hot = heavy(left, keys) if hot is None else hot
+    few = F.broadcast(hot)
+    of_few = F.broadcast(right.join(few, keys, "left_semi"))
+    dealt = left.join(few, keys, "left_semi").join(of_few, keys, how)
+    rest = left.join(few, keys, "left_anti").join(right, keys, how)
+    return dealt.unionByName(rest)
+
+
+class Bloom:
+    """A filter of keys known by F.xxhash64: 64-bit words, PROBES bits of one word a key. Its size follows the count
+    of the keys up to MOST_WORDS (32 MB); beyond it lets more pass, but it never turns away a key."""
+
+    PROBES, BITS, MOST_WORDS = 4, 16, 1 << 22
+
+    def __init__(self, hashed: DataFrame):
+        """hashed: one column of hashes, without nulls."""
+        n = hashed.count()
+        words = 1
+        while words * 64 < n * self.BITS and words < self.MOST_WORDS:
+            words *= 2
+        keys = hashed.toDF("h")
+        mask = F.lit(0).cast("long")
+        for p in range(self.PROBES):
+            mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {6 * p + 32}) & 63 AS int))"))
+        found = keys.select(F.pmod("h", F.lit(words)).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        self.words = np.zeros(words, np.uint64)
+        self.words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def maybe(self, hashed: np.ndarray) -> np.ndarray:
+        """Whether keys of these hashes (longs) may be in the filter."""
+        word = self.words[hashed & np.int64(len(self.words) - 1)]
+        h, mask = hashed.view(np.uint64), np.zeros(len(hashed), np.uint64)
+        for p in range(self.PROBES):
+            mask |= np.uint64(1) << ((h >> np.uint64(6 * p + 32)) & np.uint64(63))
+        return word & mask == mask
+
+
+def maybe_in(spark: SparkSession, hashed: DataFrame):
+    """A function of hashes, true for all of `hashed` and for few others, as a column."""
+    shared = spark.sparkContext.broadcast(Bloom(hashed))  # at most 32 MB
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.maybe(h.to_numpy(np.int64)))
+
+    return maybe
+
+
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """docs less the rows whose keys, null for null, are in gone's columns of these names. Rows that a filter turns
+    away stay where they are; only the others meet `gone`, which is read several times."""
+    names = list(keys)
+    known = gone.select(*names).distinct()
+    columns = docs.columns
+    marked = docs.withColumns({f"_key_{k}": c for k, c in keys.items()})
+    hit = maybe_in(docs.sparkSession, known.select(F.xxhash64(*names)))(F.xxhash64(*(f"_key_{k}" for k in names)))
+    equal = [F.col(f"_key_{k}").eqNullSafe(F.col(f"_gone_{k}")) for k in names]
+    met = marked.where(hit).join(known.toDF(*(f"_gone_{k}" for k in names)), equal, "left_anti")
+    return marked.where(~hit).select(*columns).unionByName(met.select(*columns))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,23 +219,35 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def tree(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the ids, none of which has more than three: no node of a large group becomes a hub."""
+    ids = np.sort(ids)
+    at = np.arange(1, len(ids))
+    return list(zip(ids[(at - 1) // 2].tolist(), ids[at].tolist(), strict=True))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); component is the smallest node reachable.
 
     Every round each node takes the least label among its neighbours and then its label's label,
-    so the number of rounds grows with the logarithm of the longest chain. Each round is written to
-    the shared folder. An empty input gives an empty result.
+    so the number of rounds grows with the logarithm of the longest chain. Nodes with very many edges and
+    labels of very many nodes are joined apart from the rest. Each round is written to the shared folder,
+    and the round before it removed. An empty input gives an empty result.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = heavy(both, ["b"])
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        near = skew_join(both, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = materialize(labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old")), "step")
         hop = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = materialize(step.join(hop, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old"), "labels")
+        new = materialize(skew_join(step, hop, ["component"], "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old"), "labels")
+        discard(step)
+        discard(labels)
         labels = new.select("node", "component")
+        labels._scratch = new._scratch
         if new.where("component <> old").isEmpty():
             break
     else:

@@ -6,15 +6,23 @@ the first round that reached it. So every bin of every non-empty set is filled,
 between two sets with a probability of about their similarity, concentrated as with independent hashes.
 
 Candidates. Equal sets are one class and go on as the member with the least id. A band is ROWS
-neighbouring bins; classes that agree in a band meet in a bucket. At similarity 0.8 a pair misses all
-40 bands of 5 with a probability of 1e-7. Within a bucket, classes whose sketches agree in at least
-`threshold - SLACK` of the bins (over four standard deviations below) are joined to candidate clusters
-by breadth-first search; only a forest of pairs leaves a bucket.
+neighbouring bins; classes that agree in a band meet in a bucket. A pair misses all 40 bands of 5 with a
+probability of 1.3e-7 at similarity 0.8, of 6.5e-11 at 0.85. Within a bucket, classes whose sketches agree
+in at least `threshold - SLACK` of the bins are joined to candidate clusters. Independent bins fall below
+that with a probability of 1e-11 at 0.8 and 3e-12 at 0.85, so the bands' loss is the whole.
 
-Verification. Clusters fetch their members' full sets, and a breadth-first search with exact
-intersections finds the true links and so the components. Buckets and clusters beyond a bound are dealt
-into blocks, and each pair of blocks is a task of its own, so memory stays bounded; each returns a
-forest of its verified links, and connected components join them. No pair is dropped for size.
+Verification. Clusters fetch their members' full sets, and exact intersections find the true links and so
+the components.
+
+Groups, that is buckets and clusters, are searched breadth-first, and a forest of edges leaves a group, none
+of whose nodes has more than three. A group beyond a bound is dealt into blocks. First each block is searched
+along with a few pivots, the same in all of its blocks, so that what is alike throughout the group becomes one
+component by way of them. Then every member that is not in the group's largest component meets
+every block, and is compared with all members of other components. So nothing is compared twice that is
+known to be joined, a group of n alike members is dealt about once, and no pair is dropped for size.
+Members meet their group's bound and component by joins that take heavy keys apart.
+
+Full sets are made of texts that a filter of the clusters' ids lets pass, whatever their number.
 
 A set holds the distinct 5-word shingles of the text with A-Z lower-cased, words being runs of bytes
 other than space and 0x09-0x0D; with fewer words the whole sequence is one shingle. Null and empty texts
@@ -32,25 +40,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import chunks, connected_components, materialize, small_batches, sorted_groups, utf8
+from .common import HEAVY, HEAVY_ROWS, Bloom, chunks, connected_components, materialize, skew_join, small_batches, sorted_groups, tree, utf8, without
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
-#: How far below the threshold an estimate may lie: over four standard deviations of BINS bins.
-SLACK = 0.115
-#: Bounds of one block: classes of a bucket, shingles of a cluster.
-BUCKET_BLOCK = 4000
-CLUSTER_BLOCK = 1_000_000
-#: Ids up to this count (8 bytes each) may be broadcast; more are joined by shuffle.
-BROADCAST_IDS = 400_000
+#: How far below the threshold an estimate may lie: seven standard deviations of BINS bins.
+SLACK = 0.2
+#: Bounds of one block: classes of a bucket, shingles of a cluster (and SET_COST for each set).
+BUCKET_BLOCK = 500
+CLUSTER_BLOCK, SET_COST = 100_000, 200
+#: Members of a large group that all of its blocks see.
+PIVOTS = 8
+#: Bytes of a partition that shuffles to as many as there need to be.
+TASK_BYTES = 256 << 20
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
-    low = W.LOWER[data]
-    starts, ends, first = W.spans(low, offsets)
-    grams, bounds = W.shingles(W.hashes(low, starts, ends), first, k)
+    words, first = W.word_hashes(data, offsets)
+    grams, bounds = W.shingles(words, first, k)
     return [np.unique(grams[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
@@ -104,109 +113,170 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
-def _forest(n: int, near) -> list[tuple[int, int]]:
-    """Breadth-first trees of a graph whose edges near(i, candidates) tells."""
+def _forest(n: int, near) -> list[np.ndarray]:
+    """Connected parts of two members or more of a graph whose edges near(i, candidates) tells, breadth first."""
     left = np.arange(n)
     out = []
     while len(left):
         queue, left = [int(left[0])], left[1:]
+        part = list(queue)
         while queue and len(left):
-            i = queue.pop()
-            hit = near(i, left)
-            out += [(i, int(x)) for x in left[hit]]
-            queue += left[hit].tolist()
+            hit = near(queue.pop(), left)
+            found = left[hit].tolist()
+            part += found
+            queue += found
             left = left[~hit]
+        if len(part) > 1:
+            out.append(np.array(part))
     return out
 
 
-def _in_blocks(df: DataFrame, key: str, block: str, blocks: str) -> DataFrame:
-    """Every row once for each pair of blocks that its own block is in: column `pair` numbers them."""
-    b, n = F.col(block), F.col(blocks)
-    others = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.least(x, b) * n + F.greatest(x, b))
-    return df.withColumn("pair", F.explode(others)).withColumn("group", F.xxhash64(key, "pair"))
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
 
-def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """Forest edges (a, b) within buckets of classes(doc_id, sketch) whose sketches agree enough."""
-    spark = classes.sparkSession
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    keys = classes.select("doc_id", bands.alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    # The bucket's size tells into how many blocks its members fall; nearly always it is one.
-    members = keys.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
-    members = materialize(members.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).drop("n"), "buckets")
-    dealt = _in_blocks(members, "bucket", "block", "blocks").select("group", "doc_id").join(classes.select("doc_id", "sketch"), "doc_id")
-    need = int(np.ceil((threshold - SLACK) * BINS))
+def _within(nearness):
+    """A task over groups sorted by `task`: edges of a forest of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
-        for group in sorted_groups(batches, "group"):
-            if group.num_rows < 2:
-                continue
-            ids = group.column("doc_id").to_numpy()
-            s = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
-            pairs += [(int(ids[a]), int(ids[b])) for a, b in _forest(len(ids), lambda i, c: (s[c] == s[i]).sum(axis=1) >= need)]  # noqa: B023
+        for group in sorted_groups(batches, "task"):
+            if group.num_rows > 1:
+                ids = group.column("doc_id").to_numpy()
+                for part in _forest(len(ids), nearness(group.column("payload").to_pylist())):
+                    pairs += tree(np.unique(ids[part]))
             if len(pairs) >= 10_000:
                 yield _edges(pairs)
                 pairs = []
         yield _edges(pairs)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+def _across(nearness):
+    """A task over groups sorted by `task`: edges from each member that is `odd` to one member of every other label
+    that it is near to."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "task"):
+            ids, odd, label = (group.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "odd", "label"))
+            near, pairs = nearness(group.column("payload").to_pylist()), []
+            for i in np.flatnonzero(odd).tolist():
+                others = np.flatnonzero(label != label[i])
+                hit = others[near(i, others)] if len(others) else others
+                pairs += [(int(ids[i]), int(ids[hit[k]])) for k in np.unique(label[hit], return_index=True)[1].tolist()]
+            yield _edges(pairs)
+
+    return run
+
+
+def links(members: DataFrame, limit: int, unit: int, nearness, payload) -> DataFrame:
+    """Edges (a, b) that join what is near within groups of members(doc_id, group, weight): a forest of each.
+    payload(ids) gives (doc_id, payload) of the ids (doc_id), of about `unit` bytes for each unit of weight, and
+    nearness(payloads) a function (i, candidates)."""
+    sizes = materialize(members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where("n > 1"), "sizes")
+    rows, weight = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight * unit // TASK_BYTES))
+    hot = sizes.where(F.col("n") > max(HEAVY_ROWS, rows // HEAVY)).select("group")
+    hot = members.sparkSession.createDataFrame(hot.collect(), hot.schema)  # fewer than HEAVY rows
+    sized = skew_join(members.select("doc_id", "group", "weight"), sizes.select("group", F.ceil(F.col("total") / limit).cast("int").alias("blocks")), ["group"], hot=hot)
+    sized = materialize(sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "members")
+    large = sized.where("blocks > 1")
+    pivots = large.groupBy("group", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.min("doc_id").alias("doc_id"), F.first("blocks").alias("blocks"))
+    dealt = sized.select("doc_id", "group", "block").unionByName(pivots.select("doc_id", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    dealt = dealt.select("doc_id", F.xxhash64("group", "block").alias("task"))
+    found = _dealt(dealt, sized, payload, tasks).mapInArrow(_within(nearness), "a long, b long").distinct()
+    if large.isEmpty():
+        return found
+    found = materialize(found, "links")
+    joined = connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    named = materialize(large.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "named")
+    counts = named.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    most = counts.groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("w").alias("w"), F.max(F.struct("n", "label", "w"))["w"].alias("of_top"))
+    # groups with members outside their largest component, and into how many blocks those fall
+    most = most.where("w > of_top").select("group", F.col("top.label").alias("top"), F.ceil((F.col("w") - F.col("of_top")) / limit).cast("int").alias("odd_blocks"))
+    most = materialize(most, "most")
+    if most.isEmpty():
+        return found
+    named = skew_join(named, most, ["group"], hot=hot)
+    own = F.pmod(F.xxhash64("doc_id", F.lit(9)), "odd_blocks").cast("int")
+    odd = named.where("label <> top").withColumn("odd_block", own).select("doc_id", "group", "label", "odd_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("odd"))
+    every = named.select("doc_id", "group", "label", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("odd_block"), "block", F.lit(False).alias("odd"))
+    met = materialize(odd.unionByName(every).select("doc_id", "label", "odd", F.xxhash64("group", "odd_block", "block").alias("task")), "met")
+    return found.unionByName(_dealt(met, met, payload, tasks).mapInArrow(_across(nearness), "a long, b long"))
+
+
+def _dealt(dealt: DataFrame, ids: DataFrame, payload, tasks: int) -> DataFrame:
+    """dealt(doc_id, task) with payloads, one task's rows together."""
+    return dealt.join(payload(ids.select("doc_id").distinct()), "doc_id").repartition(tasks, "task").sortWithinPartitions("task", "doc_id")
 
-def verified_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """Forest edges (a, b) of exactly verified links within clusters(doc_id, cluster, n_shingles)."""
-    spark = docs.sparkSession
-    sizes = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("total")).select("cluster", F.ceil(F.col("total") / CLUSTER_BLOCK).cast("int").alias("blocks"))
-    where = materialize(clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).select("doc_id", "cluster", "block", "blocks"), "clusters")
-    small = where.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(where) if small else where, "doc_id")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in chunks(offsets):
-                sets = text_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rows = pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in ("doc_id", "cluster", "block", "blocks")), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cluster", "block", "blocks", "shingles"])
-                yield rows.filter(pa.array([len(s) > 0 for s in sets]))  # an id's other row may be empty
+def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """Forest edges (a, b) within buckets of classes(doc_id, sketch) whose sketches agree enough."""
+    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
+    members = classes.select("doc_id", bands.alias("group"), F.lit(1).alias("weight"))
+    need = int(np.ceil((threshold - SLACK) * BINS))
 
-    sets = texts.mapInArrow(to_sets, "doc_id long, cluster long, block int, blocks int, shingles binary")
+    def nearness(payloads: list[bytes]):
+        s = np.frombuffer(b"".join(payloads), np.uint16).reshape(-1, BINS)
+        return lambda i, c: (s[c] == s[i]).sum(axis=1) >= need
+
+    return links(members, BUCKET_BLOCK, 2 * BINS, nearness, lambda ids: classes.select("doc_id", F.col("sketch").alias("payload")))
+
+
+def exact_nearness(threshold: float):
     percent = round(threshold * 1000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "group"):
-            ids = group.column("doc_id").to_numpy()
-            own = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            lengths = np.array([len(x) for x in own])
-            flat = np.unique(np.concatenate(own), return_inverse=True)[1].astype(np.int32)
-            bounds = np.concatenate([[0], np.cumsum(lengths)])
-            mark = np.zeros(flat.max() + 2, bool)
-
-            def near(i: int, c: np.ndarray) -> np.ndarray:
-                fits = 1000 * np.minimum(lengths[c], lengths[i]) >= percent * np.maximum(lengths[c], lengths[i])  # noqa: B023
-                out = np.zeros(len(c), bool)
-                if not fits.any():
-                    return out
-                mine = flat[bounds[i] : bounds[i + 1]]  # noqa: B023
-                mark[mine] = True  # noqa: B023
-                some = c[fits]
-                at = np.repeat(bounds[some], lengths[some]) + np.arange(lengths[some].sum()) - np.repeat(np.cumsum(lengths[some]) - lengths[some], lengths[some])  # noqa: B023
-                both = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(lengths[some]) - lengths[some])  # noqa: B023
-                mark[mine] = False  # noqa: B023
-                out[fits] = 1000 * both >= percent * (lengths[some] + lengths[i] - both)  # noqa: B023
+    def nearness(payloads: list[bytes]):
+        own = [np.frombuffer(x, np.uint64) for x in payloads]
+        lengths = np.array([len(x) for x in own])
+        flat = np.unique(np.concatenate(own), return_inverse=True)[1].astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        mark = np.zeros(flat.max(initial=0) + 2, bool)
+
+        def near(i: int, c: np.ndarray) -> np.ndarray:
+            fits = 1000 * np.minimum(lengths[c], lengths[i]) >= percent * np.maximum(lengths[c], lengths[i])
+            out = np.zeros(len(c), bool)
+            if not fits.any():
                 return out
+            mine = flat[bounds[i] : bounds[i + 1]]
+            mark[mine] = True
+            some = c[fits]
+            at = np.repeat(bounds[some], lengths[some]) + np.arange(lengths[some].sum()) - np.repeat(np.cumsum(lengths[some]) - lengths[some], lengths[some])
+            both = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(lengths[some]) - lengths[some])
+            mark[mine] = False
+            out[fits] = 1000 * both >= percent * (lengths[some] + lengths[i] - both)
+            return out
+
+        return near
+
+    return nearness
+
+
+def verified_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) of exactly verified links within clusters(doc_id, cluster, n_shingles)."""
+    spark = docs.sparkSession
+
+    def sets(ids: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Bloom(ids.select(F.xxhash64("doc_id"))))  # at most 32 MB
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = shared.value.maybe(batch.column("h").to_numpy())
+                if not hit.any():
+                    continue
+                batch = batch.filter(pa.array(hit))
+                data, offsets = utf8(batch.column("text"))
+                for i, j in chunks(offsets):
+                    own = text_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    rows = pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "payload"])
+                    yield rows.filter(pa.array([len(s) > 0 for s in own]))  # an id's other row may be empty
 
-            yield _edges([(int(ids[a]), int(ids[b])) for a, b in _forest(len(ids), near)])
+        return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, payload binary")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _in_blocks(sets, "cluster", "block", "blocks").select("group", "doc_id", "shingles")
-    return dealt.repartition(parts, "group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "a long, b long")
+    members = clusters.select("doc_id", F.col("cluster").alias("group"), (F.col("n_shingles") + SET_COST).alias("weight"))
+    return links(members, CLUSTER_BLOCK, 8, exact_nearness(threshold), sets)
 
 
 def components(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -219,13 +289,10 @@ def components(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
     near = connected_components(candidate_pairs(classes, threshold))
     clusters = near.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n_shingles")
-    links = verified_links(docs, materialize(clusters, "members"), threshold)
-    linked = connected_components(links)
+    linked = connected_components(verified_links(docs, materialize(clusters, "clusters"), threshold))
     of_class = classes.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
-    # A set that very many documents share is spread over salts.
-    salts = 16
-    of_class = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = described.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(of_class, ["digest", "salt"], "left")
+    # A set that very many documents share is joined apart from the others.
+    found = skew_join(described.select("doc_id", "n_shingles", "digest"), of_class, ["digest"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -236,20 +303,19 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     are judged apart, the least text's digest first. Rows without an id stay."""
     own = docs.where("doc_id is not null")
     if own.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = materialize(components(docs, threshold), "components").where("not kept").select("doc_id").distinct()
-        return docs.join(few_or_not(gone), "doc_id", "left_anti")
+        gone = materialize(components(docs, threshold).where("not kept").select("doc_id"), "gone")
+        return without(docs, gone, doc_id=F.col("doc_id"))
     # Each pair of id and text gets a number of its own, in order of the ids.
     digest = F.coalesce(F.sha2("text", 256), F.lit(""))
     numbered = own.groupBy(F.col("doc_id").alias("_id"), digest.alias("_digest")).agg(F.count("*").alias("_rows")).orderBy("_id", "_digest").withColumn("_node", F.monotonically_increasing_id())
     numbered = materialize(numbered, "nodes")
     named = materialize(docs.join(numbered, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_digest")), "left").select(*(docs[c] for c in docs.columns), "_node", "_rows"), "named")
-    gone = materialize(components(named.select(F.col("_node").alias("doc_id"), "text"), threshold), "components").where("not kept").select(F.col("doc_id").alias("_node")).distinct()
-    left = named.join(few_or_not(gone), "_node", "left_anti")
+    gone = materialize(components(named.select(F.col("_node").alias("doc_id"), "text"), threshold).where("not kept").select(F.col("doc_id").alias("_node")), "gone")
+    left = without(named, gone, _node=F.col("_node"))
     once = left.where("_rows > 1").dropDuplicates(["_node"])
     return left.where("_rows is null or _rows = 1").unionByName(once).select(*docs.columns)
 
 
 def few_or_not(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if a count shows that they are few."""
-    ids = materialize(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """ids in a table of their own, whose size tells Spark how to join it."""
+    return materialize(ids, "ids")

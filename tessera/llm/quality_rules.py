@@ -84,10 +84,7 @@ def class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def lower_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words without the punctuation behind them, and each row's first word."""
-    starts, ends, first = W.spans(data, offsets)
-    low = W.LOWER[data]
-    trim = (ends - starts > 1) & np.isin(low[ends - 1], np.frombuffer(b".,;:!?", np.uint8)) if len(ends) else np.zeros(0, bool)
-    return W.hashes(low, starts, ends - trim), first
+    return W.word_hashes(data, offsets, trim=True)
 
 
 def _prune(hashes: np.ndarray, counts: np.ndarray, k: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
@@ -224,9 +221,10 @@ _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict, langs: list[str | None]) -> list[pa.Array]:
     """The columns _NAMES of some texts of the languages langs."""
     n = len(offs) - 1
-    starts, ends, first = W.spans(part, offs)
+    exact, first = W.word_hashes(part, offs, lower=False)
     n_words = np.diff(first)
-    repeats = _repeat_words(W.hashes(part, starts, ends), first)
+    repeats = _repeat_words(exact, first)
+    del exact
     raw = part.tobytes()
     dup = np.fromiter((_dup_lines(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)), np.int64, n)
     failed = (n_words < 10) | (100 * repeats > 20 * n_words)

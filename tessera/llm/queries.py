@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op9_secret_scans": _op9()}
+    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op4_minhash": _OP4, "op5_suffix_array_dedup": _OP5, "op9_secret_scans": _op9()}
 
 
 _OP1 = """
@@ -114,3 +114,31 @@ sums AS (
          string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < {len(secret_scans.BASE)}) AS base, string_agg(span, ',' ORDER BY a, kind) AS spans
   FROM said GROUP BY rid)
 SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scans.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN sums USING (rid)"""
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_OP4 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORD}) AS w FROM documents),
+sets AS MATERIALIZED (SELECT rid, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+flat AS MATERIALIZED (SELECT rid, md5_number(unnest(s)) AS h FROM sets),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM flat a JOIN flat b ON a.h = b.h AND a.rid < b.rid GROUP BY ALL),
+links AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM shared JOIN sets x ON x.rid = a JOIN sets y ON y.rid = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a, a AS b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM sets LEFT JOIN least ON a = doc_id
+"""
+
+_OP5 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS x FROM documents),
+w AS MATERIALIZED (SELECT rid, i, hash(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT rid, x, unnest(range(0, CAST(length(x) // 2 AS BIGINT) - 199)) AS i FROM d)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+found AS (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS step FROM w WHERE h IN (SELECT h FROM again)),
+runs AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM found) GROUP BY rid, run),
+gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT rid, max(b), CAST(NULL AS BIGINT) FROM runs GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a, b NULLS LAST) AS k FROM gaps JOIN d USING (rid) GROUP BY rid),
+sums AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS m FROM runs GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(m, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -9,6 +9,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Bytes of a text, and windows of words, handled at once.
+SEGMENT, _WINDOWS = 4 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -57,12 +59,72 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[starts]) * _inverse[starts], 1) + (ends - starts).astype(np.uint64)
 
 
+def _long_hash(word: np.ndarray) -> int:
+    """The hash of one very long word, part by part."""
+    _grow(SEGMENT)
+    total = 0
+    for i in range(0, len(word), SEGMENT):
+        part = word[i : i + SEGMENT]
+        total += int(((part.astype(np.uint64) + np.uint64(1)) * _powers[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, i, 1 << 64)
+    return (int(mix(np.array([total & 0xFFFFFFFFFFFFFFFF], np.uint64), 1)[0]) + len(word)) & 0xFFFFFFFFFFFFFFFF
+
+
+_TRIMMED = np.zeros(256, bool)
+_TRIMMED[list(b".,;:!?")] = True
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, trim: bool) -> tuple[np.ndarray, np.ndarray]:
+    low = LOWER[data] if lower else data
+    starts, ends, first = spans(low, offsets)
+    if trim and len(ends):
+        ends = ends - ((ends - starts > 1) & _TRIMMED[low[ends - 1]])
+    return hashes(low, starts, ends), first
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, trim: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, with A-Z lower-cased or not, without one of .,;:!? behind them or with it, and each row's
+    first word (n+1). A long row is taken in segments between words, so that memory stays near its words' hashes."""
+    if len(data) <= SEGMENT:
+        return _word_hashes(data, offsets, lower, trim)
+    found, first, total = [], [0], 0
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        while a < b:
+            end = min(b, a + SEGMENT)
+            if end < b:
+                gaps = np.flatnonzero(_SPACE[data[a:end]])
+                if len(gaps):
+                    end = a + int(gaps[-1]) + 1
+                else:  # within a word longer than a segment
+                    while end < b and not _SPACE[data[end]]:
+                        more = np.flatnonzero(_SPACE[data[end : min(b, end + SEGMENT)]])
+                        end = end + int(more[0]) if len(more) else min(b, end + SEGMENT)
+                    word = data[a:end]
+                    last = len(word) - int(trim and bool(_TRIMMED[word[-1]]))
+                    found.append(np.array([_long_hash(LOWER[word[:last]] if lower else word[:last])], np.uint64))
+                    total, a = total + 1, end
+                    continue
+            part = _word_hashes(data[a:end], np.array([0, end - a]), lower, trim)[0]
+            found.append(part)
+            total, a = total + len(part), end
+        first.append(total)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.array(first)
+
+
 def shingles(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k-word window, per row in text order, and the n+1 row bounds.
 
     A row of fewer than k words has its whole sequence as one shingle; a row without words has none.
     """
     total, counts = len(word_hashes), np.diff(first)
+    if len(counts) == 1 and total > _WINDOWS:  # one long row, in parts
+        out = np.empty(total - k + 1, np.uint64)
+        for a in range(0, len(out), _WINDOWS):
+            b = min(a + _WINDOWS, len(out))
+            acc = np.zeros(b - a, np.uint64)
+            for j in range(k):
+                acc = mix(acc * np.uint64(0xD1342543DE82EF95) + word_hashes[a + j : b + j], j + 2)
+            out[a:b] = mix(acc + np.uint64(k), 99)
+        return out, np.array([0, len(out)])
     rows = np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
     bounds = np.concatenate([[0], np.cumsum(rows)])
     if not total:

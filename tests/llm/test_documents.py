@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import decontamination, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup
-from tessera.llm.common import connected_components, sorted_groups
+from tessera.llm.common import HEAVY_ROWS, Bloom, connected_components, heavy, skew_join, sorted_groups, tree, without
 from tessera.llm.queries import RANKS, TOKENIZER
 
 from .helpers import awkward_texts, documents, prose
@@ -50,7 +50,8 @@ def slow_components(texts, threshold):
 def test_minhash_components(spark, monkeypatch, blocks):
     if blocks:  # every bucket and cluster beyond its bound
         monkeypatch.setattr(minhash, "BUCKET_BLOCK", blocks)
-        monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 400)
+        monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 800)
+        monkeypatch.setattr(minhash, "PIVOTS", 2)
     rng = random.Random(5)
     texts = awkward_texts()
     chain = prose(rng, 150).split()
@@ -74,6 +75,72 @@ def test_sketch_fills_every_bin_and_concentrates():
     assert abs((rows[1] == rows[2]).mean() - 320 / 400) < 0.12
 
 
+def _tail(n, p, k):
+    """P(X < k) of n draws of probability p."""
+    import math
+
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_sketches_lose_less_than_bands(threshold):
+    import math
+
+    bands = (1 - threshold**minhash.ROWS) ** minhash.BANDS
+    assert _tail(minhash.BINS, threshold, math.ceil((threshold - minhash.SLACK) * minhash.BINS)) < bands / 10 < 1e-7
+
+
+def test_no_link_is_lost_among_many_near_copies(spark, monkeypatch):
+    """Several large families that share buckets, blocks of a few members: brute force over all pairs."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 40)
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 9000)
+    rng = random.Random(77)
+    texts = []
+    for _ in range(4):
+        base = prose(rng, 90).split()
+        for k in range(90):
+            words = list(base)
+            for _ in range(k % 4):
+                words[rng.randrange(len(words))] = f"q{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    want, _ = slow_components(texts, 0.85)
+    got = by_id(minhash.components(documents(spark, texts), 0.85))
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+
+
+def test_heavy_keys_are_joined_apart(spark):
+    left = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id % 50 ELSE id END AS k", "id")
+    right = spark.range(0, 4000, 2).selectExpr("id AS k", "concat('r', id) AS v").unionByName(spark.sql("SELECT 7L AS k, 'seven' AS v"))
+    few = {r["k"] for r in heavy(left, ["k"]).collect()}
+    assert 7 in few and len(few) < 60 and HEAVY_ROWS < 5000
+    for how in ("inner", "left"):
+        assert sorted(skew_join(left, right, ["k"], how).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+    assert skew_join(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_filter_turns_no_key_away(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(0, 60_000, 3)
+    bloom = Bloom(ids.select(F.xxhash64("id")))
+    rows = spark.range(60_000).select("id", F.xxhash64("id").alias("h")).toPandas()
+    hit = bloom.maybe(rows["h"].to_numpy())
+    assert hit[::3].all() and hit.mean() < 0.35
+    docs = spark.range(1000).selectExpr("CASE WHEN id % 10 = 0 THEN null ELSE id END AS doc_id", "id % 7 AS x")
+    gone = spark.sql("SELECT * FROM VALUES (1L, 1L), (2L, 9L), (null, 3L) AS t(d, x)")
+    left = without(docs, gone, d=F.col("doc_id"), x=F.col("x"))
+    assert left.columns == docs.columns and left.count() == docs.where("not (doc_id <=> 1 and x = 1) and not (doc_id is null and x = 3)").count()
+    assert without(docs, gone.limit(0), d=F.col("doc_id"), x=F.col("x")).count() == 1000
+
+
+def test_trees_have_no_hubs():
+    for n in (1, 2, 3, 50, 1000):
+        edges = tree(np.arange(n) * 3)
+        degree = Counter(x for e in edges for x in e)
+        assert len(edges) == n - 1 and max(degree.values(), default=0) <= 3
+
+
 def test_keep_one_and_repeated_ids(spark):
     texts = ["a b c d e f g"] * 3 + ["z y x w v u t", None, None]
     docs = documents(spark, texts, [3, 3, 1, 7, None, None])
@@ -97,6 +164,9 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert set(got.values()) == {0, 100} and len(got) == 43
+    star = spark.range(1, 3000).selectExpr("5000 AS a", "id AS b").unionByName(spark.sql("SELECT 9000L AS a, 9001L AS b"))
+    found = connected_components(star)
+    assert found.where("component = 1").count() == 3000 and found.where("component = 9000").count() == 2
     assert connected_components(edges.limit(0)).count() == 0
 
 
@@ -437,6 +507,46 @@ def test_empty_tables(spark):
         assert f(empty).count() == 0
 
 
+def test_words_of_long_rows_in_segments(monkeypatch):
+    from tessera.llm import words as W
+
+    rng = random.Random(3)
+    for _ in range(60):
+        rows = ["".join(rng.choice(["a", "b", "C", ".", ",", " ", "\n", "é", "word"]) for _ in range(rng.randrange(0, 80))).encode() for _ in range(rng.randrange(1, 6))]
+        data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        for lower, trim in ((True, False), (True, True), (False, False)):
+            want = W.word_hashes(data, offsets, lower, trim)
+            for segment in (3, 7, 20):
+                monkeypatch.setattr(W, "SEGMENT", segment)
+                got = W.word_hashes(data, offsets, lower, trim)
+                monkeypatch.undo()
+                assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+        own, first = W.word_hashes(data[: offsets[1]], offsets[:2])
+        if len(own) >= 5:
+            want = W.shingles(own, first, 5)
+            monkeypatch.setattr(W, "_WINDOWS", 4)
+            got = W.shingles(own, first, 5)
+            monkeypatch.undo()
+            assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(bare)
+    with common.own_scratch(spark):
+        made = common.materialize(spark.range(3), "x")
+        path = made._scratch
+        assert made.count() == 3
+    from pathlib import Path
+
+    assert not Path(path.removeprefix("file://")).exists()
+
+
 def test_groups_across_batches():
     import pyarrow as pa
 
