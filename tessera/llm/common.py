@@ -21,6 +21,7 @@ BATCH_BYTES = 8 << 20
 CHUNK_BYTES = 2 << 20
 #: A key is heavy if more than one in so many rows have it, and more rows than these.
 HEAVY, HEAVY_ROWS = 1000, 16
+SPREAD = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,23 +103,38 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def few(found: DataFrame) -> DataFrame:
+    """A table of fewer than HEAVY rows as a local one, with its rows counted."""
+    rows = found.collect()
+    out = found.sparkSession.createDataFrame(rows, found.schema)
+    out._rows = len(rows)
+    return out
+
+
 def heavy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys that more than one in HEAVY of all rows have, so fewer than HEAVY; a local table."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("rows_"))
-    found = counts.where(F.col("rows_") > max(HEAVY_ROWS, df.count() // HEAVY)).select(*keys)
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)  # fewer than HEAVY rows
+    return heavy_of(df.groupBy(*keys).agg(F.count("*").alias("n")), df.count(), keys)
+
+
+def heavy_of(counted: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """The same from counts n by key, of so many rows in all."""
+    return few(counted.where(F.col("n") > max(HEAVY_ROWS, rows // HEAVY)).select(*keys))
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """left.join(right, keys, how), where right has one row a key at most: left's heavy keys (by count, fewer than
-    HEAVY of them) meet their rows of right by broadcast, the other keys by shuffle. So no key gathers in a task."""
+    """left.join(right, keys, how), where right has one row a key at most. left's heavy keys (fewer than HEAVY, found
+    by counting) are dealt over SPREAD parts by the whole row, and right's rows of them stand in each part: so no
+    key gathers in a task, and each side is read once."""
     keys = list(keys)
     hot = heavy(left, keys) if hot is None else hot
-    few = F.broadcast(hot)
-    of_few = F.broadcast(right.join(few, keys, "left_semi"))
-    dealt = left.join(few, keys, "left_semi").join(of_few, keys, how)
-    rest = left.join(few, keys, "left_anti").join(right, keys, how)
-    return dealt.unionByName(rest)
+    if not hot._rows:
+        return left.join(right, keys, how)
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    parts = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
+    dealt = left.join(marked, keys, "left").withColumn("_part", parts).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(marked, keys, "left").withColumn("_part", F.explode(every)).drop("_hot")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
 
 
 class Bloom:
@@ -219,13 +235,6 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def tree(ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the ids, none of which has more than three: no node of a large group becomes a hub."""
-    ids = np.sort(ids)
-    at = np.arange(1, len(ids))
-    return list(zip(ids[(at - 1) // 2].tolist(), ids[at].tolist(), strict=True))
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); component is the smallest node reachable.
 

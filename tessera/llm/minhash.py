@@ -14,8 +14,8 @@ that with a probability of 1e-11 at 0.8 and 3e-12 at 0.85, so the bands' loss is
 Verification. Clusters fetch their members' full sets, and exact intersections find the true links and so
 the components.
 
-Groups, that is buckets and clusters, are searched breadth-first, and a forest of edges leaves a group, none
-of whose nodes has more than three. A group beyond a bound is dealt into blocks. First each block is searched
+Groups, that is buckets and clusters, are searched breadth-first, and of each connected part the edges to its
+least member leave the group. A group beyond a bound is dealt into blocks. First each block is searched
 along with a few pivots, the same in all of its blocks, so that what is alike throughout the group becomes one
 component by way of them. Then every member that is not in the group's largest component meets
 every block, and is compared with all members of other components. So nothing is compared twice that is
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import HEAVY, HEAVY_ROWS, Bloom, chunks, connected_components, materialize, skew_join, small_batches, sorted_groups, tree, utf8, without
+from .common import Bloom, chunks, connected_components, heavy_of, materialize, skew_join, small_batches, sorted_groups, utf8, without
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 5
@@ -48,8 +48,8 @@ BINS = BANDS * ROWS
 #: How far below the threshold an estimate may lie: seven standard deviations of BINS bins.
 SLACK = 0.2
 #: Bounds of one block: classes of a bucket, shingles of a cluster (and SET_COST for each set).
-BUCKET_BLOCK = 500
-CLUSTER_BLOCK, SET_COST = 100_000, 200
+BUCKET_BLOCK = 250
+CLUSTER_BLOCK, SET_COST = 60_000, 200
 #: Members of a large group that all of its blocks see.
 PIVOTS = 8
 #: Bytes of a partition that shuffles to as many as there need to be.
@@ -145,7 +145,8 @@ def _within(nearness):
             if group.num_rows > 1:
                 ids = group.column("doc_id").to_numpy()
                 for part in _forest(len(ids), nearness(group.column("payload").to_pylist())):
-                    pairs += tree(np.unique(ids[part]))
+                    own = np.unique(ids[part]).tolist()  # joined to the least: equal parts of other groups give equal edges
+                    pairs += [(own[0], x) for x in own[1:]]
             if len(pairs) >= 10_000:
                 yield _edges(pairs)
                 pairs = []
@@ -178,8 +179,7 @@ def links(members: DataFrame, limit: int, unit: int, nearness, payload) -> DataF
     sizes = materialize(members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where("n > 1"), "sizes")
     rows, weight = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight * unit // TASK_BYTES))
-    hot = sizes.where(F.col("n") > max(HEAVY_ROWS, rows // HEAVY)).select("group")
-    hot = members.sparkSession.createDataFrame(hot.collect(), hot.schema)  # fewer than HEAVY rows
+    hot = heavy_of(sizes, rows, ["group"])
     sized = skew_join(members.select("doc_id", "group", "weight"), sizes.select("group", F.ceil(F.col("total") / limit).cast("int").alias("blocks")), ["group"], hot=hot)
     sized = materialize(sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "members")
     large = sized.where("blocks > 1")

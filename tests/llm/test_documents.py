@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import decontamination, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup
-from tessera.llm.common import HEAVY_ROWS, Bloom, connected_components, heavy, skew_join, sorted_groups, tree, without
+from tessera.llm.common import HEAVY_ROWS, Bloom, connected_components, heavy, skew_join, sorted_groups, without
 from tessera.llm.queries import RANKS, TOKENIZER
 
 from .helpers import awkward_texts, documents, prose
@@ -134,13 +134,6 @@ def test_filter_turns_no_key_away(spark):
     assert without(docs, gone.limit(0), d=F.col("doc_id"), x=F.col("x")).count() == 1000
 
 
-def test_trees_have_no_hubs():
-    for n in (1, 2, 3, 50, 1000):
-        edges = tree(np.arange(n) * 3)
-        degree = Counter(x for e in edges for x in e)
-        assert len(edges) == n - 1 and max(degree.values(), default=0) <= 3
-
-
 def test_keep_one_and_repeated_ids(spark):
     texts = ["a b c d e f g"] * 3 + ["z y x w v u t", None, None]
     docs = documents(spark, texts, [3, 3, 1, 7, None, None])
@@ -199,6 +192,27 @@ def test_repeated_bytes(spark, monkeypatch, block):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
 
 
+def test_anchors_of_long_texts_in_segments(monkeypatch):
+    rng = random.Random(12)
+    for n in (10, 199, 200, 201, 1500, 6000):
+        data = np.frombuffer((prose(rng, n) * 2)[:n].encode(), np.uint8)
+        want = suffix_dedup.anchor_runs(data, 200)
+        for segment in (1, 37, 500):
+            monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+            got = suffix_dedup.anchor_runs(data, 200)
+            monkeypatch.undo()
+            assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
+def test_repeats_of_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 80), prose(rng, 90)
+    rows = [(None, a), (3, a), (3, b), (3, None), (None, None), (4, b + " " + a), (5, "short"), (5, "short")]
+    got = suffix_dedup.repeats(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    want = slow_repeats([t for _, t in rows], 200)
+    assert sorted(((r["doc_id"] or -1), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((i or -1, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
