@@ -15,7 +15,11 @@ taken. Starting from the whole range, breadth-first backward extension visits th
 increasing length and sets each common-prefix value the first time an interval ends there; it stops at
 `length`. What is still unset then is a common prefix of `length` or more, so exactly the neighbours in
 suffix order whose windows are equal. Anchors with more than BLOCK contexts are dealt over blocks; the
-distinct windows of those blocks then meet by their hashes, which are summed up map-side.
+distinct windows of those blocks then meet by their 128-bit digests, which are counted map-side. Anchors and
+contexts with very many places are joined apart from the rest, so none of them gathers in a task.
+
+Texts that hold a repeated anchor are the only ones that move; a filter of their digests finds them, whatever
+their number. Long texts are hashed in segments.
 
 Null and empty texts have no bytes. Copies of a whole text of at least `length` bytes lose everything;
 the text is handled once. Repeated rows are such copies, and ids play no part. Extra columns are ignored;
@@ -33,16 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, small_batches, sorted_groups, utf8
+from .common import HEAVY, HEAVY_ROWS, heavy_of, materialize, maybe_in, skew_join, small_batches, sorted_groups, utf8
 
 LENGTH = 200
 GRAM = 64
 #: Bytes of concatenated contexts in one transform, and contexts of an anchor in one block.
 BUNDLE_BYTES = 1 << 20
 BLOCK = 4000
-#: Texts up to this count (16 bytes each) may be broadcast; more are joined by shuffle.
-BROADCAST_TEXTS = 300_000
-SALTS = 16
+#: Window starts of a text hashed at once, and bits that hold a place among them.
+SEGMENT, PLACE_BITS = 2 << 20, 24
+#: Rows of one batch that a text may give; bytes of a partition that shuffles to as many as there need to be.
+ROWS, TASK_BYTES = 50_000, 256 << 20
 _SEPARATOR = 0xFF  # never a byte of UTF-8
 
 
@@ -70,14 +75,17 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(anchor hash, first window start) of each run of windows; the runs follow each other."""
-    if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = gram_hashes(data, GRAM)
-    # the hash's high bits, then the position: the least is the leftmost of the least
-    bits = max(1, int(len(h)).bit_length())
-    at = (_sliding_least((h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return h[at[first]], first
+    hashes, starts, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], -1
+    bits, windows = np.uint64(PLACE_BITS), len(data) - length + 1
+    for a in range(0, windows, SEGMENT):
+        h = gram_hashes(data[a : min(windows, a + SEGMENT) + length - 1], GRAM)
+        # the hash's high bits, then the place: the least is the leftmost of the least
+        at = (_sliding_least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[at[0] + a != last], at[1:] != at[:-1]]))
+        hashes.append(h[at[first]])
+        starts.append(first + a)
+        last = int(at[-1]) + a
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -188,7 +196,7 @@ def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True))
 
 
-_FOUND = "anchor long, digest binary, first int, last int, open boolean, window long"
+_FOUND = "anchor long, digest binary, first int, last int, open boolean, window binary"
 
 
 def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -210,18 +218,17 @@ def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         for k, r in enumerate(bundle):
             part = slice(bounds[k], bounds[k + 1])
             if not r["several"]:
-                rows.extend((r["anchor"], r["digest"], a, b, False, 0) for a, b in _intervals(offset[part][again[part]]))
+                rows.extend((r["anchor"], r["digest"], a, b, False, None) for a, b in _intervals(offset[part][again[part]]))
             if r["blocks"] > 1:
                 # one of equal windows stands for all of its block; sure repeats only show others theirs
-                h = gram_hashes(np.frombuffer(r["context"], np.uint8), length).view(np.int64)
-                rows.extend((r["anchor"], r["digest"], x, x, True, int(h[x])) for x in offset[part][leads[part]].tolist())
+                rows.extend((r["anchor"], r["digest"], x, x, True, _digest(r["context"][x : x + length])) for x in offset[part][leads[part]].tolist())
         bundle.clear()
 
     for group in sorted_groups(batches, "group"):
         own = group.to_pylist()
         for r in own:
             if r["several"]:  # equal contexts in several places: all windows repeat
-                rows.append((r["anchor"], r["digest"], 0, len(r["context"]) - length, False, 0))
+                rows.append((r["anchor"], r["digest"], 0, len(r["context"]) - length, False, None))
         if len(own) > 1 or own[0]["blocks"] > 1:
             bundle += own
             size += sum(len(r["context"]) for r in own)
@@ -237,7 +244,7 @@ def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     columns = zip(*rows, strict=True) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
@@ -246,7 +253,6 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     keyed = keyed.withColumn("t", F.substring(F.unhex("sha"), 1, 16))
     described = materialize(keyed.select("doc_id", "t", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
@@ -256,77 +262,96 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     # Copies of a whole text have equal t: an anchor counts if it has two places in distinct texts.
     place = F.xxhash64("t", "first")
-    again = materialize(each.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor"), "again")
-    flagged = each.join(again, "anchor", "left_semi").groupBy("t").agg(F.collect_set(F.struct("first", "to", "anchor")).alias("runs"))
-    flagged = materialize(flagged, "flagged")
-    few = flagged.count() <= BROADCAST_TEXTS
-    wanted = keyed.select("t", "text")
-    wanted = wanted.join(F.broadcast(flagged.select("t")), "t", "left_semi") if few else wanted
+    again = materialize(each.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", "n"), "again")
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    flagged = skew_join(each, again.select("anchor"), ["anchor"], "left_semi", hot=heavy_of(again, total, ["anchor"]))
+    flagged = materialize(flagged.groupBy("t").agg(F.collect_set(F.struct("first", "to", "anchor")).alias("runs")), "flagged")
+    maybe = maybe_in(spark, flagged.select(F.xxhash64("t")))
+    wanted = keyed.select("t", "text").where(maybe(F.xxhash64("t")))
     texts = materialize(wanted.groupBy("t").agg(F.first("text").alias("text")).join(flagged, "t"), "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            raw = data.tobytes()
             seen: dict[tuple[int, bytes], list] = {}
-            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
+            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("runs"), strict=True)):
+                raw, own = data[offsets[i] : offsets[i + 1]].tobytes(), own.as_py()
                 for r in own:
-                    c = raw[offsets[i] + r["first"] : offsets[i] + r["to"] + length]
+                    c = raw[r["first"] : r["to"] + length]
                     here = int.from_bytes(_digest(t + r["first"].to_bytes(8, "little"))[:8], "little", signed=True)
-                    x = seen.setdefault((r["anchor"], _digest(c)), [c, here, here])
-                    x[1], x[2] = min(x[1], here), max(x[2], here)
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.binary()), *(pa.array([seen[k][j] for k in keys], ty) for j, ty in enumerate((pa.binary(), pa.int64(), pa.int64())))], ["anchor", "digest", "context", "a", "b"]
-            )
-
-    distinct = texts.mapInArrow(contexts, "anchor long, digest binary, context binary, a long, b long").groupBy("anchor", "digest").agg(F.first("context").alias("context"), (F.min("a") != F.max("b")).alias("several"))
-    distinct = materialize(distinct, "contexts")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = distinct.join(materialize(hot, "hot"), "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+                    x = seen.setdefault((r["anchor"], _digest(c)), [c, here, here, 0])
+                    x[1], x[2], x[3] = min(x[1], here), max(x[2], here), x[3] + 1
+                    if len(seen) >= ROWS:
+                        yield _contexts(seen)
+                        seen = {}
+            yield _contexts(seen)
+
+    def _contexts(seen: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.binary()), *(pa.array([seen[k][j] for k in keys], ty) for j, ty in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64())))], ["anchor", "digest", "context", "a", "b", "n"]
+        )
+
+    distinct = texts.mapInArrow(contexts, "anchor long, digest binary, context binary, a long, b long, n long").groupBy("anchor", "digest")
+    distinct = materialize(distinct.agg(F.first("context").alias("context"), (F.min("a") != F.max("b")).alias("several"), F.sum("n").alias("n")), "contexts")
+    n_contexts, n_places, n_bytes = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()
+    often = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > min(BLOCK, max(HEAVY_ROWS, n_contexts // HEAVY))), "often")
+    blocks = often.where(F.col("n") > BLOCK).select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = skew_join(distinct.drop("n"), blocks, ["anchor"], "left", hot=heavy_of(often, n_contexts, ["anchor"])).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("group", F.xxhash64("anchor", F.pmod(F.xxhash64("digest"), "blocks")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     found = dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda b: compare(b, length), _FOUND)
     found = materialize(found, "found")
     across = found.where("open").groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    more = found.where("open").join(across, ["anchor", "window"], "left_semi")
+    more = found.where("open").join(across, ["anchor", "window"], "left_semi")  # as many rows a key as blocks
     hits = found.where("not open").select("anchor", "digest", "first", "last").unionByName(more.select("anchor", "digest", "first", "last"))
     hits = hits.groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("hits"))  # of one context
 
     def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            raw = data.tobytes()
-            rows = [
-                (t, r["first"], r["anchor"], _digest(raw[offsets[i] + r["first"] : offsets[i] + r["to"] + length]))
-                for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("runs").to_pylist(), strict=True)) for r in own
-            ]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["t", "at", "anchor", "digest"])
-
-    placed = texts.mapInArrow(origins, "t binary, at long, anchor long, digest binary").join(hits, ["anchor", "digest"])
-    covers = placed.groupBy("t").agg(F.collect_list(F.struct("at", "hits")).alias("covers"))  # of one text
+            rows: list[tuple] = []
+            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("runs"), strict=True)):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                rows += [(t, r["first"], r["anchor"], _digest(raw[r["first"] : r["to"] + length])) for r in own.as_py()]
+                if len(rows) >= ROWS:
+                    yield _origins(rows)
+                    rows = []
+            yield _origins(rows)
+
+    def _origins(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["t", "at", "anchor", "digest"])
+
+    placed = texts.mapInArrow(origins, "t binary, at long, anchor long, digest binary")
+    covers = skew_join(placed, materialize(hits, "hits"), ["anchor", "digest"], hot=heavy_of(distinct, n_places, ["anchor", "digest"]))
+    covers = covers.groupBy("t").agg(F.collect_list(F.struct("at", "hits")).alias("covers"))  # of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             out: list[tuple] = []
-            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("covers").to_pylist(), strict=True)):
+            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("covers"), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
-                step = np.zeros(len(text) + 1, np.int64)
-                for x in own:
-                    for hit in x["hits"]:
-                        step[x["at"] + hit["first"]] += 1
-                        step[x["at"] + hit["last"] + length] -= 1
-                gone = np.cumsum(step)[:-1] > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((t, int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
+                removed, spans, end, kept = 0, 0, 0, hashlib.sha256()
+                for a, b in sorted((x["at"] + hit["first"], x["at"] + hit["last"] + length) for x in own.as_py() for hit in x["hits"]):
+                    if a > end or not spans:
+                        kept.update(text[end:a])
+                        spans += 1
+                        end = a
+                    if b > end:
+                        removed += b - end
+                        end = b
+                kept.update(text[end:])
+                out.append((t, removed, spans, kept.hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["t", "removed", "spans", "kept"])
 
     shortened = texts.select("t", "text").join(covers, "t").mapInArrow(cut, "t binary, removed long, spans long, kept string")
-    copies = described.groupBy("t").agg(F.count("*").alias("copies")).where("copies > 1")
-    known = copies.join(shortened, "t", "full").select("t", "copies", "removed", "spans", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    final = described.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(known, ["t", "salt"], "left")
+    copies = materialize(described.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    known = copies.withColumnRenamed("n", "copies").join(shortened, "t", "full").select("t", "copies", "removed", "spans", "kept")
+    # A text with very many copies is joined apart from the others.
+    final = skew_join(described, known, ["t"], "left", hot=heavy_of(copies, copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], ["t"]))
     whole = (F.col("n_bytes") >= length) & F.col("copies").isNotNull()
     return final.select(
         "doc_id", "n_bytes",
