@@ -5,8 +5,10 @@ so that every piece but the first is full. Pieces of equal length are interchang
 planned on the histogram (at most `capacity` numbers, whatever the corpus):
   1. enumerate patterns of one to three lengths that fill a sequence exactly;
   2. fit their repeat counts to the histogram by non-negative least squares (cyclic coordinate descent);
-  3. round down, never using more pieces than there are;
+  3. round a share of them down, never using more pieces than there are;
   4. pack what is left best-fit, longest first, again on counts.
+Rounding all of the counts may leave a remainder of awkward lengths, so steps 3 and 4 are done for the SHARES
+below, and the plan of fewest sequences is taken; at least half of what was fitted is in it.
 The plan says, for each length, which run of its pieces goes to which sequences at which offset. A
 piece's place in that order is its rank within its input task plus the counts of the tasks before, so
 no window runs over all pieces of a length. Pieces are written once to the shared folder; ranks thus
@@ -35,6 +37,10 @@ CAPACITY = 2048
 END = 0
 #: Word pieces remembered by one worker.
 CACHE_ENTRIES = 300_000
+#: Shares of the fitted repeats that are rounded down and kept; the rest is packed best-fit.
+SHARES = (1.0, 0.97, 0.93, 0.87, 0.8, 0.7, 0.6, 0.5)
+#: Rows (task, length, rank) that may be held by every task, 24 bytes each; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 # White space followed by other characters: where one ends, the tokenizer's own pattern also ends a piece.
 _UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -195,19 +201,25 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY, step: int = 128) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) that use up the histogram (indexed by length) exactly."""
+    found = patterns(capacity, step)
+    fitted = fit_counts(histogram, found)
+    plans = [_rounded(histogram, capacity, found, share * fitted) for share in SHARES]
+    return min(plans, key=lambda q: sum(n for _, n in q))
+
+
+def _rounded(histogram: np.ndarray, capacity: int, found: list[tuple[int, ...]], counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """A plan of the patterns' counts rounded down, and the rest of the histogram packed best-fit."""
     left = histogram.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    found = patterns(capacity, step)
-    for p, x in zip(found, np.floor(fit_counts(left, found) + 1e-9).astype(np.int64), strict=True):
-        n = min(int(x), *(int(left[k]) // p.count(k) for k in p))
+    whole = np.floor(counts + 1e-9).astype(np.int64)
+    for i in np.flatnonzero(whole).tolist():
+        p = found[i]
+        n = min(int(whole[i]), *(int(left[k]) // p.count(k) for k in p))
         if n > 0:
             for k in p:
                 left[k] -= n
             out.append((p, n))
-    # The fit leaves awkward remainders when little data is spread over many lengths: of the two whole
-    # plans, that with fewer sequences is taken.
-    fitted, plain = out + _best_fit(left, capacity), _best_fit(histogram, capacity)
-    return min(fitted, plain, key=lambda q: sum(n for _, n in q))
+    return out + _best_fit(left, capacity)
 
 
 def runs(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -235,6 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     where = docs.sparkSession.sparkContext.broadcast(runs(plan(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = F.broadcast(base) if by_task.count() <= BROADCAST_ROWS else base.hint("merge")
     ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
 
