@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, minhash, packing, quality_rules, secret_scans
-from tessera.llm.common import scratch, table
+from tessera.llm.common import materialize, own_scratch, remove, scratch, table, without
 from tessera.llm.queries import RANKS, TOKENIZER
 
 
@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. A row goes by its own text: ids may be null or repeated."""
-    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    return docs.join(minhash.few_or_not(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2("text", 256)) == F.col("_digest")), "left_anti")
+    found = materialize(decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "digest").distinct(), "found")
+    return without(docs, found, doc_id=F.col("doc_id"), digest=F.unhex(F.sha2("text", 256)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage makes on its way is removed once it is written, and its input with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with own_scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

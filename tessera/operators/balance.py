@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_ratio
-from ..plans.model import ROW_ID, MatchResult, Search, groups_from_matched, quoted
-from .checks import check_data_fingerprint, check_gps_fingerprint, covariate_columns, default_covariates, infer_anchor_level, validate_gps
+from ..plans.model import ROW_ID, MatchResult, Search, groups_from_matched, materialize, quoted
+from .checks import check_data_fingerprint, check_gps_fingerprint, covariate_columns, data_facts, default_covariates, infer_anchor_level, scores_facts, validate_gps
+
+
+#: Ranges of scores that ranks are summed up by.
+RANGES = 32
 
 
 def _members(matched: DataFrame, groups: Sequence[str], anchor: str) -> DataFrame:
@@ -68,10 +72,15 @@ def auc_mannwhitney(score, label=None, by: Sequence[str] = ()):
         u, inverse, counts = np.unique(s, return_inverse=True, return_counts=True)
         rank = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
         return float((rank[y].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
-    # Counts by distinct score, then running totals over those: ties are one row, and so is a hot score.
-    counted = score.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("ones"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("rank", below + (F.col("n") + 1) / 2)
+    # Counts by distinct score: ties are one row, and so is a hot score. Then running totals within ranges of scores,
+    # and over the ranges' totals, so no window holds all scores of a key.
+    counted = materialize(score.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("ones"), F.count("*").alias("n")), "scores")
+    bounds = sorted(set(counted.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)))
+    counted = counted.withColumn("range_", sum((F.when(F.col("score") > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counted.groupBy(*by, "range_").agg(F.sum("n").alias("n")).withColumn("lower", before(by, "range_")).drop("n")
+    keys = [*by, "range_"]
+    ranked = counted.withColumn("within", before(keys, "score")).join(F.broadcast(ranges), keys).withColumn("rank", F.col("lower") + F.col("within") + (F.col("n") + 1) / 2)  # RANGES rows a key at most
     sums = ranked.groupBy(*by).agg(F.sum(F.col("ones") * F.col("rank")).alias("r"), F.sum("ones").cast("double").alias("n1"), F.sum(F.col("n") - F.col("ones")).cast("double").alias("n0"))
     auc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0"))).otherwise(F.lit(float("nan")))
     return sums.select(*by, auc.alias("auc"))
@@ -104,9 +113,10 @@ def with_dispersion(matched: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def sam_evaluate(data: DataFrame, search: Search, match_result: MatchResult, gps: DataFrame, X_vars: Sequence[str] | None = None, treatment_var: str = "T") -> dict:
     """loss_distribution, dispersion_distribution, smd_balance, treatment_discrimination_auc, matching_rate."""
-    check_data_fingerprint(search, data, treatment_var, "sam_evaluate")
-    validate_gps(data, gps, treatment_var, "sam_evaluate", search.id_col)
-    check_gps_fingerprint(search, gps, "sam_evaluate")
+    facts = check_data_fingerprint(search, data, treatment_var, "sam_evaluate") or data_facts(data, treatment_var, search.id_col)
+    of_gps = scores_facts(gps, search.id_col, "sam_evaluate")
+    validate_gps(data, gps, treatment_var, "sam_evaluate", search.id_col, (facts, of_gps))
+    check_gps_fingerprint(search, gps, "sam_evaluate", of_gps)
     anchor = infer_anchor_level(data, search.anchors, treatment_var, search.id_col)
     matched = match_result.matched
     return {

@@ -11,27 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import array_distance
 from ..plans.model import ROW_ID, quoted
-from .checks import arm_counts, covariate_columns, default_covariates, label, require_rows, treatment_level
-
-
-def centered(data: DataFrame, columns: list[Column], treatment_var: str) -> DataFrame:
-    """arm and the covariates less their arm's means; the means are one row per arm."""
-    wide = data.select(label(data, treatment_var).alias("arm"), *(c.alias(f"x{i}") for i, c in enumerate(columns)))
-    means = wide.groupBy("arm").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))))
-    return wide.join(F.broadcast(means), "arm").select("arm", *((F.col(f"x{i}") - F.col(f"m{i}")).alias(f"c{i}") for i in range(len(columns))))
+from .checks import Profile, covariate_columns, default_covariates, label, profile, require_rows, treatment_level
 
 
 def get_pooled_covariance(data: DataFrame, X_vars: Sequence[str] | None = None, treatment_var: str = "T") -> dict:
     """{"S", "S_inv"}: within-arm cross-products over n less the number of arms."""
-    x_vars = default_covariates(X_vars)
-    columns = covariate_columns(data, x_vars)
-    counts = arm_counts(data, treatment_var)
-    df = sum(counts.values()) - len(counts)
+    return pooled_covariance(data, profile(data, default_covariates(X_vars), treatment_var), treatment_var)
+
+
+def pooled_covariance(data: DataFrame, known: Profile, treatment_var: str) -> dict:
+    """The same from the data's profile: one aggregate of the covariates less their arm's means."""
+    df = sum(known.counts.values()) - len(known.counts)
     if df <= 0:
         raise ValueError("pooled covariance needs more subjects than treatment groups")
-    p = len(columns)
+    p = len(known.columns)
+    arms = F.array(*map(F.lit, known.counts))
+    means = [F.element_at(F.map_from_arrays(arms, F.array(*(F.lit(float(known.means[v][i])) for v in known.counts))), F.col("arm")) for i in range(p)]
+    off = data.select(label(data, treatment_var).alias("arm"), *(c.alias(f"x{i}") for i, c in enumerate(known.columns))).select(*((F.col(f"x{i}") - means[i]).alias(f"c{i}") for i in range(p)))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = centered(data, columns, treatment_var).agg(*(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs)).first() if p else []
+    sums = off.agg(*(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs)).first() if p else []
     s = np.zeros((p, p))
     for (i, j), v in zip(pairs, sums, strict=True):
         s[i, j] = s[j, i] = v / df
@@ -40,7 +38,7 @@ def get_pooled_covariance(data: DataFrame, X_vars: Sequence[str] | None = None,
     except np.linalg.LinAlgError:
         inverse = np.full_like(s, np.nan)
     if not np.isfinite(inverse).all():
-        warnings.warn("the pooled covariance is singular; its pseudo-inverse is used", RuntimeWarning, stacklevel=2)
+        warnings.warn("the pooled covariance is singular; its pseudo-inverse is used", RuntimeWarning, stacklevel=3)
         inverse = np.linalg.pinv(s)
     return {"S": s, "S_inv": inverse}
 
@@ -72,23 +70,21 @@ def mahalanobis_distance_matrix(query: DataFrame, reference: DataFrame, X_vars:
 
 def build_group_distance_matrices(data: DataFrame, X_vars: Sequence[str] | None = None, treatment_var: str = "T", anchor_rows: DataFrame | None = None, groups: Sequence | None = None, id_col: str = ROW_ID) -> dict:
     """{"S_inv", "D"}: D has (anchor, grp, cand, dist) of every anchor with every subject of the groups."""
-    x_vars = default_covariates(X_vars)
-    counts = arm_counts(data, treatment_var)
+    known = profile(data, default_covariates(X_vars), treatment_var)
     levels = [treatment_level(g) for g in groups or []]
     for g in levels:
-        require_rows(counts.get(g, 0), g, treatment_var)
-    s_inv = get_pooled_covariance(data, x_vars, treatment_var)["S_inv"]
-    subjects = data.select(F.col(quoted(id_col)).cast("long").alias("id"), label(data, treatment_var).alias("grp"), F.array(*covariate_columns(data, x_vars)).alias("x"))
+        require_rows(known.counts.get(g, 0), g, treatment_var)
+    s_inv = pooled_covariance(data, known, treatment_var)["S_inv"]
+    subjects = data.select(F.col(quoted(id_col)).cast("long").alias("id"), label(data, treatment_var).alias("grp"), F.array(*known.columns).alias("x"))
     a = subjects.join(anchor_rows.select(F.col("anchor").alias("id")), "id", "left_semi").select(F.col("id").alias("anchor"), F.col("x").alias("a"))
     b = subjects.where(F.col("grp").isin(levels)).select("grp", F.col("id").alias("cand"), F.col("x").alias("b"))
     return {"S_inv": s_inv, "D": a.join(b, how="cross").select("anchor", "grp", "cand", _quadratic(F.col("a"), F.col("b"), s_inv).alias("dist"))}
 
 
-def edge_distances(data: DataFrame, edges: DataFrame, X_vars: Sequence[str], treatment_var: str, id_col: str = ROW_ID) -> DataFrame:
+def edge_distances(data: DataFrame, edges: DataFrame, X_vars: Sequence[str], treatment_var: str, id_col: str = ROW_ID, known: Profile | None = None) -> DataFrame:
     """edges with dist, the Mahalanobis distance of anchor and candidate under the pooled covariance."""
-    columns = covariate_columns(data, X_vars)
-    s_inv = get_pooled_covariance(data, X_vars, treatment_var)["S_inv"]
-    center = data.agg(*(F.avg(c) for c in columns)).first() if columns else []
-    z = data.select(F.col(quoted(id_col)).cast("long").alias("id"), whitened(columns, s_inv, center).alias("z"))
+    known = known or profile(data, X_vars, treatment_var)
+    s_inv = pooled_covariance(data, known, treatment_var)["S_inv"]
+    z = data.select(F.col(quoted(id_col)).cast("long").alias("id"), whitened(known.columns, s_inv, known.center).alias("z"))
     a, b = z.select(F.col("id").alias("anchor"), F.col("z").alias("za")), z.select(F.col("id").alias("cand"), F.col("z").alias("zb"))
     return edges.join(a, "anchor").join(b, "cand").withColumn("dist", array_distance(F.col("za"), F.col("zb"))).drop("za", "zb")

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import ROW_ID, quoted
-from .checks import arm_counts, covariate_columns, default_covariates, label, require_rows, treatment_level
+from ..plans.model import ROW_ID, materialize, quoted
+from .checks import default_covariates, label, profile, require_rows, treatment_level
 
 
 @dataclass
@@ -68,16 +68,17 @@ def _sums(rows: DataFrame, theta: np.ndarray, center: np.ndarray, scale: np.ndar
 def estimate_gps_multinom(data: DataFrame, X_vars: Sequence[str] | None = None, treatment_var: str = "T", anchor_level="A", id_col: str = ROW_ID, max_iter: int = 100, tol: float = 1e-10) -> dict:
     """{"model": GpsModel, "gps": DataFrame(id, one column per arm)}, the anchor's column first, then sorted arms."""
     x_vars, anchor = default_covariates(X_vars), treatment_level(anchor_level)
-    columns = covariate_columns(data, x_vars)
-    counts = arm_counts(data, treatment_var)
+    known = profile(data, x_vars, treatment_var)
+    counts, columns = known.counts, known.columns
     require_rows(counts.get(anchor, 0), anchor, treatment_var)
     levels = [anchor, *sorted(set(counts) - {anchor})]
     arm = label(data, treatment_var)
     code = F.coalesce(*(F.when(arm == v, F.lit(i)) for i, v in enumerate(levels))).cast("int")
-    rows = data.select(code.alias("y"), *(c.alias(f"x{j}") for j, c in enumerate(columns)))
+    # codes and covariates: every Newton step reads these alone
+    rows = materialize(data.select(code.alias("y"), *(c.alias(f"x{j}") for j, c in enumerate(columns))), "rows")
     if columns:
-        stats = rows.agg(*(F.avg(f"x{j}") for j in range(len(columns))), *(F.stddev_pop(f"x{j}") for j in range(len(columns)))).first()
-        center, scale = np.array(stats[: len(columns)], float), np.array(stats[len(columns) :], float)
+        center = known.center
+        scale = np.array(rows.agg(*(F.stddev_pop(f"x{j}") for j in range(len(columns)))).first(), float)
         scale[~(scale > 0)] = 1.0
     else:
         center = scale = np.zeros(0)

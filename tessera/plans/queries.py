@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import expit, logit, order_key, transform_score
 from ..operators import balance, checks, effects, greedy, linalg, propensity, screen, threeway, weighting
+from ..sources import cohorts
 from ..sources.cohorts import ARMS, customer_cohort, rational_gps
-from .model import Cohort, MatchResult, Search
+from .model import Cohort, MatchResult, Search, materialize, scratch
 
 A, G1, G2 = ARMS
 X = ["x1", "x2", "x3"]
@@ -25,13 +26,20 @@ def r(c: Column | str, places: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places) + 0.0
 
 
-def _cohort(spark: SparkSession, d: str) -> DataFrame:
-    return customer_cohort(spark, d, ARMS)
+_cohorts: dict[tuple[str, str, tuple[str, ...]], DataFrame] = {}
 
 
-def _scaled(spark: SparkSession, d: str) -> DataFrame:
+def _cohort(spark: SparkSession, d: str, arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """The cohort as a table of its own, written once per program and folder, as a caller's would be."""
+    key = spark.sparkContext.applicationId, d, arms
+    if key not in _cohorts:
+        _cohorts[key] = materialize(customer_cohort(spark, d, arms), "cohort")
+    return _cohorts[key]
+
+
+def _scaled(spark: SparkSession, d: str, arms: tuple[str, ...] = ARMS) -> DataFrame:
     """Covariates of about unit size, for Mahalanobis distances."""
-    return _cohort(spark, d).select("row_id", "T", (F.col("x1") / 1000.0).alias("x1"), "x2", (F.col("x3") / 100000.0).alias("x3"), "y")
+    return _cohort(spark, d, arms).select("row_id", "T", (F.col("x1") / 1000.0).alias("x1"), "x2", (F.col("x3") / 100000.0).alias("x3"), "y")
 
 
 def _search(spark: SparkSession, d: str, data: DataFrame | None = None, space: str = "raw") -> Search:
@@ -80,8 +88,17 @@ def covariate_violations(spark, d):
 
 
 def fingerprint(spark, d):
-    f = checks.data_fingerprint(_cohort(spark, d), "T")
-    return spark.createDataFrame([(f["n_rows"], f["index_hash"], f["treatment_hash"], f["data_hash"])], "n_rows long, index_hash string, treatment_hash string, data_hash string")
+    """Which hashes of the data move with a new order, a new column, one moved label, one changed value, and new ids."""
+    data = _cohort(spark, d)
+    first = data.agg(F.min("row_id")).first()[0]
+    one = F.col("row_id") == first
+    changed = {
+        "order": data.repartition(5), "column": data.withColumn("more", F.lit(1)), "label": data.withColumn("T", F.when(one, F.lit("X")).otherwise(F.col("T"))),
+        "value": data.withColumn("x2", F.when(one, F.col("x2") + 1).otherwise(F.col("x2"))), "ids": data.withColumn("row_id", F.col("row_id") + 1),
+    }
+    known = checks.data_fingerprint(data, "T")
+    now = {k: checks.data_fingerprint(v, "T", data.columns) for k, v in changed.items()}
+    return spark.createDataFrame([(k, f["n_rows"], *(f[h] != known[h] for h in ("index_hash", "treatment_hash", "data_hash"))) for k, f in now.items()], "change string, n_rows long, ids_moved boolean, arms_moved boolean, data_moved boolean")
 
 
 # 2.4
@@ -136,6 +153,23 @@ def sam_matched_sets_rounds(spark, d):
     return m.select("matched_set_id", "anchor", G1, G2, r(f"dist_{G1}").alias(f"dist_{G1}"), r(f"dist_{G2}").alias(f"dist_{G2}"), r("loss").alias("loss"))
 
 
+ARMS5 = (A, "AUTOMOBILE", G1, G2, "MACHINERY")
+
+
+def _five_gps(data: DataFrame) -> DataFrame:
+    """Scores of five arms, rational in the scaled covariates."""
+    s = [F.lit(1.0), 0.5 + (F.col("x1") + 1.0) / 11.0, 0.5 + F.col("x2") / 20.0, 1.5 - (F.col("x1") + 1.0) / 22.0, 0.25 + F.col("x3") / 4.0]
+    wide = data.select("row_id", *(c.alias(f"s{i}") for i, c in enumerate(s))).withColumn("t", F.col("s0") + F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4"))
+    return wide.select("row_id", *((F.col(f"s{i}") / F.col("t")).alias(a) for i, a in enumerate(ARMS5)))
+
+
+def sam_matched_sets_five(spark, d):
+    """Four comparator arms."""
+    data = _scaled(spark, d, ARMS5)
+    m = greedy.sam_match(data, screen.gps_candidate_search(data, _five_gps(data), "T", A, 10), XM).matched
+    return m.select("matched_set_id", "anchor", *ARMS5[1:], *(r(f"dist_{g}").alias(f"dist_{g}") for g in ARMS5[1:]), r("loss").alias("loss"))
+
+
 def unmatched_anchors(spark, d):
     data = _scaled(spark, d)
     return greedy.sam_match(data, _search(spark, d, data), XM).unmatched_anchor_rows
@@ -162,7 +196,8 @@ def trio_candidates_initial(spark, d):
 
 def threeway_matched_sets(spark, d):
     data = _cohort(spark, d)
-    return threeway.match_3way(data, _search(spark, d, data), rational_gps(data)).matched
+    m = threeway.match_3way(data, _search(spark, d, data), rational_gps(data)).matched
+    return m.select("matched_set_id", "anchor", G1, G2, *(r(c).alias(c) for c in (f"dist_{G1}", f"dist_{G2}", "loss", "rassen_perimeter")))
 
 
 # 2.8
@@ -275,7 +310,8 @@ def contrasts(spark, d):
 
 
 def contrasts_t(spark, d):
-    return _rounded(_effects(spark, d, ci_method="t")["contrasts"].select("comparator", "log_or", "se_log_or", "RD", "se_RD"))
+    """Intervals by Student's t."""
+    return _rounded(_effects(spark, d, ci_method="t")["contrasts"].select("comparator", "log_or", "se_log_or", "OR_ci_low", "OR_ci_high", "RR_ci_low", "RR_ci_high", "RD", "se_RD", "RD_ci_low", "RD_ci_high"))
 
 
 def analysis_summary(spark, d):
@@ -283,7 +319,7 @@ def analysis_summary(spark, d):
 
 
 def contrasts_wild_bootstrap(spark, d):
-    return _rounded(_effects(spark, d, ci_method="wild_bootstrap", n_bootstrap=499, random_state=1)["contrasts"])
+    return _rounded(_effects(spark, d, ci_method="wild_bootstrap", n_bootstrap=_DRAWS, random_state=_SEED)["contrasts"])
 
 
 # 2.3
@@ -293,25 +329,76 @@ def gps_fit(spark, d):
     return gps.select("row_id", *(r(a).alias(a) for a in ARMS))
 
 
+def _long(spark: SparkSession, parts: dict[str, list[tuple[str, float]]]) -> DataFrame:
+    """(part, name, value) of a report."""
+    return spark.createDataFrame([(part, name, round(float(v), 6) + 0.0) for part, rows in parts.items() for name, v in rows], "part string, name string, value double")
+
+
+def _smd_parts(smd: dict[str, DataFrame]) -> dict[str, list[tuple[str, float]]]:
+    return {
+        "smd": [(f"{x['group']}:{x['covariate']}", x["smd"]) for x in smd["by_covariate"].collect()],  # reports of a few rows
+        **{k: [(x["group"], x[k]) for x in smd["summary"].collect()] for k in ("mean_abs_smd", "max_abs_smd", "n_undefined")},
+    }
+
+
 def comparator_weighting(spark, d):
-    return _rounded(weighting.evaluate_comparator_weighting(_scaled(spark, d), "iptw", None, X, "T", A)["ess"])
+    """All parts of the weighting report, by fixed scores."""
+    data = _cohort(spark, d)
+    out = weighting.evaluate_comparator_weighting(data, "overlap", rational_gps(data), X, "T", A, trim=TRIM)
+    sums = out["weights"].groupBy("arm").agg(F.sum("weight").alias("w")).collect()
+    return _long(spark, {"ess": [(x["group"], x["ess"]) for x in out["ess"].collect()], "n": [(x["group"], x["n"]) for x in out["ess"].collect()], "weight": [(x["arm"], x["w"]) for x in sums], "n_trimmed": [("", out["n_trimmed"])], **_smd_parts(out["balance"])})
+
+
+def _tieless_gps(data: DataFrame) -> DataFrame:
+    """_auc_gps, each row scaled to sum to 1."""
+    total = F.col(A) + F.col(G1) + F.col(G2)
+    return _auc_gps(data).select("row_id", *((F.col(a) / total).alias(a) for a in ARMS))
 
 
 def evaluation(spark, d):
-    data = _scaled(spark, d)
-    gps = rational_gps(_cohort(spark, d))
-    search = _search(spark, d, data)
-    out = balance.sam_evaluate(data, search, greedy.sam_match(data, search, XM), gps, X)
-    return _rounded(out["smd_balance"]["by_covariate"])
+    """All parts of the report on a match."""
+    data = _cohort(spark, d)
+    anchors = data.where(F.col("T") == A).select(F.col("row_id").alias("anchor"))
+    sets = fixed_matching(data)
+    unmatched, rate = greedy.summarize_matching(sets, anchors)
+    out = balance.sam_evaluate(data, Search(None, anchors, A, [G1, G2], "row_id"), MatchResult(sets, unmatched, rate, 1.0), _tieless_gps(data), X)
+    spread = {k: list(out[f"{k}_distribution"].first().asDict().items()) for k in ("loss", "dispersion")}
+    auc = out["treatment_discrimination_auc"]
+    return _long(spark, {**spread, **_smd_parts(out["smd_balance"]), "auc": [(f"{x['group_1']}:{x['group_2']}", x["auc"]) for x in auc["pairwise"].collect()], "mean_auc": [("", auc["mean_auc"])], "matching_rate": [("", out["matching_rate"])]})
+
+
+# 2.1
+def _sample_file(spark: SparkSession, d: str, arms: tuple[str, ...]) -> str:
+    """A CSV file of the sample tables' columns, made of the cohort."""
+    path, kept = scratch(spark, "sample"), _cohort(spark, d, arms)
+    whole = [(F.col("row_id") % k).cast("double") for k in (90, 11, 13, 17, 19, 23, 2, 3, 5, 7)]
+    rows = kept.select(F.col("row_id").alias("synthetic_id"), F.lower("T").alias("treatment"), F.col("y").alias("mortality_28d"), *(c.alias(n) for c, n in zip(whole, cohorts.SAMPLE_COLUMNS[3:], strict=True)))
+    rows.write.csv(path, header=True)
+    return path
+
+
+def sample_3group(spark, d):
+    return cohorts.load_sample_3group(spark, _sample_file(spark, d, ARMS))
+
+
+def sample_4group(spark, d):
+    return cohorts.load_sample_4group(spark, _sample_file(spark, d, ARMS5[:4]))
+
+
+def generated_cohort(spark, d):
+    """What must hold of generated cohorts whatever the random numbers: (rows, distinct ids, arms, finite, outcome 0/1)."""
+    data = cohorts.make_data(spark, 5000, 4, 3)
+    finite = F.bool_and(sum((F.abs(F.col(f"x{j}")) for j in range(8)), F.lit(0.0)) < 1e3)
+    return data.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("ids"), F.count_distinct("treatment").alias("arms"), finite.alias("finite"), F.bool_and(F.col("y").isin(0, 1)).alias("binary"))
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     arm_counts, max_possible_rate, gps_violations, covariate_violations, fingerprint, ps_logit_transform, expit_logit_roundtrip, order_keys,
-    knn_screen_raw, knn_screen_logit, group_distances, edge_distances, unmatched_anchors_fixed, sam_matched_sets, sam_matched_sets_rounds, unmatched_anchors,
+    knn_screen_raw, knn_screen_logit, group_distances, edge_distances, unmatched_anchors_fixed, sam_matched_sets, sam_matched_sets_rounds, sam_matched_sets_five, unmatched_anchors,
     matching_rate, caliper_auto, trio_candidates_initial, threeway_matched_sets, pooled_covariance, loss_distribution, dispersion_distribution,
     smd_by_covariate, smd_summary, pairwise_auc, mean_auc, weights_iptw, weights_iptw_unstabilized, weights_overlap, weights_matching, n_trimmed,
     weighted_balance, weighted_balance_summary, ess_by_arm, ess_overall, matched_cohort, group_risk, contrasts, contrasts_t, analysis_summary,
-    contrasts_wild_bootstrap, gps_fit, comparator_weighting, evaluation,
+    contrasts_wild_bootstrap, gps_fit, comparator_weighting, evaluation, sample_3group, sample_4group, generated_cohort,
 )
 
 
@@ -435,6 +522,80 @@ walk AS (
       FROM (SELECT w.n, w.used, p.anchor, p.grp, arg_min(p.cand, p.place) AS cand, arg_min(p.dist, p.place) AS dist FROM walk w, placed p WHERE NOT list_contains(w.used, p.anchor) AND NOT list_contains(w.used, p.cand) GROUP BY ALL) f
       GROUP BY n, used, f.anchor HAVING count(*) = 2)) WHERE pick IS NOT NULL),
 sets AS (SELECT CAST(n AS BIGINT) AS matched_set_id, anchor, c1, c2, d1, d2 FROM walk WHERE n > 0)"""
+_GROUPS5 = ARMS5[1:]
+_SCORES5 = ("CAST(1.0 AS DOUBLE)", "CAST(0.5 AS DOUBLE) + (x1 + CAST(1.0 AS DOUBLE)) / CAST(11.0 AS DOUBLE)", "CAST(0.5 AS DOUBLE) + x2 / CAST(20.0 AS DOUBLE)", "CAST(1.5 AS DOUBLE) - (x1 + CAST(1.0 AS DOUBLE)) / CAST(22.0 AS DOUBLE)", "CAST(0.25 AS DOUBLE) + x3 / CAST(4.0 AS DOUBLE)")
+_FIVE = f"""
+scores5 AS (SELECT row_id, T, {', '.join(f'{x} AS s{i}' for i, x in enumerate(_SCORES5))} FROM scaled),
+pts AS MATERIALIZED (SELECT row_id, T, {', '.join(f's{i} / (s0 + s1 + s2 + s3 + s4) AS p{i}' for i in range(5))} FROM scores5),
+near AS (SELECT a.row_id AS anchor, b.T AS grp, b.row_id AS cand, sqrt({' + '.join(f'(a.p{i} - b.p{i}) * (a.p{i} - b.p{i})' for i in range(5))}) AS d FROM pts a JOIN pts b ON a.T = '{A}' AND b.T <> '{A}'),
+edges AS (SELECT anchor, grp, cand, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor, grp ORDER BY d, cand) AS rank FROM near) WHERE rank <= 10),
+dev AS (SELECT x1 - avg(x1) OVER (PARTITION BY T) AS c1, x2 - avg(x2) OVER (PARTITION BY T) AS c2 FROM scaled),
+cov AS (SELECT sum(c1 * c1) / (count(*) - 5) AS s11, sum(c1 * c2) / (count(*) - 5) AS s12, sum(c2 * c2) / (count(*) - 5) AS s22 FROM dev)"""
+_SETS5 = f"""
+placed AS MATERIALIZED (SELECT anchor, grp, cand, dist, row_number() OVER (PARTITION BY anchor, grp ORDER BY round_even(dist * 1e10, 0), rank) AS place FROM edged),
+walk AS (
+  SELECT 0 AS n, CAST(NULL AS BIGINT) AS anchor, CAST([] AS BIGINT[]) AS c, CAST([] AS DOUBLE[]) AS d, CAST([] AS BIGINT[]) AS used
+  UNION ALL
+  SELECT n + 1, pick.anchor, pick.c, pick.d, list_concat(used, list_prepend(pick.anchor, pick.c)) FROM (
+    SELECT any_value(n) AS n, any_value(used) AS used, arg_min(s, ROW(round_even(s.d[1] + s.d[2] + s.d[3] + s.d[4], 10), s.anchor)) AS pick FROM (
+      SELECT n, used, {{'anchor': f.anchor, 'c': [{', '.join(f"max(f.cand) FILTER (WHERE f.grp = '{g}')" for g in _GROUPS5)}], 'd': [{', '.join(f"max(f.dist) FILTER (WHERE f.grp = '{g}')" for g in _GROUPS5)}]}} AS s
+      FROM (SELECT w.n, w.used, p.anchor, p.grp, arg_min(p.cand, p.place) AS cand, arg_min(p.dist, p.place) AS dist FROM walk w, placed p WHERE NOT list_contains(w.used, p.anchor) AND NOT list_contains(w.used, p.cand) GROUP BY ALL) f
+      GROUP BY n, used, f.anchor HAVING count(*) = 4)) WHERE pick IS NOT NULL)"""
+_SETS5_OUT = "SELECT CAST(n AS BIGINT) AS matched_set_id, anchor, " + ", ".join(f"c[{i}] AS {g}" for i, g in enumerate(_GROUPS5, 1)) + ", " + ", ".join(f"{_round(f'd[{i}]')} AS dist_{g}" for i, g in enumerate(_GROUPS5, 1)) + f", {_round('d[1] + d[2] + d[3] + d[4]')} AS loss FROM walk WHERE n > 0"
+# Multinomial logit with a fixed bound of the Hessian, on covariates made orthonormal: each step has a closed form.
+_FIT = """
+o1 AS (SELECT *, (x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER () AS e1 FROM scaled),
+o2 AS (SELECT *, x2 - avg(x2) OVER () - avg(x2 * e1) OVER () * e1 AS u2 FROM o1),
+o3 AS (SELECT *, u2 / sqrt(avg(u2 * u2) OVER ()) AS e2 FROM o2),
+o4 AS (SELECT *, x3 - avg(x3) OVER () - avg(x3 * e1) OVER () * e1 - avg(x3 * e2) OVER () * e2 AS u3 FROM o3),
+z AS MATERIALIZED (SELECT row_id, CAST(T = '%s' AS INT) AS ya, CAST(T = '%s' AS INT) AS yb, e1, e2, u3 / sqrt(avg(u3 * u3) OVER ()) AS e3 FROM o4),
+fit AS (
+  SELECT 0 AS n, %s
+  UNION ALL
+  SELECT n + 1, %s
+  FROM (SELECT n, %s, %s FROM (
+      SELECT fit.*, e1, e2, e3, ya - exp(a0 + a1 * e1 + a2 * e2 + a3 * e3) / (1 + exp(a0 + a1 * e1 + a2 * e2 + a3 * e3) + exp(b0 + b1 * e1 + b2 * e2 + b3 * e3)) AS ra,
+             yb - exp(b0 + b1 * e1 + b2 * e2 + b3 * e3) / (1 + exp(a0 + a1 * e1 + a2 * e2 + a3 * e3) + exp(b0 + b1 * e1 + b2 * e2 + b3 * e3)) AS rb
+      FROM fit, z WHERE n < 80) GROUP BY n)),
+linear AS (SELECT row_id, exp(a0 + a1 * e1 + a2 * e2 + a3 * e3) AS a, exp(b0 + b1 * e1 + b2 * e2 + b3 * e3) AS b FROM fit, z WHERE n = 80)""" % (
+    G1, G2, ", ".join(f"CAST(0 AS DOUBLE) AS {k}{i}" for k in "ab" for i in range(4)),
+    ", ".join(f"a{i} + 2 * (2 * ga{i} + gb{i})" for i in range(4)) + ", " + ", ".join(f"b{i} + 2 * (ga{i} + 2 * gb{i})" for i in range(4)),
+    ", ".join(f"any_value({k}{i}) AS {k}{i}" for k in "ab" for i in range(4)),
+    ", ".join(f"avg(r{k} * {e}) AS g{k}{i}" for k in "ab" for i, e in enumerate(("1", "e1", "e2", "e3"))),
+)
+# Student's quantile by its expansion about the normal one; with hundreds of sets the rest is below 1e-11.
+_T = f"t_ AS (SELECT z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4)) AS t FROM (SELECT {_Z} AS z, CAST(g - 1 AS DOUBLE) AS v FROM n_))"
+_SEED, _DRAWS = 1, 499
+_BOOT = f"""
+info AS (SELECT role, n * p * (1 - p) AS i, ln(p / (1 - p)) AS eta FROM arms),
+digests AS (SELECT matched_set_id, k, md5('{_SEED}:' || matched_set_id || ':' || k) AS h FROM (SELECT DISTINCT matched_set_id FROM res), range({-(-_DRAWS // 128)}) AS b(k)),
+signs AS (SELECT matched_set_id, k * 128 + b AS draw, 2 * (((strpos('0123456789abcdef', substr(h, CAST(b // 4 + 1 AS BIGINT), 1)) - 1) >> (3 - b % 4)) & 1) - 1 AS sign FROM digests, range(128) AS r(b) WHERE k * 128 + b < {_DRAWS}),
+drawn AS (SELECT draw, role, first(eta) + sum(sign * s) / first(i) AS eta FROM signs JOIN res USING (matched_set_id) JOIN info USING (role) GROUP BY 1, 2),
+pairs_ AS (SELECT g.role AS comparator, g.eta - a.eta AS lo, ln((1 / (1 + exp(-g.eta))) / (1 / (1 + exp(-a.eta)))) AS lr, 1 / (1 + exp(-g.eta)) - 1 / (1 + exp(-a.eta)) AS d FROM drawn g JOIN drawn a ON a.draw = g.draw AND a.role = '{A}' AND g.role <> '{A}'),
+boot AS (SELECT comparator, {', '.join(f'quantile_cont({c}, {q}) AS {c}_{n}' for c in ('lo', 'lr', 'd') for q, n in ((0.025, 'low'), (0.975, 'high')))} FROM pairs_ GROUP BY 1)"""
+_TIELESS = _AUC.replace(f"{A} * (1 + x3 / 1000000)", f"{A} * (1 + x3 / 1000000) / ({A} * (1 + x3 / 1000000) + {G1} + {G2})").replace(f"ELSE {G1} END", f"ELSE {G1} / ({A} * (1 + x3 / 1000000) + {G1} + {G2}) END").replace(f"THEN {G1} ELSE {G2} END", f"THEN {G1} / ({A} * (1 + x3 / 1000000) + {G1} + {G2}) ELSE {G2} / ({A} * (1 + x3 / 1000000) + {G1} + {G2}) END")
+
+
+def _spread(part: str, x: str) -> str:
+    named = {"mean": f"avg({x})", "median": f"median({x})", "sd": f"stddev_samp({x})", "p95": f"quantile_cont({x}, 0.95)", "max": f"max({x})"}
+    return " UNION ALL ".join(f"SELECT '{part}', '{n}', {e} FROM fixed" for n, e in named.items())
+
+
+_SMD_LONG = """SELECT 'smd', "group" || ':' || covariate, smd FROM smd
+UNION ALL SELECT 'mean_abs_smd', "group", avg(CASE WHEN smd_defined THEN abs(smd) END) FROM smd GROUP BY 2
+UNION ALL SELECT 'max_abs_smd', "group", max(CASE WHEN smd_defined THEN abs(smd) END) FROM smd GROUP BY 2
+UNION ALL SELECT 'n_undefined', "group", CAST(count(*) FILTER (WHERE NOT smd_defined) AS DOUBLE) FROM smd GROUP BY 2"""
+_SAMPLE = ", ".join(f"CAST(row_id % {k} AS DOUBLE) AS {n}" for k, n in zip((90, 11, 13, 17, 19, 23, 2, 3, 5, 7), cohorts.SAMPLE_COLUMNS[3:], strict=True))
+
+
+def _with_arms(arms: tuple[str, ...], *ctes: str, select: str, recursive: bool = False) -> str:
+    return _with(*ctes, select=select, recursive=recursive).replace(f"c_mktsegment IN ({_IN})", "c_mktsegment IN (" + ", ".join(f"'{a}'" for a in arms) + ")")
+
+
+def _sample(arms: tuple[str, ...]) -> str:
+    return _with_arms(arms, select=f"SELECT row_id AS synthetic_id, lower(T) AS treatment, y AS mortality_28d, {_SAMPLE}, row_number() OVER (ORDER BY row_id) - 1 AS row_id FROM cohort")
+
+
 _SETS_OUT = f"SELECT matched_set_id, anchor, c1 AS {G1}, c2 AS {G2}, {_round('d1')} AS dist_{G1}, {_round('d2')} AS dist_{G2}, {_round('d1 + d2')} AS loss FROM sets"
 _PTS = f"pts AS (SELECT row_id AS id, T AS arm, {A} AS p1, {G1} AS p2 FROM gps)"
 _CALIPER = "cal AS (SELECT 0.6 * sqrt(sum(v) / 3) AS caliper FROM (SELECT (var_samp(p1) + var_samp(p2)) / 2 AS v FROM pts GROUP BY arm))"
@@ -515,6 +676,30 @@ def oracle_sql() -> dict[str, str]:
   {_round('log_rr')} AS log_rr, {_round('se_rr')} AS se_log_rr, {_round('exp(log_rr)')} AS RR, {_round(f'exp(log_rr - {_Z} * se_rr)')} AS RR_ci_low, {_round(f'exp(log_rr + {_Z} * se_rr)')} AS RR_ci_high,
   {_round('rd')} AS RD, {_round('se_rd')} AS se_RD, {_round(f'rd - {_Z} * se_rd')} AS RD_ci_low, {_round(f'rd + {_Z} * se_rd')} AS RD_ci_high, ea IN (0, na) OR eg IN (0, ng) AS separation FROM eff""",
         ),
-        "contrasts_t": _with(_FIXED, _EFFECTS, select=f"SELECT comparator, {_round('log_or')} AS log_or, {_round('se_or')} AS se_log_or, {_round('rd')} AS RD, {_round('se_rd')} AS se_RD FROM eff"),
+        "contrasts_t": _with(
+            _FIXED, _EFFECTS, _T,
+            select=f"SELECT comparator, {_round('log_or')} AS log_or, {_round('se_or')} AS se_log_or, {_round('exp(log_or - t * se_or)')} AS OR_ci_low, {_round('exp(log_or + t * se_or)')} AS OR_ci_high, {_round('exp(log_rr - t * se_rr)')} AS RR_ci_low, {_round('exp(log_rr + t * se_rr)')} AS RR_ci_high, {_round('rd')} AS RD, {_round('se_rd')} AS se_RD, {_round('rd - t * se_rd')} AS RD_ci_low, {_round('rd + t * se_rd')} AS RD_ci_high FROM eff, t_",
+        ),
+        "contrasts_wild_bootstrap": _with(
+            _FIXED, _EFFECTS, _BOOT,
+            select=f"""SELECT '{A}' AS anchor, comparator, na AS n_anchor, ng AS n_comparator, ea AS events_anchor, eg AS events_comparator, {_round('pa')} AS risk_anchor, {_round('pg')} AS risk_comparator,
+  {_round('log_or')} AS log_or, {_round('se_or')} AS se_log_or, {_round('exp(log_or)')} AS "OR", {_round('exp(lo_low)')} AS OR_ci_low, {_round('exp(lo_high)')} AS OR_ci_high,
+  {_round('log_rr')} AS log_rr, {_round('se_rr')} AS se_log_rr, {_round('exp(log_rr)')} AS RR, {_round('exp(lr_low)')} AS RR_ci_low, {_round('exp(lr_high)')} AS RR_ci_high,
+  {_round('rd')} AS RD, {_round('se_rd')} AS se_RD, {_round('d_low')} AS RD_ci_low, {_round('d_high')} AS RD_ci_high, ea IN (0, na) OR eg IN (0, ng) AS separation FROM eff JOIN boot USING (comparator)""",
+        ),
+        "sam_matched_sets_five": _with_arms(ARMS5, _FIVE, _EDGE, _SETS5, select=_SETS5_OUT, recursive=True),
+        "gps_fit": _with(_FIT, select=f"SELECT row_id, {_round('1 / (1 + a + b)')} AS {A}, {_round('a / (1 + a + b)')} AS {G1}, {_round('b / (1 + a + b)')} AS {G2} FROM linear", recursive=True),
+        "evaluation": _with(
+            _FIXED, _SMD, _TIELESS,
+            select=f"SELECT part, name, {_round('value')} AS value FROM ({_spread('loss', '(d1 + d2)')} UNION ALL {_spread('dispersion', '(d1 * d1 + d2 * d2)')} UNION ALL {_SMD_LONG} UNION ALL SELECT 'auc', group_1 || ':' || group_2, auc FROM auc UNION ALL SELECT 'mean_auc', '', avg(greatest(auc, 1 - auc)) FROM auc UNION ALL SELECT 'matching_rate', '', (SELECT count(*) FROM fixed) / CAST(count(*) AS DOUBLE) FROM cohort WHERE T = '{A}') AS x(part, name, value)",
+        ),
+        "comparator_weighting": _with(
+            _TRIMMED, _OVERLAP, _WB,
+            select=f"SELECT part, name, {_round('value')} AS value FROM (SELECT 'ess', T, sum(weight) * sum(weight) / sum(weight * weight) FROM w GROUP BY T UNION ALL SELECT 'n', T, CAST(count(*) AS DOUBLE) FROM w GROUP BY T UNION ALL SELECT 'weight', T, sum(weight) FROM w GROUP BY T UNION ALL SELECT 'n_trimmed', '', CAST(n AS DOUBLE) FROM low UNION ALL {_SMD_LONG}) AS x(part, name, value)",
+        ),
+        "fingerprint": _with(select="SELECT change, (SELECT count(*) FROM cohort) AS n_rows, ids_moved, arms_moved, data_moved FROM (VALUES ('order', false, false, false), ('column', false, false, false), ('label', false, true, true), ('value', false, false, true), ('ids', true, true, true)) AS v(change, ids_moved, arms_moved, data_moved)"),
+        "sample_3group": _sample(ARMS),
+        "sample_4group": _sample(ARMS5[:4]),
+        "generated_cohort": "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS ids, CAST(4 AS BIGINT) AS arms, true AS finite, true AS binary",
         "analysis_summary": _with(_FIXED, _EFFECTS, select=f"SELECT '{A}' AS anchor_level, g AS n_matched_sets, 3::INT AS K, n AS n_subjects, CAST(0.95 AS DOUBLE) AS confidence_level, 'normal' AS ci_method FROM n_"),
     }

@@ -187,7 +187,7 @@ def test_identity_checks_name_the_cause(spark):
     search = P.gps_candidate_search(data, gps, "T", "A", 3)
     checks.check_data_fingerprint(search, data.repartition(5), "T", "x")
     checks.check_data_fingerprint(search, data.selectExpr("*", "1 AS more"), "T", "x")
-    for changed, said in ((data.limit(50), "row count"), (data.selectExpr("row_id + 1 AS row_id", "T", "x0", "x1", "x2", "y"), "ids changed"), (data.selectExpr("row_id", "T", "x0 + 1 AS x0", "x1", "x2", "y"), "column value")):
+    for changed, said in ((data.limit(50), "row count"), (data.selectExpr("row_id + 1 AS row_id", "T", "x0", "x1", "x2", "y"), "row_id. differ"), (data.selectExpr("row_id", "T", "x0 + 1 AS x0", "x1", "x2", "y"), "column value")):
         with pytest.raises(ValueError, match=said):
             P.sam_match(changed, search, ["x1"])
     with pytest.raises(ValueError, match="does not match the gps"):
