@@ -147,25 +147,29 @@ def bounded_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     before rank i, and is the first to do so, says that the common prefix at i is l.
     """
     n = len(bwt)
-    by_symbol = np.argsort(bwt, kind="stable")
-    back = np.empty(n, np.int64)  # where the suffix one byte longer ranks
-    back[by_symbol] = np.arange(n)
-    symbol = bwt[by_symbol]  # first byte of the suffix of each rank
+    kind = np.int32 if n < 1 << 31 else np.int64
+    back = np.empty(n, kind)  # where the suffix one byte longer ranks
+    back[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=kind)
     unset = np.ones(n + 1, bool)
     unset[[0, n]] = False
-    low, high = np.zeros(1, np.int64), np.full(1, n - 1)
+    low, high = np.zeros(1, kind), np.full(1, n - 1, kind)
     for _ in range(length):
-        sizes = high - low + 1
-        owner = np.repeat(np.arange(len(low)), sizes)
-        if not len(owner):
+        if not len(low):
             break
-        at = back[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner]]
-        order = np.argsort(at)
-        at, owner = at[order], owner[order]
-        cut = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (symbol[at[1:]] != symbol[at[:-1]])
-        first = np.concatenate([[True], cut])
-        last = np.concatenate([cut, [True]])
-        low, high = at[first], at[last]
+        sizes = high - low + 1
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1])
+        place = np.arange(total, dtype=kind) + np.repeat((low - (ends - sizes)).astype(kind), sizes)
+        owner = np.repeat(np.arange(len(low), dtype=kind), sizes)
+        # ranks ascend with their places among suffixes after one byte, so sorting by that byte sorts them
+        before = bwt[place]
+        order = np.argsort(before, kind="stable")
+        at, owner, before = back[place[order]], owner[order], before[order]
+        cut = at[1:] != at[:-1] + 1
+        cut |= owner[1:] != owner[:-1]
+        cut |= before[1:] != before[:-1]
+        where = np.flatnonzero(cut)
+        low, high = at[np.concatenate([[0], where + 1])], at[np.concatenate([where, [total - 1]])]
         fresh = unset[high + 1]
         low, high = low[fresh], high[fresh]
         unset[high + 1] = False
