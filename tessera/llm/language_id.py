@@ -5,9 +5,12 @@ those that maximise the likelihood of its trigrams, found by expectation-maximis
 take part is decided by penalised likelihood: starting from the best single language, the one that
 raises the likelihood most joins while the gain passes a penalty of half log n per language, with
 likelihoods divided by the trigram length because overlapping trigrams tell the same thing repeatedly.
-The prediction is the language with the largest share in the chosen set, the score is that share.
+The prediction is the language with the largest share in the chosen set. The score is that share times the
+posterior probability of the chosen among all that were learned, by the same likelihoods with equal priors,
+so a text of a few trigrams that several languages have scores low.
 
-Only text is looked at when predicting. Null texts and texts without a letter are `und` with score 0,
+Only text is looked at when predicting. Null texts and texts without a letter (a character of a letter
+category; fractions, superscripts and circled numbers are none) are `und` with score 0,
 and so is everything if no language was learned. A null lang or id is never learned from; a null id is
 not held out. Repeated rows are predicted one by one; extra columns are ignored; an empty table gives an
 empty result. Texts are read whole.
@@ -43,6 +46,11 @@ _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _FOLD[:33] = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; the expression also finds numbers that are no digits."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def features(data: np.ndarray) -> np.ndarray:
     """The hashed trigrams of a text, with a blank before and after."""
     x = _FOLD[np.concatenate([[32], data, [32]]).astype(np.uint8)]
@@ -119,15 +127,17 @@ def mixture(counts: np.ndarray, probabilities: np.ndarray, rounds: int = ROUNDS)
     return shares, float(counts @ np.log(shares @ probabilities))
 
 
-def infer(counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chosen languages, their shares) of one document's trigram counts."""
+def infer(counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chosen languages, their shares, all languages' posterior probabilities) of one document's trigram counts."""
     scale = logs.max(axis=0)
     probabilities = np.exp(logs - scale)  # the common factor cancels in shares and gains
     single = counts @ np.log(probabilities).T
+    posterior = np.exp((single - single.max()) / GRAM)
+    posterior /= posterior.sum()
     chosen = [int(single.argmax())]
     shares, best = np.ones(1), float(single[chosen[0]])
     if len(logs) == 1:
-        return np.array(chosen), shares
+        return np.array(chosen), shares, posterior
     all_shares, _ = mixture(counts, probabilities)
     penalty = 0.5 * np.log(max(counts.sum(), 2))
     order = [int(x) for x in np.argsort(-all_shares, kind="stable") if all_shares[x] >= LEAST_SHARE and x != chosen[0]]
@@ -139,7 +149,7 @@ def infer(counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         chosen.append(x)
         order.remove(x)
         shares, best = new_shares, ll
-    return np.array(chosen), shares
+    return np.array(chosen), shares, posterior
 
 
 def predict(docs: DataFrame, languages: list[str], logs: np.ndarray) -> DataFrame:
@@ -154,17 +164,17 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray) -> DataFram
             predicted, scores, mixed = [], [], []
             for i, text in enumerate(batch.column("text")):
                 value = text.as_py()
-                if not languages or value is None or not _LETTER.search(value):
+                if not languages or value is None or not has_letter(value):
                     predicted.append(UNDETERMINED), scores.append(0.0), mixed.append("")
                     continue
                 counts = np.zeros(FEATURES, np.int64)
                 for a, b in _pieces(int(offsets[i]), int(offsets[i + 1])):
                     counts += np.bincount(features(data[a:b]), minlength=FEATURES)
                 seen = np.flatnonzero(counts)
-                chosen, shares = infer(counts[seen].astype(float), own[:, seen])
+                chosen, shares, posterior = infer(counts[seen].astype(float), own[:, seen])
                 order = np.lexsort((chosen, -shares))
                 predicted.append(languages[chosen[order[0]]])
-                scores.append(float(min(1.0, shares[order[0]])))
+                scores.append(float(min(1.0, shares[order[0]] * posterior[chosen].sum())))
                 mixed.append(",".join(f"{languages[chosen[x]]}:{shares[x]:.2f}" for x in order))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(predicted, pa.string()), pa.array(scores, pa.float64()), pa.array(mixed, pa.string())], ["doc_id", "lang_pred", "score", "languages"])
 
