@@ -210,3 +210,38 @@ def test_bloom_filter_has_no_false_negatives(spark):
     probe = spark.range(6000).selectExpr("id", "concat('h', id, '.org/') AS canonical").withColumn("block", url_filters._block(url_filters.F.col("canonical"), 128))
     maybe = {r["id"] for r in probe.join(bloom, "block").where(url_filters._maybe(url_filters.F.col("canonical"))).select("id").collect()}
     assert set(range(3000)) <= maybe and len(maybe) < 3300
+
+
+@pytest.mark.parametrize("broadcast", [1 << 16, 16])
+def test_a_large_list(spark, monkeypatch, broadcast):
+    """300,000 entries: the verdicts are those of a lookup, and few candidates pass the filter without being listed."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(url_filters, "BROADCAST_BLOCKS", broadcast)
+    listed = spark.range(300_000).selectExpr("CASE id % 3 WHEN 0 THEN concat('h', id, '.org/') WHEN 1 THEN concat('site', id, '.com/a/b', id, '/') ELSE concat('www.p', id, '.net/page', id) END AS canonical")
+    urls = [f"http://h{i}.org/x/{i}" for i in range(0, 3000, 2)] + [f"https://sub.site{i}.com/a/b{i}/c?q" for i in range(0, 3000, 2)] + [f"http://www.p{i}.net/page{i}#f" for i in range(0, 3000, 2)] + ["http://h0.org/"] * 400 + [None, "http://h3.org"]
+    entries = {f"h{i}.org/" for i in range(0, 300_000, 3)} | {f"site{i}.com/a/b{i}/" for i in range(1, 300_000, 3)} | {f"www.p{i}.net/page{i}" for i in range(2, 300_000, 3)}
+
+    def verdict(url):
+        if url is None:
+            return "allow"
+        host, _, path = url.split("://")[1].split("?")[0].split("#")[0].partition("/")
+        labels, steps = host.split("."), path.split("/")
+        hosts = [".".join(labels[i:]) for i in range(len(labels) - 1)]
+        paths = ["/" + "".join(x + "/" for x in steps[:k]) for k in range(len(steps))] + ["/" + path]
+        return "block" if any(h + p in entries for h in hosts for p in paths) else "allow"
+
+    rows = [(i, u, "h", "p", 1, "c", 2, True) for i, u in enumerate(urls)]
+    table = spark.createDataFrame(rows, "page_id long, url string, host string, path string, salt int, canonical string, block int, found boolean")
+    out = url_filters.filter_urls(table, (), listed).collect()
+    assert len(out) == len(urls) and [r["verdict"] for r in sorted(out, key=lambda r: r["page_id"])] == [verdict(u) for u in urls]
+    blocks = 1 << (300_000 * url_filters.BITS_PER_ENTRY // 256 - 1).bit_length()
+    probe = spark.range(200_000).selectExpr("concat('other', id, '.org/') AS canonical").withColumn("block", url_filters._block(F.col("canonical"), blocks))
+    passed = probe.join(url_filters.bloom_filter(listed, blocks), "block").where(url_filters._maybe(F.col("canonical"))).count()
+    assert passed < 0.02 * 200_000
+
+
+def test_urls_of_null_and_repeated_ids(spark):
+    listed = spark.createDataFrame([("bad.org/",)], "canonical string")
+    out = url_filters.filter_urls(pages(spark, [(None, "http://bad.org/", ""), (None, None, ""), (4, "http://bad.org/", ""), (4, "http://good.org/", ""), (4, "http://good.org/", "")]), (), listed).collect()
+    assert sorted((r["page_id"] or -1, r["verdict"]) for r in out) == [(-1, "allow"), (-1, "block"), (4, "allow"), (4, "allow"), (4, "block")]
