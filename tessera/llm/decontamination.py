@@ -186,9 +186,20 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
     rng = np.random.default_rng(_SEED)
     k = min(rank, len(idf))
     boost = max(1.0, n_blocks / max(1, len(items)))
-    rows = np.zeros((len(items), len(idf)))
-    for i, (term, count) in enumerate(items):
-        rows[i, term] = count * idf[term]
+    # the items' rows of the matrix, sparse
+    term = np.concatenate([t for t, _ in items]) if items else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(items)), [len(t) for t, _ in items])
+    value = (np.concatenate([c for _, c in items]) if items else np.zeros(0)) * idf[term]
+
+    def of_items(right: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(items), right.shape[1]))
+        np.add.at(out, row, value[:, None] * right[term])
+        return out
+
+    def onto_terms(left: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(idf), left.shape[1]))
+        np.add.at(out, term, value[:, None] * left[row])
+        return out
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -210,7 +221,7 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
                 total[term[order[cut]]] += np.add.reduceat(back[order], cut, axis=0)
             yield _hand_over(total * idf[:, None])
 
-        return _sum_rows(blocks.mapInArrow(run, _PARTS), test.shape[1], len(idf)) + boost * (rows.T @ (rows @ test))
+        return _sum_rows(blocks.mapInArrow(run, _PARTS), test.shape[1], len(idf)) + boost * onto_terms(of_items(test))
 
     def gram(basis: np.ndarray) -> np.ndarray:
         weighted = (idf[:, None] * basis).astype(np.float32)
@@ -222,7 +233,7 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
                 total += z.T @ z
             yield _hand_over(total)
 
-        own = rows @ basis
+        own = of_items(basis)
         return _sum_rows(blocks.mapInArrow(run, _PARTS), basis.shape[1], basis.shape[1]) + boost * (own.T @ own)
 
     basis = np.linalg.qr(sweep(rng.standard_normal((len(idf), k))))[0]
