@@ -314,8 +314,3 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     left = without(named, gone, _node=F.col("_node"))
     once = left.where("_rows > 1").dropDuplicates(["_node"])
     return left.where("_rows is null or _rows = 1").unionByName(once).select(*docs.columns)
-
-
-def few_or_not(ids: DataFrame) -> DataFrame:
-    """ids in a table of their own, whose size tells Spark how to join it."""
-    return materialize(ids, "ids")

@@ -4,11 +4,14 @@ Base: words are runs of bytes other than space and 0x09-0x0D. A document fails i
 words, or if over 20 % of its words lie in 5-word windows that its text holds twice or more.
 
 Method: every language of the corpus has two reference distributions, gathered over all of its
-documents: character classes, and common words (the rest is one bin). A document is compared to them
-with the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) and passes if at
-least one language is within both limits. Short texts have noisy histograms, so each comparison has a
-least length, and shorter texts pass it. So do texts of a language with too little data for a reference:
-fewer than MIN_REFERENCE_DOCS documents, or none with words.
+documents that pass the base: character classes, and common words (the rest is one bin). A document is
+compared to them with the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) and passes
+if at least one language is within both limits. Short texts have noisy histograms, so each comparison has a
+least length, and shorter texts pass it; the words' limit is the wider the fewer words fall to a common one. Common are
+words with a share of at least COMMON_SHARE of their language's words, seen COMMON_COUNT times or more. A
+reference whose common words are less than COVER of its words, as of a language with little text, tells
+nothing about other texts, so only its own documents are held to it. Documents without a language pass if
+no reference covers more.
 
 Common words are found without a full dictionary: mergeable frequent-item summaries of `SUMMARY`
 counters keep every word with a share over 1/SUMMARY of a language's words, and a second pass counts
@@ -32,13 +35,12 @@ from . import words as W
 from .common import chunks, small_batches, utf8
 
 SUMMARY = 1000
-COMMON_WORDS = 100
-MIN_REFERENCE_DOCS = 5
+COMMON_SHARE, COMMON_COUNT, COVER = 1 / 500, 20, 0.1
 #: Limits of the Jensen-Shannon distance, and the lengths (characters, words) from which they hold.
 CHAR_LIMIT, CHAR_MIN = 0.30, 250
-WORD_LIMIT, WORD_MIN = 0.48, 40
-#: Added to the words' limit, over the root of their number: the histogram of a short text is noisy.
-WORD_NOISE = 0.15
+WORD_LIMIT, WORD_MIN = 0.20, 40
+#: Added to the words' limit, times the root of common words to the text's words: so noisy is its histogram.
+WORD_NOISE = 0.28
 
 _SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "newline", "sentence", "symbol", "beyond_ascii", "control")
@@ -103,10 +105,12 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
         data, offsets = utf8(batch.column("text"))
         for i, j in chunks(offsets):
-            h, first = lower_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            good = ~base(part, offs)[2]
+            h, first = lower_words(part, offs)
             row_lang = np.repeat(np.arange(j - i), np.diff(first))
             for lang in set(langs[i:j]) - {None}:
-                mine = h[(langs[i:j] == lang)[row_lang]]
+                mine = h[((langs[i:j] == lang) & good)[row_lang]]
                 u, c = np.unique(mine, return_counts=True)
                 old = held.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
                 held[lang] = _prune(np.concatenate([old[0], u]), np.concatenate([old[1], c]))
@@ -144,13 +148,13 @@ def language_references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarr
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
                 part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                good = ~base(part, offs)[2]
                 h, first = lower_words(part, offs)
                 classes = class_counts(part, offs)
                 row = np.repeat(np.arange(j - i), np.diff(first))
                 for lang in set(langs[i:j]) - {None}:
-                    mine = langs[i:j] == lang
+                    mine = (langs[i:j] == lang) & good
                     add((lang, "class"), classes[mine].sum(axis=0))
-                    add((lang, "docs"), np.array([mine.sum()]))
                     own, known = h[mine[row]], of.get(lang, np.zeros(0, np.uint64))
                     at = np.searchsorted(known, own)
                     hit = at < len(known)
@@ -165,10 +169,10 @@ def language_references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarr
     for lang, g in rows.groupby("lang"):
         get = lambda kind, size: np.bincount(g.loc[g.kind == kind, "at"].to_numpy(), g.loc[g.kind == kind, "n"].to_numpy(), minlength=size)  # noqa: B023, E731
         known = of.get(lang, np.zeros(0, np.uint64))
-        docs_n, classes, counts = get("docs", 1)[0], get("class", len(CLASSES)), get("word", len(known) + 1)
-        if docs_n < MIN_REFERENCE_DOCS or not counts.sum() or not classes.sum():
+        classes, counts = get("class", len(CLASSES)), get("word", len(known) + 1)
+        if not counts.sum() or not classes.sum():
             continue
-        best = np.sort(np.lexsort((known, -counts[:-1]))[:COMMON_WORDS])
+        best = np.flatnonzero((counts[:-1] >= COMMON_COUNT) & (counts[:-1] >= COMMON_SHARE * counts.sum()))
         shares = np.append(counts[:-1][best], counts.sum() - counts[:-1][best].sum()) / counts.sum()
         out[str(lang)] = (known[best], shares, classes / classes.sum())
     return out
@@ -207,6 +211,13 @@ def _repeat_words(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _per_row(np.cumsum(cover)[:-1] > 0, first)
 
 
+def base(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words in repeated windows, whether the base fails) of each text."""
+    exact, first = W.word_hashes(part, offs, lower=False)
+    n_words, repeats = np.diff(first), _repeat_words(exact, first)
+    return n_words, repeats, (n_words < 10) | (100 * repeats > 20 * n_words)
+
+
 def _dup_lines(text: bytes) -> int:
     lines = text.split(b"\n")
     if len(lines) < 2:
@@ -221,18 +232,17 @@ _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict, langs: list[str | None]) -> list[pa.Array]:
     """The columns _NAMES of some texts of the languages langs."""
     n = len(offs) - 1
-    exact, first = W.word_hashes(part, offs, lower=False)
-    n_words = np.diff(first)
-    repeats = _repeat_words(exact, first)
-    del exact
+    n_words, repeats, failed = base(part, offs)
     raw = part.tobytes()
     dup = np.fromiter((_dup_lines(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)), np.int64, n)
-    failed = (n_words < 10) | (100 * repeats > 20 * n_words)
     classes = class_counts(part, offs)
     chars = classes.sum(axis=1)
     h, low_first = lower_words(part, offs)
     row = np.repeat(np.arange(n), np.diff(low_first))
-    passed, near_c, near_w = np.fromiter((not refs or x is not None and x not in refs for x in langs), bool, n), np.full(n, np.inf), np.full(n, np.inf)
+    said = np.asarray(langs, dtype=object)
+    covers = {name: 1 - shares[-1] >= COVER for name, (_, shares, _) in refs.items()}
+    unheld = {x for x in said if x is not None and x not in refs} | (set() if any(covers.values()) else {None})
+    passed, near_c, near_w = np.fromiter((x in unheld for x in said), bool, n), np.full(n, np.inf), np.full(n, np.inf)
     for name in sorted(refs):
         known, shares, class_shares = refs[name]
         at = np.searchsorted(known, h)
@@ -242,8 +252,9 @@ def verdicts(part: np.ndarray, offs: np.ndarray, refs: dict, langs: list[str | N
         counts = np.bincount(row * k + np.where(hit, at, k - 1), minlength=n * k).reshape(n, k)
         dc = js_distance(classes / np.maximum(chars, 1)[:, None], class_shares)
         dw = js_distance(counts / np.maximum(n_words, 1)[:, None], shares)
-        passed |= ((chars < CHAR_MIN) | (dc <= CHAR_LIMIT)) & ((n_words < WORD_MIN) | (dw <= WORD_LIMIT + WORD_NOISE / np.sqrt(np.maximum(n_words, 1))))
-        better = dc + dw < near_c + near_w
+        held = np.full(n, covers[name]) | (said == name)
+        passed |= held & ((chars < CHAR_MIN) | (dc <= CHAR_LIMIT)) & ((n_words < WORD_MIN) | (dw <= WORD_LIMIT + WORD_NOISE * np.sqrt(len(known) / np.maximum(n_words, 1))))
+        better = held & (dc + dw < near_c + near_w)
         near_c, near_w = np.where(better, dc, near_c), np.where(better, dw, near_w)
     return [
         *(pa.array(x.astype(np.int64)) for x in (n_words, _per_row(_WORD_CHAR[part], offs), _per_row(_IS_SYMBOL[part], offs), dup, repeats)), pa.array(failed), pa.array(~failed & passed),

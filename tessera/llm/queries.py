@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup, url_filters, warc
 from .common import table
@@ -57,7 +58,8 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -65,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op4_minhash": _OP4, "op5_suffix_array_dedup": _OP5, "op9_secret_scans": _op9()}
+    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op4_minhash": _OP4, "op5_suffix_array_dedup": _OP5, "op9_secret_scans": _op9(), "op10_quality_rules": _op10()}
 
 
 _OP1 = """
@@ -142,3 +144,43 @@ sums AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS m FROM runs GR
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(m, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
 FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)
 """
+
+
+def _op10() -> str:
+    q = quality_rules
+    # the classes of quality_rules as sets of characters
+    sets = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09]", "newline": r"[\x0A-\x0D]", "sentence": r"""[.,;:?'"()-]""", "beyond_ascii": r"[^\x00-\x7F]", "control": r"[\x00-\x08\x0E-\x1F\x7F]", "symbol": r"""[^a-zA-Z0-9\x00-\x20\x7F.,;:?'"()\-\x{80}-\x{10FFFF}]"""}
+    counted = ", ".join("length(x) - length(regexp_replace(x, '{}', '', 'g')) AS c{}".format(sets[c].replace("'", "''"), i) for i, c in enumerate(q.CLASSES))
+    k = range(len(q.CLASSES))
+    term = lambda p, r: f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {r}) / 2)) ELSE 0 END + CASE WHEN {r} > 0 THEN {r} * log2({r} / (({p} + {r}) / 2)) ELSE 0 END)"
+    chars = " + ".join(term(f"(c{i} / CAST(greatest(chars, 1) AS DOUBLE))", f"r.q{i}") for i in k)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS x FROM documents),
+w AS MATERIALIZED (SELECT rid, regexp_extract_all(x, {_WORD}) AS w FROM d),
+windows AS (SELECT rid, i, md5_number(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT rid, h FROM windows GROUP BY rid, h HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS place FROM windows JOIN twice USING (rid, h)) GROUP BY rid),
+base AS MATERIALIZED (
+  SELECT rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, {_WORD})) AS lines, coalesce(c.n, 0) AS n_repeat_words, length(x) AS chars, {counted}
+  FROM d JOIN w USING (rid) LEFT JOIN covered c USING (rid)),
+judged AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+low AS MATERIALIZED (SELECT rid, CASE WHEN length(y) > 1 AND regexp_matches(y, '[.,;:!?]$') THEN left(y, length(y) - 1) ELSE y END AS word FROM (SELECT rid, unnest(list_transform(w, lambda y: {_LOWER.format("y")})) AS y FROM w)),
+counts AS MATERIALIZED (SELECT rid, word, count(*) AS n FROM low GROUP BY rid, word),
+good AS (SELECT rid, lang FROM judged WHERE NOT base_failed AND lang IS NOT NULL),
+totals AS (SELECT lang, CAST(sum(n) AS DOUBLE) AS n FROM good JOIN counts USING (rid) GROUP BY lang),
+common AS MATERIALIZED (SELECT g.lang, word, sum(c.n) / any_value(t.n) AS q FROM good g JOIN counts c USING (rid) JOIN totals t ON t.lang = g.lang GROUP BY g.lang, word HAVING sum(c.n) >= {q.COMMON_COUNT} AND sum(c.n) >= any_value(t.n) * {q.COMMON_SHARE}),
+shares AS (SELECT lang, {', '.join(f'sum(c{i}) / CAST(sum(chars) AS DOUBLE) AS q{i}' for i in k)} FROM judged WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang),
+refs AS (SELECT s.*, coalesce((SELECT sum(q) FROM common c WHERE c.lang = s.lang), 0) AS cover, CAST((SELECT count(*) FROM common c WHERE c.lang = s.lang) AS DOUBLE) AS k FROM shares s JOIN totals USING (lang)),
+met AS (SELECT rid, c.lang, sum({term('(n / CAST(n_words AS DOUBLE))', 'q')}) AS js, sum(q) AS q, CAST(sum(n) AS BIGINT) AS n FROM counts JOIN common c USING (word) JOIN judged USING (rid) GROUP BY rid, c.lang),
+near AS (
+  SELECT j.rid, r.lang, r.k, sqrt(greatest(({chars}) / 2, 0)) AS dc,
+         sqrt(greatest((coalesce(m.js, 0) + (r.cover - coalesce(m.q, 0)) + {term("((j.n_words - coalesce(m.n, 0)) / CAST(greatest(j.n_words, 1) AS DOUBLE))", "(1 - r.cover)")}) / 2, 0)) AS dw
+  FROM judged j JOIN refs r ON r.cover >= {q.COVER} OR r.lang = j.lang LEFT JOIN met m ON m.rid = j.rid AND m.lang = r.lang),
+best AS (
+  SELECT rid, bool_or((chars < {q.CHAR_MIN} OR dc <= {q.CHAR_LIMIT}) AND (n_words < {q.WORD_MIN} OR dw <= {q.WORD_LIMIT} + {q.WORD_NOISE} * sqrt(k / greatest(n_words, 1)))) AS passed, arg_min(dc, ROW(dc + dw, near.lang)) AS dc, arg_min(dw, ROW(dc + dw, near.lang)) AS dw
+  FROM near JOIN judged USING (rid) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (coalesce(passed, false) OR lang IS NOT NULL AND lang NOT IN (SELECT lang FROM refs) OR lang IS NULL AND NOT EXISTS (SELECT 1 FROM refs WHERE cover >= {q.COVER})) AS kept,
+       CASE WHEN chars >= {q.CHAR_MIN} THEN round(best.dc, 6) END AS char_distance, CASE WHEN n_words >= {q.WORD_MIN} THEN round(best.dw, 6) END AS word_distance
+FROM judged LEFT JOIN best USING (rid)"""

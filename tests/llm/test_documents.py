@@ -265,6 +265,54 @@ def test_language_mixtures(spark):
     assert none[0]["lang_pred"] == "und"
 
 
+@pytest.mark.parametrize("text,letter", [("½ ② ² 12_", False), ("①", False), ("٣", False), ("a", True), ("12 ß", True), ("½ж", True), ("中", True), ("", False), ("-- !", False)])
+def test_what_is_a_letter(text, letter):
+    assert language_id.has_letter(text) == letter
+
+
+def test_mixture_is_the_likeliest_of_a_grid():
+    rng = np.random.default_rng(3)
+    for _ in range(8):
+        p = rng.dirichlet(np.full(300, 0.3), 2) + 1e-9
+        p /= p.sum(axis=1, keepdims=True)
+        share = rng.random()
+        counts = rng.multinomial(400, share * p[0] + (1 - share) * p[1]).astype(float)
+        grid = np.linspace(0, 1, 2001)
+        likely = np.array([counts @ np.log(g * p[0] + (1 - g) * p[1]) for g in np.clip(grid, 1e-9, 1 - 1e-9)])
+        found, ll = language_id.mixture(counts, p, 2000)
+        assert abs(found[0] - grid[likely.argmax()]) < 0.02 and ll >= likely.max() - 0.05
+
+
+def test_languages_of_held_out_documents(spark):
+    """Accuracy on what was not learned from; whole texts, their first words, and halves of two languages."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    languages, logs = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    held = docs.where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    first = lambda n: F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " ")
+    least, scores = {None: 0.99, 10: 0.99, 3: 0.95, 1: 0.7}, []
+    for n, want in least.items():
+        part = held.select("doc_id", (first(n) if n else F.col("text")).alias("text"), "lang")
+        found = language_id.predict(part.select("doc_id", "text"), languages, logs).join(part.select("doc_id", "lang"), "doc_id")
+        right, score = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.avg("score")).first()
+        print("words", n, "right", right, "score", score)
+        assert right >= want, (n, right)
+        scores.append(score)
+    assert scores[-1] == min(scores) < 0.97 and abs(scores[-1] - right) < 0.06  # one word leaves doubt, and the score says so
+    two = held.where("lang = 'de' and length(text) > 500").limit(20).select(first(60).alias("a"), F.monotonically_increasing_id().alias("k")).collect(), held.where("lang = 'es' and length(text) > 500").limit(20).select(first(60).alias("b")).collect()
+    mixed = spark.createDataFrame([(i, x["a"] + " " + y["b"]) for i, (x, y) in enumerate(zip(*two))], "doc_id long, text string")
+    rows = language_id.predict(mixed, languages, logs).collect()
+    assert sum({x.split(":")[0] for x in r["languages"].split(",")} == {"de", "es"} for r in rows) >= 0.9 * len(rows) > 0
+    assert all(r["score"] < 0.8 for r in rows if "," in r["languages"])
+
+
+def test_language_of_null_and_repeated_ids(spark):
+    rows = [(1, "der die das und ist nicht " * 5, "de"), (3, "the of and to in is that " * 5, "en"), (None, "the of and", "en"), (3, "und das ist der", None), (3, "und das ist der", None), (4, None, None)]
+    got = language_id.identify(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, languages string, score int")).collect()
+    assert sorted((r["doc_id"] or -1, r["lang_pred"]) for r in got) == sorted([(1, "de"), (3, "en"), (-1, "en"), (3, "de"), (3, "de"), (4, "und")])
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 BASE = {"assign": (rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), "access": (rb"AKIA[A-Z0-9]+", 0, 16), "hex": (rb"[0-9a-f]+", 0, 32)}
@@ -413,12 +461,71 @@ def test_quality_of_languages_with_few_documents(spark):
     foreign = lambda: " ".join("".join(rng.choice("бвгджзклмнопрст") for _ in range(rng.randrange(3, 9))) for _ in range(120))
     rows = [(i, prose(rng, 200), "en") for i in range(30)] + [(100 + i, foreign(), "ru") for i in range(4)] + [(200, foreign(), None), (201, foreign(), "en"), (202, "ab " * 100, "ru"), (203, "a b", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    rare = docs.where("doc_id not in (100)")  # three texts of ru and one of repeats: no reference
+    rare = docs.where("doc_id not in (100)")  # three texts of ru and one of repeats: no common words
     got = by_id(quality_rules.judge(rare))
     assert all(got[i]["kept"] for i in (*range(30), 101, 102, 103)) and not any(got[i]["kept"] for i in (200, 201, 202, 203))
     assert {r["doc_id"] for r in quality_rules.keep(rare).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def slow_reference(texts):
+    """(shares of common words, share of the rest, class shares) of one language's texts that pass the base."""
+    words, chars = Counter(), Counter()
+    for t in texts:
+        n, *_, repeats = slow_base(t)
+        if n < 10 or 100 * repeats > 20 * n:
+            continue
+        words.update(w[:-1] if len(w) > 1 and w[-1:] in b".,;:!?" else w for w in t.encode().translate(ASCII_LOWER).split())
+        chars.update(quality_rules.CLASSES[quality_rules._CLASS[c.encode()[0]]] for c in t)
+    total = sum(words.values())
+    common = {w: n / total for w, n in words.items() if n >= 20 and n >= total / 500}
+    return common, 1 - sum(common.values()), {c: chars[c] / max(1, sum(chars.values())) for c in quality_rules.CLASSES}
+
+
+def slow_distance(p, q):
+    from math import log2, sqrt
+
+    keys = set(p) | set(q)
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in keys}
+    return sqrt(max(0.0, sum(x[k] * log2(x[k] / m[k]) for x in (p, q) for k in keys if x.get(k, 0) > 0) / 2))
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    rng = random.Random(28)
+    foreign = lambda n: " ".join(rng.choice(("der", "die", "das", "und", "nicht", "größe", "straße")) + rng.choice(("", "", ",", ".")) for _ in range(n))
+    texts = [prose(rng, rng.randrange(5, 400)) for _ in range(50)] + [foreign(rng.randrange(30, 300)) for _ in range(30)] + [" ".join(w + "!!$$" for w in prose(rng, 150).split()) for _ in range(8)] + ["q" * 300, " " * 300, "7 " * 200, None]
+    langs = ["en"] * 50 + ["de"] * 30 + ["en", "de", None, "xx"] * 2 + ["en", "en", None, "de"]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    refs = {g: slow_reference([t or "" for t, x in zip(texts, langs, strict=True) if x == g]) for g in ("de", "en", "xx")}
+    refs = {g: r for g, r in refs.items() if sum(r[2].values())}
+    got = by_id(quality_rules.judge(docs))
+    for i, (t, g) in enumerate(zip(texts, langs, strict=True)):
+        n, *_, repeats = slow_base(t)
+        words = Counter(w[:-1] if len(w) > 1 and w[-1:] in b".,;:!?" else w for w in (t or "").encode().translate(ASCII_LOWER).split())
+        chars = Counter(quality_rules.CLASSES[quality_rules._CLASS[c.encode()[0]]] for c in t or "")
+        size, passed, near = len(t or ""), not any(1 - r[1] >= 0.1 for r in refs.values()) and g is None or g is not None and g not in refs, []
+        for name, (common, rest, classes) in sorted(refs.items()):
+            if 1 - rest < 0.1 and name != g:
+                continue
+            own = {w: words[w] / n for w in common if words[w]} | {None: 1 - sum(words[w] for w in common) / n} if n else {}
+            dw = slow_distance(own, common | {None: rest})
+            dc = slow_distance({c: x / size for c, x in chars.items()} if size else {}, classes)
+            near.append((dc + dw, name, dc, dw))
+            passed |= (size < 250 or dc <= quality_rules.CHAR_LIMIT) and (n < 40 or dw <= quality_rules.WORD_LIMIT + quality_rules.WORD_NOISE * (len(common) / max(n, 1)) ** 0.5)
+        failed = n < 10 or 100 * repeats > 20 * n
+        assert (got[i]["base_failed"], got[i]["kept"]) == (failed, passed and not failed), (i, t)
+        best = min(near)
+        assert got[i]["char_distance"] == (pytest.approx(best[2], abs=1e-9) if size >= 250 else None)
+        assert got[i]["word_distance"] == (pytest.approx(best[3], abs=1e-9) if n >= 40 else None)
+
+
+def test_quality_of_null_and_repeated_ids(spark):
+    rng = random.Random(1)
+    good = [prose(rng, 150) for _ in range(30)]
+    rows = [(None, good[0]), (None, None), (5, good[1]), (5, "a b"), (5, "a b"), *((10 + i, t) for i, t in enumerate(good))]
+    got = quality_rules.judge(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in got if r["doc_id"] in (None, 5)) == Counter({(None, True): 1, (None, False): 1, (5, True): 1, (5, False): 2})
+
+
 def test_frequent_words_summary_keeps_the_frequent():
     rng = np.random.default_rng(2)
     words = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 3000), rng.integers(10, 10**6, 20000).astype(np.uint64)])
@@ -473,6 +580,62 @@ def test_decontamination_of_long_items_and_of_changed_rare_words(spark):
     assert want == got, (want - got, got - want)
 
 
+def exhaustive_pairs(texts, items, span=8):
+    """Pairs by the rule alone: every region of an item's length and a half on either side, a few words apart."""
+    import pyarrow as pa
+
+    held = [decontamination.Item(q, x) for q, x in enumerate(items)]
+    out = set()
+    for d, t in enumerate(texts):
+        words = decontamination.lower_words(*decontamination.utf8(pa.array([t or ""])))[0].tolist()
+        for q, item in enumerate(held):
+            n = len(item.words)
+            for at in range(0, max(1, len(words) - n), span):
+                share, answer = item.common(words[max(0, at - n // 2) : at + n + n // 2 + span])
+                if share >= decontamination.LCS_SURE or share >= decontamination.LCS_LEAST and answer >= decontamination.ANSWER:
+                    out.add((d, q))
+                    break
+    return out
+
+
+def test_recall_of_paraphrases(spark):
+    """Words swapped with a neighbour, inserted, or replaced, at rates of 10 to 40 %: of what an exhaustive search by
+    the same rule finds, the retrieval finds nearly all."""
+    rng = random.Random(61)
+    rare = lambda: f"{rng.choice('bcdfghk')}{rng.choice('aeiou')}{rng.randrange(400)}"
+    items = [" ".join(rare() if rng.random() < 0.5 else rng.choice(prose(rng, 1).split()) for _ in range(rng.randrange(25, 90))) + " ? " + " ".join(rare() for _ in range(6)) for _ in range(30)]
+    texts, planted = [prose(rng, 250) for _ in range(40)], {}
+    for q, item in enumerate(items):
+        for kind in ("swap", "insert", "replace"):
+            for rate in (0.1, 0.2, 0.3, 0.4):
+                words = []
+                for w in item.split():
+                    if rng.random() >= rate:
+                        words.append(w)
+                    elif kind == "swap" and words:
+                        words.insert(len(words) - 1, w)
+                    elif kind == "insert":
+                        words += [prose(rng, 1), w]
+                    else:
+                        words.append(prose(rng, 1))
+                planted[len(texts)] = (kind, rate)
+                texts.append(prose(rng, 60) + " " + " ".join(words) + " " + prose(rng, 60))
+    want = {(d, q) for d, q in exhaustive_pairs(texts, items)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    missed = Counter(planted.get(d) for d, _ in want - got)
+    print("recall", len(want & got) / len(want), "of", len(want), "missed", missed, "more", len(got - want))
+    assert len(want) > 250 and len(want & got) >= 0.97 * len(want), missed
+    assert all(d in planted for d, _ in got)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    item = " ".join(f"{rng.choice('bcdfg')}{rng.randrange(900)}" for _ in range(30))
+    rows = [(None, f"x {item} y"), (3, item), (3, "some other words"), (3, item), (None, None)]
+    got = decontamination.contaminated(documents(spark, [t for _, t in rows], [i for i, _ in rows]), spark.createDataFrame([(None, item), (7, item)], "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter({(None, None): 1, (None, 7): 1, (3, None): 2, (3, 7): 2})
+
+
 def test_decontamination_of_items_of_few_words(spark):
     texts = ["a Blue, whale sings here", "blue", "whale blue", None, "", "the end blue", "whale starts", "forty two is the answer", "so forty two is the", "blue whale blue whale"]
     items = [(1, "blue whale"), (2, "Answer"), (3, "forty two is the"), (4, "?"), (5, None), (6, "whale sings there"), (7, "blue whale")]

@@ -39,3 +39,27 @@ def test_stages_in_turn(spark, tmp_path):
         else:
             assert ids == {r[0] for r in docs.select("doc_id").collect()}
         docs = out
+
+
+def test_pipeline_leaves_its_last_table_only(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        assert out.count() > 0 and out.select("doc_id").distinct().count() <= table(spark, SF, "documents").count()
+        assert sorted(p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()) == ["packing"]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        import tempfile
+
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tests-"))
+
+
+def test_stages_on_nulls_and_on_empty_tables(spark):
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (None, "a b c", "en", None, 5), (2, None, "fr", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for some in (docs, docs.limit(0)):
+        own = some
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, own, SF)
+            assert out.count() <= 4 and (name == "packing" or out.columns == docs.columns)
+            own = some if name == "quality_rules" else out  # short texts do not pass the rules
