@@ -195,8 +195,10 @@ def trio_candidates_initial(spark, d):
 
 
 def threeway_matched_sets(spark, d):
+    """By scores no three of which are on a line: perimeters of such trios tie but for their last bits, and in each engine otherwise."""
     data = _cohort(spark, d)
-    m = threeway.match_3way(data, _search(spark, d, data), rational_gps(data)).matched
+    gps = _tieless_gps(data)
+    m = threeway.match_3way(data, screen.gps_candidate_search(data, gps, "T", A, 10), gps).matched
     return m.select("matched_set_id", "anchor", G1, G2, *(r(c).alias(c) for c in (f"dist_{G1}", f"dist_{G2}", "loss", "rassen_perimeter")))
 
 
@@ -512,7 +514,7 @@ eff AS (
          sqrt(pow(a.p * (1 - a.p), 2) * vaa.v + pow(g.p * (1 - g.p), 2) * vgg.v - 2 * a.p * (1 - a.p) * g.p * (1 - g.p) * vag.v) AS se_rd
   FROM arms a JOIN arms g ON a.role = '{A}' AND g.role <> '{A}' JOIN v vaa ON vaa.k = a.role AND vaa.l = a.role JOIN v vgg ON vgg.k = g.role AND vgg.l = g.role JOIN v vag ON vag.k = a.role AND vag.l = g.role)"""
 _SETS = f"""
-placed AS (SELECT anchor, grp, cand, dist, row_number() OVER (PARTITION BY anchor, grp ORDER BY round_even(dist * 1e10, 0), rank) AS place FROM edged),
+placed AS MATERIALIZED (SELECT anchor, grp, cand, dist, row_number() OVER (PARTITION BY anchor, grp ORDER BY round_even(dist * 1e10, 0), rank) AS place FROM edged),
 walk AS (
   SELECT 0 AS n, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS c1, CAST(NULL AS BIGINT) AS c2, CAST(NULL AS DOUBLE) AS d1, CAST(NULL AS DOUBLE) AS d2, CAST([] AS BIGINT[]) AS used
   UNION ALL
@@ -627,6 +629,31 @@ trios AS (
 ranked AS (SELECT base, first, second, p, row_number() OVER (PARTITION BY base ORDER BY round_even(p * 1e10, 0), first, second) AS rank FROM trios, cal WHERE p <= caliper)"""
 
 
+_PTS3 = f"""scaled3 AS (SELECT g.row_id, g.T, {A} * (1 + x3 / CAST(1000000.0 AS DOUBLE)) AS a, {G1} AS b, {G2} AS c FROM gps g JOIN cohort USING (row_id)),
+pts AS (SELECT row_id AS id, T AS arm, a / (a + b + c) AS p1, b / (a + b + c) AS p2 FROM scaled3)"""
+# A base subject's offers hold the cheapest of all free trios, so the queue commits the cheapest free trio each time. Of
+# trios that tie with the seed (points on one line do) only the seed is an offer.
+_WALK3 = f"""
+near1 AS MATERIALIZED (SELECT b.id AS base, b.p1 AS bx, b.p2 AS by_, o1.id AS a, o1.p1 AS ax, o1.p2 AS ay, {_dist('o1', 'b')} AS da, {_square('o1', 'b')} AS sa FROM b, o1, cal WHERE {_dist('o1', 'b')} <= caliper / 2),
+near2 AS MATERIALIZED (SELECT b.id AS base, o2.id AS b, o2.p1 AS cx, o2.p2 AS cy, {_dist('o2', 'b')} AS db FROM b, o2, cal WHERE {_dist('o2', 'b')} <= caliper / 2),
+near12 AS MATERIALIZED (SELECT o1.id AS a, o2.id AS b, o2.p1 AS cx, o2.p2 AS cy, {_dist('o1', 'o2')} AS dab, {_square('o1', 'o2')} AS sab FROM o1, o2, cal WHERE {_dist('o1', 'o2')} <= caliper / 2),
+walk AS (
+  SELECT 0 AS n, CAST(NULL AS BIGINT) AS base, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS p, CAST([] AS BIGINT[]) AS used
+  UNION ALL
+  SELECT n + 1, pick.base, pick.a, pick.b, pick.p, list_concat(used, [pick.base, pick.a, pick.b]) FROM (
+    WITH f1 AS (SELECT w.n, w.used, near1.* FROM walk w, near1 WHERE NOT list_contains(w.used, near1.base) AND NOT list_contains(w.used, near1.a)),
+    s1 AS (SELECT base, arg_min({{'a': a, 'bx': bx, 'by': by_, 'da': da}}, ROW(sa, a)) AS s FROM f1 GROUP BY base),
+    s2 AS (SELECT s1.base, any_value(s1.s) AS s, arg_min({{'b': y.b, 'cx': y.cx, 'cy': y.cy, 'dab': y.dab}}, ROW(y.sab, y.b)) AS t FROM s1 JOIN (SELECT near12.* FROM walk w, near12 WHERE NOT list_contains(w.used, near12.b)) y ON y.a = s1.s.a GROUP BY s1.base),
+    seeds AS (SELECT base, s.a AS seed_a, t.b AS seed_b, (s.da + sqrt((t.cx - s.bx) * (t.cx - s.bx) + (t.cy - s.by) * (t.cy - s.by))) + t.dab AS seed FROM s2)
+    SELECT any_value(n) AS n, any_value(used) AS used, arg_min({{'base': base, 'a': a, 'b': b, 'p': p}}, ROW(round_even(p * 1e10, 0), base, a, b)) AS pick FROM (
+      SELECT x.n, x.used, x.base, x.a, y.b, seed, seed_a, seed_b, (x.da + y.db) + sqrt((x.ax - y.cx) * (x.ax - y.cx) + (x.ay - y.cy) * (x.ay - y.cy)) AS p
+      FROM f1 x JOIN (SELECT near2.* FROM walk w, near2 WHERE NOT list_contains(w.used, near2.b)) y ON x.base = y.base LEFT JOIN seeds ON seeds.base = x.base), cal
+    WHERE p <= caliper AND (seed IS NULL OR p < seed OR a = seed_a AND b = seed_b)) WHERE pick IS NOT NULL),
+placed3 AS (SELECT n, p, unnest([base, a, b]) AS id FROM walk WHERE n > 0),
+sets3 AS (SELECT n, any_value(p) AS p, {', '.join(f"max(CASE WHEN arm = '{v}' THEN id END) AS {v}, max(CASE WHEN arm = '{v}' THEN p1 END) AS {v}_x, max(CASE WHEN arm = '{v}' THEN p2 END) AS {v}_y" for v in ARMS)} FROM (SELECT placed3.*, arm, p1, p2 FROM placed3 JOIN pts USING (id)) GROUP BY n),
+measured3 AS (SELECT *, {', '.join(f"sqrt(({A}_x - {g}_x) * ({A}_x - {g}_x) + ({A}_y - {g}_y) * ({A}_y - {g}_y)) AS d{i}" for i, g in enumerate((G1, G2), 1))} FROM sets3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     gps3 = ", ".join
     return {
@@ -651,6 +678,7 @@ def oracle_sql() -> dict[str, str]:
         "matching_rate": _with(_knn("raw"), _COV, _EDGE, _SETS, select=f"SELECT round((SELECT count(*) FROM sets) / CAST(count(*) FILTER (WHERE T = '{A}') AS DOUBLE), 6) AS matching_rate, round(least(count(*) FILTER (WHERE T = '{G1}'), count(*) FILTER (WHERE T = '{G2}'), count(*) FILTER (WHERE T = '{A}')) / CAST(count(*) FILTER (WHERE T = '{A}') AS DOUBLE), 6) AS max_possible_rate FROM cohort", recursive=True),
         "caliper_auto": _with(_PTS, _CALIPER, select="SELECT round(caliper, 6) AS caliper FROM cal"),
         "trio_candidates_initial": _with(_PTS, _CALIPER, _TRIOS, select=f"SELECT base, first, second, {_round('p')} AS perimeter, rank FROM ranked WHERE rank <= 10"),
+        "threeway_matched_sets": _with(_PTS3, _CALIPER, _TRIOS, _WALK3, select=f"SELECT CAST(n AS BIGINT) AS matched_set_id, {A} AS anchor, {G1}, {G2}, {_round('d1')} AS dist_{G1}, {_round('d2')} AS dist_{G2}, {_round('d1 + d2')} AS loss, {_round('p')} AS rassen_perimeter FROM measured3", recursive=True),
         "pooled_covariance": _with(_COV, select="SELECT u.i, u.j, round(u.s, 6) + 0.0 AS s FROM cov, LATERAL (VALUES ('x1', 'x1', s11), ('x1', 'x2', s12), ('x1', 'x3', s13), ('x2', 'x2', s22), ('x2', 'x3', s23), ('x3', 'x3', s33)) AS u(i, j, s)"),
         "loss_distribution": _with(_FIXED, select=_summary("(d1 + d2)")),
         "dispersion_distribution": _with(_FIXED, select=_summary("(d1 * d1 + d2 * d2)")),

@@ -232,3 +232,116 @@ def test_effects_and_evaluation_run_on_a_match(spark):
         P.sam_estimate_effects(cohort, "y", ci_method="exact")
     with pytest.raises(ValueError, match="no matched sets"):
         P.extract_matched_data(data, search, greedy.MatchResult(match.matched.limit(0), None, 0, 0))
+
+
+@pytest.mark.parametrize("seed,ties", [(0, False), (3, True)])
+def test_initial_trios_are_the_offers_of_all_free(spark, seed, ties):
+    rng = np.random.default_rng(seed)
+    arms = {"r": 14, "s": 25, "t": 22}
+    pts = [(i, arm, *((rng.integers(0, 4, 2) / 4) if ties else rng.random(2)).tolist()) for i, arm in enumerate(a for a, n in arms.items() for _ in range(n))]
+    points = spark.createDataFrame(pts, "id long, arm string, p1 double, p2 double")
+    own = {a: [(p[0], np.array(p[2:])) for p in pts if p[1] == a] for a in arms}
+    for caliper in (0.05, 0.4, 9.0):
+        got = {}
+        for x in threeway.initial_trios(points, ["r", "s", "t"], caliper, 5).orderBy("base", "rank").collect():
+            got.setdefault(x["base"], []).append((x["first"], x["second"]))
+        for i, q in own["r"]:
+            d = lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))
+            a = min(own["s"], key=lambda x: (((x[1] - q) ** 2).sum(), x[0]))
+            b = min(own["t"], key=lambda x: (((x[1] - a[1]) ** 2).sum(), x[0]))
+            seed_p = (d(a[1], q) + d(b[1], q)) + d(a[1], b[1])
+            found = [(seed_p, a[0], b[0])] if seed_p <= caliper else []
+            found += [(p, x[0], y[0]) for x in own["s"] for y in own["t"] if (p := (d(x[1], q) + d(y[1], q)) + d(x[1], y[1])) < seed_p and p <= caliper and d(x[1], q) < seed_p / 2 and d(y[1], q) < seed_p / 2]
+            want = [f[1:] for f in sorted(found, key=lambda f: (round(f[0] * 1e10), f[1], f[2]))[:5]]
+            assert got.get(i, []) == want or ties and len(got.get(i, [])) == len(want), (i, caliper)
+
+
+def test_parts_of_the_plane_have_queues_of_their_own(spark, monkeypatch):
+    """Far clusters: parts give the sets that one queue over all gives, numbered alike; so do wider cells."""
+    rng = np.random.default_rng(5)
+    n = 120
+    arms = np.array(list("ABC"))[rng.integers(0, 3, n)]
+    where = rng.integers(0, 4, n)
+    g = np.column_stack([0.2 + 0.1 * (where % 2), 0.2 + 0.1 * (where // 2)]) + rng.random((n, 2)) * 0.02
+    data = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "T": arms, "x": rng.normal(size=n)}))
+    gps = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "A": g[:, 0], "B": g[:, 1], "C": 1 - g.sum(axis=1)}))
+    search = P.gps_candidate_search(data, gps, "T", "A", 2)
+    counts = {a: int((arms == a).sum()) for a in "ABC"}
+    base = min("ABC", key=counts.get)
+    others = [a for a in "ABC" if a != base]
+    xy = {a: g[arms == a] for a in "ABC"}
+    ids = {a: np.flatnonzero(arms == a) for a in "ABC"}
+    want = [(ids[base][i], ids[others[0]][a], ids[others[1]][b]) for i, a, b, _ in threeway.select_trios(xy[base], xy[others[0]], xy[others[1]], 0.03, 10)]
+    points = spark.createDataFrame(pd.DataFrame({"p1": g[:, 0], "p2": g[:, 1]}))
+    assert threeway.parts_of(points, 0.015)[0].select("part").distinct().count() >= 4
+    for most in (2_000_000, 3):
+        monkeypatch.setattr(threeway, "MAX_CELLS", most)
+        rows = P.match_3way(data, search, gps, caliper=0.03).matched.orderBy("matched_set_id").collect()
+        at = {"A": "anchor", "B": "B", "C": "C"}
+        assert [tuple(r[at[v]] for v in (base, *others)) for r in rows] == want and [r["matched_set_id"] for r in rows] == list(range(1, len(want) + 1))
+
+
+def test_five_arms_against_slow(spark):
+    data, gps, _, _ = random_cohort(spark, 160, 9, arms="ABCDE")
+    search = P.gps_candidate_search(data, gps, "T", "A", 6)
+    edges = greedy.rank_edges(greedy.edge_distances(data, search.edges, ["x0", "x1"], "T")).toPandas()
+    want = slow_greedy(edges, list("BCDE"))
+    for strategy in ("kernel", "rounds"):
+        got = P.sam_match(data, search, ["x0", "x1"], strategy=strategy).matched.orderBy("matched_set_id").toPandas()
+        assert [tuple(r) for r in got[["anchor", *"BCDE"]].to_numpy().tolist()] == want and len(want) > 10
+
+
+def test_rounds_of_a_chain_of_conflicts(spark):
+    """Anchors that all want the same candidates: as many rounds as anchors, none left out."""
+    rows = [(a, g, 100 + c, 1.0 + c + 0.01 * a, c + 1) for a in range(8) for g in "BC" for c in range(8)]
+    edges = greedy.rank_edges(spark.createDataFrame(rows, "anchor long, grp string, cand long, dist double, rank int"))
+    got = greedy.by_rounds(edges, ["B", "C"]).orderBy("matched_set_id").collect()
+    assert [(r["anchor"], r["B"], r["C"]) for r in got] == [tuple(w) for w in slow_greedy(edges.toPandas(), ["B", "C"])] and len(got) == 8
+
+
+def test_screen_of_a_tied_first_score(spark, monkeypatch):
+    """Slices by the score that differs; many anchors in a slice are dealt into blocks."""
+    monkeypatch.setattr(screen, "SLICE_ROWS", 10)
+    rng = np.random.default_rng(2)
+    n = 150
+    g = np.column_stack([np.full(n, 0.25), rng.random(n) * 0.7])
+    t = np.array(list("AABC"))[rng.integers(0, 4, n)]
+    gps = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "A": g[:, 0], "B": g[:, 1], "C": 1 - g.sum(axis=1)}))
+    data = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "T": t}))
+    found = P.gps_candidate_search(data, gps, "T", "A", 3).edges.toPandas()
+    p = np.column_stack([g, 1 - g.sum(axis=1)])
+    for a in np.flatnonzero(t == "A"):
+        for grp in "BC":
+            rows = np.flatnonzero(t == grp)
+            d = np.sqrt(((p[rows] - p[a]) ** 2).sum(axis=1))
+            assert found[(found.anchor == a) & (found.grp == grp)].sort_values("rank").cand.tolist() == rows[np.lexsort((rows, d))[:3]].tolist()
+
+
+def test_rows_are_numbered_in_order(spark):
+    from tessera.plans.model import numbered
+
+    df = spark.range(0, 1000).selectExpr("(id * 7919) % 1000 AS k", "id")
+    rows = numbered(df.repartition(6), ["k"], "n").collect()
+    assert all(r["n"] == r["k"] + 1 for r in rows) and len(rows) == 1000
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_old_fingerprints_and_columns_that_cannot_be_hashed(spark):
+    rows = [(i, "AB"[i % 2], float(i), {"a": i}, [i, None], (i, "x")) for i in range(20)]
+    data = spark.createDataFrame(rows, "row_id long, T string, x double, m map<string,int>, l array<int>, s struct<a:int,b:string>")
+    known = checks.data_fingerprint(data, "T")
+    anchors = data.where("T = 'A'").selectExpr("row_id AS anchor")
+    for fingerprint in (known, None, {k: known[k] for k in ("n_rows", "index_hash", "treatment_hash")}):
+        checks.check_data_fingerprint(greedy.Search(None, anchors, "A", ["B"], "row_id", fingerprint), data, "T", "x")
+    moved = data.withColumn("m", data["m"]).selectExpr("row_id", "T", "x", "map('a', 0) AS m", "l", "s")
+    with pytest.raises(ValueError, match="does not match the data"):
+        checks.check_data_fingerprint(greedy.Search(None, anchors, "A", ["B"], "row_id", known), moved, "T", "x")
+
+
+def test_row_ids_out_of_range(spark):
+    data, gps, _, _ = random_cohort(spark, 60, 1)
+    search = P.gps_candidate_search(data, gps, "T", "A", 3)
+    match = P.sam_match(data, search, ["x0"])
+    wrong = greedy.MatchResult(match.matched.selectExpr("matched_set_id", "anchor", "B + 1000 AS B", "C", "dist_B", "dist_C", "loss"), None, 0.0, 0.0)
+    with pytest.raises(ValueError, match="Invalid row id"):
+        P.extract_matched_data(data, search, wrong)

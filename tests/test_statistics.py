@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import tessera as P
 from tessera.functions.scalars import normal_quantile, order_key, t_quantile
 from tessera.operators.balance import distance_summary
-from tessera.sources.cohorts import compare_timings, make_data, timeit, write_timings
+from tessera.sources.cohorts import compare_timings, make_data, timeit, write_tables, write_timings
 
 
 def test_scalars(spark):
@@ -133,6 +133,34 @@ def test_sources_and_timings(spark, tmp_path):
     csv.write_text("synthetic_id,treatment,mortality_28d,age,charlson_comorbidity_index,lactate_pre,mbp_pre,creatinine_pre,wbc_pre,male,vasopressor_preindex,invasive_vent_preindex,concurrent_vancomycin\n2,a,0,1,1,1,1,1,1,1,1,1,1\n1,b,1,1,1,1,1,1,1,0,0,0,0\n")
     assert [(r["row_id"], r["treatment"]) for r in P.load_sample_3group(spark, str(csv)).orderBy("row_id").collect()] == [(0, "b"), (1, "a")]
     assert P.load_sample_4group(spark, str(csv)).count() == 2
+    write_tables({"d": d, "e": d.limit(0)}, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t" / "d")).count() == 500 and spark.read.parquet(str(tmp_path / "t" / "e")).columns == d.columns
     for n, sec in (("a", 2.0), ("b", 1.0)):
         write_timings(str(tmp_path / n), [{"name": "q", "sec": sec}])
     assert compare_timings(str(tmp_path / "a"), str(tmp_path / "b")) == [("q", 2.0, 1.0, 0.5)] and timeit(lambda: None) >= 0
+
+
+def test_t_and_bootstrap_intervals(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, a, int(rng.random() < p)) for s in range(40) for a, p in (("A", 0.4), ("B", 0.6))]
+    data = spark.createDataFrame(rows, "matched_set_id long, T string, y int")
+    run = lambda d=data, **kw: P.sam_estimate_effects(d, "y", anchor_level="A", **kw)["contrasts"].first()
+    normal, t = run(), run(ci_method="t")
+    assert t["RD_ci_high"] == pytest.approx(t["RD"] + t_quantile(0.975, 39) * t["se_RD"]) and t["RD_ci_high"] > normal["RD_ci_high"]
+    assert t["OR_ci_low"] == pytest.approx(math.exp(t["log_or"] - t_quantile(0.975, 39) * t["se_log_or"])) and t["se_RD"] == normal["se_RD"]
+    one = run(ci_method="wild_bootstrap", n_bootstrap=999, random_state=5)
+    two = run(data.repartition(7), ci_method="wild_bootstrap", n_bootstrap=999, random_state=5)
+    assert all(one[c] == pytest.approx(two[c], abs=1e-12) for c in ("RD_ci_low", "OR_ci_high", "RR_ci_low"))
+    assert one["RD_ci_low"] == pytest.approx(normal["RD_ci_low"], abs=0.05) and one["RD_ci_low"] < one["RD"] < one["RD_ci_high"]
+    other = run(ci_method="wild_bootstrap", n_bootstrap=999, random_state=np.random.default_rng(1))
+    assert other["RD_ci_low"] != one["RD_ci_low"]
+    with pytest.warns(RuntimeWarning, match="degrees of freedom"):
+        P.sam_estimate_effects(spark.createDataFrame([(1, "A", 0), (1, "B", 1)], "matched_set_id long, T string, y int"), "y", anchor_level="A", ci_method="t")
+
+
+def test_auc_over_many_ranges(spark):
+    rng = np.random.default_rng(6)
+    s, y, k = np.round(rng.normal(size=3000), 2), rng.integers(0, 2, 3000), rng.integers(0, 3, 3000)
+    df = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(s, y, k)], "score double, label int, k int")
+    for r in P.auc_mannwhitney(df, by=("k",)).collect():
+        assert r["auc"] == pytest.approx(P.auc_mannwhitney(s[k == r["k"]], y[k == r["k"]]))
