@@ -52,6 +52,8 @@ BUCKET_BLOCK = 250
 CLUSTER_BLOCK, SET_COST = 60_000, 200
 #: Members of a large group that all of its blocks see.
 PIVOTS = 8
+#: Shingles sketched at once.
+PART = 1 << 20
 #: Bytes of a partition that shuffles to as many as there need to be.
 TASK_BYTES = 256 << 20
 
@@ -60,29 +62,36 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) ->
     """The sorted distinct shingle hashes of each row."""
     words, first = W.word_hashes(data, offsets)
     grams, bounds = W.shingles(words, first, k)
+    del words
+    if len(bounds) == 2 and len(grams):  # one row: sorted where it is
+        grams.sort()
+        return [grams[np.concatenate([[True], grams[1:] != grams[:-1]])]]
     return [np.unique(grams[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """rows x bins of 16-bit values; rows of empty sets are zero."""
     n = len(sets)
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = sets[0] if n == 1 else np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     best = np.full(n * bins, 0xFFFFFFFF, np.uint32)
     filled = np.zeros(n * bins, bool)
     missing = np.full(n, bins)
     for i in range(2 * bins):
         if not len(flat):
             break
-        h = W.mix(flat, 1000 + i)
-        slot = row * bins + ((h & np.uint64(0xFFFFFFFF)) % np.uint64(bins)).astype(np.int64) if i < bins else row * bins + (i - bins)
-        value = (h >> np.uint64(32)).astype(np.uint32)
-        free = ~filled[slot]
-        slot, value = slot[free], value[free]
-        np.minimum.at(best, slot, value)
-        new = np.unique(slot)
-        filled[new] = True
-        missing -= np.bincount(new // bins, minlength=n)
+        new = np.zeros(n * bins, bool)
+        for a in range(0, len(flat), PART):  # of many shingles, some at a time
+            h, of = W.mix(flat[a : a + PART], 1000 + i), row[a : a + PART].astype(np.int64)
+            slot = of * bins + ((h & np.uint64(0xFFFFFFFF)) % np.uint64(bins)).astype(np.int64) if i < bins else of * bins + (i - bins)
+            free = ~filled[slot]
+            slot = slot[free]
+            np.minimum.at(best, slot, (h[free] >> np.uint64(32)).astype(np.uint32))
+            new[slot] = True
+        filled |= new
+        missing -= np.bincount(np.flatnonzero(new) // bins, minlength=n)
+        if not missing.any():
+            break
         open_ = missing[row] > 0
         flat, row = flat[open_], row[open_]
     # mixed again: the least of many values has few high bits left

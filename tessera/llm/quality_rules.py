@@ -69,6 +69,9 @@ _WORD_CHAR[0x80:0xC0] = False
 
 
 def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many are true in each row."""
+    if len(values) > W.SEGMENT:
+        return np.array([np.count_nonzero(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
     sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
@@ -79,6 +82,9 @@ def _rows_of(offsets: np.ndarray) -> np.ndarray:
 
 def class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows x classes."""
+    if len(data) > W.SEGMENT:  # a long row, in parts
+        parts = ((data[c : min(b, c + W.SEGMENT)] for c in range(a, b, W.SEGMENT)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+        return np.array([sum((np.bincount(_CLASS[x], minlength=len(CLASSES) + 1)[: len(CLASSES)] for x in row), np.zeros(len(CLASSES), np.int64)) for row in parts])
     k, n = len(CLASSES) + 1, len(offsets) - 1
     found = np.bincount(_rows_of(offsets) * k + _CLASS[data], minlength=n * k)
     return found.reshape(n, k)[:, : len(CLASSES)]
@@ -194,6 +200,17 @@ def _repeat_words(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not full.any():
         return out
     grams, bounds = W.shingles(h, first, 5)
+    if len(out) == 1:  # a long row has many: no more than a sorted copy of them is held
+        ordered = np.sort(grams)
+        twice_ = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        if not len(twice_):
+            return out
+        at = np.flatnonzero(twice_[np.minimum(np.searchsorted(twice_, grams), len(twice_) - 1)] == grams)
+        step = np.zeros(len(h) + 1, np.int8)  # a window starts and one ends at a word, at most
+        step[at] += 1
+        step[at + 5] -= 1
+        return np.array([np.count_nonzero(np.cumsum(step, dtype=np.int32)[:-1])], np.int64)
     row = np.repeat(np.arange(len(out)), np.diff(bounds))
     # one key for (row, gram): equal keys are repeats within a row
     key = W.mix(grams ^ W.mix(row.astype(np.uint64), 7), 8)

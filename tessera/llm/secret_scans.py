@@ -58,7 +58,7 @@ BASE = KINDS[:3]
 PIECE = 512
 #: Pieces read side by side as long as they are so many; fewer go on one by one.
 LANES = 24
-#: Longer data is taken in parts of so many bytes, or more up to the next byte that resets.
+#: Longer data is taken in parts of so many bytes, up to the last at which nothing is under way.
 PART = 4 << 20
 
 
@@ -356,17 +356,26 @@ class Scanner:
         """(start, rule, end) in bytes of data, by start and then rule, of texts that lie between offsets."""
         found, low, n = [], 0, len(data)
         while low < n:
-            high = min(n, low + PART)
-            while high < n and not self.resets[data[high - 1]]:  # no match holds a byte that resets
-                more = np.flatnonzero(self.resets[data[high : high + 65536]])
-                high = high + int(more[0]) + 1 if len(more) else min(n, high + 65536)
-            own = np.unique(np.concatenate([[low], offsets[(offsets > low) & (offsets < high)], [high]]))
-            found += [(a + low, r, b + low) for a, r, b in self._spans(data[low:high], own - low)]
+            size = PART
+            while True:
+                high = min(n, low + size)
+                own = np.unique(np.concatenate([[low], offsets[(offsets > low) & (offsets < high)], [high]])) - low
+                state = self.states(data[low:high], own)
+                if high == n:
+                    break
+                # nothing is under way where the state is the start: the next part begins there
+                idle = np.flatnonzero(state[-65536:] == 0)
+                if len(idle):
+                    high -= len(state[-65536:]) - 1 - int(idle[-1])
+                    state, own = state[: high - low], np.append(own[own < high - low], high - low)
+                    break
+                size *= 2
+            found += [(a + low, r, b + low) for a, r, b in self._spans(data[low:high], own, state)]
             low = high
         return found
 
-    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        masks = self.masks[self.states(data, offsets) // self.classes]
+    def _spans(self, data: np.ndarray, offsets: np.ndarray, state: np.ndarray) -> list[tuple[int, int, int]]:
+        masks = self.masks[state // self.classes]
         begins = np.zeros(len(data) + 1, bool)
         begins[offsets] = True
         found = []

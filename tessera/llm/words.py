@@ -10,7 +10,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of a text, and windows of words, handled at once.
-SEGMENT, _WINDOWS = 4 << 20, 1 << 20
+SEGMENT, _WINDOWS = 2 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)

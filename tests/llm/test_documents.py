@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from tessera.llm.queries import RANKS, TOKENIZER
 
 from .helpers import awkward_texts, documents, prose
 
+ROOT = Path(__file__).resolve().parents[2]
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -249,6 +251,30 @@ def test_plan_uses_up_the_histogram(seed):
     assert sum(n for _, n in plan) <= lower * 1.03
 
 
+@pytest.mark.parametrize("rows_held", [500_000, 0])
+def test_packing_of_null_and_repeated_ids(spark, monkeypatch, rows_held):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", rows_held)
+    rng = random.Random(2)
+    a = prose(rng, 3000)
+    rows = [(None, a), (3, a), (3, a), (3, "short"), (None, None), (4, "")]
+    got = packing.pack(documents(spark, [t for _, t in rows], [i for i, _ in rows]), TOKENIZER, RANKS).toPandas()
+    one = got[(got.doc_id == 3) & (got.length > 100)].groupby("piece").size()
+    assert (one == 2).all() and got.doc_id.isna().sum() == len(one) + 1 and (got[got.doc_id == 4].length == 1).all()
+    order = got.sort_values(["sequence_id", "offset"])
+    assert (order.offset == order.groupby("sequence_id").length.cumsum() - order.length).all() and order.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_the_fitted_plan_is_about_as_good_as_best_fit_or_better():
+    rng = np.random.default_rng(0)
+    for h in (np.bincount(rng.integers(1, 65, 5000), minlength=65), np.bincount(rng.integers(20, 35, 3000), minlength=65), np.bincount(rng.integers(1, 65, 300), minlength=65)):
+        plan = packing.plan(h, 64, 8)
+        used = np.zeros(65, int)
+        for lengths, n in plan:
+            for k in lengths:
+                used[k] += n
+        assert (used == h).all() and sum(n for _, n in plan) <= 1.005 * sum(n for _, n in packing._best_fit(h, 64)) + 1
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
@@ -678,6 +704,62 @@ def test_longest_common_subsequence():
 # all -------------------------------------------------------------------------------------------
 
 
+def long_text(n, seed=0):
+    """n bytes of words; as arrays (bytes, offsets)."""
+    rng = np.random.default_rng(seed)
+    data = rng.integers(97, 123, n, dtype=np.uint8)
+    data[rng.integers(0, n, n // 6)] = 32
+    return data, np.array([0, n])
+
+
+def test_long_texts_as_the_same_text_among_others():
+    """Texts beyond a segment take other ways through the kernels, with the same results."""
+    from tessera.llm import words as W
+
+    n = (4 << 20) + 300_000
+    data, offsets = long_text(n)
+    data[5000:5400] = data[1000:1400]  # repeated windows
+    secret = b" token=abcdefgh12 "
+    for at in (n - 50, 4 << 20, 100):
+        data[at : at + len(secret)] = np.frombuffer(secret, np.uint8)
+    text = data.tobytes()
+    words = text.translate(ASCII_LOWER).split()
+    [own] = minhash.text_sets(data, offsets)
+    assert len(own) == len(set(zip(*(words[k:] for k in range(5))))) and (np.diff(own.view(np.int64) ^ np.int64(-(1 << 63))) > 0).all()
+    seen = Counter(zip(*(words[k:] for k in range(5))))
+    cover = {i + j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(5)}
+    n_words, repeats, _ = quality_rules.base(data, offsets)
+    assert (n_words[0], repeats[0]) == (len(words), len(cover)) and repeats[0] > 30
+    counts = quality_rules.class_counts(data, offsets)[0]
+    assert counts.sum() == n and counts[quality_rules.CLASSES.index("space")] == (data == 32).sum()
+    found = secret_scans.found_in(secret_scans.scanner(), data, offsets)[0]
+    assert [(a + 1, text[a:b]) for a, k, b in found if k == 0] == [(at + 2, b"token=abcdefgh12") for at in (100, 4 << 20, n - 50)]
+
+
+@pytest.mark.parametrize("kernel", ["op3", "op4", "op5", "op9", "op10"])
+def test_memory_of_long_texts(kernel):
+    """A text of 60 MB takes its kernel at most 700 MB more."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(ROOT)!r})
+import numpy as np
+from tests.llm.test_documents import long_text
+from tessera.llm import minhash, suffix_dedup, secret_scans, quality_rules, decontamination
+data, offsets = long_text(60 << 20)
+run = {{"op3": lambda: decontamination.lower_words(data, offsets), "op4": lambda: minhash.sketches(minhash.text_sets(data, offsets)), "op5": lambda: suffix_dedup.anchor_runs(data, 200),
+        "op9": lambda: secret_scans.found_in(secret_scans.scanner(), data, offsets), "op10": lambda: quality_rules.verdicts(data, offsets, {{}}, [None])}}[{kernel!r}]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+run()
+print("grew", (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split("grew")[1]) < 700
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     for f in (minhash.components, suffix_dedup.repeats, language_id.identify, secret_scans.scan, secret_scans.redact, quality_rules.judge, quality_rules.keep, lambda d: packing.pack(d, TOKENIZER, RANKS)):

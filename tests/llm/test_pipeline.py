@@ -1,8 +1,10 @@
 """The pipeline's stages, each against its operator's verdicts on its own input."""
 
+from pathlib import Path
+
 import corpus_pipeline
 from tessera.llm import minhash, quality_rules, secret_scans
-from tessera.llm.common import table
+from tessera.llm.common import shared_dir, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,17 +43,12 @@ def test_stages_in_turn(spark, tmp_path):
         docs = out
 
 
-def test_pipeline_leaves_its_last_table_only(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        out = corpus_pipeline.run(spark, SF)
-        assert out.count() > 0 and out.select("doc_id").distinct().count() <= table(spark, SF, "documents").count()
-        assert sorted(p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()) == ["packing"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        import tempfile
-
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tests-"))
+def test_pipeline_leaves_its_last_table_only(spark):
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and out.select("doc_id").distinct().count() <= table(spark, SF, "documents").count()
+    assert sorted(p.name.split("-")[1] for p in set(shared.iterdir()) - before) == ["packing"]
 
 
 def test_stages_on_nulls_and_on_empty_tables(spark):
