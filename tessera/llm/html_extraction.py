@@ -57,11 +57,11 @@ SELDOM = frozenset("form fieldset header".split())
 STRONG = frozenset(
     "navbar navigation menu breadcrumb breadcrumbs pagination pager aside sidebar related recommended recommendations footer contentinfo copyright colophon masthead "
     "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promotion dfp adsense cookie cookies consent gdpr popup newsletter subscribe subscription signup "
-    "paywall toast comment comments commentlist respond disqus social sharebar searchbox searchform".split()
+    "paywall toast comment comments commentlist respond disqus sharebar searchbox searchform".split()
 )
 #: ... and names that say so alone or as the last of several.
 WEAK = frozenset(
-    "nav toolbar topbar tabs skip widget trending popular complementary rail teaser teasers header banner notice notices alert modal overlay reply replies discussion feedback share sharing form search login".split()
+    "nav toolbar topbar tabs skip widget trending popular complementary rail teaser teasers header banner notice notices alert modal overlay reply replies discussion feedback share sharing social form search login".split()
 )
 #: Words that make a name one of a state.
 STATE = frozenset("has have no not with without is are show shows hide hides hidden open opened closed close enabled disabled active inactive sticky visible".split())
@@ -127,7 +127,8 @@ def names_of(value: str) -> tuple[str, ...]:
         if strong:
             out.append("strong:" + strong)
         elif parts[-1] in WEAK:
-            out.append(("weak:" if len(parts) == 1 else "strong:") + parts[-1])
+            # the header of an entry or a page holds its title
+            out.append(("weak:" if len(parts) == 1 or parts[-1] == "header" else "strong:") + parts[-1])
         else:
             out.append("plain:" + "-".join(parts))
     if len(_names) < 50_000:
@@ -236,6 +237,8 @@ def parse(page: str) -> Page:
             boxes[box].heading = True
         hidden = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(said.get("style")) and bool(_NONE.search(said["style"]))
         own = tuple(dict.fromkeys(f for k in ("class", "id", "role") if k in said for f in names_of(said[k]))) if tag not in ("html", "body") else ()
+        if boxes[box].mark:
+            own = tuple(f for f in own if f != "weak:header")
         if tag in NEVER:
             own = ("never:" + tag, *own)
         elif tag in SELDOM and not (tag == "header" and boxes[box].mark):  # an article's own header holds its title
@@ -272,7 +275,8 @@ def _count(page: str, found: Counter) -> None:
     sums = [[0, 0] for _ in boxes]  # words elsewhere and in a mark
     for tag, value, block, link, box in parsed.runs:
         if tag:
-            found["tag:" + tag, int(boxes[box].mark and not odd[box])] += 1
+            if not odd[box]:
+                found["tag:" + tag, int(boxes[box].mark)] += 1
         elif words := len(value.split()):
             sums[box][boxes[box].mark] += words
             if not odd[box]:  # what its container explains says nothing about the block

@@ -25,7 +25,8 @@ Members meet their group's bound and component by joins that take heavy keys apa
 Full sets are made of texts that a filter of the clusters' ids lets pass, whatever their number.
 
 A set holds the distinct 5-word shingles of the text with A-Z lower-cased, words being runs of bytes
-other than space and 0x09-0x0D; with fewer words the whole sequence is one shingle. Null and empty texts
+other than space and 0x09-0x0D; with fewer words the whole sequence is one shingle. Shingles are known by
+64-bit hashes, so two different ones of a pair of sets agree with a probability of their number over 2^64. Null and empty texts
 have empty sets: they link with nothing and are kept. Null ids stay by themselves and are kept;
 repeated rows of one id share its class. Extra columns are ignored; an empty table gives an empty result.
 """

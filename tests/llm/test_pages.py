@@ -115,6 +115,7 @@ ODD_PAGES = [  # (page, text that has to be there, text that must not)
     ('<body><form id="aspnetForm"><div><p>{}</p></div></form></body>', "", ""), ('<form id="aspnetForm"><h1>Top</h1><p>{}</p></form><footer>bye</footer>', "Top", "bye"),
     ("<article><p>a short teaser</p></article><div><p>{}</p></div>", "", ""), ('<p title="x>{}</p><p>and more</p>', "and more", "x>"), ('<body class="nav-open"><nav>menu</nav><p>{}</p>', "", "menu"),
     ('<article><p>{}</p><div class="post-comments"><p>first! first! first!</p></div><aside>side</aside><p>The end</p></article>', "The end", "first!"), ('<p>{}</p><div style="display: none">unseen</div>', "", "unseen"),
+    ('<article><header class="entry-header"><h1>Top</h1></header><p>{}</p></article>', "Top", ""), ('<div class="post-header"><h1>Top title</h1></div><p>{}</p><div class="social">tweet it</div>', "Top title", ""), ('<div class="social-sciences"><p>{}</p></div>', "", ""),
     ('<div class="adSlot">buy</div><p>{}</p><div class="cookie-notice">we eat them</div>', "", "buy"), ("<p>{}</p><b></p><div>x</b> y</div", "", "div"),
 ]
 
