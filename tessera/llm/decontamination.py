@@ -19,7 +19,9 @@ all blocks of all documents.
 The cosine given is the largest of the item and its passages at the best region.
 
 The benchmark is the stated query set; it is taken in parts of ITEMS, each with its own terms and
-decomposition, so what a task holds is bounded.
+decomposition. The documents are read once to count the terms of all parts, once to write down where the rare
+ones are, from which every part is decomposed, and once for each GROUP of parts to search, so what a
+task holds is bounded.
 
 Items of fewer than MIN_WORDS words are matched by their exact sequence of words, and have no cosine. Null and
 empty texts match nothing, nor do items without words. A null id is reported as
@@ -29,6 +31,7 @@ an empty result. Texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -47,7 +50,7 @@ STOP = 0.005
 #: Each item keeps so many of its rarest words as terms, however common they are.
 RAREST = 8
 RANK = 192
-ITEMS = 1000
+ITEMS, GROUP = 1000, 8
 COSINE = 0.40
 MIN_WORDS = 5
 LCS_SURE, LCS_LEAST, ANSWER = 0.75, 0.55, 0.5
@@ -181,8 +184,9 @@ def _fold(block: np.ndarray, term: np.ndarray, weighted: np.ndarray) -> tuple[np
     return block[cut], np.add.reduceat(weighted[term], cut, axis=0)
 
 
-def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]], n_blocks: int, rank: int = RANK) -> np.ndarray:
-    """terms x rank: the leading right singular vectors of the weighted block-by-term matrix."""
+def decompose(blocks: DataFrame, which: np.ndarray, idf: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]], n_blocks: int, rank: int = RANK) -> np.ndarray:
+    """terms x rank: the leading right singular vectors of the weighted block-by-term matrix. which: the number
+    among a part's terms of each term in blocks, -1 if it is none of them."""
     rng = np.random.default_rng(_SEED)
     k = min(rank, len(idf))
     boost = max(1.0, n_blocks / max(1, len(items)))
@@ -204,7 +208,9 @@ def decompose(blocks: DataFrame, idf: np.ndarray, items: list[tuple[np.ndarray,
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for b, t in zip(batch.column("blocks"), batch.column("terms"), strict=True):
-                block, term = np.frombuffer(b.as_py(), np.int32), np.frombuffer(t.as_py(), np.uint32).astype(np.int64)
+                block, term = np.frombuffer(b.as_py(), np.int32), which[np.frombuffer(t.as_py(), np.uint32)]
+                own = term >= 0
+                block, term = block[own], term[own]
                 for i in range(0, len(block), 20_000):  # a block on the seam only counts as two
                     yield block[i : i + 20_000], term[i : i + 20_000]
 
@@ -304,65 +310,86 @@ def passages(words: np.ndarray) -> list[np.ndarray]:
     return [words] + ([words[i : i + 2 * HALF] for i in (*range(0, last, HALF), last)] if last > 0 else [])
 
 
-def search(docs: DataFrame, items: list[Item], terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, cosine: float = COSINE) -> DataFrame:
-    """Contaminated pairs of docs(doc_id, text) and items, with what was measured at the best passage."""
-    weighted = (idf[:, None] * vectors).astype(np.float32)
-    rows, owners = [], []
-    own = Terms(terms)
-    for i, item in enumerate(items):
-        for part in passages(item.words):
-            _, term = own.find(part)
-            if len(term):
-                q = weighted[term].sum(axis=0)
-                rows.append(q / max(float(np.linalg.norm(q)), 1e-12))
-                owners.append(i)
-    queries, owner = np.array(rows, np.float32).reshape(-1, vectors.shape[1]), np.array(owners, np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((items, terms, weighted, queries, owner, Bags(items)))  # bounded by ITEMS
+class Part:
+    """What a task holds of a part: items, terms, the terms' vectors, the items' and their passages' vectors."""
+
+    def __init__(self, items: list[Item], terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray):
+        self.items, self.terms, self.weighted, self.bags = items, terms, (idf[:, None] * vectors).astype(np.float32), Bags(items)
+        rows, owners = [], []
+        own = Terms(terms)
+        for i, item in enumerate(items):
+            for part in passages(item.words):
+                _, term = own.find(part)
+                if len(term):
+                    q = self.weighted[term].sum(axis=0)
+                    rows.append(q / max(float(np.linalg.norm(q)), 1e-12))
+                    owners.append(i)
+        self.queries, self.owner = np.array(rows, np.float32).reshape(-1, vectors.shape[1]), np.array(owners, np.int64)
+
+
+class Finder:
+    """Looks a part's items up in chunks of texts."""
+
+    def __init__(self, part: Part, cosine: float):
+        self.part, self.cosine = part, cosine
+        self.found, self.vocabulary = Terms(part.terms), Terms(part.bags.terms)
+
+    def find(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """(row, item) -> (share, answer share, cosine) at the best region, of texts as word hashes and rows' first words."""
+        part, bags = self.part, self.part.bags
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        before = _blocks(first)
+        at, term = self.found.find(words)
+        if not len(at):
+            return best
+        have, z = _fold(_block_of(at, first, before), term, part.weighted)
+        row = np.searchsorted(before, have, side="right") - 1
+        named = None
+        for a in range(0, len(have), 4096):
+            b = min(a + 4096, len(have))
+            window = z[a:b].copy()
+            last = min(b + 1, len(have))
+            joined = (have[a + 1 : last] == have[a : last - 1] + 1) & (row[a + 1 : last] == row[a : last - 1])
+            window[: len(joined)][joined] += z[a + 1 : last][joined]
+            window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
+            reach = window @ part.queries.T
+            w, q = np.nonzero(reach >= self.cosine)
+            if not len(w):
+                continue
+            # owners ascend, so an item's passages at one window are neighbours
+            item, measured = part.owner[q], reach[w, q]
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(w) != 0) | (np.diff(item) != 0)) + 1])
+            w, item, measured = w[cut], item[cut], np.maximum.reduceat(measured, cut)
+            if named is None:
+                named = np.full(len(words), len(bags.terms))
+                place, name = self.vocabulary.find(words)
+                named[place] = name
+            r = row[a + w]
+            start = first[r] + (have[a + w] - before[r]) * HALF
+            # the item may reach out of the passage on either side
+            low, high = np.maximum(first[r], start - bags.sizes[item]), np.minimum(first[r + 1], start + 2 * HALF + bags.sizes[item])
+            for k in np.flatnonzero(bags.reachable(named, low, high, item)).tolist():
+                share, answer = part.items[item[k]].common(words[low[k] : high[k]].tolist())
+                if share >= LCS_SURE or share >= LCS_LEAST and answer >= ANSWER:
+                    key, value = (int(r[k]), int(item[k])), (share, answer, float(measured[k]))
+                    best[key] = max(best.get(key, value), value)
+        return best
+
+
+def search(docs: DataFrame, parts: list[Part], cosine: float = COSINE) -> DataFrame:
+    """Contaminated pairs of docs(doc_id, text) and the parts' items, with what was measured at the best passage."""
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # bounded by GROUP * ITEMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, terms, weighted, queries, owner, bags = shared.value
-        found, vocabulary = Terms(terms), Terms(bags.terms)
+        finders = [Finder(p, cosine) for p in shared.value]
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            rows: list[tuple] = []
             for i, j in chunks(offsets):
                 words, first = lower_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                before = _blocks(first)
-                at, term = found.find(words)
-                if not len(at):
-                    continue
-                have, z = _fold(_block_of(at, first, before), term, weighted)
-                row = np.searchsorted(before, have, side="right") - 1
-                named = None
-                for a in range(0, len(have), 4096):
-                    b = min(a + 4096, len(have))
-                    window = z[a:b].copy()
-                    last = min(b + 1, len(have))
-                    joined = (have[a + 1 : last] == have[a : last - 1] + 1) & (row[a + 1 : last] == row[a : last - 1])
-                    window[: len(joined)][joined] += z[a + 1 : last][joined]
-                    window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-                    reach = window @ queries.T
-                    w, q = np.nonzero(reach >= cosine)
-                    if not len(w):
-                        continue
-                    # owners ascend, so an item's passages at one window are neighbours
-                    item, measured = owner[q], reach[w, q]
-                    cut = np.concatenate([[0], np.flatnonzero((np.diff(w) != 0) | (np.diff(item) != 0)) + 1])
-                    w, item, measured = w[cut], item[cut], np.maximum.reduceat(measured, cut)
-                    if named is None:
-                        named = np.full(len(words), len(bags.terms))
-                        place, name = vocabulary.find(words)
-                        named[place] = name
-                    r = row[a + w]
-                    start = first[r] + (have[a + w] - before[r]) * HALF
-                    # the item may reach out of the passage on either side
-                    low, high = np.maximum(first[r], start - bags.sizes[item]), np.minimum(first[r + 1], start + 2 * HALF + bags.sizes[item])
-                    for k in np.flatnonzero(bags.reachable(named, low, high, item)).tolist():
-                        share, answer = items[item[k]].common(words[low[k] : high[k]].tolist())
-                        if share >= LCS_SURE or share >= LCS_LEAST and answer >= ANSWER:
-                            key, value = (i + int(r[k]), int(item[k])), (share, answer, float(measured[k]))
-                            best[key] = max(best.get(key, value), value)
-            yield _matched(batch, [(r, items[q].item_id, c, s, x) for (r, q), (s, x, c) in sorted(best.items())])
+                for f in finders:
+                    rows += [(i + r, f.part.items[q].item_id, c, s, x) for (r, q), (s, x, c) in sorted(f.find(words, first).items())]
+            yield _matched(batch, rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, _MATCHED)
 
@@ -408,30 +435,45 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """contaminated(), with the digest (SHA-256) of the text that was judged."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = max(1, -(-benchmark.count() // ITEMS))
-    out = None
-    for part in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).where("text is not null").select("item_id", "text").collect()  # about ITEMS
-        items = [x for x in (Item(i, t) for i, t in rows) if len(x.words)]
-        short, items = [x for x in items if len(x.words) < MIN_WORDS], [x for x in items if len(x.words) >= MIN_WORDS]
-        if short:
-            found = exact(docs, short)
-            out = found if out is None else out.unionByName(found)
-        if not items:
-            continue
-        terms = np.unique(np.concatenate([x.words for x in items]))
-        counts, n_blocks = block_frequencies(docs, terms)
-        # Words of many blocks tell nothing; a corpus of few blocks has no such words.
-        rare = counts <= max(STOP * n_blocks, 20)
-        for x in items:
-            at = np.unique(np.searchsorted(terms, x.words))
-            rare[at[np.argsort(counts[at], kind="stable")[:RAREST]]] = True
-        terms, counts = terms[rare], counts[rare]
-        if not len(terms):
-            continue
-        idf = np.log((n_blocks + len(items) + 1) / (counts + 1))
-        own = [np.unique(Terms(terms).find(x.words)[1], return_counts=True) for x in items]
-        vectors = decompose(materialize(term_blocks(docs, terms), "terms"), idf, own, n_blocks)
-        found = search(docs, items, terms, idf, vectors)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], _MATCHED)
+    rows = benchmark.where("text is not null").select("item_id", "text").collect()  # the query set
+    items = [x for x in (Item(i, t) for i, t in rows) if len(x.words)]
+    short, items = [x for x in items if len(x.words) < MIN_WORDS], [x for x in items if len(x.words) >= MIN_WORDS]
+    found = [exact(docs, short[i : i + GROUP * ITEMS]) for i in range(0, len(short), GROUP * ITEMS)]
+    if items:
+        # parts of about equal size, dealt so that they do not depend on the benchmark's order
+        items.sort(key=lambda x: (x.words.tobytes(), str(x.item_id)))
+        n = -(-len(items) // ITEMS)
+        parts = [items[k::n] for k in range(n)]
+        every = np.unique(np.concatenate([x.words for x in items]))
+        counts, n_blocks = block_frequencies(docs, every)
+        own_terms = [_rare(part, every, counts, n_blocks) for part in parts]
+        used = np.unique(np.concatenate(own_terms))
+        blocks = materialize(term_blocks(docs, every[used]), "terms") if len(used) else None
+        ready = []
+        for part, own in zip(parts, own_terms, strict=True):
+            if not len(own):
+                continue
+            which = np.full(len(used), -1, np.int64)
+            which[np.searchsorted(used, own)] = np.arange(len(own))
+            terms, idf = every[own], np.log((n_blocks + len(part) + 1) / (counts[own] + 1))
+            held = [np.unique(Terms(terms).find(x.words)[1], return_counts=True) for x in part]
+            ready.append(Part(part, terms, idf, decompose(blocks, which, idf, held, n_blocks)))
+            if len(ready) == GROUP:
+                found.append(search(docs, ready))
+                ready = []
+        if ready:
+            found.append(search(docs, ready))
+    if not found:
+        return spark.createDataFrame([], _MATCHED)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _rare(items: list[Item], every: np.ndarray, counts: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Numbers among `every` of the items' words that are terms: those of few blocks, and each item's rarest."""
+    own = np.unique(np.searchsorted(every, np.concatenate([x.words for x in items])))
+    # Words of many blocks tell nothing; a corpus of few blocks has no such words.
+    keep = counts[own] <= max(STOP * n_blocks, 20)
+    for x in items:
+        at = np.unique(np.searchsorted(every, x.words))
+        keep[np.searchsorted(own, at[np.argsort(counts[at], kind="stable")[:RAREST]])] = True
+    return own[keep]

@@ -566,7 +566,10 @@ def test_frequent_words_summary_keeps_the_frequent():
 # 3 ---------------------------------------------------------------------------------------------
 
 
-def test_decontamination_finds_leaks_and_paraphrases(spark):
+@pytest.mark.parametrize("items_a_part", [1000, 4])
+def test_decontamination_finds_leaks_and_paraphrases(spark, monkeypatch, items_a_part):
+    monkeypatch.setattr(decontamination, "ITEMS", items_a_part)
+    monkeypatch.setattr(decontamination, "GROUP", 2)
     rng = random.Random(6)
     special = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(900)}" for _ in range(n))
     items = [f"{special(25)} ? {special(10)}" for _ in range(12)]
