@@ -15,7 +15,7 @@ from ..functions.scalars import expit, logit, order_key, transform_score
 from ..operators import balance, checks, effects, greedy, linalg, propensity, screen, threeway, weighting
 from ..sources import cohorts
 from ..sources.cohorts import ARMS, customer_cohort, rational_gps
-from .model import Cohort, MatchResult, Search, materialize, scratch
+from .model import Cohort, MatchResult, Search, groups_from_matched, matched_columns, matched_schema, materialize, scratch
 
 A, G1, G2 = ARMS
 X = ["x1", "x2", "x3"]
@@ -369,6 +369,80 @@ def evaluation(spark, d):
     return _long(spark, {**spread, **_smd_parts(out["smd_balance"]), "auc": [(f"{x['group_1']}:{x['group_2']}", x["auc"]) for x in auc["pairwise"].collect()], "mean_auc": [("", auc["mean_auc"])], "matching_rate": [("", out["matching_rate"])]})
 
 
+def mahalanobis_pairs(spark, d):
+    """Distances of all pairs of two arms' subjects, by subject."""
+    data = _scaled(spark, d)
+    s_inv = linalg.get_pooled_covariance(data, XM)["S_inv"]
+    dist = linalg.mahalanobis_distance_matrix(data.where(F.col("T") == G1), data.where(F.col("T") == G2), XM, s_inv)
+    return dist.groupBy("query").agg(F.count("*").alias("n"), r(F.min("dist")).alias("least"), r(F.avg("dist")).alias("mean"), r(F.max("dist")).alias("most"))
+
+
+def effects_with_missing(spark, d):
+    """Risks when sets with a missing outcome are left out."""
+    kept = _fixed_cohort(spark, d)
+    y = F.when(F.col("row_id") % 7 == 3, F.lit(None)).otherwise(F.col("y"))
+    out = effects.sam_estimate_effects(Cohort(kept.data.withColumn("y", y), kept.anchor_level, kept.groups), "y", "T")
+    sets = out["analysis_summary"].select("n_matched_sets", "n_subjects")
+    return out["group_risk"].select("treatment", "n", "events", r("risk").alias("risk")).join(F.broadcast(sets))  # one row
+
+
+def _said(f: Callable[[], object]) -> str:
+    """What a call raises or returns, in short."""
+    try:
+        return f"returns {f()}"
+    except (ValueError, TypeError) as e:
+        return f"{type(e).__name__}: {e}"
+
+
+def validations(spark, d):
+    """Inputs that do not fit, and small helpers: what each call says has to hold the given words."""
+    data, gps = _cohort(spark, d), rational_gps(_cohort(spark, d))
+    anchors = data.where(F.col("T") == A).select(F.col("row_id").alias("anchor"))
+    known = Search(None, anchors, A, [G1, G2], "row_id", checks.data_fingerprint(data, "T"), checks.gps_fingerprint(gps))
+    sets, one = fixed_matching(data), F.col("row_id") == data.agg(F.min("row_id")).first()[0]
+    changed = lambda c, to: data.withColumn(c, F.when(one, to).otherwise(F.col(c)))
+    scores = lambda c: gps.withColumn(A, F.when(one, F.lit(c)).otherwise(F.col(A)))
+    nobody = F.lit(None).cast("string")
+    cases = {
+        "level": (lambda: (checks.treatment_level(None), checks.treatment_level(3)), "returns (None, '3')"),
+        "no rows": (lambda: checks.require_rows(0, "Z", "T"), "no rows found with T == 'Z'"),
+        "rows": (lambda: checks.require_rows(4, "Z", "T"), "returns 4"),
+        "missing covariate": (lambda: checks.require_covariates(data, ["x1", "nope"]), "not found in data: nope"),
+        "repeated covariate": (lambda: checks.require_covariates(data, ["x1", "x1"]), "Duplicated covariate column(s)"),
+        "text covariate": (lambda: checks.covariate_columns(data, ["x1", "T"]), "not numeric: T"),
+        "infinite covariate": (lambda: checks.covariate_columns(changed("x1", F.lit(float("inf"))), X), "non-finite values: x1 (1 rows)"),
+        "not positive": (lambda: checks.require_positive_int(0, "top_m"), "top_m must be a positive integer"),
+        "true is no number": (lambda: checks.require_positive_int(True, "top_n"), "top_n must be a positive integer"),
+        "missing label": (lambda: checks.treatment_labels(changed("T", nobody), "T"), "missing treatment labels"),
+        "missing column": (lambda: checks.treatment_labels(data, "absent"), "'absent' not found in data"),
+        "fewer scores": (lambda: checks.validate_gps(data, gps.where(~one), "T", "x"), "same number of rows"),
+        "other ids": (lambda: checks.validate_gps(data, gps.withColumn("row_id", F.when(one, -1).otherwise(F.col("row_id"))), "T", "x"), "identical ids"),
+        "score of 2": (lambda: checks.validate_gps(data, scores(2.0), "T", "x"), "interval [0, 1]"),
+        "score of nan": (lambda: checks.validate_gps(data, scores(float("nan")), "T", "x"), "must all be finite"),
+        "sum": (lambda: checks.validate_gps(data, scores(0.9), "T", "x"), "must sum to 1"),
+        "arm without scores": (lambda: checks.validate_gps(data, gps.select("row_id", A, (F.col(G1) + F.col(G2)).alias(G1)), "T", "x"), f"not found in gps: {G2}"),
+        "arms with scores": (lambda: checks.validate_gps(data, gps, "T", "x"), f"returns ['{A}', '{G1}', '{G2}']"),
+        "rows gone": (lambda: checks.check_data_fingerprint(known, data.where(~one), "T", "x"), "another row count"),
+        "label moved": (lambda: checks.check_data_fingerprint(known, changed("T", F.when(F.col("T") == G1, F.lit(G2)).otherwise(F.lit(G1))), "T", "x"), "does not match the data"),
+        "value moved": (lambda: checks.check_data_fingerprint(known, changed("x3", F.col("x3") + 1), "T", "x"), "a column value differs"),
+        "column added": (lambda: checks.check_data_fingerprint(known, data.withColumn("more", F.lit(1)), "T", "x").counts.keys() == checks.arm_counts(data, "T").keys(), "returns True"),
+        "scores moved": (lambda: checks.check_gps_fingerprint(known, gps.select("row_id", F.col(G1).alias(A), F.col(A).alias(G1), G2), "x"), "does not match the gps"),
+        "scores": (lambda: checks.check_gps_fingerprint(known, gps.repartition(3), "x"), "returns None"),
+        "anchor level": (lambda: checks.infer_anchor_level(data, anchors, "T"), f"returns {A}"),
+        "no anchor level": (lambda: checks.infer_anchor_level(data, data.select(F.col("row_id").alias("anchor")), "T"), "Could not uniquely determine"),
+        "groups": (lambda: groups_from_matched(sets), f"returns ['{G1}', '{G2}']"),
+        "columns": (lambda: matched_columns([G1], ("rassen_perimeter",)), f"returns ['matched_set_id', 'anchor', '{G1}', 'dist_{G1}', 'loss', 'rassen_perimeter']"),
+        "types": (lambda: [f.dataType.simpleString() for f in matched_schema([G1])], "returns ['bigint', 'bigint', 'bigint', 'double', 'double']"),
+        "no sets": (lambda: effects.extract_matched_data(data, known, MatchResult(sets.limit(0), None, 0.0, 0.0)), "no matched sets"),
+        "foreign ids": (lambda: effects.extract_matched_data(data, known, MatchResult(sets.withColumn(G1, F.col(G1) + 10**9), None, 0.0, 0.0)), "Invalid row id"),
+        "three arms": (lambda: threeway.match_3way(data, Search(None, anchors, A, [G1], "row_id"), gps), "exactly three treatment groups"),
+        "caliper": (lambda: threeway.match_3way(data, known, gps, caliper=-1.0), "finite and greater than zero"),
+        "trim": (lambda: weighting.compute_balancing_weights(data, "iptw", gps, trim=1.0), "trim must be in [0, 1)"),
+        "space": (lambda: transform_score(F.lit(0.5), "x"), 'must be "raw" or "logit"'),
+    }
+    return spark.createDataFrame([(name, words in _said(f)) for name, (f, words) in cases.items()], "name string, holds boolean")
+
+
 # 2.1
 def _sample_file(spark: SparkSession, d: str, arms: tuple[str, ...]) -> str:
     """A CSV file of the sample tables' columns, made of the cohort."""
@@ -401,6 +475,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     smd_by_covariate, smd_summary, pairwise_auc, mean_auc, weights_iptw, weights_iptw_unstabilized, weights_overlap, weights_matching, n_trimmed,
     weighted_balance, weighted_balance_summary, ess_by_arm, ess_overall, matched_cohort, group_risk, contrasts, contrasts_t, analysis_summary,
     contrasts_wild_bootstrap, gps_fit, comparator_weighting, evaluation, sample_3group, sample_4group, generated_cohort,
+    mahalanobis_pairs, effects_with_missing, validations,
 )
 
 
@@ -654,6 +729,13 @@ sets3 AS (SELECT n, any_value(p) AS p, {', '.join(f"max(CASE WHEN arm = '{v}' TH
 measured3 AS (SELECT *, {', '.join(f"sqrt(({A}_x - {g}_x) * ({A}_x - {g}_x) + ({A}_y - {g}_y) * ({A}_y - {g}_y)) AS d{i}" for i, g in enumerate((G1, G2), 1))} FROM sets3)"""
 
 
+_VALIDATIONS = (
+    "level", "no rows", "rows", "missing covariate", "repeated covariate", "text covariate", "infinite covariate", "not positive", "true is no number", "missing label", "missing column", "fewer scores", "other ids", "score of 2",
+    "score of nan", "sum", "arm without scores", "arms with scores", "rows gone", "label moved", "value moved", "column added", "scores moved", "scores", "anchor level", "no anchor level", "groups", "columns", "types", "no sets",
+    "foreign ids", "three arms", "caliper", "trim", "space",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     gps3 = ", ".join
     return {
@@ -726,6 +808,12 @@ def oracle_sql() -> dict[str, str]:
             select=f"SELECT part, name, {_round('value')} AS value FROM (SELECT 'ess', T, sum(weight) * sum(weight) / sum(weight * weight) FROM w GROUP BY T UNION ALL SELECT 'n', T, CAST(count(*) AS DOUBLE) FROM w GROUP BY T UNION ALL SELECT 'weight', T, sum(weight) FROM w GROUP BY T UNION ALL SELECT 'n_trimmed', '', CAST(n AS DOUBLE) FROM low UNION ALL {_SMD_LONG}) AS x(part, name, value)",
         ),
         "fingerprint": _with(select="SELECT change, (SELECT count(*) FROM cohort) AS n_rows, ids_moved, arms_moved, data_moved FROM (VALUES ('order', false, false, false), ('column', false, false, false), ('label', false, true, true), ('value', false, false, true), ('ids', true, true, true)) AS v(change, ids_moved, arms_moved, data_moved)"),
+        "mahalanobis_pairs": _with(_COV, f"d AS (SELECT a.row_id AS query, {_MAHA} AS dist FROM scaled a JOIN scaled b ON a.T = '{G1}' AND b.T = '{G2}', cov)", select=f"SELECT query, count(*) AS n, {_round('min(dist)')} AS least, {_round('avg(dist)')} AS mean, {_round('max(dist)')} AS most FROM d GROUP BY 1"),
+        "effects_with_missing": _with(
+            _FIXED, "whole AS (SELECT matched_set_id, role, row_id, y FROM members JOIN cohort ON id = row_id), kept AS (SELECT * FROM whole WHERE matched_set_id NOT IN (SELECT matched_set_id FROM whole WHERE row_id % 7 = 3))",
+            select=f"SELECT role AS treatment, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, {_round('avg(y)')} AS risk, (SELECT count(DISTINCT matched_set_id) FROM kept) AS n_matched_sets, (SELECT count(*) FROM kept) AS n_subjects FROM kept GROUP BY role",
+        ),
+        "validations": "SELECT name, true AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in _VALIDATIONS) + ") AS v(name)",
         "sample_3group": _sample(ARMS),
         "sample_4group": _sample(ARMS5[:4]),
         "generated_cohort": "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS ids, CAST(4 AS BIGINT) AS arms, true AS finite, true AS binary",
