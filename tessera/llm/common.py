@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents may be long, so batches hold few of them.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text handled at once by the numpy kernels.
 CHUNK_BYTES = 2 << 20
 #: A key is heavy if more than one in so many rows have it, and more rows than these.
@@ -190,6 +192,21 @@ def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
     return marked.where(~hit).select(*columns).unionByName(met.select(*columns))
 
 
+def lean(task):
+    """Workers live long and take turns at many tasks: after a task what numpy and Arrow have freed goes back to the machine."""
+
+    @functools.wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a libc without it keeps its ways
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -250,10 +267,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(max_rounds):
         near = skew_join(both, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = materialize(labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old")), "step")
-        hop = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = materialize(skew_join(step, hop, ["component"], "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old"), "labels")
-        discard(step)
+        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        after = skew_join(labels, hop, ["component"], "left").join(near, "node")
+        new = materialize(after.select("node", F.least("component", "near", F.coalesce("next", "component")).alias("component"), F.col("component").alias("old")), "labels")
         discard(labels)
         labels = new.select("node", "component")
         labels._scratch = new._scratch

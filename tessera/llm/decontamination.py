@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, small_batches, utf8
+from .common import chunks, lean, materialize, small_batches, utf8
 from .quality_rules import lower_words
 
 HALF = 24
@@ -144,6 +144,7 @@ _PARTS = "at int, salt int, data binary"
 def block_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many blocks of all documents each term is, and how many blocks there are."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total = Terms(terms), np.zeros((len(terms) + 1, 1))
         for batch in batches:
@@ -164,6 +165,7 @@ def block_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, i
 def term_blocks(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """The terms of all documents: per row of many texts, arrays of (block, term), blocks numbered within the row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Terms(terms)
         for batch in batches:
@@ -217,6 +219,7 @@ def decompose(blocks: DataFrame, which: np.ndarray, idf: np.ndarray, items: list
     def sweep(test: np.ndarray) -> np.ndarray:
         weighted = (idf[:, None] * test).astype(np.float32)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(test.shape)
             for block, term in entries(batches):
@@ -232,6 +235,7 @@ def decompose(blocks: DataFrame, which: np.ndarray, idf: np.ndarray, items: list
     def gram(basis: np.ndarray) -> np.ndarray:
         weighted = (idf[:, None] * basis).astype(np.float32)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((basis.shape[1], basis.shape[1]))
             for block, term in entries(batches):
@@ -380,6 +384,7 @@ def search(docs: DataFrame, parts: list[Part], cosine: float = COSINE) -> DataFr
     """Contaminated pairs of docs(doc_id, text) and the parts' items, with what was measured at the best passage."""
     shared = docs.sparkSession.sparkContext.broadcast(parts)  # bounded by GROUP * ITEMS
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [Finder(p, cosine) for p in shared.value]
         for batch in batches:
@@ -401,6 +406,7 @@ def exact(docs: DataFrame, items: list[Item]) -> DataFrame:
         by_first.setdefault(int(item.words[0]), []).append(i)
     shared = docs.sparkSession.sparkContext.broadcast((items, by_first, np.array(sorted(by_first), np.uint64)))  # bounded by ITEMS
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, by_first, starts = shared.value
         found = Terms(starts)

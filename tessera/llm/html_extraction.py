@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 # Fixed values of HTML: elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -291,6 +291,7 @@ def _count(page: str, found: Counter) -> None:
 def learn(pages: DataFrame) -> dict[tuple[str, int], int]:
     """Counts (feature, side) -> words or tags over all labelled pages, of at most MAX_WEIGHTS features."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
@@ -403,6 +404,7 @@ def extract_pages(pages: DataFrame, counts: dict[tuple[str, int], int] | None =
     small_batches(pages.sparkSession)
     learned = learn(pages) if counts is None else counts
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(learned)
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import lean, small_batches, utf8
 
 GRAM = 3
 FEATURES = 1 << 15
@@ -67,6 +67,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities: languages x FEATURES) from docs(text, lang)."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -157,6 +158,7 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray) -> DataFram
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float32))  # languages x FEATURES
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value.astype(np.float64)
         for batch in batches:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Bloom, chunks, connected_components, heavy_of, materialize, skew_join, small_batches, sorted_groups, utf8, without
+from .common import Bloom, chunks, connected_components, heavy_of, lean, materialize, skew_join, small_batches, sorted_groups, utf8, without
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 5
@@ -109,6 +109,7 @@ def _set_digest(s: np.ndarray) -> bytes:
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set and, where it is not empty, sketch."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -149,6 +150,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _within(nearness):
     """A task over groups sorted by `task`: edges of a forest of each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
         for group in sorted_groups(batches, "task"):
@@ -169,6 +171,7 @@ def _across(nearness):
     """A task over groups sorted by `task`: edges from each member that is `odd` to one member of every other label
     that it is near to."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "task"):
             ids, odd, label = (group.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "odd", "label"))
@@ -271,6 +274,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> Da
     def sets(ids: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Bloom(ids.select(F.xxhash64("doc_id"))))  # at most 32 MB
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hit = shared.value.maybe(batch.column("h").to_numpy())

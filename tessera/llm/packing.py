@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, small_batches
 
 CAPACITY = 2048
 END = 0
@@ -109,6 +109,7 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity
     small_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"] + ["ids"] * keep_ids
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer, ranks), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
@@ -251,6 +252,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

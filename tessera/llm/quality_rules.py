@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import chunks, small_batches, utf8
+from .common import chunks, lean, small_batches, utf8
 
 SUMMARY = 1000
 COMMON_SHARE, COMMON_COUNT, COVER = 1 / 500, 20, 0.1
@@ -105,6 +105,7 @@ def _prune(hashes: np.ndarray, counts: np.ndarray, k: int = SUMMARY) -> tuple[np
     return u, c
 
 
+@lean
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
@@ -143,6 +144,7 @@ def language_references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarr
     candidates = frequent_words(docs)
     of = {lang: np.sort(g["word"].to_numpy().view(np.uint64)) for lang, g in candidates.groupby("lang")}
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], np.ndarray] = {}
 
@@ -285,6 +287,7 @@ def judge(docs: DataFrame, references: dict | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     refs = language_references(docs) if references is None else references
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -299,6 +302,7 @@ def keep(docs: DataFrame, references: dict | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     refs = language_references(docs) if references is None else references
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, small_batches, utf8
+from .common import chunks, lean, small_batches, utf8
 
 _ANY = "[A-Za-z0-9_-]"
 #: kind, prefix, class of the run, least length of the run.
@@ -456,6 +456,7 @@ def scan(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     compiled = docs.sparkSession.sparkContext.broadcast(automaton())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(compiled.value)
         none = hashlib.sha256(b"").hexdigest()
@@ -482,6 +483,7 @@ def redact(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     compiled = docs.sparkSession.sparkContext.broadcast(automaton())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(compiled.value)
         for batch in batches:

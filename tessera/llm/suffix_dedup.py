@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import HEAVY, HEAVY_ROWS, heavy_of, materialize, maybe_in, skew_join, small_batches, sorted_groups, utf8
+from .common import HEAVY, HEAVY_ROWS, heavy_of, lean, materialize, maybe_in, skew_join, small_batches, sorted_groups, utf8
 
 LENGTH = 200
 GRAM = 64
@@ -91,6 +91,7 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.
 def anchors(docs: DataFrame, length: int) -> DataFrame:
     """t, and the runs as arrays anchors, starts; last is the start of the last window."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -203,6 +204,7 @@ def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
 _FOUND = "anchor long, digest binary, first int, last int, open boolean, window binary"
 
 
+@lean
 def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeats of contexts sorted by group: rows (anchor, digest, first, last); with open, a window of an
     anchor in several blocks, to be looked for in the others."""
@@ -274,6 +276,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = keyed.select("t", "text").where(maybe(F.xxhash64("t")))
     texts = materialize(wanted.groupBy("t").agg(F.first("text").alias("text")).join(flagged, "t"), "wanted")
 
+    @lean
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -311,6 +314,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hits = found.where("not open").select("anchor", "digest", "first", "last").unionByName(more.select("anchor", "digest", "first", "last"))
     hits = hits.groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("hits"))  # of one context
 
+    @lean
     def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -331,6 +335,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     covers = skew_join(placed, materialize(hits, "hits"), ["anchor", "digest"], hot=heavy_of(distinct, n_places, ["anchor", "digest"]))
     covers = covers.groupBy("t").agg(F.collect_list(F.struct("at", "hits")).alias("covers"))  # of one text
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))

@@ -41,7 +41,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, materialize, scratch, small_batches
+from .common import BATCH_ROWS, lean, materialize, scratch, small_batches
 
 REVISIT_MIN_BYTES = 1000
 ROLL_BYTES = 128 << 20
@@ -220,6 +220,7 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_byte
     dealt = rows.unionByName(notes).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(_NO_ID)))).repartitionById(len(bounds) + 1, "shard")
     sorted_ = dealt.sortWithinPartitions("shard", "page_id", F.col("note").desc(), F.xxhash64("html"), "html", "url")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(path, roll_bytes)
         page, copy, refers, first = object(), 0, {}, {}
@@ -305,6 +306,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * payload
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * payload
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(path)
         for batch in batches:
