@@ -31,9 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers get few rows at a time, and fewer still where texts are long: these are settings of the session."""
+    """Readers and Python workers get few rows at a time, and workers fewer still where texts are long: these are settings of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)  # four thousand texts at once fill a heap
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -255,26 +256,40 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); component is the smallest node reachable.
 
-    Every round each node takes the least label among its neighbours and then its label's label,
-    so the number of rounds grows with the logarithm of the longest chain. Nodes with very many edges and
-    labels of very many nodes are joined apart from the rest. Each round is written to the shared folder,
-    and the round before it removed. An empty input gives an empty result.
+    Every round each node goes over to that of itself and its neighbours which has the least hash of the round; edges
+    within one node go, equal ones become one. So a round leaves a part of the nodes whatever the graph, and the
+    edges of alike groups are gone after one or two. At the end the rounds' moves are put together, the last and
+    smallest first. Nodes with very many edges, or that very many others go over to, are joined apart from the
+    rest. What a round needs is written to the shared folder. An empty input gives an empty result.
     """
-    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = materialize(e, "edges")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = heavy(both, ["b"])
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = skew_join(both, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = skew_join(labels, hop, ["component"], "left").join(near, "node")
-        new = materialize(after.select("node", F.least("component", "near", F.coalesce("next", "component")).alias("component"), F.col("component").alias("old")), "labels")
-        discard(labels)
-        labels = new.select("node", "component")
-        labels._scratch = new._scratch
-        if new.where("component <> old").isEmpty():
+    left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    for k in range(max_rounds):
+        mark = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        ends = left.select("a", mark("b").alias("m"), "b").unionByName(left.select(F.col("b").alias("a"), mark("a").alias("m"), F.col("a").alias("b")))
+        move = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("m").alias("m"))
+        move = materialize(move.select("node", "n", F.least("m", mark("node"))["to"].alias("to")), "moves")
+        rows = move.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not rows:
             break
+        hubs = heavy_of(move, rows, ["node"])
+        moves.append(move)
+        side = lambda c, to: (move.select(F.col("node").alias(c), F.col("to").alias(to)), hubs.withColumnRenamed("node", c))  # noqa: B023, E731
+        after = left
+        for c in ("a", "b"):
+            to, hot = side(c, f"{c}_")
+            hot._rows = hubs._rows
+            after = skew_join(after, to, [c], hot=hot)
+        after = after.where("a_ <> b_").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct()
+        before, left = left, materialize(after, "edges")
+        discard(before)
     else:
         raise RuntimeError("connected components did not settle")
-    return labels
+    if not moves:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    ends = moves[-1].select("node", "to")
+    for move in reversed(moves[:-1]):
+        on = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        ends = materialize(skew_join(move.select("node", "to"), on, ["to"], "left").select("node", F.coalesce("end", "to").alias("to")), "moves")
+    least = materialize(ends.groupBy("to").agg(F.min("node").alias("component")), "least")
+    return materialize(skew_join(ends, least, ["to"]).select("node", "component"), "labels")

@@ -159,6 +159,20 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert set(got.values()) == {0, 100} and len(got) == 43
+    rng = random.Random(4)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(190)] + [(1000 + i, 1000 + i // 2) for i in range(200)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for a, b in pairs if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
     star = spark.range(1, 3000).selectExpr("5000 AS a", "id AS b").unionByName(spark.sql("SELECT 9000L AS a, 9001L AS b"))
     found = connected_components(star)
     assert found.where("component = 1").count() == 3000 and found.where("component = 9000").count() == 2
