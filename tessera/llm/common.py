@@ -256,16 +256,16 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); component is the smallest node reachable.
 
-    Every round each node goes over to that of itself and its neighbours which has the least hash of the round; edges
-    within one node go, equal ones become one. So a round leaves a part of the nodes whatever the graph, and the
-    edges of alike groups are gone after one or two. At the end the rounds' moves are put together, the last and
+    Every round each node goes over to one of itself and its neighbours, the least in even rounds, that with the least
+    hash of the round in odd ones; edges within one node go, equal ones become one. An odd round leaves a part of
+    the nodes whatever the graph, and groups whose members know their least one are done after an even one. At the end the rounds' moves are put together, the last and
     smallest first. Nodes with very many edges, or that very many others go over to, are joined apart from the
     rest. What a round needs is written to the shared folder. An empty input gives an empty result.
     """
     left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     moves: list[DataFrame] = []
     for k in range(max_rounds):
-        mark = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        mark = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         ends = left.select("a", mark("b").alias("m"), "b").unionByName(left.select(F.col("b").alias("a"), mark("a").alias("m"), F.col("a").alias("b")))
         move = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("m").alias("m"))
         move = materialize(move.select("node", "n", F.least("m", mark("node"))["to"].alias("to")), "moves")
