@@ -11,6 +11,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of a text, and windows of words, handled at once.
 SEGMENT, _WINDOWS = 2 << 20, 1 << 20
+#: Powers of an odd base and of its inverse, for hashes that roll along a text. Such hashes may only choose candidates: strings are easily made that share one.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -51,22 +52,41 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: By number of bytes, what of a lane counts.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _lanes(data: np.ndarray, at: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Each lane of eight bytes from `at` on (zeros from `ends` on), mixed with its number within the range."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    return mix((eight[at] & _LANE[np.minimum(ends - at, 8)]) ^ mix(number.astype(np.uint64), 3), 1)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, equal for equal strings wherever they lie."""
-    _grow(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverse[starts], 1) + (ends - starts).astype(np.uint64)
+    """A 64-bit hash of each byte range, equal for equal strings wherever they lie. Lanes of eight bytes are mixed with
+    their number, which is not linear, before they are summed: so no pattern of bytes cancels out whatever the keys are."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    lanes = np.maximum((length + 7) >> 3, 1)
+    first = np.cumsum(lanes) - lanes
+    if len(lanes) == int(lanes.sum()):
+        total = _lanes(data, starts, ends, np.zeros(len(starts), np.int64))
+    else:
+        number = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+        total = np.add.reduceat(_lanes(data, np.repeat(starts, lanes) + 8 * number, np.repeat(ends, lanes), number), first)
+    return mix(total + length.astype(np.uint64), 2)
 
 
 def _long_hash(word: np.ndarray) -> int:
     """The hash of one very long word, part by part."""
-    _grow(SEGMENT)
-    total = 0
-    for i in range(0, len(word), SEGMENT):
-        part = word[i : i + SEGMENT]
-        total += int(((part.astype(np.uint64) + np.uint64(1)) * _powers[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, i, 1 << 64)
-    return (int(mix(np.array([total & 0xFFFFFFFFFFFFFFFF], np.uint64), 1)[0]) + len(word)) & 0xFFFFFFFFFFFFFFFF
+    total = np.zeros(1, np.uint64)
+    step = max(8, SEGMENT & ~7)
+    for i in range(0, len(word), step):
+        at = np.arange(i, min(i + step, len(word)), 8)
+        total += _lanes(word[i : i + step], at - i, np.full(len(at), min(step, len(word) - i)), at >> 3).sum(dtype=np.uint64)
+    return int(mix(total + np.uint64(len(word)), 2)[0])
 
 
 _TRIMMED = np.zeros(256, bool)

@@ -806,6 +806,28 @@ def test_words_of_long_rows_in_segments(monkeypatch):
             assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_balanced_patterns_differ(spark, n):
+    """Strings whose polynomial hashes modulo a power of two agree, whatever the base."""
+    from tessera.llm import words as W
+
+    one, two = thue_morse(n)
+    data = np.frombuffer((one + " " + two).encode(), np.uint8)
+    own, _ = W.word_hashes(data, np.array([0, len(data)]))
+    assert own[0] != own[1] and W._long_hash(data[:n]) == own[0] and W._long_hash(data[n + 1 :]) == own[1]
+    found = by_id(minhash.components(documents(spark, [one, two]), 0.85))
+    assert [found[k]["component_id"] for k in (0, 1)] == [0, 1] and found[1]["kept"]
+    r = quality_rules.judge(documents(spark, [f"one two three four {one}\none two three four {two}"])).first()
+    assert r["n_repeat_words"] == 0 and not r["base_failed"]
+
+
 def test_shared_folder_is_needed_on_a_cluster(spark):
     from types import SimpleNamespace
 
