@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup, url_filters, warc
+from . import decontamination, divergence, hard_negatives, html_extraction, language_id, minhash, packing, quality_rules, secret_scans, sharding, suffix_dedup, url_filters, warc
 from .common import table
 
 # Fixed values of the query's contract.
@@ -62,12 +62,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.places(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op4_minhash": _OP4, "op5_suffix_array_dedup": _OP5, "op9_secret_scans": _op9(), "op10_quality_rules": _op10()}
+    return {"op1_warc": _OP1, "op6_url_filters": _OP6, "op4_minhash": _OP4, "op5_suffix_array_dedup": _OP5, "op9_secret_scans": _op9(), "op10_quality_rules": _op10(), "op11_hard_negatives": _OP11, "op12_sharding": _op12(), "op13_source_divergence": _OP13}
 
 
 _OP1 = """
@@ -184,3 +196,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND (coalesce(passed, false) OR lang IS NOT NULL AND lang NOT IN (SELECT lang FROM refs) OR lang IS NULL AND NOT EXISTS (SELECT 1 FROM refs WHERE cover >= {q.COVER})) AS kept,
        CASE WHEN chars >= {q.CHAR_MIN} THEN round(best.dc, 6) END AS char_distance, CASE WHEN n_words >= {q.WORD_MIN} THEN round(best.dw, 6) END AS word_distance
 FROM judged LEFT JOIN best USING (rid)"""
+
+
+_OP11 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.vec_id AS other_id, b.rid AS other, a.label = b.label AS same, CAST(list_inner_product(CAST(a.c AS DOUBLE[]), CAST(b.c AS DOUBLE[])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.rid <> b.rid),
+p AS (SELECT anchor, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, k ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
+def _op12() -> str:
+    """The jumps of each key one after the other, and checksums byte by byte over a table of 256 made by its rule."""
+    steps, n = [], sharding.SHARDS + 1
+    for i in range(1, n + 1):
+        after = f"(k * {sharding.MULTIPLIER} + 1) % 18446744073709551616::UHUGEINT"
+        steps.append(f"s{i} AS (SELECT * EXCLUDE (k, j, js), {after} AS k, CAST(floor((j + 1) * (2147483648 / CAST(({after}) // 8589934592 + 1 AS DOUBLE))) AS BIGINT) AS j, list_append(js, j) AS js FROM s{i - 1})")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc),
+sums AS MATERIALIZED (SELECT rid, doc_id, strlen(x) + 1 AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(x), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM d, t),
+s0 AS (SELECT *, CAST(coalesce(doc_id, 0) AS HUGEINT) AS signed_, CAST(CASE WHEN signed_ < 0 THEN signed_ + 18446744073709551616 ELSE signed_ END AS UHUGEINT) AS k, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS js FROM sums),
+{', '.join(steps)},
+placed AS (SELECT doc_id, size, text_crc32, {', '.join(f"CAST(list_max(list_filter(js, lambda y: y < {m})) AS INTEGER) AS {c}" for c, m in (("shard", n - 1), ("grown_shard", n)))} FROM s{n})
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed"""
+
+
+_OP13 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT lang, source, term, count(*) AS docs, sum(n) AS n FROM (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING sum(docs) >= {divergence.DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+cells AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, sum(coalesce(t.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, k.n AS in_lang FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+shares AS MATERIALIZED (
+  SELECT c.lang, source, term, c.n, 1 + CAST(1000000000 AS HUGEINT) * (c.n + 5) // (total + 5 * v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (in_lang + 5) // (langs.n + 5 * v) AS q FROM cells c JOIN langs ON langs.lang = c.lang),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
