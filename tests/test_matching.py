@@ -30,7 +30,8 @@ def test_public_names():
 
 @pytest.mark.parametrize("ties,slice_rows", [(False, 20_000), (True, 20_000), (False, 15), (True, 15)])
 def test_screen_is_the_full_sort(spark, monkeypatch, ties, slice_rows):
-    monkeypatch.setattr(screen, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(screen, "CELL_ROWS", slice_rows)
+    monkeypatch.setattr(screen, "BLOCK_ROWS", slice_rows)
     data, gps, pdf, g = random_cohort(spark, 120, 3, ties)
     found = P.gps_candidate_search(data, gps, "T", "A", 4).edges.toPandas()
     p = g[list("ABC")].to_numpy()
@@ -256,29 +257,101 @@ def test_initial_trios_are_the_offers_of_all_free(spark, seed, ties):
             assert got.get(i, []) == want or ties and len(got.get(i, [])) == len(want), (i, caliper)
 
 
-def test_parts_of_the_plane_have_queues_of_their_own(spark, monkeypatch):
-    """Far clusters: parts give the sets that one queue over all gives, numbered alike; so do wider cells."""
+def plane_cohort(spark, arms, g):
+    n = len(arms)
+    data = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "T": arms, "x": np.zeros(n)}))
+    gps = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "A": g[:, 0], "B": g[:, 1], "C": 1 - g.sum(axis=1)}))
+    return data, gps, P.gps_candidate_search(data, gps, "T", "A", 2)
+
+
+def one_queue(arms, g, caliper, top_n=10):
+    """Ids of (base, first, second) by one queue over all, and the base and the others."""
+    base = min("ABC", key=lambda a: int((arms == a).sum()))
+    order = [base, *(a for a in "ABC" if a != base)]
+    ids, xy = {a: np.flatnonzero(arms == a) for a in "ABC"}, {a: g[arms == a] for a in "ABC"}
+    return [tuple(int(ids[v][k]) for v, k in zip(order, t[:3], strict=True)) for t in threeway.select_trios(*(xy[v] for v in order), caliper, top_n)], order
+
+
+def matched_trios(match, order):
+    at = {"A": "anchor", "B": "B", "C": "C"}
+    rows = match.matched.orderBy("matched_set_id").collect()
+    assert [r["matched_set_id"] for r in rows] == list(range(1, len(rows) + 1))
+    return [tuple(r[at[v]] for v in order) for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "cloud", "ties", "line", "outlier"])
+def test_tiles_agree_with_one_queue(spark, monkeypatch, kind):
+    """Sets and their numbers are those of one queue over all, whatever the tiles and the reach of the start."""
     rng = np.random.default_rng(5)
-    n = 120
-    arms = np.array(list("ABC"))[rng.integers(0, 3, n)]
+    n = 160
+    arms = np.array(list("ABC"))[rng.choice(3, n, p=[0.25, 0.4, 0.35])]
     where = rng.integers(0, 4, n)
-    g = np.column_stack([0.2 + 0.1 * (where % 2), 0.2 + 0.1 * (where // 2)]) + rng.random((n, 2)) * 0.02
-    data = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "T": arms, "x": rng.normal(size=n)}))
-    gps = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "A": g[:, 0], "B": g[:, 1], "C": 1 - g.sum(axis=1)}))
-    search = P.gps_candidate_search(data, gps, "T", "A", 2)
-    counts = {a: int((arms == a).sum()) for a in "ABC"}
-    base = min("ABC", key=counts.get)
-    others = [a for a in "ABC" if a != base]
-    xy = {a: g[arms == a] for a in "ABC"}
-    ids = {a: np.flatnonzero(arms == a) for a in "ABC"}
-    want = [(ids[base][i], ids[others[0]][a], ids[others[1]][b]) for i, a, b, _ in threeway.select_trios(xy[base], xy[others[0]], xy[others[1]], 0.03, 10)]
-    points = spark.createDataFrame(pd.DataFrame({"p1": g[:, 0], "p2": g[:, 1]}))
-    assert threeway.parts_of(points, 0.015)[0].select("part").distinct().count() >= 4
-    for most in (2_000_000, 3):
-        monkeypatch.setattr(threeway, "MAX_CELLS", most)
-        rows = P.match_3way(data, search, gps, caliper=0.03).matched.orderBy("matched_set_id").collect()
-        at = {"A": "anchor", "B": "B", "C": "C"}
-        assert [tuple(r[at[v]] for v in (base, *others)) for r in rows] == want and [r["matched_set_id"] for r in rows] == list(range(1, len(want) + 1))
+    g = {
+        "clusters": np.column_stack([0.2 + 0.1 * (where % 2), 0.2 + 0.1 * (where // 2)]) + rng.random((n, 2)) * 0.02,
+        "cloud": rng.random((n, 2)) * 0.4,
+        "ties": rng.integers(0, 5, (n, 2)) / 16,
+        "line": np.column_stack([np.full(n, 0.25), rng.integers(0, 40, n) / 128]),
+        "outlier": np.where(np.arange(n)[:, None] < 2, 0.48, rng.random((n, 2)) * 0.1),
+    }[kind]
+    if kind == "outlier":
+        arms[:2] = min("ABC", key=lambda a: int((arms == a).sum()))
+    data, gps, search = plane_cohort(spark, arms, g)
+    caliper = 0.04 if kind == "clusters" else 0.5
+    want, order = one_queue(arms, g, caliper)
+    assert len(want) > 20
+    for tile in (9, 4096) if kind == "ties" else (12,):
+        monkeypatch.setattr(threeway, "TILE", tile)
+        monkeypatch.setattr(screen, "CELL_ROWS", 20 if tile < 100 else 4096)
+        assert matched_trios(P.match_3way(data, search, gps, caliper=caliper), order) == want
+
+
+def test_numbers_of_sets_do_not_depend_on_the_caliper(spark, monkeypatch):
+    """Six trios of no perimeter in two far clusters: ties go by the base id, in one tile or several."""
+    g = np.array([[0.1, 0.1], [0.4, 0.4]])[np.repeat([0, 1, 0, 1, 1, 0], 3)]
+    arms = np.array(list("ABC") * 6)
+    data, gps, search = plane_cohort(spark, arms, g)
+    for tile, calipers in ((4096, (2.0, 0.01)), (2, (2.0,))):
+        monkeypatch.setattr(threeway, "TILE", tile)
+        for caliper in calipers:
+            assert [t[0] for t in matched_trios(P.match_3way(data, search, gps, caliper=caliper), "ABC")] == [0, 3, 6, 9, 12, 15]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ties_of_discrete_scores_against_slow(seed):
+    rng = np.random.default_rng(seed)
+    base, one, two = (rng.integers(0, 4, (n, 2)) / 8 for n in (14, 17, 19))
+    for caliper in (0.3, 5.0):
+        assert [g[:3] for g in threeway.select_trios(base, one, two, caliper, 3)] == slow_trios(base, one, two, caliper, 3)
+
+
+def test_a_search_beyond_what_is_known_says_so():
+    rng = np.random.default_rng(1)
+    base, one, two = (rng.random((n, 2)) for n in (30, 60, 60))
+    whole = threeway.Plane(base, one, two, 0.5, 1e-6, 4)
+    for i in range(30):
+        want, none = whole.offers(i)
+        assert none == 0.0
+        for known in (0.01, 0.05, 0.2, 2.0):
+            ids = [np.flatnonzero(np.sqrt(((x - base[i]) ** 2).sum(axis=1)) < known) for x in (one, two)]
+            got, need = threeway.Plane(base, one[ids[0]], two[ids[1]], 0.5, 1e-6, 4).offers(i, known)
+            assert need >= known or not need and [(k, ids[0][a], ids[1][b]) for k, a, b, _ in got] == [o[:3] for o in want]
+
+
+def test_cells_are_even_and_reached():
+    from tessera.operators.cells import Cells
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 3)), np.zeros((100, 3))])
+    cells = Cells(x[rng.permutation(1000)[:500]], 16)
+    own = cells.locate(x)
+    assert len(cells) == 16 and np.bincount(own).max() < 300 and (own[900:] == own[900]).all()
+    r = np.array([0.0, 0.3, 1.0, np.inf])
+    q = rng.normal(size=(4, 3))
+    row, cell = cells.reached(q, r)
+    for i in range(4):
+        near = {int(c) for c, p in zip(own, x, strict=True) if np.sqrt(((p - q[i]) ** 2).sum()) <= r[i]}
+        assert near <= set(cell[row == i].tolist()) and int(cells.locate(q[i : i + 1])[0]) in cell[row == i]
+    assert len(Cells(np.zeros((50, 2)), 8)) == 1 and len(Cells(np.zeros((0, 1)), 4)) == 1
 
 
 def test_five_arms_against_slow(spark):
@@ -300,8 +373,9 @@ def test_rounds_of_a_chain_of_conflicts(spark):
 
 
 def test_screen_of_a_tied_first_score(spark, monkeypatch):
-    """Slices by the score that differs; many anchors in a slice are dealt into blocks."""
-    monkeypatch.setattr(screen, "SLICE_ROWS", 10)
+    """Cells by the scores that differ; many anchors in a cell are dealt into blocks."""
+    monkeypatch.setattr(screen, "CELL_ROWS", 10)
+    monkeypatch.setattr(screen, "BLOCK_ROWS", 10)
     rng = np.random.default_rng(2)
     n = 150
     g = np.column_stack([np.full(n, 0.25), rng.random(n) * 0.7])
