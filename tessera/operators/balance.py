@@ -7,16 +7,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_ratio
 from ..plans.model import ROW_ID, MatchResult, Search, groups_from_matched, materialize, quoted
 from .checks import check_data_fingerprint, check_gps_fingerprint, covariate_columns, data_facts, default_covariates, infer_anchor_level, scores_facts, validate_gps
-
-
-#: Ranges of scores that ranks are summed up by.
-RANGES = 32
+from .ranks import quantiles, running_totals
 
 
 def _members(matched: DataFrame, groups: Sequence[str], anchor: str) -> DataFrame:
@@ -72,15 +69,9 @@ def auc_mannwhitney(score, label=None, by: Sequence[str] = ()):
         u, inverse, counts = np.unique(s, return_inverse=True, return_counts=True)
         rank = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
         return float((rank[y].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
-    # Counts by distinct score: ties are one row, and so is a hot score. Then running totals within ranges of scores,
-    # and over the ranges' totals, so no window holds all scores of a key.
+    # Counts by distinct score: ties are one row, and so is a hot score.
     counted = materialize(score.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("ones"), F.count("*").alias("n")), "scores")
-    bounds = sorted(set(counted.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)))
-    counted = counted.withColumn("range_", sum((F.when(F.col("score") > b, 1).otherwise(0) for b in bounds), F.lit(0)))
-    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = counted.groupBy(*by, "range_").agg(F.sum("n").alias("n")).withColumn("lower", before(by, "range_")).drop("n")
-    keys = [*by, "range_"]
-    ranked = counted.withColumn("within", before(keys, "score")).join(F.broadcast(ranges), keys).withColumn("rank", F.col("lower") + F.col("within") + (F.col("n") + 1) / 2)  # RANGES rows a key at most
+    ranked = running_totals(counted, by, "score", "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("ones") * F.col("rank")).alias("r"), F.sum("ones").cast("double").alias("n1"), F.sum(F.col("n") - F.col("ones")).cast("double").alias("n0"))
     auc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0"))).otherwise(F.lit(float("nan")))
     return sums.select(*by, auc.alias("auc"))
@@ -103,8 +94,11 @@ def compute_pairwise_treatment_auc(gps: DataFrame, matched: DataFrame, groups: S
 
 def distance_summary(values: DataFrame, column: str) -> DataFrame:
     """One row: mean, median, sd, p95 (interpolated), max; all NaN without rows."""
-    nan = lambda c: F.coalesce(c.cast("double"), F.lit(math.nan))
-    return values.agg(nan(F.avg(column)).alias("mean"), nan(F.median(column)).alias("median"), nan(F.stddev_samp(column)).alias("sd"), nan(F.percentile(column, F.lit(0.95))).alias("p95"), nan(F.max(column)).alias("max"))
+    own = values.select(F.col(quoted(column)).cast("double").alias("x")).where("x is not null")
+    n, mean, sd, most = own.agg(F.count("*"), F.avg("x"), F.stddev_samp("x"), F.max("x")).first()
+    median, p95 = quantiles(own, (0.5, 0.95), n)
+    row = tuple(math.nan if v is None else float(v) for v in (mean, median, sd, p95, most))
+    return values.sparkSession.createDataFrame([row], "mean double, median double, sd double, p95 double, max double")
 
 
 def with_dispersion(matched: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -27,6 +27,8 @@ class Search:
     id_col: str
     data_fingerprint: dict | None = None
     gps_fingerprint: dict | None = None
+    places: DataFrame | None = None
+    """(anchor, p): the scores of each anchor, if the search keeps them."""
 
 
 @dataclass

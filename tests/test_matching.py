@@ -73,12 +73,13 @@ def slow_greedy(edges, groups):
 
 
 @pytest.mark.parametrize("seed,ties", [(0, False), (1, True), (2, True)])
-def test_greedy_kernel_rounds_and_slow_agree(spark, seed, ties):
+def test_greedy_kernel_rounds_and_slow_agree(spark, monkeypatch, seed, ties):
     data, gps, _, _ = random_cohort(spark, 110, seed, ties)
     search = P.gps_candidate_search(data, gps, "T", "A", 5)
     edges = greedy.rank_edges(greedy.edge_distances(data, search.edges, ["x0", "x1", "x2"], "T")).toPandas()
     want = slow_greedy(edges, ["B", "C"])
-    for strategy in ("kernel", "rounds"):
+    for strategy, tile in (("tiles", (16_384, 6, 9)[seed]), ("rounds", 1)):
+        monkeypatch.setattr(greedy, "TILE", tile)
         m = P.sam_match(data, search, ["x0", "x1", "x2"], strategy=strategy)
         got = m.matched.orderBy("matched_set_id").toPandas()
         assert [tuple(r) for r in got[["anchor", "B", "C"]].to_numpy().tolist()] == want
@@ -354,16 +355,29 @@ def test_cells_are_even_and_reached():
     assert len(Cells(np.zeros((50, 2)), 8)) == 1 and len(Cells(np.zeros((0, 1)), 4)) == 1
 
 
-def test_five_arms_against_slow(spark):
+def test_five_arms_against_slow(spark, monkeypatch):
     data, gps, _, _ = random_cohort(spark, 160, 9, arms="ABCDE")
     search = P.gps_candidate_search(data, gps, "T", "A", 6)
     edges = greedy.rank_edges(greedy.edge_distances(data, search.edges, ["x0", "x1"], "T")).toPandas()
     want = slow_greedy(edges, list("BCDE"))
-    for strategy in ("kernel", "rounds"):
+    for strategy, tile in (("tiles", 9), ("rounds", 1)):
+        monkeypatch.setattr(greedy, "TILE", tile)
         got = P.sam_match(data, search, ["x0", "x1"], strategy=strategy).matched.orderBy("matched_set_id").toPandas()
         assert [tuple(r) for r in got[["anchor", *"BCDE"]].to_numpy().tolist()] == want and len(want) > 10
 
 
+def test_tiles_of_a_chain_of_conflicts(spark, monkeypatch):
+    """Anchors that all want the same candidates, two to a tile: each round settles one tile more."""
+    monkeypatch.setattr(greedy, "TILE", 2)
+    rows = [(a, g, 100 + c, 1.0 + c + 0.01 * a, c + 1) for a in range(8) for g in "BC" for c in range(8)]
+    edges = greedy.rank_edges(spark.createDataFrame(rows, "anchor long, grp string, cand long, dist double, rank int"))
+    places = spark.createDataFrame([(a, [float(a)]) for a in range(8)], "anchor long, p array<double>")
+    want = [tuple(w) for w in slow_greedy(edges.toPandas(), ["B", "C"])]
+    for where in (places, None):
+        got = greedy.by_tiles(edges, ["B", "C"], where).orderBy("matched_set_id").collect()
+        assert [(r["anchor"], r["B"], r["C"]) for r in got] == want and len(got) == 8
+
+
 def test_rounds_of_a_chain_of_conflicts(spark):
     """Anchors that all want the same candidates: as many rounds as anchors, none left out."""
     rows = [(a, g, 100 + c, 1.0 + c + 0.01 * a, c + 1) for a in range(8) for g in "BC" for c in range(8)]

@@ -158,7 +158,32 @@ def test_t_and_bootstrap_intervals(spark):
         P.sam_estimate_effects(spark.createDataFrame([(1, "A", 0), (1, "B", 1)], "matched_set_id long, T string, y int"), "y", anchor_level="A", ci_method="t")
 
 
-def test_auc_over_many_ranges(spark):
+@pytest.mark.parametrize("held", [100_000, 7])
+def test_quantiles_are_those_of_all_values(spark, monkeypatch, held):
+    """Few values are looked at, many are bracketed: hot values, ties at the ends, infinities and wide spans too."""
+    from tessera.operators import ranks
+
+    monkeypatch.setattr(ranks, "HELD", held)
+    rng = np.random.default_rng(4)
+    for x in ([3.0], [1.0, 2.0], rng.normal(size=300), np.round(rng.normal(size=200), 1), np.concatenate([np.zeros(180), rng.random(20)]), np.concatenate([rng.random(15), np.full(200, 5.0)]), 10.0 ** rng.integers(-200, 200, 60)):
+        got = ranks.quantiles(spark.createDataFrame([(float(v),) for v in x], "x double"), (0.0, 0.5, 0.95, 1.0), len(x))
+        assert got == pytest.approx(np.quantile(np.asarray(x, float), [0, 0.5, 0.95, 1]).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_a_million_values(spark):
+    """More distinct values than are held: the bracket that is looked at holds a few thousand."""
+    from tessera.operators import ranks
+
+    values = spark.range(1_000_000).selectExpr("(id * 7919 % 1000003) / 8.0D AS x")
+    want = np.quantile(np.arange(1_000_000) * 7919 % 1000003 / 8.0, [0.5, 0.95])
+    assert ranks.quantiles(values, (0.5, 0.95), 1_000_000) == pytest.approx(want.tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 60])
+def test_auc_over_many_ranges(spark, monkeypatch, rows):
+    from tessera.operators import ranks
+
+    monkeypatch.setattr(ranks, "RANGE_ROWS", rows)
     rng = np.random.default_rng(6)
     s, y, k = np.round(rng.normal(size=3000), 2), rng.integers(0, 2, 3000), rng.integers(0, 3, 3000)
     df = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(s, y, k)], "score double, label int, k int")
