@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,45 @@ def get_pooled_covariance(data: DataFrame, X_vars: Sequence[str] | None = None,
     return pooled_covariance(data, profile(data, default_covariates(X_vars), treatment_var), treatment_var)
 
 
+#: Rows of a block of cross-products, and sums of tasks that are added up before the last step.
+BLOCK_ROWS, FAN_IN = 4096, 64
+
+
+def cross_products(rows: DataFrame, means: dict[str, np.ndarray], p: int) -> np.ndarray:
+    """The p x p sums of products of rows(arm, x) less their arm's means: by blocks in tasks, whose sums are added up in two levels."""
+    levels = list(means)
+    center = np.array([means[v] for v in levels], float).reshape(len(levels), p)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p))
+        for batch in batches:
+            if batch.num_rows:
+                arm = pc.index_in(batch["arm"], value_set=pa.array(levels)).to_numpy(zero_copy_only=False)
+                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                for i in range(0, len(x), BLOCK_ROWS):
+                    off = x[i : i + BLOCK_ROWS] - center[arm[i : i + BLOCK_ROWS]]
+                    total += off.T @ off
+        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "sums"])
+
+    def added(found: pa.Table) -> pa.Table:
+        sums = found["sums"].combine_chunks().flatten().to_numpy().reshape(found.num_rows, p).sum(axis=0)
+        return pa.table({"i": found["i"][:1], "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+    parts = rows.mapInArrow(blocks, "i int, sums array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+    some = parts.groupBy("i", "part").applyInArrow(lambda t: added(t.select(["i", "sums"])), "i int, sums array<double>")
+    s = np.zeros((p, p))
+    for r in some.groupBy("i").applyInArrow(added, "i int, sums array<double>").collect():  # p rows
+        s[r["i"]] = r["sums"]
+    return s
+
+
 def pooled_covariance(data: DataFrame, known: Profile, treatment_var: str) -> dict:
-    """The same from the data's profile: one aggregate of the covariates less their arm's means."""
+    """The same from the data's profile: one pass over the covariates less their arm's means."""
     df = sum(known.counts.values()) - len(known.counts)
     if df <= 0:
         raise ValueError("pooled covariance needs more subjects than treatment groups")
     p = len(known.columns)
-    arms = F.array(*map(F.lit, known.counts))
-    means = [F.element_at(F.map_from_arrays(arms, F.array(*(F.lit(float(known.means[v][i])) for v in known.counts))), F.col("arm")) for i in range(p)]
-    off = data.select(label(data, treatment_var).alias("arm"), *(c.alias(f"x{i}") for i, c in enumerate(known.columns))).select(*((F.col(f"x{i}") - means[i]).alias(f"c{i}") for i in range(p)))
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = off.agg(*(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs)).first() if p else []
-    s = np.zeros((p, p))
-    for (i, j), v in zip(pairs, sums, strict=True):
-        s[i, j] = s[j, i] = v / df
+    s = cross_products(data.select(label(data, treatment_var).alias("arm"), F.array(*known.columns).alias("x")), known.means, p) / df if p else np.zeros((0, 0))
     try:
         inverse = np.linalg.inv(s)
     except np.linalg.LinAlgError:

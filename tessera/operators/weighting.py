@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.model import ROW_ID, quoted
 from .balance import _side_by_side, smd_summary
-from .checks import arm_counts, covariate_columns, default_covariates, label, require_rows, treatment_level, validate_gps
+from .checks import arm_counts, complete, default_covariates, label, numeric_columns, refuse_unusable, require_rows, treatment_level, unusable, validate_gps
 from .propensity import estimate_gps_multinom
 
 METHODS = ("iptw", "overlap", "matching")
@@ -23,12 +23,6 @@ def _over(a, b):
     return F.when(b == 0, F.lit(_INF)).otherwise(a / b)
 
 
-def _first_seen(data: DataFrame, treatment_var: str, id_col: str) -> list[str]:
-    """Arms in the order of their least id."""
-    rows = data.groupBy(label(data, treatment_var).alias("arm")).agg(F.min(F.col(quoted(id_col))).alias("first")).collect()  # one row per arm
-    return [r["arm"] for r in sorted(rows, key=lambda r: (r["first"], r["arm"]))]
-
-
 def weights_from_scores(data: DataFrame, gps: DataFrame, arms: Sequence[str], method: str, treatment_var: str, stabilize: bool, trim: float, counts: dict[str, int], id_col: str) -> DataFrame:
     """(id, arm, h, weight, trimmed): trimmed marks rows with a score under trim."""
     scores = gps.select(F.col(quoted(id_col)).alias(id_col), F.array(*(F.col(quoted(c)).cast("double") for c in arms)).alias("e"))
@@ -72,29 +66,39 @@ def compute_balancing_weights(data: DataFrame, method: str = "iptw", gps: DataFr
 def compute_weighted_balance(data: DataFrame, weights: DataFrame, X_vars: Sequence[str] | None = None, treatment_var: str = "T", anchor_level="A", id_col: str = ROW_ID) -> dict[str, DataFrame]:
     """{"by_covariate", "summary"} with weighted means and population variances; weights(id, weight)."""
     x_vars, anchor = default_covariates(X_vars), treatment_level(anchor_level)
-    w = F.col("weight")
-    n, same, bad, negative = weights.agg(F.count("*"), F.count_distinct(id_col), F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == _INF)), F.count_if(w < 0)).first()
-    if n != data.count() or n != same:
+    columns, w = numeric_columns(data, x_vars), F.col("weight")
+    k = range(len(columns))
+    # Rows of one id are put together where the join needs them anyway, so a repeated id shows without a pass of its own.
+    once = weights.groupBy(id_col).agg(F.first("weight").alias("weight"), F.count("*").alias("times"))
+    own = data.select(F.col(quoted(id_col)).alias(id_col), label(data, treatment_var).alias("arm"), F.lit(True).alias("there"), *(c.alias(f"x{i}") for i, c in enumerate(columns)))
+    both = own.join(once, id_col, "full")
+    told = both.groupBy("arm", "there").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(F.col("times"), F.lit(0)) != 1).alias("odd"), F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == _INF)).alias("bad"), F.count_if(w < 0).alias("negative"), F.min(id_col).alias("first"),
+        F.sum(w).alias("w"), *(F.count_if(unusable(F.col(f"x{i}"))).alias(f"b{i}") for i in k), *(F.sum(F.col(f"x{i}") * w).alias(f"s{i}") for i in k),
+    ).collect()  # a row for each arm, and one for weights of nobody
+    rows = [r for r in told if r["there"]]
+    if len(rows) < len(told) or any(r["odd"] for r in rows):
         raise ValueError("weights and data must contain the same number of observations")
-    if bad:
+    if any(r["bad"] for r in rows):
         raise ValueError("weights must all be finite")
-    if negative:
+    if any(r["negative"] for r in rows):
         raise ValueError("weights must be non-negative")
-    counts = arm_counts(data, treatment_var)
+    counts = complete({r["arm"]: r["n"] for r in rows}, treatment_var)
     require_rows(counts.get(anchor, 0), anchor, treatment_var)
-    groups = [g for g in _first_seen(data, treatment_var, id_col) if g != anchor]
-    columns = covariate_columns(data, x_vars)
-    rows = data.select(F.col(quoted(id_col)).alias(id_col), label(data, treatment_var).alias("arm"), *(c.alias(f"x{i}") for i, c in enumerate(columns))).join(weights.select(id_col, "weight"), id_col)
-    k = range(len(columns))
-    sums = rows.groupBy("arm").agg(F.sum(w).alias("w"), *(F.sum(F.col(f"x{i}") * w).alias(f"s{i}") for i in k))
-    empty = {r["arm"] for r in sums.where("not (w > 0)").select("arm").collect()}  # arms only
+    refuse_unusable(x_vars, [sum(r[f"b{i}"] for r in rows) for i in k])
+    groups = [r["arm"] for r in sorted(rows, key=lambda r: (r["first"], r["arm"])) if r["arm"] != anchor]
+    total = {r["arm"]: r["w"] for r in rows}
+    empty = {g for g, x in total.items() if not x > 0}
     if anchor in empty:
         raise ValueError("anchor-group weights must have a positive sum")
     if empty:
         raise ValueError("Weights must have a positive sum in every treatment group; zero total weight in: " + ", ".join(g for g in groups if g in empty))
-    means = sums.select("arm", "w", *((F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in k))
-    off = rows.join(F.broadcast(means.withColumnRenamed("w", "total")), "arm")  # one row per arm
-    stats = off.groupBy("arm").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in k), *((F.sum(w * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{i}") - F.col(f"m{i}"))) / F.first("total")).alias(f"v{i}") for i in k))
+    means = {r["arm"]: [r[f"s{i}"] / r["w"] for i in k] for r in rows}
+    arms = F.array(*map(F.lit, means))
+    off = [F.col(f"x{i}") - F.element_at(F.map_from_arrays(arms, F.array(*(F.lit(float(m[i])) for m in means.values()))), F.col("arm")) for i in k]
+    squares = own.join(once, id_col).groupBy("arm").agg(*(F.sum(w * off[i] * off[i]).alias(f"q{i}") for i in k)).collect()  # one row per arm
+    made = [(r["arm"], *means[r["arm"]], *(r[f"q{i}"] / total[r["arm"]] for i in k)) for r in squares]
+    stats = data.sparkSession.createDataFrame(made, ", ".join(["arm string", *(f"m{i} double" for i in k), *(f"v{i} double" for i in k)]))
     by = _side_by_side(stats, "arm", x_vars, groups, anchor)
     return {"by_covariate": by.orderBy("grp_pos", "cov_pos").select("group", "covariate", "smd", "smd_defined"), "summary": smd_summary(by)}
 

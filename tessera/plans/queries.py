@@ -84,7 +84,7 @@ def gps_violations(spark, d):
 def covariate_violations(spark, d):
     k = F.col("row_id") % 40
     spoilt = _cohort(spark, d).withColumn("x1", F.when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(None).cast("double")).when(k == 3, F.lit(float("inf"))).otherwise(F.col("x1")))
-    return spoilt.agg(*(F.count_if(checks._unusable(F.col(x))).alias(x) for x in X))
+    return spoilt.agg(*(F.count_if(checks.unusable(F.col(x))).alias(x) for x in X))
 
 
 def fingerprint(spark, d):

@@ -7,9 +7,11 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.model import numbered
+
 #: Columns of the sample tables, in order.
 SAMPLE_COLUMNS = (
     "synthetic_id", "treatment", "mortality_28d", "age", "charlson_comorbidity_index", "lactate_pre", "mbp_pre", "creatinine_pre", "wbc_pre", "male", "vasopressor_preindex", "invasive_vent_preindex", "concurrent_vancomycin",
@@ -21,7 +23,7 @@ def _load_sample(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"synthetic_id": "long", "treatment": "string", "mortality_28d": "int"}
     schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in SAMPLE_COLUMNS)
     rows = spark.read.csv(path, header=True, schema=schema)
-    return rows.withColumn("row_id", F.row_number().over(Window.orderBy("synthetic_id")).cast("long") - 1)  # a small file
+    return numbered(rows, ["synthetic_id"], "row_id").withColumn("row_id", F.col("row_id") - 1)
 
 
 def load_sample_3group(spark: SparkSession, path: str) -> DataFrame:

@@ -426,6 +426,19 @@ def test_old_fingerprints_and_columns_that_cannot_be_hashed(spark):
         checks.check_data_fingerprint(greedy.Search(None, anchors, "A", ["B"], "row_id", known), moved, "T", "x")
 
 
+def test_a_moved_cell_is_named_with_its_range_of_ids(spark):
+    data = spark.range(-40, 5000).selectExpr("id AS row_id", "if(id % 2 = 0, 'A', 'B') AS T", "id * 0.5D AS x", "id % 7 AS k")
+    known = checks.data_fingerprint(data, "T")
+    anchors = data.where("T = 'A'").selectExpr("row_id AS anchor")
+    search = greedy.Search(None, anchors, "A", ["B"], "row_id", known)
+    for row, low, high in ((3000, 2944, 3071), (-33, -33, -32), (7, 7, 7)):
+        moved = data.withColumn("k", data["k"] + (data["row_id"] == row).cast("int"))
+        with pytest.raises(ValueError, match=rf"a column value differs in k \(ids from {low} to {high}\)$"):
+            checks.check_data_fingerprint(search, moved, "T", "x")
+    numbers = spark.range(-5000, 5000).withColumn("n", checks.id_range(checks.F.col("id"))).collect()
+    assert all(checks.ids_of_range(r["n"])[0] <= r["id"] <= checks.ids_of_range(r["n"])[1] for r in numbers)
+
+
 def test_row_ids_out_of_range(spark):
     data, gps, _, _ = random_cohort(spark, 60, 1)
     search = P.gps_candidate_search(data, gps, "T", "A", 3)

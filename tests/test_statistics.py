@@ -158,6 +158,25 @@ def test_t_and_bootstrap_intervals(spark):
         P.sam_estimate_effects(spark.createDataFrame([(1, "A", 0), (1, "B", 1)], "matched_set_id long, T string, y int"), "y", anchor_level="A", ci_method="t")
 
 
+def test_pooled_covariance_of_three_hundred_covariates(spark):
+    """Blocks of rows in tasks: the plan does not grow with the square of the covariates."""
+    rng = np.random.default_rng(8)
+    x, arm = rng.normal(size=(400, 300)) + 1e6, np.array(list("ABC"))[rng.integers(0, 3, 400)]
+    names = [f"c{j}" for j in range(300)]
+    data = spark.createDataFrame([(i, a, *v) for i, (a, v) in enumerate(zip(arm.tolist(), x.tolist(), strict=True))], ["row_id", "T", *names]).repartition(7)
+    off = x - np.array([x[arm == a].mean(axis=0) for a in arm])
+    got = P.get_pooled_covariance(data, names)["S"]
+    assert np.allclose(got, off.T @ off / 397, rtol=1e-9, atol=1e-9)
+
+
+def test_weights_of_other_or_repeated_ids_are_refused(spark):
+    data = spark.createDataFrame([(i, "AB"[i % 2], float(i * i)) for i in range(6)], "row_id long, T string, x double")
+    good = [(i, 1.0 + i) for i in range(6)]
+    for bad in ([(i + 1, w) for i, w in good], [*good[:5], (4, 1.0)], [*good, (5, 1.0)], good[:5], [*good, (9, 1.0)]):
+        with pytest.raises(ValueError, match="same number of observations"):
+            P.compute_weighted_balance(data, spark.createDataFrame(bad, "row_id long, weight double"), ["x"])
+
+
 @pytest.mark.parametrize("held", [100_000, 7])
 def test_quantiles_are_those_of_all_values(spark, monkeypatch, held):
     """Few values are looked at, many are bracketed: hot values, ties at the ends, infinities and wide spans too."""
