@@ -11,7 +11,7 @@ both sources have are tallied as they are; how many have a count in the one and
 one's own histogram of counts has more than the tally, and what is left of V has neither. So no zero is ever a row.
 
 Terms are counted in tasks a batch at a time, by their strings, and summed before they are shuffled; a very long
-text goes in pieces between terms, and holds its distinct terms in memory. What meets under one key are counts: a
+text goes in pieces between terms, a share of the terms at a time. What meets under one key are counts: a
 term's by source, so at most as many as there are sources. Terms of a hot source are rows of many keys. Ranks
 of terms keep TOP of each task's rows before they meet.
 
@@ -22,6 +22,7 @@ occur; ids play no part. Other columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import lean, materialize, skew_join, small_batches, utf8
+from .common import chunks, lean, materialize, skew_join, small_batches, utf8
 
 #: Documents of a language that have a kept term, and ranks of terms for each group.
 DOCS, TOP = 30, 50
@@ -56,50 +57,60 @@ def _terms(data: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(W.LOWER[data[inside[1:-1]]])), starts
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, rows, start of each row there): whole rows of at most limit bytes together; longer rows one by one in
-    pieces cut between terms, or longer still within a term. No term reaches over two rows of a piece."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
-        a, b = int(offsets[i]), int(offsets[j])
-        if j > i + 1 or b - a <= limit:
-            rows = np.arange(i, j)
-            apart = np.insert(data[a:b], offsets[i + 1 : j] - a, 0x20)
-            yield apart, rows, offsets[i:j] - a + np.arange(j - i)
-        else:
-            while a < b:
-                end = min(b, a + limit)
-                gaps = np.flatnonzero(~_TERM[data[a:end]])
-                if end < b and len(gaps):
-                    end = a + int(gaps[-1]) + 1
-                while end < b and not len(gaps):
-                    gaps = np.flatnonzero(~_TERM[data[end : min(b, end + limit)]])
-                    end = end + int(gaps[0]) + 1 if len(gaps) else min(b, end + limit)
-                yield data[a:end], np.array([i]), np.zeros(1, np.int64)
-                a = end
-        i = j
-
-
-def count_terms(column: pa.Array, group: np.ndarray, limit: int = PIECE) -> pa.Table:
+def _found(piece: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> pa.Table:
+    """(row, term, count) of the rows that begin at these bytes of a piece."""
+    terms, starts = _terms(piece)
+    coded = terms.dictionary_encode()
+    row = np.searchsorted(begin, starts, side="right") - 1
+    n = max(len(coded.dictionary), 1)
+    pairs, counts = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+    return pa.table({"row": rows[pairs // n] if len(pairs) else np.zeros(0, np.int64), "term": coded.dictionary.take(pa.array(pairs % n)), "count": counts.astype(np.int64)})
+
+
+def _cuts(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """A long text in pieces of about limit bytes, cut between terms."""
+    a, b = 0, len(data)
+    while a < b:
+        end = min(b, a + limit)
+        gaps = np.flatnonzero(~_TERM[data[a:end]])
+        if end < b and len(gaps):
+            end = a + int(gaps[-1]) + 1
+        while end < b and not len(gaps):
+            gaps = np.flatnonzero(~_TERM[data[end : end + limit]])
+            end = end + int(gaps[0]) + 1 if len(gaps) else min(b, end + limit)
+        yield data[a:end]
+        a = end
+
+
+def _of_long(data: np.ndarray, row: int, limit: int) -> Iterator[pa.Table]:
+    """The same of one long text: as many passes as pieces, each for a share of the terms, so that memory is bounded
+    however many terms differ."""
+    passes = -(-len(data) // limit)
+    for k in range(passes):
+        held = []
+        for piece in _cuts(data, limit):
+            found = _found(piece, np.array([row]), np.zeros(1, np.int64))
+            raw, offsets = utf8(found["term"])
+            own = W.hashes(raw, offsets[:-1], offsets[1:]) % np.uint64(passes) == k
+            held.append(found.filter(pa.array(own)))
+        yield pa.concat_tables(held).group_by(["row", "term"]).aggregate([("count", "sum")]).rename_columns(["row", "term", "count"])
+
+
+def count_terms(column: pa.Array, group: np.ndarray, limit: int = PIECE) -> Iterator[pa.Table]:
     """(group, term, docs, count) of texts, each of the group with the number beside it."""
     data, offsets = utf8(column)
-    parts, long_row = [], []
-    for piece, rows, begin in _pieces(data, offsets, limit):
-        terms, starts = _terms(piece)
-        coded = terms.dictionary_encode()
-        row = np.searchsorted(begin, starts, side="right") - 1
-        n = max(len(coded.dictionary), 1)
-        pairs, counts = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
-        found = pa.table({"row": rows[pairs // n] if len(pairs) else np.zeros(0, np.int64), "term": coded.dictionary.take(pa.array(pairs % n)), "count": counts.astype(np.int64)})
-        (long_row if len(rows) == 1 else parts).append(found)
-    if long_row:  # a text's pieces, each with terms of its own
-        parts.append(pa.concat_tables(long_row).group_by(["row", "term"]).aggregate([("count", "sum")]).rename_columns(["row", "term", "count"]))
-    if not parts:
-        return pa.table({"group": pa.array([], pa.int64()), "term": pa.array([], pa.string()), "docs": pa.array([], pa.int64()), "count": pa.array([], pa.int64())})
-    found = pa.concat_tables(parts)
-    found = found.append_column("group", pa.array(group[found["row"].to_numpy()]))
-    return found.group_by(["group", "term"]).aggregate([("row", "count"), ("count", "sum")]).rename_columns(["group", "term", "docs", "count"])
+
+    def of_groups(found: pa.Table) -> pa.Table:
+        found = found.append_column("group", pa.array(group[found["row"].to_numpy()]))
+        return found.group_by(["group", "term"]).aggregate([("row", "count"), ("count", "sum")]).rename_columns(["group", "term", "docs", "count"])
+
+    for i, j in chunks(offsets, limit):  # whole rows, or one that is longer
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a <= limit:
+            apart = np.insert(data[a:b], offsets[i + 1 : j] - a, 0x20)  # no term reaches over two rows
+            yield of_groups(_found(apart, np.arange(i, j), offsets[i:j] - a + np.arange(j - i)))
+        else:
+            yield from map(of_groups, _of_long(data[a:b], i, limit))
 
 
 @lean
@@ -108,12 +119,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.Table.from_batches([batch]).select(["lang", "source"]).group_by(["lang", "source"]).aggregate([])
         at = {x: i for i, x in enumerate(zip(names["lang"].to_pylist(), names["source"].to_pylist(), strict=True))}
         group = np.array([at[x] for x in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True)], np.int64)
-        found = count_terms(batch["text"], group)
+        own = lambda c, g: pc.take(names[c].combine_chunks(), g)  # noqa: B023, E731
         # a row without a term says that the group occurs
         zeros = pa.array(np.zeros(len(at), np.int64))
-        found = pa.concat_tables([found, pa.table({"group": pa.array(np.arange(len(at))), "term": pa.nulls(len(at), pa.string()), "docs": zeros, "count": zeros})])
-        own = lambda c: pc.take(names[c].combine_chunks(), found["group"].combine_chunks())  # noqa: B023, E731
-        yield from pa.table({"lang": own("lang"), "source": own("source"), "term": found["term"], "docs": found["docs"], "count": found["count"]}).combine_chunks().to_batches(50_000)
+        occurs = pa.table({"group": pa.array(np.arange(len(at))), "term": pa.nulls(len(at), pa.string()), "docs": zeros, "count": zeros})
+        for found in itertools.chain([occurs], count_terms(batch["text"], group)):
+            g = found["group"].combine_chunks()
+            yield from pa.table({"lang": own("lang", g), "source": own("source", g), **{c: found[c] for c in ("term", "docs", "count")}}).combine_chunks().to_batches(50_000)
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:

@@ -44,10 +44,29 @@ BROADCAST_ROWS = 500_000
 
 # White space followed by other characters: where one ends, the tokenizer's own pattern also ends a piece.
 _UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-# White space beyond those four, or the special token: such a text goes to the tokenizer as a whole.
+# White space beyond those four, or the special token: such a part goes to the tokenizer as a whole.
 _ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|endoftext\\|>")
 
 
+#: Characters of a text that are encoded at once, or some more where it cannot be cut.
+PART = 1 << 16
+#: After other characters, a blank or a line's end begins a piece of the tokenizer's own pattern, whatever follows. No token
+#: that is told apart beforehand has white space in it.
+_CUT = re.compile(r"(?<=\S)[ \n]")
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts that may be encoded one by one."""
+    a = 0
+    while len(text) - a > PART:
+        found = _CUT.search(text, a + PART)
+        if not found:
+            break
+        yield text[a : found.start()]
+        a = found.start()
+    yield text[a:]
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes; remembers the pieces it has seen."""
 
@@ -72,6 +91,9 @@ class Encoder:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        return self._part(text) if len(text) <= PART else b"".join(map(self._part, parts_of(text)))
+
+    def _part(self, text: str) -> bytes:
         if _ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         units, known = _UNIT.findall(text), self.known

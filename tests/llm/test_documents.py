@@ -250,6 +250,22 @@ def test_packing_places_every_piece_once(spark):
     assert used.max() <= 2048 and len(used) <= -(-rows.length.sum() // 2048) + 1
 
 
+def test_parts_are_encoded_as_the_whole(monkeypatch):
+    """Cuts anywhere a text may be cut, among white space of all kinds, contractions and the special token."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(12)
+    some = [" ", "  ", "\n", "\n\n ", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\x0b", "<|endoftext|>", "don't", "'ll", "we've", "a", "Zeit", "é", "日本", "12", "!?", "\u200b", "x_y"]
+    for part in (1, 3, 11):
+        monkeypatch.setattr(packing, "PART", part)
+        enc = packing.Encoder(TOKENIZER, RANKS)
+        for _ in range(400):
+            text = "".join(rng.choice(some) for _ in range(rng.randrange(0, 25)))
+            assert "".join(packing.parts_of(text)) == text
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_uses_up_the_histogram(seed):
     rng = np.random.default_rng(seed)
@@ -753,7 +769,7 @@ def test_long_texts_as_the_same_text_among_others():
     assert [(a + 1, text[a:b]) for a, k, b in found if k == 0] == [(at + 2, b"token=abcdefgh12") for at in (100, 4 << 20, n - 50)]
 
 
-@pytest.mark.parametrize("kernel", ["op3", "op4", "op5", "op9", "op10"])
+@pytest.mark.parametrize("kernel", ["op3", "op4", "op5", "op7", "op9", "op10", "op13"])
 def test_memory_of_long_texts(kernel):
     """A text of 60 MB takes its kernel at most 700 MB more."""
     import subprocess
@@ -764,9 +780,17 @@ import resource, sys
 sys.path.insert(0, {str(ROOT)!r})
 import numpy as np
 from tests.llm.test_documents import long_text
-from tessera.llm import minhash, suffix_dedup, secret_scans, quality_rules, decontamination
+from tessera.llm import minhash, suffix_dedup, secret_scans, quality_rules, decontamination, packing, divergence
+from tessera.llm.queries import RANKS, TOKENIZER
+import pyarrow as pa
 data, offsets = long_text(60 << 20)
+data[::1024] = 32
+text = data.tobytes().decode("ascii", "replace") if {kernel!r} in ("op7", "op13") else ""
+if {kernel!r} == "op7":  # a non-breaking space every kilobyte
+    text = "\\xa0 ".join(text[i : i + 1022] for i in range(0, len(text), 1024))
+column = pa.array([text])
 run = {{"op3": lambda: decontamination.lower_words(data, offsets), "op4": lambda: minhash.sketches(minhash.text_sets(data, offsets)), "op5": lambda: suffix_dedup.anchor_runs(data, 200),
+        "op7": lambda: packing.Encoder(TOKENIZER, RANKS).encode(text), "op13": lambda: [len(t) for t in divergence.count_terms(column, np.zeros(1, int))],
         "op9": lambda: secret_scans.found_in(secret_scans.scanner(), data, offsets), "op10": lambda: quality_rules.verdicts(data, offsets, {{}}, [None])}}[{kernel!r}]
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 run()
