@@ -245,6 +245,14 @@ def mean_auc(spark, d):
     return spark.createDataFrame([(round(balance.compute_pairwise_treatment_auc(_auc_gps(data), fixed_matching(data), [G1, G2], A)["mean_auc"], 6),)], "mean_auc double")
 
 
+def auc_tied_scores(spark, d):
+    """Of scores that are whole numbers, so that most rows tie: each arm against each other, by orders and by filled orders."""
+    data = _cohort(spark, d).select("T", F.explode(F.array(F.struct(F.lit("x2").alias("score_of"), F.col("x2").alias("score")), F.struct(F.lit("y").alias("score_of"), F.col("y").cast("double").alias("score")))).alias("s"))
+    pairs = F.array(*(F.struct(F.lit(a).alias("group_1"), F.lit(b).alias("group_2")) for a, b in ((A, G1), (A, G2), (G1, G2))))
+    rows = data.select("T", "s.*", F.explode(pairs).alias("g")).select("T", "score_of", "score", "g.*").where(F.col("T").isin(F.col("group_1"), F.col("group_2")))
+    return _rounded(balance.auc_mannwhitney(rows.withColumn("label", (F.col("T") == F.col("group_1")).cast("int")), by=("score_of", "group_1", "group_2")))
+
+
 #: So high that some scores fall below it.
 TRIM = 0.2
 
@@ -462,8 +470,9 @@ def sample_4group(spark, d):
 
 
 def generated_cohort(spark, d):
-    """What must hold of generated cohorts whatever the random numbers: (rows, distinct ids, arms, finite, outcome 0/1)."""
-    data = cohorts.make_data(spark, 5000, 4, 3)
+    """What must hold of a generated cohort of as many subjects as there are customers, whatever the random numbers:
+    (rows, distinct ids, arms, finite, outcome 0/1)."""
+    data = cohorts.make_data(spark, spark.read.parquet(f"{d}/customer.parquet").count(), 4, 3)
     finite = F.bool_and(sum((F.abs(F.col(f"x{j}")) for j in range(8)), F.lit(0.0)) < 1e3)
     return data.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("ids"), F.count_distinct("treatment").alias("arms"), finite.alias("finite"), F.bool_and(F.col("y").isin(0, 1)).alias("binary"))
 
@@ -472,7 +481,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     arm_counts, max_possible_rate, gps_violations, covariate_violations, fingerprint, ps_logit_transform, expit_logit_roundtrip, order_keys,
     knn_screen_raw, knn_screen_logit, group_distances, edge_distances, unmatched_anchors_fixed, sam_matched_sets, sam_matched_sets_rounds, sam_matched_sets_five, unmatched_anchors,
     matching_rate, caliper_auto, trio_candidates_initial, threeway_matched_sets, pooled_covariance, loss_distribution, dispersion_distribution,
-    smd_by_covariate, smd_summary, pairwise_auc, mean_auc, weights_iptw, weights_iptw_unstabilized, weights_overlap, weights_matching, n_trimmed,
+    smd_by_covariate, smd_summary, pairwise_auc, mean_auc, auc_tied_scores, weights_iptw, weights_iptw_unstabilized, weights_overlap, weights_matching, n_trimmed,
     weighted_balance, weighted_balance_summary, ess_by_arm, ess_overall, matched_cohort, group_risk, contrasts, contrasts_t, analysis_summary,
     contrasts_wild_bootstrap, gps_fit, comparator_weighting, evaluation, sample_3group, sample_4group, generated_cohort,
     mahalanobis_pairs, effects_with_missing, validations,
@@ -767,6 +776,9 @@ def oracle_sql() -> dict[str, str]:
         "smd_by_covariate": _with(_FIXED, _SMD, select=f'SELECT "group", covariate, {_round("smd")} AS smd, smd_defined FROM smd'),
         "smd_summary": _with(_FIXED, _SMD, select=_SMD_SUM),
         "pairwise_auc": _with(_FIXED, _AUC, select=f"SELECT group_1, group_2, {_round('auc')} AS auc FROM auc"),
+        "auc_tied_scores": _with(select=f"""SELECT score_of, group_1, group_2, {_round('(sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label)))')} AS auc FROM (
+          SELECT *, rank() OVER (PARTITION BY score_of, group_1, group_2 ORDER BY score) + (count(*) OVER (PARTITION BY score_of, group_1, group_2, score) - 1) / 2.0 AS rk FROM (
+            SELECT score_of, group_1, group_2, CAST(T = group_1 AS INT) AS label, score FROM cohort, LATERAL (VALUES ('x2', x2), ('y', CAST(y AS DOUBLE))) AS s(score_of, score), (VALUES ('{A}', '{G1}'), ('{A}', '{G2}'), ('{G1}', '{G2}')) AS g(group_1, group_2) WHERE T IN (group_1, group_2))) GROUP BY 1, 2, 3"""),
         "mean_auc": _with(_FIXED, _AUC, select="SELECT round(avg(greatest(auc, 1 - auc)), 6) AS mean_auc FROM auc"),
         **{
             f"weights_{k}": _with(_TRIMMED, w, select=f"SELECT row_id, {_round('h')} AS h, {_round('weight')} AS weight FROM w")
@@ -816,6 +828,6 @@ def oracle_sql() -> dict[str, str]:
         "validations": "SELECT name, true AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in _VALIDATIONS) + ") AS v(name)",
         "sample_3group": _sample(ARMS),
         "sample_4group": _sample(ARMS5[:4]),
-        "generated_cohort": "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS ids, CAST(4 AS BIGINT) AS arms, true AS finite, true AS binary",
+        "generated_cohort": "SELECT count(*) AS n, count(*) AS ids, CAST(4 AS BIGINT) AS arms, true AS finite, true AS binary FROM customer",
         "analysis_summary": _with(_FIXED, _EFFECTS, select=f"SELECT '{A}' AS anchor_level, g AS n_matched_sets, 3::INT AS K, n AS n_subjects, CAST(0.95 AS DOUBLE) AS confidence_level, 'normal' AS ci_method FROM n_"),
     }
