@@ -1,7 +1,10 @@
-"""Generalized propensity scores: unregularised multinomial logit by Newton's method.
+"""Generalized propensity scores: unregularised multinomial logit.
 
-Each step takes one pass: every task sums gradient and Hessian of its rows, (K-1)(p+1) numbers and
-their square, and the sums meet in two steps. Scores are then plain column expressions.
+Each step takes one pass, and the tasks' sums meet in two steps. With m = (K-1)(p+1) coefficients up to NEWTON_MOST, steps
+are Newton's: every task sums gradient and Hessian of its rows, m numbers and their square. With more, steps
+are those of limited-memory BFGS, for which a task sums m numbers only; what it starts from is the inverse of a bound of the
+Hessian, 1/2 (I - 11'/K) x X'X, which takes the covariates' own products alone. Both end at the same optimum.
+Scores are then plain column expressions.
 """
 
 from __future__ import annotations
@@ -32,12 +35,18 @@ class GpsModel:
     converged: bool
 
 
-def _sums(rows: DataFrame, theta: np.ndarray, center: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(log-likelihood, gradient, Hessian) at theta (levels - 1 rows)."""
+#: Coefficients up to which a task holds a Hessian (32 MB); steps that the other way remembers; coefficients of standardized
+#: covariates beyond which scores are 0 or 1 to the last bit.
+NEWTON_MOST, MEMORY, APART = 2048, 12, 25.0
+
+
+def _sums(rows: DataFrame, theta: np.ndarray, center: np.ndarray, scale: np.ndarray, hessian: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-likelihood, gradient, Hessian) at theta (levels - 1 rows); without a Hessian, X'X in its place."""
     k, p = theta.shape
+    size = k * p if hessian else p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + k * p + (k * p) ** 2)
+        total = np.zeros(1 + k * p + size**2)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -50,6 +59,9 @@ def _sums(rows: DataFrame, theta: np.ndarray, center: np.ndarray, scale: np.ndar
             total[0] += np.log(np.maximum(prob[np.arange(len(y)), y], 1e-300)).sum()
             q = prob[:, 1:]
             total[1 : 1 + k * p] += (((y[:, None] == np.arange(1, k + 1)) - q).T @ x).ravel()
+            if not hessian:
+                total[1 + k * p :] += (x.T @ x).ravel()
+                continue
             hess = np.empty((k, p, k, p))
             for a in range(k):
                 for b in range(k):
@@ -62,7 +74,21 @@ def _sums(rows: DataFrame, theta: np.ndarray, center: np.ndarray, scale: np.ndar
 
     parts = rows.mapInArrow(run, "salt int, sums binary").groupBy("salt").applyInPandas(add, "salt int, sums binary").collect()  # 32 rows at most
     total = np.sum([np.frombuffer(r["sums"], float) for r in parts], axis=0)
-    return total[0], total[1 : 1 + k * p], total[1 + k * p :].reshape(k * p, k * p)
+    return total[0], total[1 : 1 + k * p], total[1 + k * p :].reshape(size, size)
+
+
+def _remembered(grad: np.ndarray, products: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The step of limited-memory BFGS from the last steps and what the gradient fell by."""
+    g, held = grad.copy(), []
+    for s, y in reversed(past):
+        a = (s @ g) / (s @ y)
+        g -= a * y
+        held.append((a, s, y))
+    levels = g.reshape(-1, len(products))
+    g = (2 * (levels + levels.sum(axis=0)) @ np.linalg.pinv(products)).ravel()
+    for a, s, y in reversed(held):
+        g += s * (a - (y @ g) / (s @ y))
+    return g
 
 
 def estimate_gps_multinom(data: DataFrame, X_vars: Sequence[str] | None = None, treatment_var: str = "T", anchor_level="A", id_col: str = ROW_ID, max_iter: int = 100, tol: float = 1e-10) -> dict:
@@ -85,21 +111,25 @@ def estimate_gps_multinom(data: DataFrame, X_vars: Sequence[str] | None = None,
     theta = np.zeros((len(levels) - 1, len(columns) + 1))
     converged, it = len(levels) == 1, 0
     if not converged:
-        ll, grad, hess = _sums(rows, theta, center, scale)
-        for it in range(1, max_iter + 1):
-            step = (np.linalg.pinv(hess) @ grad).reshape(theta.shape)
+        newton = theta.size <= NEWTON_MOST
+        past: list[tuple[np.ndarray, np.ndarray]] = []
+        ll, grad, second = _sums(rows, theta, center, scale, newton)
+        for it in range(1, (max_iter if newton else 10 * max_iter) + 1):
+            step = (np.linalg.pinv(second) @ grad if newton else _remembered(grad, second, past)).reshape(theta.shape)
             for half in range(30):  # a full step almost always raises the likelihood
                 trial = theta + step / 2**half
-                new = _sums(rows, trial, center, scale)
+                new = _sums(rows, trial, center, scale, newton)
                 if new[0] >= ll - 1e-9 * abs(ll):
                     break
             moved = np.abs(trial - theta).max()
-            theta, (ll, grad, hess) = trial, new
+            past = [*past[1 - MEMORY :], ((trial - theta).ravel(), grad - new[1])] if not newton and (trial - theta).ravel() @ (grad - new[1]) > 0 else past
+            theta, (ll, grad, second) = trial, new
             if moved < tol:
                 converged = True
                 break
         if not converged:
-            warnings.warn("The multinomial model did not reach its tolerance; arms may be separated by the covariates.", RuntimeWarning, stacklevel=2)
+            apart = np.abs(theta).max() > APART or -ll < 1e-3  # or all scores of their own arms are 1
+            warnings.warn("The multinomial model did not reach its tolerance; " + ("arms are separated by the covariates." if apart else f"{it} steps were too few."), RuntimeWarning, stacklevel=2)
     full = np.vstack([np.zeros(theta.shape[1]), theta])
     if len(columns):
         full[:, 1:] /= scale

@@ -173,6 +173,22 @@ def test_three_way_end_to_end(spark):
         P.match_3way(data, search, gps, ps_space="logit")
 
 
+def test_fit_without_a_hessian_ends_at_the_same_optimum(spark, monkeypatch):
+    from tessera.operators import propensity
+
+    data, _, _, _ = random_cohort(spark, 260, 4, arms="ABCD")
+    want = P.estimate_gps_multinom(data, ["x0", "x1", "x2"], "T", "A")["model"]
+    monkeypatch.setattr(propensity, "NEWTON_MOST", 0)
+    got = P.estimate_gps_multinom(data, ["x0", "x1", "x2"], "T", "A")["model"]
+    assert got.converged and np.abs(got.coefficients - want.coefficients).max() < 1e-9
+    with pytest.warns(RuntimeWarning, match="2 steps were too few"):
+        monkeypatch.setattr(propensity, "NEWTON_MOST", 2048)
+        P.estimate_gps_multinom(data, ["x0"], "T", "A", max_iter=2)
+    apart = spark.createDataFrame([(i, "AB"[i > 9], float(i)) for i in range(20)], "row_id long, T string, x double")
+    with pytest.warns(RuntimeWarning, match="separated"):
+        P.estimate_gps_multinom(apart, ["x"], "T", "A", max_iter=18)
+
+
 def test_gps_fit_solves_the_score_equations(spark):
     data, _, pdf, _ = random_cohort(spark, 300, 8)
     out = P.estimate_gps_multinom(data, ["x0", "x1", "x2"], "T", "A")
