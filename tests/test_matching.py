@@ -402,6 +402,17 @@ def test_rounds_of_a_chain_of_conflicts(spark):
     assert [(r["anchor"], r["B"], r["C"]) for r in got] == [tuple(w) for w in slow_greedy(edges.toPandas(), ["B", "C"])] and len(got) == 8
 
 
+def test_rounds_that_commit_few_are_the_last(spark, monkeypatch):
+    """One round for each anchor of a chain would be 24."""
+    rows = [(a, g, 100 + c, 1.0 + c + 0.01 * a, c + 1) for a in range(24) for g in "BC" for c in range(24)]
+    edges = greedy.rank_edges(spark.createDataFrame(rows, "anchor long, grp string, cand long, dist double, rank int"))
+    made, real = [], greedy.materialize
+    monkeypatch.setattr(greedy, "materialize", lambda df, what: made.append(what) or real(df, what))
+    got = greedy.by_rounds(edges, ["B", "C"]).orderBy("matched_set_id").collect()
+    assert [(r["anchor"], r["B"], r["C"]) for r in got] == [tuple(w) for w in slow_greedy(edges.toPandas(), ["B", "C"])] and len(got) == 24
+    assert made.count("bids") == 1
+
+
 def test_screen_of_a_tied_first_score(spark, monkeypatch):
     """Cells by the scores that differ; many anchors in a cell are dealt into blocks."""
     monkeypatch.setattr(screen, "CELL_ROWS", 10)
