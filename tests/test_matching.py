@@ -6,6 +6,7 @@ import warnings
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import tessera as P
 from tessera.operators import checks, greedy, screen, threeway
@@ -341,6 +342,25 @@ def test_ties_of_discrete_scores_against_slow(seed):
         assert [g[:3] for g in threeway.select_trios(base, one, two, caliper, 3)] == slow_trios(base, one, two, caliper, 3)
 
 
+def test_copies_at_one_place_share_their_searches(spark, monkeypatch):
+    """Forty subjects of each arm at each of twelve places: searches follow places, not subjects, and so do the seeds."""
+    rng = np.random.default_rng(2)
+    few = [np.repeat(rng.random((4, 2)), 4, axis=0)[rng.permutation(16)] for _ in range(3)]
+    assert [g[:3] for g in threeway.select_trios(*few, 5.0, 3)] == slow_trios(*few, 5.0, 3)
+    base, one, two = (np.repeat(rng.random((12, 2)), 40, axis=0)[rng.permutation(480)] for _ in range(3))
+    asked, nearest = [], threeway.FreePoints.nearest
+    monkeypatch.setattr(threeway.FreePoints, "nearest", lambda self, *a: asked.append(1) or nearest(self, *a))
+    assert len(threeway.select_trios(base, one, two, 5.0, 10)) == 480
+    assert len(asked) < 480
+    rows = [(1000 * k + i, arm, *p) for k, (arm, xy) in enumerate(zip("rst", (base, one, two), strict=True)) for i, p in enumerate(xy.tolist())]
+    points = spark.createDataFrame(rows, "id long, arm string, p1 double, p2 double")
+    arms = threeway._Arms(points, ["r", "s", "t"], dict.fromkeys("rst", 480))
+    assert arms.seeds(10).count() == 12
+    trios = threeway.initial_trios(points, ["r", "s", "t"], 5.0)
+    of_place = trios.join(points.select(F.col("id").alias("base"), "p1", "p2"), "base").groupBy("p1", "p2", "rank").agg(F.count("*").alias("n"), F.countDistinct("first", "second").alias("kinds"))
+    assert of_place.where("n <> 40 or kinds <> 1").isEmpty() and trios.select("base").distinct().count() == 480
+
+
 def test_a_search_beyond_what_is_known_says_so():
     rng = np.random.default_rng(1)
     base, one, two = (rng.random((n, 2)) for n in (30, 60, 60))
