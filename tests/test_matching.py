@@ -342,6 +342,21 @@ def test_ties_of_discrete_scores_against_slow(seed):
         assert [g[:3] for g in threeway.select_trios(base, one, two, caliper, 3)] == slow_trios(base, one, two, caliper, 3)
 
 
+def test_anchors_alike_beyond_their_candidates_are_idle(spark):
+    """Of 25 anchors with the same three candidates of a group and four of the other, three may get a set; sets stay the same."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for kind in range(4):
+        lists = [(g, int(c), float(d), n + 1) for g, size in (("B", 3), ("C", 4)) for n, (c, d) in enumerate(zip(rng.choice(9, size, replace=False), np.sort(rng.random(size)), strict=True))]
+        rows += [(4 * i + kind, *e) for i in range(25) for e in lists]
+    pdf = pd.DataFrame(rows, columns=["anchor", "grp", "cand", "dist", "place"])
+    edges = spark.createDataFrame(pdf)
+    busy = greedy.without_idle(edges, ["B", "C"]).toPandas()
+    assert busy.anchor.nunique() == 12 and len(busy) == 84
+    want = [(x[0], x[1]) for x in greedy.select_sets(pdf, ["B", "C"])]
+    assert len(want) > 3 and [(x[0], x[1]) for x in greedy.select_sets(busy, ["B", "C"])] == want
+
+
 def test_copies_at_one_place_share_their_searches(spark, monkeypatch):
     """Forty subjects of each arm at each of twelve places: searches follow places, not subjects, and so do the seeds."""
     rng = np.random.default_rng(2)
