@@ -1,4 +1,7 @@
-"""Diagnostics of a match: standardized differences, discrimination AUC, distance summaries."""
+"""Diagnostics of a match: standardized differences, discrimination AUC, distance summaries.
+
+Subjects are met by merge joins: as both sides grow with the input, a broadcast would pass one whole through the driver.
+"""
 
 from __future__ import annotations
 
@@ -53,7 +56,8 @@ def compute_smd_balance(data: DataFrame, matched: DataFrame, X_vars: Sequence[st
     # A group may bear any name, so the anchors' role is one that no column can have
     members = _members(matched, groups, "")
     subjects = data.select(F.col(quoted(id_col)).cast("long").alias("id"), *(c.alias(f"x{i}") for i, c in enumerate(columns)))
-    stats = members.join(subjects, "id").groupBy("role").agg(*(f(f"x{i}").alias(f"{n}{i}") for i in range(len(columns)) for f, n in ((F.avg, "m"), (F.var_samp, "v"))))
+    stats = members.join(subjects.hint("merge"), "id").groupBy("role").agg(*(f(f"x{i}").alias(f"{n}{i}") for i in range(len(columns)) for f, n in ((F.avg, "m"), (F.var_samp, "v"))))
+    stats = materialize(stats, "stats")  # one row per arm, read by both results
     by = _side_by_side(stats, "role", x_vars, groups, "")
     return {"by_covariate": by.orderBy("grp_pos", "cov_pos").select("group", "covariate", "smd", "smd_defined"), "summary": smd_summary(by)}
 
@@ -84,7 +88,7 @@ def compute_pairwise_treatment_auc(gps: DataFrame, matched: DataFrame, groups: S
         raise ValueError("`anchor_level` is required")
     levels = [str(anchor_level), *groups]
     pairs = list(itertools.combinations(range(len(levels)), 2))
-    members = _members(matched, groups, levels[0]).join(gps.select(F.col(id_col).cast("long").alias("id"), F.array(*(F.col(quoted(v)).cast("double") for v in levels)).alias("p")), "id")
+    members = _members(matched, groups, levels[0]).join(gps.select(F.col(id_col).cast("long").alias("id"), F.array(*(F.col(quoted(v)).cast("double") for v in levels)).alias("p")).hint("merge"), "id")
     rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(levels[i]).alias("group_1"), F.lit(levels[j]).alias("group_2"), log_ratio(F.col("p")[i], F.col("p")[j]).alias("score")) for i, j in pairs))
     scored = members.select("role", F.explode(rows).alias("s")).select("role", "s.*").where((F.col("role") == F.col("group_1")) | (F.col("role") == F.col("group_2")))
     pairwise = auc_mannwhitney(scored.withColumn("label", (F.col("role") == F.col("group_1")).cast("int")), by=("i", "j", "group_1", "group_2")).orderBy("i", "j").select("group_1", "group_2", "auc")

@@ -236,3 +236,26 @@ def test_auc_over_many_ranges(spark, monkeypatch, rows):
     df = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(s, y, k)], "score double, label int, k int")
     for r in P.auc_mannwhitney(df, by=("k",)).collect():
         assert r["auc"] == pytest.approx(P.auc_mannwhitney(s[k == r["k"]], y[k == r["k"]]))
+
+
+def test_evaluation_broadcasts_no_table_of_subjects(spark, tmp_path):
+    """All parts of the report, while a table of more than 2 MB cannot be broadcast."""
+    import __spark_entry__
+    from tessera.plans import queries
+
+    n = 90_000
+    spark.range(n).selectExpr("id AS c_custkey", "element_at(array('BUILDING', 'FURNITURE', 'HOUSEHOLD'), CAST(id % 3 AS INT) + 1) AS c_mktsegment", "CAST(id * 7919 % 10007 AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2 * n).selectExpr(f"id % {n} AS o_custkey", "IF(id % 5 < 2, 'F', 'O') AS o_orderstatus", "CAST(id * 31 % 50021 AS DOUBLE) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    queries._cohort(spark, str(tmp_path))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 2 << 20)
+    try:
+        rows = __spark_entry__.queries()["evaluation"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    found = {(r["part"], r["name"]): r["value"] for r in rows}
+    sets = np.arange(n).reshape(-1, 3) * 7919 % 10007
+    loss = (np.abs(sets[:, 0] - sets[:, 1]) + np.abs(sets[:, 0] - sets[:, 2])) / 1000
+    assert found["matching_rate", ""] == 1.0
+    assert found["loss", "mean"] == pytest.approx(loss.mean(), abs=2e-6) and found["loss", "median"] == pytest.approx(np.median(loss), abs=2e-6)
+    smd = (sets[:, 0].mean() - sets[:, 1].mean()) / np.sqrt((sets[:, 0].var(ddof=1) + sets[:, 1].var(ddof=1)) / 2)
+    assert found["smd", "FURNITURE:x1"] == pytest.approx(smd, abs=2e-6)
