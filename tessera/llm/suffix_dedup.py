@@ -11,7 +11,8 @@ Anchors that occur once hold no repeats and go first; only their hashes are coun
 are summed up before they meet, so a passage that very many documents share is one row per task.
 
 Comparison. The distinct contexts of many anchors are concatenated and their Burrows-Wheeler transform is
-taken. Starting from the whole range, breadth-first backward extension visits the intervals of strings by
+taken. The sort doubles the bytes it tells apart, so it yields the intervals of all strings of its last length within
+`length` (128 of 200). Starting from these, breadth-first backward extension visits the intervals of strings by
 increasing length and sets each common-prefix value the first time an interval ends there; it stops at
 `length`. What is still unset then is a common prefix of `length` or more, so exactly the neighbours in
 suffix order whose windows are equal. Anchors with more than BLOCK contexts are dealt over blocks; the
@@ -33,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import HEAVY, HEAVY_ROWS, heavy_of, lean, materialize, maybe_in, skew_join, small_batches, sorted_groups, utf8
+from .common import HEAVY, HEAVY_ROWS, chunks, heavy_of, lean, materialize, maybe_in, skew_join, small_batches, utf8, whole_groups
 
 LENGTH = 200
 GRAM = 64
@@ -46,9 +48,12 @@ BUNDLE_BYTES = 1 << 20
 BLOCK = 4000
 #: Window starts of a text hashed at once, and bits that hold a place among them.
 SEGMENT, PLACE_BITS = 2 << 20, 24
+#: Bytes of short texts hashed together: few, so that their numbers stay in the processor's cache.
+TEXTS_BYTES = 32 << 10
 #: Rows of one batch that a text may give; bytes of a partition that shuffles to as many as there need to be.
 ROWS, TASK_BYTES = 50_000, 256 << 20
 _SEPARATOR = 0xFF  # never a byte of UTF-8
+_ODD = 0x9E3779B97F4A7C15  # parts the places of a text
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -63,59 +68,70 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
-    """min(x[i:i+w]) for every i, by running minima within blocks of w from either side."""
-    n = len(x)
-    padded = np.full(-(-n // w) * w, np.iinfo(x.dtype).max, x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
-
-
-def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, first window start) of each run of windows; the runs follow each other."""
+    """min(x[i:i+w]) for every i, by minima over twice as many each time."""
+    h = 1
+    while 2 * h <= w:
+        x = np.minimum(x[:-h], x[h:])
+        h *= 2
+    return np.minimum(x[: len(x) - (w - h)], x[w - h :])
+
+
+def anchor_runs(data: np.ndarray, length: int = LENGTH, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor hash, first window start) of each run of windows; the runs follow each other. A run that comes to one of
+    `begins` begins there anew."""
     hashes, starts, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], -1
     bits, windows = np.uint64(PLACE_BITS), len(data) - length + 1
     for a in range(0, windows, SEGMENT):
         h = gram_hashes(data[a : min(windows, a + SEGMENT) + length - 1], GRAM)
         # the hash's high bits, then the place: the least is the leftmost of the least
         at = (_sliding_least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[at[0] + a != last], at[1:] != at[:-1]]))
+        new = np.concatenate([[at[0] + a != last], at[1:] != at[:-1]])
+        if begins is not None:
+            new[begins[(begins >= a) & (begins < a + len(at))] - a] = True
+        first = np.flatnonzero(new)
         hashes.append(h[at[first]])
         starts.append(first + a)
         last = int(at[-1]) + a
     return np.concatenate(hashes), np.concatenate(starts)
 
 
+def text_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor hash, first and last window start in the row) of the runs of several texts, hashed together."""
+    found = []
+    for i, j in chunks(offsets, TEXTS_BYTES):
+        begins, ends = offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
+        h, s = anchor_runs(data[offsets[i] : offsets[j]], length, begins[ends - begins >= length])
+        row = np.searchsorted(begins, s, side="right") - 1
+        own = s + length <= ends[row]  # other windows lie in two texts
+        row, h, s = row[own], h[own], s[own]
+        to = np.append(s[1:], 0) - 1
+        final = np.append(row[1:] != row[:-1], True)[: len(row)]
+        to[: len(row)][final] = ends[row[final]] - length
+        found.append((row + i, h, s - begins[row], to[: len(row)] - begins[row]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64))
+
+
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """t, and the runs as arrays anchors, starts; last is the start of the last window."""
+    """t, and the runs as an array of anchor, first, to: the starts of their first and last windows."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            ts, hs, ss, last = batch.column("t").to_pylist(), [], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                h, s = anchor_runs(data[a:b], length)
-                hs.append(h.view(np.int64))
-                ss.append(s)
-                last.append(b - a - length)
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in hs])]).astype(np.int32)
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ts, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), flat(hs)), pa.ListArray.from_arrays(pa.array(bounds), flat(ss)), pa.array(last, pa.int64())], ["t", "anchors", "starts", "last"]
-            )
+            row, h, first, to = text_runs(*utf8(batch.column("text")), length)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(first), pa.array(to)], ["anchor", "first", "to"])
+            yield pa.RecordBatch.from_arrays([batch.column("t").cast(pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), runs)], ["t", "runs"])
 
-    return docs.where(F.octet_length("text") >= length).mapInArrow(run, "t binary, anchors array<long>, starts array<long>, last long")
+    return docs.where(F.octet_length("text") >= length).mapInArrow(run, "t binary, runs array<struct<anchor: long, first: long, to: long>>")
 
 
 def _digest(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in the order of at least their first `depth` bytes, the byte before each), cyclic."""
+def transform(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(suffixes in the order of more than their first `length` bytes, the byte before each), cyclic, and what the
+    sort has told apart on its way: (the ranks at which strings of `known` bytes begin, known), known at most `length`."""
     n = len(text)
     wide = np.concatenate([text, text[:8]]) if n >= 8 else np.resize(text, n + 8)
     key = np.zeros(n, np.uint64)
@@ -123,38 +139,48 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = (key << np.uint64(8)) | wide[j : j + n]
     order, h = np.argsort(key), 8
     rank = np.empty(n, np.int64)
-    head = np.concatenate([[True], key[order][1:] != key[order][:-1]])  # where a new rank starts in order
-    rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    while h < depth:
-        # only suffixes that share their rank are sorted on, each class within its own places
-        open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
-        if not len(open_):
+    key = key[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]])  # where a new rank starts in order
+    first = np.flatnonzero(head)
+    rank[order] = np.repeat(first, np.diff(first, append=n))
+    begins, known = np.zeros(1, np.int64), 0
+    open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
+    while True:
+        if h <= length:
+            begins, known = np.flatnonzero(head), h
+        if h > length or not len(open_):
             break
+        # only suffixes that share their rank are sorted on, each class within its own places
         these = order[open_]
         pair = rank[these] * n + rank[(these + h) % n]
         by = np.argsort(pair)
-        order[open_], pair = these[by], pair[by]
+        these, pair = these[by], pair[by]
         fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
-        head[open_] = fresh
-        rank[order[open_]] = open_[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        order[open_], head[open_] = these, fresh
+        first = np.flatnonzero(fresh)
+        sizes = np.diff(first, append=len(fresh))
+        rank[these] = np.repeat(open_[first], sizes)
+        open_ = open_[np.repeat(sizes > 1, sizes)]
         h *= 2
-    return order, text[order - 1]
+    return order, text[order - 1], begins, known
 
 
-def bounded_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
+def bounded_prefixes(bwt: np.ndarray, length: int, begins: np.ndarray, known: int) -> np.ndarray:
     """True at i where the suffixes of rank i-1 and i share `length` bytes or more.
 
     Common prefixes are set by increasing value: the interval of a string of l + 1 bytes that ends
-    before rank i, and is the first to do so, says that the common prefix at i is l.
+    before rank i, and is the first to do so, says that the common prefix at i is l. The intervals of all strings
+    of `known` bytes, which begin at these ranks, are where it starts.
     """
     n = len(bwt)
     kind = np.int32 if n < 1 << 31 else np.int64
     back = np.empty(n, kind)  # where the suffix one byte longer ranks
     back[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=kind)
     unset = np.ones(n + 1, bool)
-    unset[[0, n]] = False
-    low, high = np.zeros(1, kind), np.full(1, n - 1, kind)
-    for _ in range(length):
+    unset[n] = False
+    unset[begins] = False
+    low, high = begins.astype(kind), (np.append(begins[1:], n) - 1).astype(kind)
+    for _ in range(known, length):
         if not len(low):
             break
         sizes = high - low + 1
@@ -177,28 +203,22 @@ def bounded_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     return unset[:n]
 
 
-def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of all contexts: position in the concatenation, whether repeated, and whether it is
-    the first of its equals. Contexts are parted by a byte of their own."""
-    text = np.frombuffer(bytes([_SEPARATOR]).join(contexts) + bytes([_SEPARATOR]), np.uint8)
-    ends = np.cumsum([len(c) + 1 for c in contexts]) - 1
-    own = np.zeros(len(text), bool)
-    for e, c in zip(ends.tolist(), contexts, strict=True):
-        own[e - len(c) : e - length + 1] = True
-    order, bwt = transform(text, length + 1)
-    same = bounded_prefixes(bwt, length)
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of all contexts, in their order: the context, the offset in it, whether repeated, and whether
+    it is the first of its equals. Contexts are parted by a byte of their own."""
+    text = np.append(np.insert(data, offsets[1:-1], _SEPARATOR), np.uint8(_SEPARATOR))
+    sizes = np.diff(offsets)
+    begins = offsets[:-1] + np.arange(len(sizes))
+    order, bwt, *classes = transform(text, length)
+    same = bounded_prefixes(bwt, length, *classes)
     again = same.copy()
     again[:-1] |= same[1:]
-    keep = own[order]
-    return order[keep], again[keep], ~same[keep]
-
-
-def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Ascending numbers as runs (first, last)."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True))
+    by_place = np.zeros((2, len(text)), bool)
+    by_place[0, order], by_place[1, order] = again, ~same
+    windows = np.maximum(sizes - length + 1, 0)
+    which = np.repeat(np.arange(len(sizes)), windows)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return which, offset, *by_place[:, begins[which] + offset]
 
 
 _FOUND = "anchor long, digest binary, first int, last int, open boolean, window binary"
@@ -208,51 +228,78 @@ _FOUND = "anchor long, digest binary, first int, last int, open boolean, window
 def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeats of contexts sorted by group: rows (anchor, digest, first, last); with open, a window of an
     anchor in several blocks, to be looked for in the others."""
-    rows: list[tuple] = []
-    bundle: list[dict] = []
+    bundle: list[pa.Table] = []
     size = 0
 
-    def flush() -> None:
-        contexts = [r["context"] for r in bundle]
-        position, again, leads = repeated_windows(contexts, length)
-        begins = np.concatenate([[0], np.cumsum([len(c) + 1 for c in contexts])])
-        which = np.searchsorted(begins, position, side="right") - 1
-        offset = position - begins[which]
-        order = np.lexsort((offset, which))
-        which, offset, again, leads = which[order], offset[order], again[order], leads[order]
-        bounds = np.searchsorted(which, np.arange(len(bundle) + 1))
-        for k, r in enumerate(bundle):
-            part = slice(bounds[k], bounds[k + 1])
-            if not r["several"]:
-                rows.extend((r["anchor"], r["digest"], a, b, False, None) for a, b in _intervals(offset[part][again[part]]))
-            if r["blocks"] > 1:
-                # one of equal windows stands for all of its block; sure repeats only show others theirs
-                rows.extend((r["anchor"], r["digest"], x, x, True, _digest(r["context"][x : x + length])) for x in offset[part][leads[part]].tolist())
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(bundle).combine_chunks()
         bundle.clear()
-
-    for group in sorted_groups(batches, "group"):
-        own = group.to_pylist()
-        for r in own:
-            if r["several"]:  # equal contexts in several places: all windows repeat
-                rows.append((r["anchor"], r["digest"], 0, len(r["context"]) - length, False, None))
-        if len(own) > 1 or own[0]["blocks"] > 1:
-            bundle += own
-            size += sum(len(r["context"]) for r in own)
+        data, offsets = utf8(rows.column("context"))
+        which, offset, again, leads = repeated_windows(data, offsets, length)
+        several, hot = rows.column("several").to_numpy(), rows.column("blocks").to_numpy() > 1
+        own = np.flatnonzero(again & ~several[which])
+        if len(own):
+            cut = np.flatnonzero((np.diff(which[own]) != 0) | (np.diff(offset[own]) != 1))
+            a, b = own[np.concatenate([[0], cut + 1])], own[np.concatenate([cut, [len(own) - 1]])]
+            yield _found(rows, which[a], offset[a], offset[b])
+        # one of equal windows stands for all of its block; sure repeats only show others theirs
+        shown = np.flatnonzero(leads & hot[which])
+        for k in range(0, len(shown), ROWS):
+            w, x = which[shown[k : k + ROWS]], offset[shown[k : k + ROWS]]
+            yield _found(rows, w, x, x, [_digest(data[i : i + length]) for i in (offsets[w] + x).tolist()])
+
+    for rows in whole_groups(batches, "group"):
+        several = np.flatnonzero(rows.column("several").to_numpy())
+        sizes = pc.binary_length(rows.column("context")).to_numpy().astype(np.int64)
+        if len(several):  # equal contexts in several places: all windows repeat
+            yield _found(rows, several, np.zeros(len(several), np.int64), sizes[several] - length)
+        # A context of one place may repeat parts of its group's others; those of several places have nothing to learn.
+        group, blocks = rows.column("group").to_numpy(), rows.column("blocks").to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        counts = np.diff(begins, append=len(group))
+        single = np.add.reduceat((~rows.column("several").to_numpy()).astype(np.int64), begins)
+        met = np.flatnonzero(np.repeat((counts > 1) & (single > 0), counts) | (blocks > 1))
+        if len(met):
+            bundle.append(rows.take(pa.array(met)))
+            size += int(sizes[met].sum())
         if size >= BUNDLE_BYTES:
-            flush()
+            yield from flush()
             size = 0
-        if len(rows) >= 20_000:
-            yield _found(rows)
-            rows = []
     if bundle:
-        flush()
-    yield _found(rows)
-
-
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+        yield from flush()
+
+
+def _found(rows: pa.Table, which: np.ndarray, first: np.ndarray, last: np.ndarray, windows: list[bytes] | None = None) -> pa.RecordBatch:
+    n, which = len(which), pa.array(which)
+    columns = [rows.column(c).combine_chunks().take(which) for c in ("anchor", "digest")]
+    columns += [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array([windows is not None] * n, pa.bool_()), pa.array(windows or [None] * n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _texts_and_runs(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, Iterator[tuple[int, int, int]]]]:
+    """(t, text, its runs (first, to, anchor)) of each row."""
+    data, offsets = utf8(batch.column("text"))
+    runs = batch.column("runs")
+    bounds = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())]).tolist()
+    first, to, anchor = (runs.flatten().field(c).to_pylist() for c in ("first", "to", "anchor"))
+    for i, t in enumerate(batch.column("t").to_pylist()):
+        own = slice(bounds[i], bounds[i + 1])
+        yield t, data[offsets[i] : offsets[i + 1]].tobytes(), zip(first[own], to[own], anchor[own], strict=True)
+
+
+def spans(covers: pa.ListArray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the maximal runs of bytes that each row's hits cover, by place in the data of all rows."""
+    places = covers.flatten()
+    hits = places.field("hits")
+    lengths, each = hits.value_lengths().to_numpy(), hits.flatten()
+    row = np.repeat(np.repeat(np.arange(len(covers)), covers.value_lengths().to_numpy()), lengths)
+    at = np.repeat(places.field("at").to_numpy(), lengths) + offsets[row] + row  # a byte between rows keeps their runs apart
+    a, b = at + each.field("first").to_numpy(), at + each.field("last").to_numpy() + length
+    order = np.argsort(a, kind="stable")
+    row, a, b = row[order], a[order], np.maximum.accumulate(b[order])
+    fresh = np.concatenate([[True], a[1:] > b[:-1]])[: len(a)]
+    row, a, b = row[fresh], a[fresh], b[np.append(fresh[1:], True)[: len(a)]]
+    return row, a - row, b - row
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -263,9 +310,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = keyed.withColumn("t", F.substring(F.unhex("sha"), 1, 16))
     described = materialize(keyed.select("doc_id", "t", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     runs = materialize(anchors(keyed.select("t", "text"), length), "anchors")
-    each = runs.select("t", "last", F.posexplode(F.arrays_zip("anchors", "starts")).alias("i", "x"), "starts").select(
-        "t", F.col("x.anchors").alias("anchor"), F.col("x.starts").alias("first"), F.coalesce(F.get("starts", F.col("i") + 1) - 1, "last").alias("to")
-    )
+    each = runs.select("t", F.inline("runs"))
     # Copies of a whole text have equal t: an anchor counts if it has two places in distinct texts.
     place = F.xxhash64("t", "first")
     again = materialize(each.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", "n"), "again")
@@ -279,24 +324,26 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     @lean
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            seen: dict[tuple[int, bytes], list] = {}
-            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("runs"), strict=True)):
-                raw, own = data[offsets[i] : offsets[i + 1]].tobytes(), own.as_py()
-                for r in own:
-                    c = raw[r["first"] : r["to"] + length]
-                    here = int.from_bytes(_digest(t + r["first"].to_bytes(8, "little"))[:8], "little", signed=True)
-                    x = seen.setdefault((r["anchor"], _digest(c)), [c, here, here, 0])
-                    x[1], x[2], x[3] = min(x[1], here), max(x[2], here), x[3] + 1
+            seen: dict[bytes, list] = {}  # equal contexts have equal anchors
+            for t, raw, own in _texts_and_runs(batch):
+                salt = int.from_bytes(t[:8], "little")
+                for first, to, anchor in own:
+                    c = raw[first : to + length]
+                    here = ((salt + first * _ODD) & (1 << 64) - 1) - (1 << 63)
+                    x = seen.get(d := _digest(c))
+                    if x is None:
+                        seen[d] = [anchor, c, here, here, 1]
+                    else:
+                        x[2], x[3], x[4] = min(x[2], here), max(x[3], here), x[4] + 1
                     if len(seen) >= ROWS:
                         yield _contexts(seen)
                         seen = {}
             yield _contexts(seen)
 
-    def _contexts(seen: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
-        keys = list(seen)
+    def _contexts(seen: dict[bytes, list]) -> pa.RecordBatch:
+        anchor, context, a, b, n = zip(*seen.values(), strict=True) if seen else [[]] * 5
         return pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.binary()), *(pa.array([seen[k][j] for k in keys], ty) for j, ty in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64())))], ["anchor", "digest", "context", "a", "b", "n"]
+            [pa.array(c, ty) for c, ty in ((anchor, pa.int64()), (list(seen), pa.binary()), (context, pa.binary()), (a, pa.int64()), (b, pa.int64()), (n, pa.int64()))], ["anchor", "digest", "context", "a", "b", "n"]
         )
 
     distinct = texts.mapInArrow(contexts, "anchor long, digest binary, context binary, a long, b long, n long").groupBy("anchor", "digest")
@@ -317,11 +364,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     @lean
     def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
             rows: list[tuple] = []
-            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("runs"), strict=True)):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                rows += [(t, r["first"], r["anchor"], _digest(raw[r["first"] : r["to"] + length])) for r in own.as_py()]
+            for t, raw, own in _texts_and_runs(batch):
+                rows += [(t, first, anchor, _digest(raw[first : to + length])) for first, to, anchor in own]
                 if len(rows) >= ROWS:
                     yield _origins(rows)
                     rows = []
@@ -338,23 +383,22 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data, offsets = utf8(batch.column("text"))
-            out: list[tuple] = []
-            for i, (t, own) in enumerate(zip(batch.column("t").to_pylist(), batch.column("covers"), strict=True)):
-                text = data[offsets[i] : offsets[i + 1]]
-                removed, spans, end, kept = 0, 0, 0, hashlib.sha256()
-                for a, b in sorted((x["at"] + hit["first"], x["at"] + hit["last"] + length) for x in own.as_py() for hit in x["hits"]):
-                    if a > end or not spans:
-                        kept.update(text[end:a])
-                        spans += 1
-                        end = a
-                    if b > end:
-                        removed += b - end
-                        end = b
-                kept.update(text[end:])
-                out.append((t, removed, spans, kept.hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["t", "removed", "spans", "kept"])
+            row, a, b = spans(batch.column("covers"), offsets, length)
+            removed = np.zeros(batch.num_rows, np.int64)
+            np.add.at(removed, row, b - a)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            a, b, sums = a.tolist(), b.tolist(), []
+            for i, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                kept = hashlib.sha256()
+                for k in range(bounds[i], bounds[i + 1]):
+                    kept.update(data[at : a[k]])
+                    at = b[k]
+                kept.update(data[at:end])
+                sums.append(kept.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("t").cast(pa.binary()), pa.array(removed), pa.array(np.diff(bounds)), pa.array(sums, pa.string())], ["t", "removed", "spans", "kept"])
 
     shortened = texts.select("t", "text").join(covers, "t").mapInArrow(cut, "t binary, removed long, spans long, kept string")
     copies = materialize(described.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "copies")

@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontamination, language_id, minhash, packing, quality_rules, secret_scans, suffix_dedup
@@ -222,6 +223,46 @@ def test_anchors_of_long_texts_in_segments(monkeypatch):
             assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
 
 
+def test_windows_by_transform_against_all_pairs():
+    rng = random.Random(13)
+    for length in (3, 8, 20, 130, 200):
+        stem = bytes(rng.choice(b"ab") for _ in range(2 * length))
+        contexts = [stem[a : a + length + rng.randrange(length)] if k % 3 else bytes(rng.choice(b"ab") for _ in range(length + k)) for k, a in enumerate(rng.randrange(length) for _ in range(40))]
+        contexts = [c for c in dict.fromkeys(contexts) if len(c) >= length]
+        data, offsets = np.frombuffer(b"".join(contexts), np.uint8), np.cumsum([0, *map(len, contexts)])
+        *_, begins, known = suffix_dedup.transform(data, length)
+        assert known == {3: 0, 8: 8, 20: 16, 130: 128, 200: 128}[length]  # the expansion has length - known steps
+        assert len(begins) == len({(bytes(data) * 2)[i : i + known] for i in range(len(data))})
+        windows = [(k, x, c[x : x + length]) for k, c in enumerate(contexts) for x in range(len(c) - length + 1)]
+        times = Counter(w for *_, w in windows)
+        which, offset, again, leads = suffix_dedup.repeated_windows(data, offsets, length)
+        assert list(zip(which.tolist(), offset.tolist(), again.tolist(), strict=True)) == [(k, x, times[w] > 1) for k, x, w in windows]
+        assert sorted(w for (*_, w), lead in zip(windows, leads.tolist(), strict=True) if lead) == sorted(times)
+
+
+def test_contexts_that_all_repeat_need_no_transform(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "transform", lambda *_: pytest.fail("transformed"))
+    rows = [{"anchor": a, "digest": bytes([a, k]), "context": bytes([97 + a, 97 + k]) * 110, "several": True, "blocks": 1, "group": a} for a in range(3) for k in range(2)]
+    schema = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("context", pa.binary()), ("several", pa.bool_()), ("blocks", pa.int32()), ("group", pa.int64())])
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=3)  # a group lies in two of them
+    got = [r for b in suffix_dedup.compare(iter(batches), 200) for r in b.to_pylist()]
+    assert [(r["anchor"], r["digest"], r["first"], r["last"]) for r in got] == [(r["anchor"], r["digest"], 0, 20) for r in rows]
+
+
+def test_anchors_of_texts_hashed_together(monkeypatch):
+    rng = random.Random(14)
+    texts = [(prose(rng, n) * 2)[:n].encode() for n in (0, 200, 10, 700, 199, 3000, 201, 0, 450)] + [b"x" * 300, b"x" * 500]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = []
+    for i, t in enumerate(texts):
+        h, s = suffix_dedup.anchor_runs(np.frombuffer(t, np.uint8), 200)
+        want += zip([i] * len(h), h.tolist(), s.tolist(), [*(s[1:] - 1).tolist(), len(t) - 200][: len(h)], strict=True)
+    for together, segment in ((1, 1 << 20), (1500, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 37)):
+        monkeypatch.setattr(suffix_dedup, "TEXTS_BYTES", together)
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+        assert list(zip(*(x.tolist() for x in suffix_dedup.text_runs(data, offsets, 200)), strict=True)) == want
+
+
 def test_repeats_of_null_and_repeated_ids(spark):
     rng = random.Random(5)
     a, b = prose(rng, 80), prose(rng, 90)
