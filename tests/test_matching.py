@@ -376,6 +376,28 @@ def test_copies_at_one_place_share_their_searches(spark, monkeypatch):
     assert of_place.where("n <> 40 or kinds <> 1").isEmpty() and trios.select("base").distinct().count() == 480
 
 
+def test_copies_at_one_place_play_as_one(spark, monkeypatch):
+    """Sixteen places of many copies: they take their trios in turns, tiles follow places, and sets are those of one queue."""
+    rng = np.random.default_rng(6)
+    arms = np.array(list("ABC"))[np.repeat([0, 1, 2], [240, 280, 260])]
+    g = np.concatenate([np.repeat(rng.random((16, 2)) * 0.4, 18, axis=0)[rng.permutation(288)[:n]] for n in (240, 280, 260)])
+    asked, offers = [], threeway.Plane.offers
+    with monkeypatch.context() as m:
+        m.setattr(threeway.Plane, "offers", lambda self, *a: asked.append(1) or offers(self, *a))
+        want, order = one_queue(arms, g, 0.3, 3)
+    assert len(want) > 150 and len(asked) < 150
+    data, gps, search = plane_cohort(spark, arms, g)
+    rounds, tile = [], threeway._play_tile
+    monkeypatch.setattr(threeway, "_play_tile", lambda *a: rounds.append(1) or tile(*a))
+    monkeypatch.setattr(threeway, "TILE", 16)
+    monkeypatch.setattr(threeway, "ROW_IDS", 5)
+    assert matched_trios(P.match_3way(data, search, gps, caliper=0.3, top_n=3), order) == want
+    assert len(rounds) == 1
+    monkeypatch.setattr(threeway, "ALIKE", 5)
+    assert matched_trios(P.match_3way(data, search, gps, caliper=0.3, top_n=3), order) == want
+    assert len(rounds) > 2
+
+
 def test_a_search_beyond_what_is_known_says_so():
     rng = np.random.default_rng(1)
     base, one, two = (rng.random((n, 2)) for n in (30, 60, 60))
